@@ -54,8 +54,15 @@ def sample_rows(df: DataFrame, key, n: int, seed: int = 42) -> DataFrame:
             break
     else:
         candidates = df
-    keys = [key] if isinstance(key, str) else list(key)
-    return candidates.orderBy(row_hash(key, seed), *[col(k) for k in keys]).limit(n)
+    return candidates.orderBy(row_hash(key, seed), *[col(k) for k in _keys(key)]).limit(n)
+
+
+def _keys(key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _unique(names) -> list[Column]:
+    return [col(n) for n in dict.fromkeys(names)]
 
 
 def top_k_values(df: DataFrame, name: str, k: int = TOP_VALUES) -> DataFrame:
@@ -117,14 +124,14 @@ def _density(weighted: DataFrame, params: DataFrame, points: int, cut: float) ->
     therefore carries at most points x groups rows per task.
     """
     grid = params.select(
-        "group",
+        F.col("group").alias("_group"),
         "n",
         "bw",
         (F.col("lo") - F.lit(cut) * F.col("bw")).alias("start"),
         ((F.col("hi") - F.col("lo") + F.lit(2 * cut) * F.col("bw")) / F.lit(points - 1)).alias("step"),
     )
-    placed = weighted.join(grid, weighted["group"].eqNullSafe(grid["group"])).select(
-        grid["group"], "n", "bw", "start", "step", "x", "w", ((F.col("x") - F.col("start")) / F.col("step")).alias("at"),
+    placed = weighted.join(grid, F.col("group").eqNullSafe(F.col("_group"))).select(
+        "group", "n", "bw", "start", "step", "x", "w", ((F.col("x") - F.col("start")) / F.col("step")).alias("at"),
         (F.lit(KERNEL_REACH) * F.col("bw") / F.col("step")).alias("reach"),
     )
     first = F.greatest(F.lit(0), F.ceil(F.greatest(F.col("at") - F.col("reach"), F.lit(0.0)))).cast("int")
@@ -282,7 +289,7 @@ def line_series(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def joint_stats(df: DataFrame, key, x: str, y: str, n: int = MAX_SAMPLE, seed: int = 42) -> dict[str, DataFrame]:
     """Points of a joint chart and the histograms on its margins, all of the same sample."""
-    sample = sample_rows(df, key, n, seed)
+    sample = sample_rows(df.select(*_unique([*_keys(key), x, y])), key, n, seed).persist()  # at most n rows
     return {
         "points": sample.select(double_value(df, x).alias("x"), double_value(df, y).alias("y")),
         "x": histogram(sample, x),
@@ -311,7 +318,8 @@ def pairplot_data(
     names = list(columns or numeric_columns(df)[:PAIRPLOT_COLUMNS])
     if len(names) < 2:
         raise ValueError("a pair plot needs two numeric columns")
-    sample = sample_rows(df, key, n, seed)
+    needed = _unique([*_keys(key), *names, *([target] if target in df.columns else [])])
+    sample = sample_rows(df.select(*needed), key, n, seed).persist()  # at most n rows
     hue = hue_column(sample, target)
     level = col(hue).cast("string") if hue else F.lit(None).cast("string")
     pairs = [

@@ -2,9 +2,9 @@
 
 The built-in exact percentile keeps every distinct value of a column in one aggregation buffer. Here a KLL sketch
 (merged in two levels so that no single task receives a sketch per input split) proposes a narrow bracket around each
-wanted rank, and one counting pass proves where the rank lies and picks the value out of the few rows strictly inside
-the bracket. A value that occurs very often becomes an end of the bracket and is only counted. If a bracket misses or
-still holds too many rows it is sketched again, so the answer never depends on the sketch being right.
+wanted rank. One counting pass over the zones between the bracket ends proves where the rank lies, and the value is
+taken from the few rows strictly inside that zone. A value that occurs very often becomes a bracket end and is only
+counted. A zone that holds too many rows is sketched again, so the answer never depends on the sketch being right.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ SKETCH_MARGIN = 0.004  # about twice the rank error of a KLL sketch with k = 200
 SKETCH_GROUPS = 128
 PICK_ROWS = 1 << 20  # rows that may sit inside a bracket when its values are picked
 MAX_PASSES = 60
+MAX_ZONES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -80,10 +82,6 @@ def sketch_splits(df: DataFrame, value: Column, buckets: int) -> list[float]:
     return sorted({q for q in found if q > low})
 
 
-def _inside(value: Column, low: float, high: float) -> Column:
-    return (value > F.lit(low)) & (value < F.lit(high))
-
-
 def exact_quantiles(
     df: DataFrame, values: Mapping[str, Column], probabilities: Sequence[float]
 ) -> dict[str, Distribution]:
@@ -97,7 +95,6 @@ def exact_quantiles(
 
     total, low, high = {}, {}, {}
     bracket: dict[tuple[str, int], tuple[float, float]] = {}
-    needs_sketch: set[tuple[str, int]] = set()
     for name, (count, lo, hi, found) in zip(names, sketched):
         total[name], low[name], high[name] = count, lo, hi
         for p in probabilities if count else ():
@@ -108,14 +105,12 @@ def exact_quantiles(
             )
             for rank in {math.floor(position), math.ceil(position)}:
                 bracket.setdefault((name, rank), ends)
-                if 2.5 * SKETCH_MARGIN * count > PICK_ROWS:
-                    needs_sketch.add((name, rank))
 
     known: dict[tuple[str, int], float] = {}
     for _ in range(MAX_PASSES):
         if not bracket:
             break
-        _resolve(df, values, bracket, needs_sketch, known, total)
+        _resolve(df, values, bracket, known)
     if bracket:
         raise RuntimeError("quantile search did not settle")
 
@@ -133,67 +128,89 @@ def exact_quantiles(
     return out
 
 
-def _resolve(df, values, bracket, needs_sketch, known, total) -> None:
-    """One counting pass over all open ranks: settle those whose value is found, narrow the others."""
-    ranks: dict[tuple[str, float, float], list[int]] = {}
-    for (name, rank), ends in sorted(bracket.items()):
-        ranks.setdefault((name, *ends), []).append(rank)
-    aggs, picks = [], []
-    for i, ((name, lo, hi), wanted) in enumerate(ranks.items()):
-        v = values[name]
-        aggs += [
-            F.count_if(v < F.lit(lo)).alias(f"below{i}"),
-            F.count_if(v == F.lit(lo)).alias(f"low{i}"),
-            F.count_if(_inside(v, lo, hi)).alias(f"in{i}"),
-            F.count_if((v == F.lit(hi)) & (F.lit(hi) > F.lit(lo))).alias(f"high{i}"),
-        ]
-        picks += [F.col(f"{k}{i}") for k in ("below", "low", "in", "high")]
-        if not any((name, r) in needs_sketch for r in wanted):
-            aggs.append(F.array_sort(F.collect_list(F.when(_inside(v, lo, hi), v))).alias(f"list{i}"))
-            picks += [
-                F.get(f"list{i}", (F.lit(r) - F.col(f"below{i}") - F.col(f"low{i}")).try_cast("int")).alias(f"pick{i}_{r}")
-                for r in wanted
-            ]
-    row = df.agg(*aggs).select(*picks).first().asDict()
+def _cuts(ends: set[float]) -> list[float]:
+    """Split points that put every end into a zone of its own."""
+    return sorted({-math.inf, math.inf, *ends, *(math.nextafter(e, math.inf) for e in ends)})
+
+
+def _single_value(cuts: list[float], zone: int) -> bool:
+    return cuts[zone + 1] == math.nextafter(cuts[zone], math.inf)
+
 
+def _zoned(df: DataFrame, values: Mapping[str, Column], cuts: Mapping[str, list[float]]) -> DataFrame:
+    """(item, zone, x) per value, item being the position of the column in ``cuts``."""
+    count = range(len(cuts))
+    cutter = Bucketizer(
+        splitsArray=list(cuts.values()), inputCols=[f"x{i}" for i in count], outputCols=[f"zone{i}" for i in count]
+    )
+    placed = cutter.transform(df.select(*[values[n].alias(f"x{i}") for i, n in enumerate(cuts)]))
+    items = [
+        F.struct(F.lit(i).alias("item"), F.col(f"zone{i}").cast("int").alias("zone"), F.col(f"x{i}").alias("x")) for i in count
+    ]
+    return placed.select(F.inline(F.array(*items))).filter(F.col("zone").isNotNull())
+
+
+def _resolve(df, values, bracket, known) -> None:
+    """Count the rows in every zone between bracket ends; settle ranks that fall on an end or in a small zone."""
+    ends: dict[str, set[float]] = {}
+    for (name, _), pair in bracket.items():
+        ends.setdefault(name, set()).update(pair)
+    cuts = {n: _cuts(e) for n, e in ends.items()}
+    names = list(cuts)
+    zoned = _zoned(df, values, cuts)
+    # At most columns x zones rows, whatever the table holds.
+    counted = {(r["item"], r["zone"]): r["n"] for r in zoned.groupBy("item", "zone").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    picks: dict[tuple[str, int], list[tuple[int, int]]] = {}
     narrow = []
-    for i, ((name, lo, hi), wanted) in enumerate(ranks.items()):
-        v = values[name]
-        below, at_low, inside, at_high = (row[f"{k}{i}"] for k in ("below", "low", "in", "high"))
-        upto_low, upto_in = below + at_low, below + at_low + inside
-        for rank in wanted:
-            key = (name, rank)
-            if rank < below:
-                narrow.append((key, v < F.lit(lo), 0, below))
-            elif rank < upto_low:
-                known[key] = lo
-            elif rank < upto_in:
-                if f"pick{i}_{rank}" in row:
-                    known[key] = row[f"pick{i}_{rank}"]
-                elif inside <= PICK_ROWS:
-                    needs_sketch.discard(key)
-                else:
-                    narrow.append((key, _inside(v, lo, hi), upto_low, inside))
-            elif rank < upto_in + at_high:
-                known[key] = hi
-            else:
-                narrow.append((key, v > F.lit(hi), upto_in + at_high, total[name] - upto_in - at_high))
+    for name, rank in list(bracket):
+        item, before = names.index(name), 0
+        for zone in range(len(cuts[name]) - 1):
+            inside = counted.get((item, zone), 0)
+            if rank < before + inside:
+                break
+            before += inside
+        if _single_value(cuts[name], zone):
+            known[name, rank] = cuts[name][zone]
+        elif inside <= PICK_ROWS:
+            picks.setdefault((name, zone), []).append((rank, rank - before))
+        else:
+            low, high = cuts[name][zone], cuts[name][zone + 1]
+            condition = (values[name] >= F.lit(low)) & ((values[name] < F.lit(high)) | F.lit(math.isinf(high)))
+            narrow.append(((name, rank), condition, before, inside))
+    if picks:
+        _pick(df, values, cuts, picks, known)
     for key in known:
         bracket.pop(key, None)
     if narrow:
-        _narrow(df, values, bracket, needs_sketch, narrow)
+        _narrow(df, values, bracket, narrow)
+
+
+def _pick(df, values, cuts, picks, known) -> None:
+    """Sort the few rows of each wanted zone and take the values at the wanted places."""
+    names = list(dict.fromkeys(name for name, _ in picks))
+    wanted = {names.index(name) * MAX_ZONES + zone: (name, places) for (name, zone), places in picks.items()}
+    rows = _zoned(df, values, {n: cuts[n] for n in names}).select((F.col("item") * MAX_ZONES + F.col("zone")).alias("key"), "x")
+    lists = (
+        rows.filter(F.col("key").isin(list(wanted)))
+        .groupBy("key")
+        .agg(F.array_sort(F.collect_list("x")).alias("xs"))  # at most PICK_ROWS values per zone
+    )
+    places_of = F.create_map(
+        *[c for k, (_, places) in wanted.items() for c in (F.lit(k), F.array(*[F.lit(at) for _, at in places]))]
+    )
+    for row in lists.select("key", F.transform(places_of[F.col("key")], lambda at: F.get("xs", at)).alias("picked")).collect():
+        name, places = wanted[row["key"]]
+        for (rank, _), value in zip(places, row["picked"]):
+            known[name, rank] = value
 
 
-def _narrow(df, values, bracket, needs_sketch, narrow) -> None:
+def _narrow(df, values, bracket, narrow) -> None:
     """Sketch only the rows that can still hold the rank and set the bracket closely around it."""
     exprs = [F.when(condition, values[name]) for (name, _), condition, _, _ in narrow]
     probes = []
     for (_, rank), _, before, count in narrow:
         p = (rank - before) / max(1, count - 1)
         probes.append([max(0.0, p - SKETCH_MARGIN), min(1.0, p + SKETCH_MARGIN)])
-    for (key, _, _, count), (_, _, _, found) in zip(narrow, _sketch(df, exprs, probes)):
+    for (key, _, _, _), (_, _, _, found) in zip(narrow, _sketch(df, exprs, probes)):
         bracket[key] = (found[0], found[1])
-        if 2.5 * SKETCH_MARGIN * count > PICK_ROWS:
-            needs_sketch.add(key)
-        else:
-            needs_sketch.discard(key)
