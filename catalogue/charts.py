@@ -200,13 +200,13 @@ def pairplot_pairs(spark, folder):
         weights AS (SELECT name, hue, v, count(*) AS w FROM long GROUP BY 1, 2, 3),
         grid AS (SELECT name, hue, i AS point, lo - 3 * bw + i * ((hi - lo + 6 * bw) / 199) AS x, n, bw FROM s, range(200) t(i))
         SELECT grid.name, grid.hue, CAST(point AS INTEGER) AS point, round(x, 6) AS x,
-               round(sum(w * exp(-0.5 * ((x - v) / bw) * ((x - v) / bw))) / (n * bw * sqrt(2 * pi())), 9) AS density
+               round(sum(w * exp(-0.5 * ((x - v) / bw) * ((x - v) / bw))) / (n * bw * sqrt(2 * pi())), 7) AS density
         FROM grid JOIN weights ON grid.name = weights.name AND grid.hue = weights.hue GROUP BY grid.name, grid.hue, point, x, n, bw""",
 )
 def pairplot_diagonal(spark, folder):
     df = _lines(spark, folder, *_PAIR_COLUMNS, "l_returnflag")
     diagonal = chartdata.pairplot_data(df, LINE_KEY, _PAIR_COLUMNS, "l_returnflag")["diagonal"]
-    return rounded(rounded(diagonal, 6, "x"), 9, "density")
+    return rounded(rounded(diagonal, 6, "x"), 7, "density")
 
 
 @query(

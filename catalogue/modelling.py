@@ -1 +1,212 @@
-"""To be filled."""
+"""Models, training, cross-validation and persistence."""
+
+from pyspark.sql import functions as F
+
+from catalogue.fixtures import LINE_KEY, PREDICTIONS, predictions, real_labels
+from catalogue.registry import query, rounded, table
+from tabulift.operators import encode, neighbours, split, training
+from tabulift.operators.estimators import fit_classifier, fit_regressor
+from tabulift.operators.target import BINARY, REGRESSION
+from tabulift.plans.scratch import scratch_path
+from tabulift.sources.models import load_model, save_model
+
+
+def _documents(spark, folder):
+    """Documents with quality labels and the language as 0/1 columns."""
+    df = real_labels(spark, folder).drop("source")
+    hot = encode.OneHotEncoder.fit(df, ["lang"], order_by="doc_id")
+    made = hot.transform(df)
+    return made, [c for c in made.columns if c not in ("doc_id", "quality")]
+
+
+def _classified(name, target="quality"):
+    """Fit on the train part, predict the test part of the labelled documents."""
+
+    def run(spark, folder):
+        df, features = _documents(spark, folder)
+        parts = split.train_test_split(df, target, "doc_id")
+        model = fit_classifier(name, parts.train, features, target)
+        return model.transform(parts.test).select("doc_id", F.col(target).alias("actual"), "predicted")
+
+    return run
+
+
+query("logistic_regression")(_classified("Logistic Regression"))
+query("random_forest_classifier")(_classified("Random Forest Classifier"))
+query("gbt_classifier")(_classified("Gradient Boosting Classifier"))
+query("svm_classifier")(_classified("Support Vector Classifier"))
+query("decision_tree_classifier")(_classified("Decision Tree Classifier"))
+
+
+_NB_FEATURES = ("l_quantity", "l_discount", "l_tax", "l_extendedprice")
+_NB_STATS = ", ".join(f"avg({c}) AS m_{c}, var_pop({c}) AS v_{c}" for c in _NB_FEATURES)
+_NB_FLOOR = "(SELECT 1e-9 * greatest(" + ", ".join(f"var_pop({c})" for c in _NB_FEATURES) + ") FROM lineitem)"
+_NB_SCORE = " + ".join(
+    f"(-0.5 * ln(2 * pi() * (v_{c} + floor_)) - ({c} - m_{c}) * ({c} - m_{c}) / (2 * (v_{c} + floor_)))" for c in _NB_FEATURES
+)
+
+
+@query(
+    "gaussian_nb",
+    f"""WITH classes AS (SELECT l_returnflag AS class, ln(count(*) / (SELECT count(*) FROM lineitem)) AS prior, {_NB_STATS},
+          {_NB_FLOOR} AS floor_ FROM lineitem GROUP BY l_returnflag)
+        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, arg_max(class, prior + {_NB_SCORE}) AS predicted
+        FROM lineitem, classes GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey""",
+)
+def gaussian_nb(spark, folder):
+    df = table(spark, folder, "lineitem").select(*LINE_KEY, *_NB_FEATURES, "l_returnflag")
+    return fit_classifier("Gaussian Naive Bayes", df, _NB_FEATURES, "l_returnflag").transform(df).select(*LINE_KEY, "predicted")
+
+
+_PART_HASH = "CAST('0x' || substr(md5(concat_ws('|', p_partkey, '42')), 1, 8) AS BIGINT)"
+_PART_CUT = f"""cut AS (SELECT *, {_PART_HASH} < floor(0.2 * 4294967296) AS held FROM part),
+  pairs AS (SELECT t.p_partkey AS k, r.p_partkey AS rk, r.p_type AS cls, r.{{y}} AS y,
+      row_number() OVER (PARTITION BY t.p_partkey ORDER BY {{d}}, r.p_partkey) AS place
+    FROM cut t JOIN cut r ON t.held AND NOT r.held),
+  best AS (SELECT * FROM pairs WHERE place <= 5)"""
+_TWO = "(CAST(t.p_size AS DOUBLE) - r.p_size) * (CAST(t.p_size AS DOUBLE) - r.p_size) + (t.p_retailprice - r.p_retailprice) * (t.p_retailprice - r.p_retailprice)"
+
+
+def _parts(spark, folder):
+    return split.train_test_split(table(spark, folder, "part"), "p_type", "p_partkey")
+
+
+@query(
+    "knn_classifier",
+    f"""WITH {_PART_CUT.format(y='p_size', d=_TWO)}
+        SELECT k AS key, cls AS prediction FROM (SELECT k, cls, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, cls) AS i
+        FROM best GROUP BY k, cls) WHERE i = 1""",
+)
+def knn_classifier(spark, folder):
+    parts = _parts(spark, folder)
+    return neighbours.knn_classifier(
+        parts.train, parts.test, ["p_size", "p_retailprice"], "p_partkey", "p_partkey", "p_type"
+    ).select("key", "prediction")
+
+
+@query(
+    "knn_regressor",
+    f"""WITH {_PART_CUT.format(y='p_retailprice', d='abs(CAST(t.p_size AS DOUBLE) - r.p_size)')}
+        SELECT k AS key, round(avg(y), 6) AS prediction FROM best GROUP BY k""",
+)
+def knn_regressor(spark, folder):
+    parts = _parts(spark, folder)
+    return rounded(neighbours.knn_regressor(parts.train, parts.test, ["p_size"], "p_partkey", "p_partkey", "p_retailprice"))
+
+
+_REGRESSION = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _regressed(name, features=_REGRESSION):
+    """Coefficients and intercept of a linear model of the price, on all line items."""
+
+    def run(spark, folder):
+        df = table(spark, folder, "lineitem").select(*features, "l_extendedprice")
+        fitted = fit_regressor(name, df, features, "l_extendedprice").model.stages[-1]
+        rows = [*zip(features, map(float, fitted.coefficients)), ("intercept", float(fitted.intercept))]
+        return rounded(spark.createDataFrame(rows, "term string, value double"), 4)
+
+    return run
+
+
+_ONE = ["l_quantity"]
+query(
+    "linear_regression",
+    """SELECT 'l_quantity' AS term, round(regr_slope(l_extendedprice, l_quantity), 4) AS value FROM lineitem
+       UNION ALL SELECT 'intercept', round(regr_intercept(l_extendedprice, l_quantity), 4) FROM lineitem""",
+)(_regressed("Linear Regression", _ONE))
+query(
+    "ridge_regression",
+    """WITH s AS (SELECT covar_pop(l_extendedprice, l_quantity) * count(*) / (var_pop(l_quantity) * count(*) + 1) AS slope,
+         avg(l_extendedprice) AS my, avg(l_quantity) AS mx FROM lineitem)
+       SELECT 'l_quantity' AS term, round(slope, 4) AS value FROM s UNION ALL SELECT 'intercept', round(my - slope * mx, 4) FROM s""",
+)(_regressed("Ridge Regression", _ONE))
+query("linear_regression_many")(_regressed("Linear Regression"))
+query("ridge_regression_many")(_regressed("Ridge Regression"))
+query("lasso_regression")(_regressed("Lasso Regression"))
+
+
+def _predicted(name):
+    """Fit on the train part, predict the test part: retail price of parts from size, brand, type and supplier count."""
+
+    def run(spark, folder):
+        df = table(spark, folder, "part")
+        coded = encode.OrdinalEncoder.fit(df, "p_partkey", ["p_brand", "p_type", "p_name"]).transform(df)
+        parts = split.train_test_split(coded, "p_retailprice", "p_partkey")
+        model = fit_regressor(name, parts.train, ["p_size", "p_brand", "p_type", "p_name"], "p_retailprice")
+        return model.transform(parts.test).select("p_partkey", F.col("p_retailprice").alias("actual"), "prediction")
+
+    return run
+
+
+query("random_forest_regressor")(_predicted("Random Forest Regressor"))
+query("gbt_regressor")(_predicted("Gradient Boosting Regressor"))
+query("svr")(_predicted("Support Vector Regressor (SVR)"))
+query("decision_tree_regressor")(_predicted("Decision Tree Regressor"))
+
+
+@query("train_models")
+def train_models(spark, folder):
+    df, features = _documents(spark, folder)
+    parts = split.train_test_split(df, "quality", "doc_id", stratify=True, problem_type=BINARY)
+    names = ["Logistic Regression", "Decision Tree Classifier", "Gaussian Naive Bayes", "K-Nearest Neighbors Classifier"]
+    return training.train_models(names, parts.train, parts.test, features, "quality", BINARY, "doc_id").metrics
+
+
+@query("train_models_regression")
+def train_models_regression(spark, folder):
+    df = table(spark, folder, "part").select("p_partkey", "p_size", "p_retailprice")
+    parts = split.train_test_split(df, "p_retailprice", "p_partkey")
+    names = ["Linear Regression", "Ridge Regression", "Lasso Regression", "K-Nearest Neighbors Regressor"]
+    return training.train_models(names, parts.train, parts.test, ["p_size"], "p_retailprice", REGRESSION, "p_partkey").metrics
+
+
+@query("cross_validate")
+def cross_validate(spark, folder):
+    df, features = _documents(spark, folder)
+    return training.cross_validate(["Gaussian Naive Bayes"], df, features, "quality", BINARY, "doc_id").summary
+
+
+@query("save_model")
+def saved_model(spark, folder):
+    df, features = _documents(spark, folder)
+    model = fit_classifier("Logistic Regression", df, features, "quality")
+    path = save_model(model.model, "Logistic Regression", scratch_path(spark, "models"))
+    return load_model(path).transform(df).select("doc_id", "predicted")
+
+
+# Fold scores by arithmetic, so that their summary can be checked without training.
+_FOLDS = f"""{PREDICTIONS}, folded AS (SELECT *, CAST('0x' || substr(md5(concat_ws('|', o_orderkey, '42')), 1, 8) AS BIGINT) % 5 AS fold FROM predictions),
+  scores AS (SELECT t.fold, 'accuracy' AS metric,
+      (SELECT avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) FROM folded f WHERE f.fold = t.fold) AS test,
+      (SELECT avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) FROM folded f WHERE f.fold <> t.fold) AS train
+    FROM (SELECT DISTINCT fold FROM folded) t)"""
+
+
+def _fold_scores(spark, folder):
+    folded = split.kfold(predictions(spark, folder), "o_orderkey")
+    hit = (F.col("label") == F.col("prediction")).cast("double")
+    per_fold = folded.groupBy("fold").agg(F.sum(hit).alias("hits"), F.count(F.lit(1)).alias("rows"))
+    total = folded.agg(F.sum(hit), F.count(F.lit(1))).first()
+    return per_fold.select(
+        F.lit("fixed").alias("model"),
+        "fold",
+        F.lit("accuracy").alias("metric"),
+        (F.col("hits") / F.col("rows")).alias("test"),
+        ((F.lit(total[0]) - F.col("hits")) / (F.lit(total[1]) - F.col("rows"))).alias("train"),
+    )
+
+
+@query(
+    "cross_validate_summary",
+    f"""WITH {_FOLDS} SELECT 'fixed' AS model, metric, round(avg(test), 8) AS mean, round(stddev_pop(test), 8) AS std,
+        round(avg(train), 8) AS train_mean, round(avg(train) - avg(test), 8) AS overfit FROM scores GROUP BY metric""",
+)
+def cross_validate_summary(spark, folder):
+    return rounded(training.summarise_folds(_fold_scores(spark, folder)), 8)
+
+
+@query("overfit_gap", f"WITH {_FOLDS} SELECT metric, round(avg(train) - avg(test), 8) AS overfit FROM scores GROUP BY metric")
+def overfit_gap(spark, folder):
+    summary = _fold_scores(spark, folder).groupBy("metric").agg(F.avg("test").alias("mean"), F.avg("train").alias("train_mean"))
+    return rounded(training.overfit_gap(summary).select("metric", "overfit"), 8)

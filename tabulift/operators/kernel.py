@@ -3,15 +3,18 @@ approximate the Gaussian kernel, so that linear training scales with the rows.""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark import keyword_only
-from pyspark.ml import Transformer
+from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +27,9 @@ DIMENSIONS = 128
 EPSILON = 0.1
 PENALTY = 1.0
 
+ROUNDS = 20
+TOLERANCE = 1e-4
+
 
 def scale_gamma(df: DataFrame, features: Sequence[str]) -> float:
     """1 / (features x variance of all feature values)."""
@@ -59,6 +65,7 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParam
     @keyword_only
     def __init__(self, *, inputCol="features", outputCol="kernel_features", gamma=1.0, dimensions=DIMENSIONS, inputs=1, seed=42):
         super().__init__()
+        self._setDefault(inputCol="features", outputCol="kernel_features", gamma=1.0, dimensions=DIMENSIONS, inputs=1, seed=42)
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
@@ -72,73 +79,48 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParam
         return dataset.withColumn(self.getOutputCol(), array_to_vector(mapped(vector_to_array(col(self.getInputCol())))))
 
 
-class KernelRegressor:
-    """Support vector regression on random Fourier features, trained by full-batch subgradient steps.
+def fit_support_vector_regressor(
+    df: DataFrame, features: Sequence[str], target: str, rounds: int = ROUNDS, dimensions: int = DIMENSIONS, seed: int = 42
+) -> PipelineModel:
+    """Support vector regression on random Fourier features by iteratively reweighted least squares (Perez-Cruz, 2000).
 
-    Each step is one distributed sum over the train rows; the driver holds the weight vector only.
+    A residual beyond epsilon gets the weight C / |residual|, one within it none, and each round is a weighted ridge
+    regression that Spark sums up over the tasks. The round with the smallest objective is kept.
     """
-
-    def __init__(self, features: Sequence[str], target: str, steps: int = 60, dimensions: int = DIMENSIONS, seed: int = 42):
-        self.features, self.target = list(features), target
-        self.steps, self.dimensions, self.seed = steps, dimensions, seed
-
-    def fit(self, df: DataFrame) -> KernelRegressorModel:
-        y = double_value(df, self.target)
-        rows = df.select(F.array(*[double_value(df, f) for f in self.features]).alias("x"), y.alias("y")).persist()
-        gamma = scale_gamma(df, self.features)
-        directions, phases = projection(len(self.features), gamma, self.dimensions, self.seed)
-        n, spread = rows.agg(F.count("y"), F.stddev_pop("y")).first()
-        middle = exact_quantiles(rows, {"y": F.col("y")}, [0.5])["y"].at[0.5]
-        weights = np.zeros(self.dimensions + 1)
-        weights[-1] = middle
-        squares = np.full(self.dimensions + 1, 1e-12)
-        best, best_loss = weights, np.inf
-        for step in range(self.steps):
-            gradient, loss = _gradient(rows, weights, directions, phases)
-            weight_part = weights[:-1]
-            objective = 0.5 * float(weight_part @ weight_part) + PENALTY * loss
-            if objective < best_loss:
-                best, best_loss = weights.copy(), objective
-            total = (PENALTY * gradient + np.append(weight_part, 0.0)) / n
-            squares += total * total
-            weights = weights - (spread or 1.0) * total / np.sqrt(squares)
-        rows.unpersist()
-        return KernelRegressorModel(self.features, directions, phases, best)
-
-
-def _gradient(rows: DataFrame, weights, directions, phases) -> tuple[np.ndarray, float]:
-    """Subgradient and value of the summed epsilon-insensitive loss, added up over the tasks."""
-    size = len(weights)
-
-    def partial(batches):
-        total = np.zeros(size + 1)
-        for batch in batches:
-            if batch.empty:
-                continue
-            phi = fourier(np.stack(batch["x"].to_numpy()), directions, phases)
-            residual = phi @ weights[:-1] + weights[-1] - batch["y"].to_numpy()
-            beyond = np.abs(residual) - EPSILON
-            sign = np.where(beyond > 0, np.sign(residual), 0.0)
-            total[: size - 1] += sign @ phi
-            total[size - 1] += sign.sum()
-            total[size] += np.maximum(beyond, 0.0).sum()
-        yield pd.DataFrame({"place": np.arange(size + 1), "part": total})
-
-    parts = rows.mapInPandas(partial, "place int, part double")
-    sums = {r["place"]: r["s"] for r in parts.groupBy("place").agg(F.sum("part").alias("s")).collect()}
-    vector = np.array([sums.get(i, 0.0) for i in range(size + 1)])
-    return vector[:size], float(vector[size])
-
-
-class KernelRegressorModel:
-    def __init__(self, features, directions, phases, weights):
-        self.features, self.directions, self.phases, self.weights = features, directions, phases, weights
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        directions, phases, weights = self.directions, self.phases, self.weights
-
-        @F.pandas_udf("double")
-        def predicted(x: pd.Series) -> pd.Series:
-            return pd.Series(fourier(np.stack(x.to_numpy()), directions, phases) @ weights[:-1] + weights[-1])
-
-        return df.withColumn("prediction", predicted(F.array(*[double_value(df, f) for f in self.features])))
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
+    lift = RandomFourierFeatures(gamma=scale_gamma(df, features), dimensions=dimensions, inputs=len(features), seed=seed)
+    y = double_value(df, target)
+    table = df.select(*[col(f) for f in features if f != target], y.alias("label"))
+    rows = PipelineModel([assembler, lift]).transform(table).select(lift.getOutputCol(), "label").persist()
+    middle = exact_quantiles(table, {"y": F.col("label")}, [0.5])["y"].at[0.5]
+
+    best, best_objective, model, predicted = None, float("inf"), None, rows.withColumn("prediction", F.lit(middle))
+    for turn in range(rounds + 1):
+        beyond = F.abs(F.col("label") - F.col("prediction"))
+        weighted = predicted.withColumn("weight", F.when(beyond > EPSILON, F.lit(PENALTY) / beyond).otherwise(0.0))
+        shifted = F.col("label") - F.lit(middle)
+        row = weighted.agg(
+            F.sum("weight").alias("w"),
+            F.sum(F.col("weight") * shifted).alias("wy"),
+            F.sum(F.col("weight") * shifted * shifted).alias("wyy"),
+            F.sum(F.greatest(beyond - F.lit(EPSILON), F.lit(0.0))).alias("loss"),
+        ).first()
+        norm = 0.0 if model is None else 0.5 * float(model.coefficients.dot(model.coefficients))
+        objective = norm + PENALTY * row["loss"]
+        improved = best_objective - objective
+        if model is not None and objective < best_objective:
+            best, best_objective = model, objective
+        if turn == rounds or not row["w"] or (best is not None and abs(improved) <= TOLERANCE * best_objective):
+            break
+        spread = math.sqrt(max(0.0, row["wyy"] / row["w"] - (row["wy"] / row["w"]) ** 2))
+        # Spark divides the squared penalty by the spread of the label, so the strength is multiplied by it.
+        ridge = LinearRegression(
+            featuresCol=lift.getOutputCol(), labelCol="label", weightCol="weight", regParam=spread / row["w"],
+            elasticNetParam=0.0, standardization=False, solver="normal",
+        )
+        model = ridge.fit(weighted.drop("prediction"))
+        predicted = model.transform(rows)
+    rows.unpersist()
+    if best is None:  # every label lies within epsilon of the median
+        best = LinearRegression(featuresCol=lift.getOutputCol(), labelCol="label", regParam=1.0, solver="normal").fit(rows)
+    return PipelineModel([assembler, lift, best])

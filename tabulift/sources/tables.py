@@ -66,14 +66,16 @@ def _infer(text: DataFrame) -> dict[str, str]:
     for i, c in enumerate(text.columns):
         v = col(c)
         plain = v.rlike(r"^\s*[+-]?\d+\s*$")
-        checks += [
-            F.bool_and(plain & v.try_cast("bigint").isNotNull()).alias(f"bigint{i}"),
-            F.bool_and(v.try_cast("double").isNotNull() & ~v.rlike(r"[dDfF]\s*$")).alias(f"double{i}"),
-            F.bool_and(v.isin(*BOOLEAN_TOKENS)).alias(f"boolean{i}"),
-        ]
+        fits = {
+            "bigint": plain & v.try_cast("bigint").isNotNull(),
+            "double": v.try_cast("double").isNotNull() & ~v.rlike(r"[dDfF]\s*$"),
+            "boolean": v.isin(*BOOLEAN_TOKENS),
+        }
+        # A missing cell gives null, which bool_and leaves out.
+        checks += [F.bool_and(F.when(v.isNotNull(), fit)).alias(f"{kind}{i}") for kind, fit in fits.items()]
     if not checks:
         return {}
-    # A missing cell makes a check null, which bool_and leaves out; an all-missing column becomes double.
+    # A column without any value becomes double.
     row = text.agg(*checks).first()
     kinds = {}
     for i, c in enumerate(text.columns):
