@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalogue.fixtures import MESSY_CUSTOMER, MESSY_LINEITEM, messy_customer, messy_lineitem
 from catalogue.registry import query, rounded
-from tabulift.operators import clean
+from tabulift.operators import clean, profile
 
 EMPTY = """emptied AS (SELECT c_custkey, c_nationkey, c_acctbal, nullif(c_mktsegment, '') AS c_mktsegment FROM messy)"""
 
@@ -25,8 +25,8 @@ def replace_empty(spark, folder):
 )
 def replace_empty_counts(spark, folder):
     df = messy_customer(spark, folder)
-    before = clean.missing_total(df).select(F.lit("before").alias("step"), "missing")
-    after = clean.missing_total(clean.replace_empty(df)).select(F.lit("after").alias("step"), "missing")
+    before = profile.missing_total(df).select(F.lit("before").alias("step"), "missing")
+    after = profile.missing_total(clean.replace_empty(df)).select(F.lit("after").alias("step"), "missing")
     return before.unionAll(after)
 
 
@@ -111,3 +111,9 @@ def cleaning_report(spark, folder):
 )
 def clean_drop(spark, folder):
     return clean.clean(messy_lineitem(spark, folder), treat_empty=True, missing=clean.DROP, duplicates=clean.DEDUPE).table
+
+
+@query("clean_table", f"WITH {IMPUTED} SELECT DISTINCT c_custkey, c_nationkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM filled")
+def clean_without_report(spark, folder):
+    made = clean.clean_table(messy_customer(spark, folder), treat_empty=True, missing=clean.IMPUTE, duplicates=clean.DEDUPE)
+    return rounded(made, 6, "c_acctbal")

@@ -130,7 +130,7 @@ def pearson_regression(spark, folder):
         FROM anova JOIN mi USING (feature) JOIN pearson USING (feature)""",
 )
 def feature_importance(spark, folder):
-    return rounded(importance.feature_importance(_numbers(spark, folder), "l_returnflag"))
+    return rounded(importance.feature_importance(_numbers(spark, folder), "l_returnflag", cache=True))
 
 
 @query(
@@ -141,7 +141,7 @@ def feature_importance(spark, folder):
 )
 def feature_importance_regression(spark, folder):
     df = model_table(spark, folder).select(*MODEL_NUMBERS)
-    return rounded(rounded(importance.feature_importance(df, "l_extendedprice"), 4, "f_score"), 6, "mutual_information", "pearson")
+    return rounded(rounded(importance.feature_importance(df, "l_extendedprice", cache=True), 4, "f_score"), 6, "mutual_information", "pearson")
 
 
 _REAL_LONG = f"{REAL_LABELS}, long AS ({_unpivoted('real_labels', 'quality', ['n_chars', 'toxic'])})"

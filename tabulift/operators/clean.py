@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulift.functions.schema import col, double_value, nan_to_null, numeric_columns, string_columns
-from tabulift.operators.profile import duplicate_count, is_missing, missing_total
+from tabulift.operators.profile import is_missing
 from tabulift.plans.frequencies import long_value_counts
 from tabulift.plans.quantiles import exact_quantiles
 
@@ -97,55 +97,90 @@ class CleanResult:
     duplicates_left: int
 
 
-def _table_state(df: DataFrame) -> tuple[int, int, int]:
-    """Rows, missing cells and duplicate rows, from one shuffle of the table."""
+@dataclass(frozen=True)
+class TableState:
+    """Counts over a table and over its distinct rows."""
+
+    rows: int
+    missing: int
+    empty: int
+    duplicates: int
+    missing_in_distinct: int
+
+
+def _table_state(df: DataFrame) -> TableState:
+    """Rows, missing cells, empty strings and duplicate rows, from one shuffle of the table."""
     cells = sum((is_missing(df, c).cast("bigint") for c in df.columns), F.lit(0))
-    groups = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"), F.sum(cells).alias("_missing"))
-    row = groups.agg(F.sum("_n"), F.sum("_missing"), F.sum(F.col("_n") - 1)).first()
-    return tuple(int(v or 0) for v in row)
+    empty = sum((F.coalesce(col(c) == "", F.lit(False)).cast("bigint") for c in string_columns(df)), F.lit(0))
+    groups = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    row = groups.select("_n", cells.alias("_missing"), empty.alias("_empty")).agg(
+        F.sum("_n"), F.sum(F.col("_n") * F.col("_missing")), F.sum(F.col("_n") * F.col("_empty")), F.sum(F.col("_n") - 1), F.sum("_missing")
+    )
+    return TableState(*(int(v or 0) for v in row.first()))
 
 
-def clean(df: DataFrame, treat_empty: bool = False, missing: str = KEEP, duplicates: str = KEEP) -> CleanResult:
-    """Empty strings, then missing values (impute, drop or keep), then duplicate rows (remove or keep)."""
+def _missing_handled(table: DataFrame, missing: str, lines: list) -> DataFrame:
+    if missing == IMPUTE:
+        numbers, texts = fit_median(table), fit_mode(table)
+        lines.append(("missing numbers", "median", len(numbers.fill)))
+        lines.append(("missing categories", "mode", len(texts.fill)))
+        return texts.transform(numbers.transform(table))
+    return drop_na_rows(table)
+
+
+def clean_table(df: DataFrame, treat_empty: bool = False, missing: str = KEEP, duplicates: str = KEEP) -> DataFrame:
+    """The cleaned table of ``clean`` without its report, and therefore without the scans that the report costs."""
+    _check(missing, duplicates)
+    table = replace_empty(nan_to_null(df)) if treat_empty else nan_to_null(df)
+    if missing != KEEP:
+        table = _missing_handled(table, missing, [])
+    return drop_duplicates(table) if duplicates == DEDUPE else table
+
+
+def _check(missing: str, duplicates: str) -> None:
     if missing not in (IMPUTE, DROP, KEEP) or duplicates not in (DEDUPE, KEEP):
         raise ValueError("missing: impute, drop or keep; duplicates: remove or keep")
+
+
+def clean(df: DataFrame, treat_empty: bool = False, missing: str = KEEP, duplicates: str = KEEP) -> CleanResult:
+    """Empty strings, then missing values (impute, drop or keep), then duplicate rows (remove or keep).
+
+    The report needs the state of the table before and after; each state is one shuffle of the whole rows.
+    """
+    _check(missing, duplicates)
     table = nan_to_null(df)
-    rows_before, missing_before, duplicates_before = _table_state(table)
+    before = _table_state(table)
     lines: list[tuple[str, str, int]] = []
-
-    missing_now, rows_now = missing_before, rows_before
+    missing_now = before.missing
     if treat_empty:
-        table = replace_empty(table)
-        missing_now = int(missing_total(table).first()[0])
-        lines.append(("empty strings", "replaced by missing", missing_now - missing_before))
-    if missing_now:
-        if missing == IMPUTE:
-            numbers, texts = fit_median(table), fit_mode(table)
-            table = texts.transform(numbers.transform(table))
-            lines.append(("missing numbers", "median", len(numbers.fill)))
-            lines.append(("missing categories", "mode", len(texts.fill)))
-        elif missing == DROP:
-            table = drop_na_rows(table)
-            rows_now = table.count()
-            lines.append(("missing values", "rows dropped", rows_before - rows_now))
-        else:
-            lines.append(("missing values", "left as is", missing_now))
-    duplicates_now = int(duplicate_count(table).first()[0])
-    if duplicates_now:
-        if duplicates == DEDUPE:
-            table = drop_duplicates(table)
-            lines.append(("duplicate rows", "removed", duplicates_now))
-        else:
-            lines.append(("duplicate rows", "left as is", duplicates_now))
-    rows_after, missing_after, duplicates_after = _table_state(table)
+        missing_now += before.empty
+        lines.append(("empty strings", "replaced by missing", before.empty))
+        if before.empty:
+            table = replace_empty(table)
+    after = before
+    if missing_now and missing != KEEP:
+        table = _missing_handled(table, missing, lines)
+        after = _table_state(table)
+        if missing == DROP:
+            lines.append(("missing values", "rows dropped", before.rows - after.rows))
+    elif missing_now:
+        lines.append(("missing values", "left as is", missing_now))
+        if missing_now != before.missing:
+            after = _table_state(table)
+    rows, missing_left, duplicates_left = after.rows, after.missing, after.duplicates
+    if duplicates_left and duplicates == DEDUPE:
+        table = drop_duplicates(table)
+        lines.append(("duplicate rows", "removed", duplicates_left))
+        rows, missing_left, duplicates_left = rows - duplicates_left, after.missing_in_distinct, 0
+    elif duplicates_left:
+        lines.append(("duplicate rows", "left as is", duplicates_left))
     lines += [
-        ("rows", "before", rows_before),
-        ("rows", "after", rows_after),
-        ("missing cells", "before", missing_before),
-        ("missing cells", "after", missing_after),
-        ("duplicates", "before", duplicates_before),
-        ("duplicates", "after", duplicates_after),
+        ("rows", "before", before.rows),
+        ("rows", "after", rows),
+        ("missing cells", "before", before.missing),
+        ("missing cells", "after", missing_left),
+        ("duplicates", "before", before.duplicates),
+        ("duplicates", "after", duplicates_left),
     ]
     report = df.sparkSession.createDataFrame(lines, "subject string, action string, amount bigint")
-    return CleanResult(table, report, missing_after, duplicates_after)
-
+    return CleanResult(table, report, missing_left, duplicates_left)

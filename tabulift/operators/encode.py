@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulift.functions.schema import col, string_columns
 from tabulift.plans.frequencies import value_counts
-from tabulift.plans.ranks import number_rows
+from tabulift.plans.ranks import DICTIONARY_ROWS, number_rows
+from tabulift.plans.scratch import durable
 
 UNKNOWN_CODE = -1  # fixed value: a category that was not seen when fitting
 UNSEEN_MISSING_CODE = -2  # fixed value: a missing value when fitting saw none
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 MAX_ONE_HOT = 1000
 
 
@@ -50,12 +51,45 @@ def _measured(column: str, table: DataFrame) -> Dictionary:
     return Dictionary(column, table, size["rows"], int(size["bytes"]))
 
 
-def fit_order_of_appearance(df: DataFrame, column: str, order_by: str) -> Dictionary:
-    """Codes 1..k in order of the first row (smallest ``order_by``) that holds the category; a missing value is one."""
-    first = df.select(col(column).alias("category"), col(order_by).alias("_at")).groupBy("category").agg(F.min("_at").alias("first"))
-    measured = _measured(column, first)
-    numbered = number_rows(measured.table, [F.asc("first"), F.asc_nulls_last("category")], measured.rows)
-    return Dictionary(column, numbered, measured.rows, measured.bytes)
+def _categories(df: DataFrame, columns: Sequence[str], order_by: str | None) -> DataFrame:
+    """(column, category, first, n) of all columns from one pass; a missing value is a category of its own."""
+    at = col(order_by) if order_by else F.lit(0)
+    entries = [F.struct(F.lit(c).alias("column"), col(c).alias("category"), at.alias("at")) for c in columns]
+    rows = df.select(F.inline(F.array(*entries)))
+    return rows.groupBy("column", "category").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+
+
+def _fit_dictionaries(df: DataFrame, columns: Sequence[str], order_by: str | None) -> tuple[Dictionary, ...]:
+    """Dictionary (category, code, frequency) of every column; code 1..k in order of appearance.
+
+    Dictionaries whose measured size is small become local tables, so that applying them does not read the source
+    again. Larger ones are written to shared storage once.
+    """
+    if not columns:
+        return ()
+    found = _categories(df, columns, order_by).persist()
+    measured = found.groupBy("column").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.coalesce(F.octet_length("category"), F.lit(0)) + 48).alias("bytes"), F.sum("n").alias("total")
+    )
+    sizes = {r["column"]: r for r in measured.collect()}  # one row per column
+    order = [F.asc("first"), F.asc_nulls_last("category")]
+    small = [c for c in columns if c in sizes and sizes[c]["rows"] <= DICTIONARY_ROWS and sizes[c]["bytes"] <= BROADCAST_BYTES]
+    place = F.row_number().over(Window.partitionBy("column").orderBy(*order))
+    local: dict[str, list] = {c: [] for c in columns}
+    for r in found.filter(F.col("column").isin(small)).select("column", "category", place.alias("code"), "n").collect():
+        local[r["column"]].append((r["category"], r["code"], r["n"] / sizes[r["column"]]["total"]))
+    out = []
+    for c in columns:
+        rows, size = (sizes[c]["rows"], int(sizes[c]["bytes"])) if c in sizes else (0, 0)
+        if c in small or not rows:
+            table = df.sparkSession.createDataFrame(local[c], "category string, code bigint, frequency double")
+        else:
+            own = found.filter(F.col("column") == c)
+            share = F.col("n") / F.lit(sizes[c]["total"])
+            table = durable(number_rows(own, order, rows).select("category", "code", share.alias("frequency")))
+        out.append(Dictionary(c, table, rows, size))
+    found.unpersist()
+    return tuple(out)
 
 
 def fit_sorted(df: DataFrame, column: str) -> Dictionary:
@@ -65,14 +99,6 @@ def fit_sorted(df: DataFrame, column: str) -> Dictionary:
     return Dictionary(column, numbered.withColumn("code", F.col("code") - 1), measured.rows, measured.bytes)
 
 
-def fit_frequency(df: DataFrame, column: str) -> Dictionary:
-    """Share of the rows that hold the category, missing values counted as one category."""
-    counted = value_counts(df, column, with_missing=True)
-    total = df.count()
-    shares = counted.select(F.col("value").alias("category"), (F.col("count") / F.lit(max(total, 1))).alias("frequency"))
-    return _measured(column, shares)
-
-
 def _codes(dictionary: Dictionary, df: DataFrame, out: str) -> DataFrame:
     coded = dictionary.join(df, "code", out)
     unseen = F.when(col(dictionary.column).isNull(), F.lit(UNSEEN_MISSING_CODE)).otherwise(F.lit(UNKNOWN_CODE))
@@ -86,7 +112,7 @@ class OrdinalEncoder:
     @classmethod
     def fit(cls, df: DataFrame, order_by: str, columns: Sequence[str] | None = None) -> OrdinalEncoder:
         names = list(columns if columns is not None else string_columns(df))
-        return cls(tuple(fit_order_of_appearance(df, c, order_by) for c in names))
+        return cls(_fit_dictionaries(df, names, order_by))
 
     def transform(self, df: DataFrame) -> DataFrame:
         order = df.columns
@@ -131,7 +157,7 @@ class FrequencyEncoder:
     @classmethod
     def fit(cls, df: DataFrame, columns: Sequence[str] | None = None) -> FrequencyEncoder:
         names = list(columns if columns is not None else string_columns(df))
-        return cls(tuple(fit_frequency(df, c) for c in names))
+        return cls(_fit_dictionaries(df, names, None))
 
     def transform(self, df: DataFrame) -> DataFrame:
         order = df.columns
@@ -152,15 +178,17 @@ class OneHotEncoder:
         cls, df: DataFrame, columns: Sequence[str] | None = None, order_by: str | None = None, max_categories: int = MAX_ONE_HOT
     ) -> OneHotEncoder:
         names = list(columns if columns is not None else string_columns(df))
-        found = {}
-        for c in names:
-            first = F.min(col(order_by)) if order_by else F.lit(0)
-            values = df.groupBy(col(c).alias("category")).agg(first.alias("first"))
-            rows = values.orderBy("first", F.asc_nulls_last("category")).limit(max_categories + 1).collect()
-            if len(rows) > max_categories:
-                raise ValueError(f"column {c} has more than {max_categories} categories; use another encoding")
-            found[c] = tuple(r["category"] for r in rows)
-        return cls(found)
+        if not names:
+            return cls({})
+        place = F.row_number().over(Window.partitionBy("column").orderBy(F.asc("first"), F.asc_nulls_last("category")))
+        kept = _categories(df, names, order_by).withColumn("place", place).filter(F.col("place") <= max_categories + 1)
+        found: dict[str, list] = {n: [] for n in names}
+        for r in kept.orderBy("place").collect():  # at most max_categories + 1 rows per column
+            found[r["column"]].append(r["category"])
+        for n, values in found.items():
+            if len(values) > max_categories:
+                raise ValueError(f"column {n} has more than {max_categories} categories; use another encoding")
+        return cls({n: tuple(values) for n, values in found.items()})
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = []

@@ -14,6 +14,7 @@ from tabulift.operators.profile import is_missing
 from tabulift.operators.target import REGRESSION, infer_problem_type, is_classification
 from tabulift.plans.quantiles import exact_quantiles
 from tabulift.plans.ranks import number_rows
+from tabulift.plans.scratch import held
 
 MI_BINS = 10
 
@@ -23,27 +24,30 @@ def _features(df: DataFrame, target: str, features: Sequence[str] | None) -> lis
     return list(features) if features is not None else [c for c in numeric_columns(df) if c != target]
 
 
-def _class_deviations(df: DataFrame, target: str, names: list[str]) -> DataFrame:
-    """Per class: rows, and for each feature the mean's distance to the overall mean and the variance within."""
+def _class_sums(df: DataFrame, target: str, names: list[str]) -> DataFrame:
+    """One row of sums over the classes, enough for the F score and for the correlation with the class code.
+
+    The rows are grouped by class once; means are taken as distances to the overall mean, which keeps them precise. The
+    covariance with a class code needs the class means only, so the codes are not joined to the rows.
+    """
     means = df.agg(*[F.avg(double_value(df, n)).alias(f"a{i}") for i, n in enumerate(names)]).first()
     shifted = [double_value(df, n) - F.lit(means[f"a{i}"]) for i, n in enumerate(names)]
-    return df.groupBy(col(target).alias("class")).agg(
+    classes = df.groupBy(col(target).alias("class")).agg(
         F.count(F.lit(1)).alias("n"),
         *[f(v).alias(f"{k}{i}") for i, v in enumerate(shifted) for k, f in (("d", F.avg), ("w", F.var_pop))],
     )
-
-
-def f_score_classification(df: DataFrame, target: str, features: Sequence[str] | None = None) -> DataFrame:
-    """One-way analysis of variance F per numeric feature."""
-    names = _features(df, target, features)
-    classes = _class_deviations(df, target, names)
-    sums = classes.agg(
-        F.sum("n").alias("n"),
+    coded = number_rows(classes, [F.asc("class")], df.select(col(target)).distinct().count())
+    n, code = F.col("n"), F.col("code").cast("double")
+    every = range(len(names))
+    return coded.agg(
+        F.sum(n).alias("n"),
         F.count(F.lit(1)).alias("k"),
-        *[F.sum(F.col("n") * F.col(f"d{i}") * F.col(f"d{i}")).alias(f"between{i}") for i in range(len(names))],
-        *[F.sum(F.col("n") * F.col(f"w{i}")).alias(f"within{i}") for i in range(len(names))],
+        F.sum(n * code).alias("code1"),
+        F.sum(n * code * code).alias("code2"),
+        *[F.sum(n * F.col(f"d{i}") * F.col(f"d{i}")).alias(f"between{i}") for i in every],
+        *[F.sum(n * F.col(f"w{i}")).alias(f"within{i}") for i in every],
+        *[F.sum(n * code * F.col(f"d{i}")).alias(f"covariance{i}") for i in every],
     )
-    return long_rows(sums, "feature", {n: {"f_score": _anova(i)} for i, n in enumerate(names)})
 
 
 def _anova(i: int) -> Column:
@@ -52,45 +56,50 @@ def _anova(i: int) -> Column:
     return F.try_divide(between, within)
 
 
+def _code_correlation(i: int) -> Column:
+    code_spread = F.col("code2") - F.col("code1") * F.col("code1") / F.col("n")
+    spread = code_spread * (F.col(f"between{i}") + F.col(f"within{i}"))
+    return F.abs(F.try_divide(F.col(f"covariance{i}"), F.sqrt(spread)))
+
+
+def f_score_classification(df: DataFrame, target: str, features: Sequence[str] | None = None) -> DataFrame:
+    """One-way analysis of variance F per numeric feature."""
+    names = _features(df, target, features)
+    return long_rows(_class_sums(df, target, names), "feature", {n: {"f_score": _anova(i)} for i, n in enumerate(names)})
+
+
 def f_score_regression(df: DataFrame, target: str, features: Sequence[str] | None = None) -> DataFrame:
     """F of the one-feature linear regression: r^2 / (1 - r^2) * (n - 2)."""
     names = _features(df, target, features)
+    return long_rows(_correlations(df, target, names), "feature", {n: {"f_score": _regression_f(i)} for i, n in enumerate(names)})
+
+
+def _correlations(df: DataFrame, target: str, names: list[str]) -> DataFrame:
     y = double_value(df, target)
-    stats = df.agg(F.count(F.lit(1)).alias("n"), *[F.corr(double_value(df, n), y).alias(f"r{i}") for i, n in enumerate(names)])
-    return long_rows(
-        stats,
-        "feature",
-        {
-            n: {"f_score": F.try_divide(F.pow(f"r{i}", F.lit(2)), 1 - F.pow(f"r{i}", F.lit(2))) * (F.col("n") - 2)}
-            for i, n in enumerate(names)
-        },
-    )
+    return df.agg(F.count(F.lit(1)).alias("n"), *[F.corr(double_value(df, n), y).alias(f"r{i}") for i, n in enumerate(names)])
+
+
+def _regression_f(i: int) -> Column:
+    share = F.pow(f"r{i}", F.lit(2))
+    return F.try_divide(share, 1 - share) * (F.col("n") - 2)
 
 
 def pearson_abs(df: DataFrame, target: str, features: Sequence[str] | None = None, classes: bool = False) -> DataFrame:
     """|correlation| with the target; with ``classes`` the target counts as the position of its sorted class."""
     names = _features(df, target, features)
     if not classes:
-        y = double_value(df, target)
-        stats = df.agg(*[F.corr(double_value(df, n), y).alias(f"r{i}") for i, n in enumerate(names)])
-        return long_rows(stats, "feature", {n: {"pearson": F.abs(f"r{i}")} for i, n in enumerate(names)})
-    # The covariance with a class code needs the class means only, so the codes are not joined to the rows.
-    per_class = _class_deviations(df, target, names)
-    coded = number_rows(per_class, [F.asc("class")], df.select(col(target)).distinct().count())
-    n, code = F.col("n"), F.col("code").cast("double")
-    sums = coded.agg(
-        F.sum(n).alias("n"),
-        F.sum(n * code).alias("s1"),
-        F.sum(n * code * code).alias("s2"),
-        *[F.sum(n * code * F.col(f"d{i}")).alias(f"c{i}") for i in range(len(names))],
-        *[F.sum(n * (F.col(f"w{i}") + F.col(f"d{i}") * F.col(f"d{i}"))).alias(f"t{i}") for i in range(len(names))],
-    )
-    spread = F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")
-    return long_rows(
-        sums,
-        "feature",
-        {m: {"pearson": F.abs(F.try_divide(F.col(f"c{i}"), F.sqrt(spread * F.col(f"t{i}"))))} for i, m in enumerate(names)},
-    )
+        return long_rows(_correlations(df, target, names), "feature", {n: {"pearson": F.abs(f"r{i}")} for i, n in enumerate(names)})
+    return long_rows(_class_sums(df, target, names), "feature", {m: {"pearson": _code_correlation(i)} for i, m in enumerate(names)})
+
+
+def linear_scores(df: DataFrame, target: str, features: Sequence[str], classes: bool) -> DataFrame:
+    """(feature, f_score, pearson) from one pass over the classes, or one pass over the rows for a numeric target."""
+    names = list(features)
+    if classes:
+        sums = _class_sums(df, target, names)
+        return long_rows(sums, "feature", {n: {"f_score": _anova(i), "pearson": _code_correlation(i)} for i, n in enumerate(names)})
+    stats = _correlations(df, target, names)
+    return long_rows(stats, "feature", {n: {"f_score": _regression_f(i), "pearson": F.abs(f"r{i}")} for i, n in enumerate(names)})
 
 
 def _bins(df: DataFrame, names: list[str], bins: int) -> dict[str, Column]:
@@ -135,31 +144,28 @@ def mi_regression(df: DataFrame, target: str, features: Sequence[str] | None = N
     return _mutual_information(df.select(binned[target].alias("y"), F.inline(F.array(*structs))))
 
 
-def feature_importance(df: DataFrame, target: str, kind: str | None = None) -> DataFrame:
-    """All scores of every numeric feature, best first by mutual information, then F, then correlation."""
+def feature_importance(df: DataFrame, target: str, kind: str | None = None, cache: bool = False) -> DataFrame:
+    """All scores of every numeric feature, best first by mutual information, then F, then correlation.
+
+    The table is read several times; ``cache`` keeps the columns in use meanwhile, which pays if ``df`` is costly.
+    """
     names = _features(df, target, None)
     if not names:
         raise ValueError("no numeric features")
-    checked = [*names, target]
-    missing = df.agg(*[F.bool_or(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(checked)]).first()
-    if any(missing):
-        raise ValueError("features or target hold missing values")
-    kind = kind or infer_problem_type(df, target)
-    if is_classification(kind):
-        scores = [
-            f_score_classification(df, target, names),
-            mi_classification(df, target, names),
-            pearson_abs(df, target, names, classes=True),
-        ]
-    elif kind == REGRESSION:
-        scores = [
-            f_score_regression(df, target, names),
-            mi_regression(df, target, names),
-            pearson_abs(df, target, names),
-        ]
-    else:
-        raise ValueError(f"cannot score features for problem type: {kind}")
-    joined = reduce(lambda a, b: a.join(b, "feature", "left"), scores)
-    return joined.orderBy(
+    used = df.select(*[col(c) for c in (*names, target)])
+    with held(used, cache) as rows:
+        missing = rows.agg(*[F.bool_or(is_missing(rows, c)).alias(f"m{i}") for i, c in enumerate(rows.columns)]).first()
+        if any(missing):
+            raise ValueError("features or target hold missing values")
+        kind = kind or infer_problem_type(rows, target)
+        if not is_classification(kind) and kind != REGRESSION:
+            raise ValueError(f"cannot score features for problem type: {kind}")
+        classes = is_classification(kind)
+        information = (mi_classification if classes else mi_regression)(rows, target, names)
+        linear = linear_scores(rows, target, names, classes)
+        scores = linear.join(information, "feature", "left").select("feature", "f_score", "mutual_information", "pearson")
+        found = scores.collect()  # one row per feature
+    table = df.sparkSession.createDataFrame(found, "feature string, f_score double, mutual_information double, pearson double")
+    return table.orderBy(
         F.desc_nulls_last("mutual_information"), F.desc_nulls_last("f_score"), F.desc_nulls_last("pearson"), "feature"
     )

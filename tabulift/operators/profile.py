@@ -73,7 +73,7 @@ def unique_counts(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 @dataclass(frozen=True)
 class NumericSummary:
-    """Moments and quartiles of one numeric column, missing values left out."""
+    """Moments and quartiles of one numeric column, missing values left out; ``binary`` if it holds 0 and 1 only."""
 
     count: int
     mean: float | None
@@ -85,6 +85,7 @@ class NumericSummary:
     q1: float | None
     median: float | None
     q3: float | None
+    binary: bool = False
 
     @property
     def has_spread(self) -> bool:
@@ -100,6 +101,10 @@ class NumericSummary:
         return self.q1 - reach, self.q3 + reach
 
 
+def _only_binary(value: Column) -> Column:
+    return F.bool_and(value.isin(0.0, 1.0))
+
+
 def numeric_summaries(df: DataFrame, names=None) -> dict[str, NumericSummary]:
     """Fit statistics of numeric columns; only one number per statistic reaches the driver."""
     names = list(names if names is not None else numeric_columns(df))
@@ -111,7 +116,7 @@ def numeric_summaries(df: DataFrame, names=None) -> dict[str, NumericSummary]:
         *[
             f(values[n]).alias(f"{k}{i}")
             for i, n in enumerate(names)
-            for k, f in (("avg", F.avg), ("sd", F.stddev_samp), ("sp", F.stddev_pop), ("var", F.var_samp))
+            for k, f in (("avg", F.avg), ("sd", F.stddev_samp), ("sp", F.stddev_pop), ("var", F.var_samp), ("bin", _only_binary))
         ]
     ).first()
     out = {}
@@ -119,8 +124,9 @@ def numeric_summaries(df: DataFrame, names=None) -> dict[str, NumericSummary]:
         d: Distribution = quantiles[n]
         q1, median, q3 = (d.at[p] for p in QUARTILES)
         out[n] = NumericSummary(
-            d.count, moments[f"avg{i}"], moments[f"sd{i}"], moments[f"sp{i}"], moments[f"var{i}"], d.low, d.high, q1, median, q3
-        )
+            d.count, moments[f"avg{i}"], moments[f"sd{i}"], moments[f"sp{i}"], moments[f"var{i}"], d.low, d.high, q1, median, q3,
+            bool(moments[f"bin{i}"]),
+        )
     return out
 
 
@@ -235,7 +241,7 @@ def non_binary_numeric(df: DataFrame, names=None) -> list[str]:
             for k, f in (
                 ("lo", F.min(double_value(df, n))),
                 ("hi", F.max(double_value(df, n))),
-                ("binary", F.bool_and(double_value(df, n).isin(0.0, 1.0))),
+                ("binary", _only_binary(double_value(df, n))),
             )
         ]
     ).first()

@@ -12,7 +12,6 @@ from tabulift.functions.schema import col, double_value, numeric_columns
 from tabulift.operators.profile import (
     NEAR_ZERO_VARIANCE,
     NumericSummary,
-    non_binary_numeric,
     numeric_summaries,
     outlier_counts_for,
 )
@@ -80,14 +79,19 @@ def _auto(name: str, s: NumericSummary, outliers: int) -> ColumnPlan:
     return ColumnPlan(name, scaler, reason, outliers, *_arithmetic(scaler, s))
 
 
+def _scalable(summaries: dict[str, NumericSummary]) -> dict[str, NumericSummary]:
+    """Columns that hold two or more values and something other than 0 and 1."""
+    return {n: s for n, s in summaries.items() if s.has_spread and not s.binary}
+
+
 def fit_auto(df: DataFrame) -> Scaler:
     """Choose per numeric column: robust if it has outliers, standard if it is wide, else min-max.
 
     Nothing is scaled if no column holds more than 0 and 1.
     """
-    if not non_binary_numeric(df):
-        return Scaler(())
     summaries = numeric_summaries(df)
+    if not _scalable(summaries):
+        return Scaler(())
     outliers = outlier_counts_for(df, summaries)
     return Scaler(tuple(_auto(n, s, outliers[n]) for n, s in summaries.items()))
 
@@ -96,9 +100,8 @@ def fit_manual(df: DataFrame, scaler: str, columns: Sequence[str] | None = None)
     """The chosen scaler for every numeric column that holds more than 0 and 1 and is not constant."""
     if scaler not in (MINMAX, STANDARD, ROBUST):
         raise ValueError(f"unknown scaler: {scaler}")
-    summaries = numeric_summaries(df, non_binary_numeric(df, columns))
     plans = []
-    for n, s in summaries.items():
+    for n, s in _scalable(numeric_summaries(df, columns)).items():
         if s.variance > NEAR_ZERO_VARIANCE:
             plans.append(ColumnPlan(n, scaler, "chosen", 0, *_arithmetic(scaler, s)))
         else:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,3 +32,22 @@ def durable(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and continue from there, so that their order and split are fixed."""
     scratch_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def held(df: DataFrame, wanted: bool = True):
+    """Keep a table in executor memory and disk inside the block, if wanted.
+
+    A table in fewer parts than there are cores is spread first, so that the repeated passes use them all.
+    """
+    if not wanted:
+        yield df
+        return
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
