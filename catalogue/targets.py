@@ -1,9 +1,9 @@
 """Problem types and feature importance."""
 
 from catalogue.fixtures import MODEL_NUMBERS, MODEL_TABLE, REAL_LABELS, TYPING, model_table, real_labels, typing
-from catalogue.registry import query, rounded
+from catalogue.registry import query, rounded, table
 from tabulift.functions.schema import choose_target
-from tabulift.operators import importance, target
+from tabulift.operators import importance, information, target
 from tabulift.plans.frequencies import stack
 
 _KINDS = {
@@ -156,3 +156,15 @@ _REAL_LONG = f"{REAL_LABELS}, long AS ({_unpivoted('real_labels', 'quality', ['n
 def feature_importance_binary(spark, folder):
     df = real_labels(spark, folder).select("n_chars", "toxic", "quality")
     return rounded(importance.feature_importance(df, "quality"))
+
+
+@query("mi_classification_neighbours")
+def mi_classification_neighbours(spark, folder):
+    df = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    return rounded(information.neighbour_classification(df, "o_orderstatus", "o_orderkey", ["o_custkey", "o_totalprice"]))
+
+
+@query("mi_regression_neighbours")
+def mi_regression_neighbours(spark, folder):
+    df = table(spark, folder, "part").select("p_partkey", "p_size", "p_retailprice")
+    return rounded(information.neighbour_regression(df, "p_retailprice", "p_partkey", ["p_size"]))

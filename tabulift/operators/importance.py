@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulift.functions.columns import long_rows
 from tabulift.functions.schema import col, double_value, numeric_columns, require_columns
+from tabulift.operators import information
 from tabulift.operators.profile import is_missing
 from tabulift.operators.target import REGRESSION, infer_problem_type, is_classification
-from tabulift.plans.quantiles import exact_quantiles
+from tabulift.plans.quantiles import exact_quantiles, place_in_cuts
 from tabulift.plans.ranks import number_rows
 from tabulift.plans.scratch import held
 
@@ -30,13 +31,15 @@ def _class_sums(df: DataFrame, target: str, names: list[str]) -> DataFrame:
     The rows are grouped by class once; means are taken as distances to the overall mean, which keeps them precise. The
     covariance with a class code needs the class means only, so the codes are not joined to the rows.
     """
-    means = df.agg(*[F.avg(double_value(df, n)).alias(f"a{i}") for i, n in enumerate(names)]).first()
+    means = df.agg(
+        F.approx_count_distinct(col(target)).alias("classes"), *[F.avg(double_value(df, n)).alias(f"a{i}") for i, n in enumerate(names)]
+    ).first()
     shifted = [double_value(df, n) - F.lit(means[f"a{i}"]) for i, n in enumerate(names)]
     classes = df.groupBy(col(target).alias("class")).agg(
         F.count(F.lit(1)).alias("n"),
         *[f(v).alias(f"{k}{i}") for i, v in enumerate(shifted) for k, f in (("d", F.avg), ("w", F.var_pop))],
     )
-    coded = number_rows(classes, [F.asc("class")], df.select(col(target)).distinct().count())
+    coded = number_rows(classes, [F.asc("class")], means["classes"])  # the count only chooses the way of numbering
     n, code = F.col("n"), F.col("code").cast("double")
     every = range(len(names))
     return coded.agg(
@@ -102,16 +105,21 @@ def linear_scores(df: DataFrame, target: str, features: Sequence[str], classes:
     return long_rows(stats, "feature", {n: {"f_score": _regression_f(i), "pearson": F.abs(f"r{i}")} for i, n in enumerate(names)})
 
 
-def _bins(df: DataFrame, names: list[str], bins: int) -> dict[str, Column]:
-    """Equal-frequency bin number per column: how many inner quantiles lie below the value."""
+def _binned(df: DataFrame, names: list[str], bins: int, *more: Column) -> DataFrame:
+    """Equal-frequency bin of every column as zone0, zone1, ...: how many of its inner quantiles lie below the value."""
     inner = [j / bins for j in range(1, bins)]
-    found = exact_quantiles(df, {n: double_value(df, n) for n in names}, inner)
-    out = {}
+    values = {n: double_value(df, n) for n in names}
+    found = exact_quantiles(df, values, inner)
+    cuts = {}
     for n in names:
-        edges = sorted({e for e in found[n].at.values() if e is not None})
-        value = double_value(df, n)
-        out[n] = reduce(lambda a, b: a + b, [(value > F.lit(e)).cast("int") for e in edges], F.lit(0))
-    return out
+        edges = {math.nextafter(e, math.inf) for e in found[n].at.values() if e is not None}
+        cuts[n] = sorted({-math.inf, math.inf, *edges})
+    return place_in_cuts(df, values, cuts, *more)
+
+
+def _pairs(placed: DataFrame, names: list[str], y: Column) -> DataFrame:
+    structs = [F.struct(F.lit(n).alias("feature"), F.col(f"zone{i}").alias("bin")) for i, n in enumerate(names)]
+    return placed.select(y.alias("y"), F.inline(F.array(*structs)))
 
 
 def _mutual_information(pairs: DataFrame) -> DataFrame:
@@ -131,28 +139,30 @@ def _mutual_information(pairs: DataFrame) -> DataFrame:
 def mi_classification(df: DataFrame, target: str, features: Sequence[str] | None = None, bins: int = MI_BINS) -> DataFrame:
     """Mutual information of each numeric feature, in equal-frequency bins, with the class."""
     names = _features(df, target, features)
-    binned = _bins(df, names, bins)
-    structs = [F.struct(F.lit(n).alias("feature"), binned[n].alias("bin")) for n in names]
-    return _mutual_information(df.select(col(target).alias("y"), F.inline(F.array(*structs))))
+    placed = _binned(df, names, bins, col(target).alias("y"))
+    return _mutual_information(_pairs(placed, names, F.col("y")))
 
 
 def mi_regression(df: DataFrame, target: str, features: Sequence[str] | None = None, bins: int = MI_BINS) -> DataFrame:
     """Mutual information of each numeric feature with a numeric target, both in equal-frequency bins."""
     names = _features(df, target, features)
-    binned = _bins(df, [*names, target], bins)
-    structs = [F.struct(F.lit(n).alias("feature"), binned[n].alias("bin")) for n in names]
-    return _mutual_information(df.select(binned[target].alias("y"), F.inline(F.array(*structs))))
+    placed = _binned(df, [*names, target], bins)
+    return _mutual_information(_pairs(placed, names, F.col(f"zone{len(names)}")))
 
 
-def feature_importance(df: DataFrame, target: str, kind: str | None = None, cache: bool = False) -> DataFrame:
+def feature_importance(
+    df: DataFrame, target: str, kind: str | None = None, cache: bool = False, neighbours_key: str | None = None
+) -> DataFrame:
     """All scores of every numeric feature, best first by mutual information, then F, then correlation.
 
     The table is read several times; ``cache`` keeps the columns in use meanwhile, which pays if ``df`` is costly.
+    With a unique ``neighbours_key`` (not a feature then) mutual information is estimated from nearest neighbours instead
+    of equal-frequency bins.
     """
-    names = _features(df, target, None)
+    names = [n for n in _features(df, target, None) if n != neighbours_key]
     if not names:
         raise ValueError("no numeric features")
-    used = df.select(*[col(c) for c in (*names, target)])
+    used = df.select(*[col(c) for c in (*names, target, *([neighbours_key] if neighbours_key else []))])
     with held(used, cache) as rows:
         missing = rows.agg(*[F.bool_or(is_missing(rows, c)).alias(f"m{i}") for i, c in enumerate(rows.columns)]).first()
         if any(missing):
@@ -161,9 +171,13 @@ def feature_importance(df: DataFrame, target: str, kind: str | None = None, cach
         if not is_classification(kind) and kind != REGRESSION:
             raise ValueError(f"cannot score features for problem type: {kind}")
         classes = is_classification(kind)
-        information = (mi_classification if classes else mi_regression)(rows, target, names)
+        if neighbours_key:
+            estimate = information.neighbour_classification if classes else information.neighbour_regression
+            shared = estimate(rows, target, neighbours_key, names)
+        else:
+            shared = (mi_classification if classes else mi_regression)(rows, target, names)
         linear = linear_scores(rows, target, names, classes)
-        scores = linear.join(information, "feature", "left").select("feature", "f_score", "mutual_information", "pearson")
+        scores = linear.join(shared, "feature", "left").select("feature", "f_score", "mutual_information", "pearson")
         found = scores.collect()  # one row per feature
     table = df.sparkSession.createDataFrame(found, "feature string, f_score double, mutual_information double, pearson double")
     return table.orderBy(

@@ -46,13 +46,22 @@ class Boxes:
             node = 2 * node + 1 + (points[rows, self.axis[node]] >= self.cut[node])
         return node - (len(self.low) - 1)
 
-    def squared_distance(self, point: np.ndarray) -> np.ndarray:
-        """Smallest squared distance from the point to any place in each box."""
-        total = np.zeros(len(self.low))
-        for j in range(len(point)):
-            gap = np.maximum(np.maximum(self.low[:, j] - point[j], point[j] - self.high[:, j]), 0.0)
-            total = total + gap * gap
-        return total
+    def distance(self, point: np.ndarray, metric: str) -> np.ndarray:
+        """Smallest distance (squared if Euclidean) from the point to any place in each box."""
+        gaps = (np.maximum(np.maximum(self.low[:, j] - point[j], point[j] - self.high[:, j]), 0.0) for j in range(len(point)))
+        return _combine(gaps, metric)
+
+
+EUCLIDEAN, CHEBYSHEV = "euclidean", "chebyshev"
+
+
+def _combine(gaps, metric: str) -> np.ndarray:
+    """Distance from the gaps along each axis, in the order of the axes: squared sum or largest gap."""
+    total = None
+    for gap in gaps:
+        part = gap * gap if metric == EUCLIDEAN else np.abs(gap)
+        total = part if total is None else (total + part if metric == EUCLIDEAN else np.maximum(total, part))
+    return total
 
 
 def cut_boxes(sample: np.ndarray, boxes: int, dimensions: int) -> Boxes:
@@ -76,7 +85,7 @@ def cut_boxes(sample: np.ndarray, boxes: int, dimensions: int) -> Boxes:
     return Boxes(axis, cut, low[boxes - 1 :], high[boxes - 1 :])
 
 
-def _nearest_in_box(k: int):
+def _nearest_in_box(k: int, metric: str):
     """Function for cogrouped boxes: up to k nearest train rows of every test row, by (distance, train key)."""
 
     def run(_, tests: pd.DataFrame, trains: pd.DataFrame) -> pd.DataFrame:
@@ -92,17 +101,14 @@ def _nearest_in_box(k: int):
         parts = []
         for start in range(0, len(a), step):
             chunk = a[start : start + step]
-            squared = np.zeros((len(chunk), len(b)))
-            for j in range(a.shape[1]):
-                gap = chunk[:, j : j + 1] - b[None, :, j]
-                squared += gap * gap
+            apart = _combine((chunk[:, j : j + 1] - b[None, :, j] for j in range(a.shape[1])), metric)
             if len(b) > k:
                 # All rows up to the k-th distance are candidates, so that ties are settled by key.
-                limit = np.partition(squared, k - 1, axis=1)[:, k - 1]
+                limit = np.partition(apart, k - 1, axis=1)[:, k - 1]
             else:
                 limit = np.full(len(chunk), np.inf)
-            row, at = np.nonzero(squared <= limit[:, None])
-            distance = squared[row, at]
+            row, at = np.nonzero(apart <= limit[:, None])
+            distance = apart[row, at]
             order = np.lexsort((at, distance, row))
             row, at, distance = row[order], at[order], distance[order]
             first = np.searchsorted(row, np.arange(len(chunk)))
@@ -126,7 +132,7 @@ def _points(df: DataFrame, features: Sequence[str], key: str, name: str, *more)
     return df.select(col(key).alias(name), F.array(*[double_value(df, f) for f in features]).alias("point"), *more)
 
 
-def _visit(tests: DataFrame, trains: DataFrame, k: int, schema: str) -> DataFrame:
+def _visit(tests: DataFrame, trains: DataFrame, k: int, metric: str, schema: str) -> DataFrame:
     """Join test and train rows box by box; a box with many test rows is handled in several parts."""
     sizes = tests.groupBy("box").count()
     salts = {r["box"]: math.ceil(r["count"] / BOX_ROWS) for r in sizes.filter(F.col("count") > BOX_ROWS).collect()}
@@ -136,11 +142,18 @@ def _visit(tests: DataFrame, trains: DataFrame, k: int, schema: str) -> DataFram
         trains = trains.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     else:
         tests, trains = tests.withColumn("part", F.lit(0)), trains.withColumn("part", F.lit(0))
-    return tests.groupBy("box", "part").cogroup(trains.groupBy("box", "part")).applyInPandas(_nearest_in_box(k), schema)
+    return tests.groupBy("box", "part").cogroup(trains.groupBy("box", "part")).applyInPandas(_nearest_in_box(k, metric), schema)
 
 
 def nearest(
-    train: DataFrame, test: DataFrame, features: Sequence[str], train_key: str, test_key: str, target: str, k: int = NEIGHBOURS
+    train: DataFrame,
+    test: DataFrame,
+    features: Sequence[str],
+    train_key: str,
+    test_key: str,
+    target: str,
+    k: int = NEIGHBOURS,
+    metric: str = EUCLIDEAN,
 ) -> DataFrame:
     """(test_key, place, train_key, distance, y): the k nearest train rows of every test row, smaller key first on ties.
 
@@ -168,23 +181,24 @@ def nearest(
     def other_boxes(points: pd.Series, own: pd.Series, radius: pd.Series) -> pd.Series:
         found = []
         for p, mine, r in zip(points, own, radius):
-            near = np.nonzero(tree.squared_distance(p) <= (np.inf if np.isnan(r) else r))[0]
+            near = np.nonzero(tree.distance(p, metric) <= (np.inf if np.isnan(r) else r))[0]
             found.append(near[near != mine].astype("int32"))
         return pd.Series(found)
 
     trains = trains.withColumn("box", own_box("point"))
     tests = _points(test, features, test_key, "test_key").withColumn("box", own_box("point"))
-    first = _visit(tests, trains, k, schema)
+    first = _visit(tests, trains, k, metric, schema)
     if boxes > 1:
         reach = first.groupBy("test_key").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far"))
         reach = reach.select(F.col("test_key").alias("_key"), F.when(F.col("n") >= k, F.col("far")).alias("radius"))
         further = tests.join(reach, F.col("test_key") == F.col("_key"), "left").select(
             "test_key", "point", F.explode(other_boxes("point", "box", F.col("radius").cast("double"))).alias("box")
         )
-        first = first.unionByName(_visit(further, trains, k, schema))
+        first = first.unionByName(_visit(further, trains, k, metric, schema))
     place = F.row_number().over(Window.partitionBy("test_key").orderBy("distance", "train_key"))
     best = first.withColumn("place", place).filter(F.col("place") <= k)
-    return best.select("test_key", "place", "train_key", F.sqrt("distance").alias("distance"), "y")
+    distance = F.sqrt("distance") if metric == EUCLIDEAN else F.col("distance")
+    return best.select("test_key", "place", "train_key", distance.alias("distance"), "y")
 
 
 def knn_regressor(train, test, features, train_key, test_key, target, k: int = NEIGHBOURS) -> DataFrame:

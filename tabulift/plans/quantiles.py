@@ -137,17 +137,22 @@ def _single_value(cuts: list[float], zone: int) -> bool:
     return cuts[zone + 1] == math.nextafter(cuts[zone], math.inf)
 
 
-def _zoned(df: DataFrame, values: Mapping[str, Column], cuts: Mapping[str, list[float]]) -> DataFrame:
-    """(item, zone, x) per value, item being the position of the column in ``cuts``."""
+def place_in_cuts(df: DataFrame, values: Mapping[str, Column], cuts: Mapping[str, list[float]], *more: Column) -> DataFrame:
+    """Columns x0, x1, ... with the values and zone0, zone1, ... with their place among the cuts of each column."""
     count = range(len(cuts))
     cutter = Bucketizer(
         splitsArray=list(cuts.values()), inputCols=[f"x{i}" for i in count], outputCols=[f"zone{i}" for i in count]
     )
-    placed = cutter.transform(df.select(*[values[n].alias(f"x{i}") for i, n in enumerate(cuts)]))
+    return cutter.transform(df.select(*more, *[values[n].alias(f"x{i}") for i, n in enumerate(cuts)]))
+
+
+def _zoned(df: DataFrame, values: Mapping[str, Column], cuts: Mapping[str, list[float]]) -> DataFrame:
+    """(item, zone, x) per value, item being the position of the column in ``cuts``."""
     items = [
-        F.struct(F.lit(i).alias("item"), F.col(f"zone{i}").cast("int").alias("zone"), F.col(f"x{i}").alias("x")) for i in count
+        F.struct(F.lit(i).alias("item"), F.col(f"zone{i}").cast("int").alias("zone"), F.col(f"x{i}").alias("x"))
+        for i in range(len(cuts))
     ]
-    return placed.select(F.inline(F.array(*items))).filter(F.col("zone").isNotNull())
+    return place_in_cuts(df, values, cuts).select(F.inline(F.array(*items))).filter(F.col("zone").isNotNull())
 
 
 def _resolve(df, values, bracket, known) -> None:

@@ -55,14 +55,15 @@ def _join_offsets(rows: DataFrame, offsets: DataFrame, by: list[str]) -> DataFra
     return rows.join(renamed, condition).drop(*[f"_k_{k}" for k in keys])
 
 
-def running_totals(df: DataFrame, order: str, sums: dict[str, str], by=()) -> DataFrame:
+def running_totals(df: DataFrame, order: str, sums: dict[str, str], by=(), then=()) -> DataFrame:
     """For each ``source: output`` pair add the sum of ``source`` over the rows ordered before this one.
 
-    ``order`` must be a double column that is unique within each group of ``by``.
+    ``order`` must be a double column; together with the columns of ``then``, which settle equal values, it must be
+    unique within each group of ``by``.
     """
     by = list(by)
     ranged = with_range(df, order)
-    before = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by, "_range").orderBy(order, *then).rowsBetween(Window.unboundedPreceding, -1)
     rows = ranged.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_own_{o}") for c, o in sums.items()])
     joined = _join_offsets(rows, _with_offsets(ranged, by, sums), by)
     return joined.select(
