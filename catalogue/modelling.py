@@ -51,7 +51,7 @@ _NB_SCORE = " + ".join(
     f"""WITH classes AS (SELECT l_returnflag AS class, ln(count(*) / (SELECT count(*) FROM lineitem)) AS prior, {_NB_STATS},
           {_NB_FLOOR} AS floor_ FROM lineitem GROUP BY l_returnflag)
         SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, arg_max(class, prior + {_NB_SCORE}) AS predicted
-        FROM lineitem, classes GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey""",
+        FROM lineitem, classes GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity""",
 )
 def gaussian_nb(spark, folder):
     df = table(spark, folder, "lineitem").select(*LINE_KEY, *_NB_FEATURES, "l_returnflag")

@@ -41,7 +41,8 @@ def kfold(spark, folder):
 @query(
     "stratified_kfold",
     f"""SELECT {KEYS}, l_returnflag,
-        CAST((row_number() OVER (PARTITION BY l_returnflag ORDER BY {LINE_ORDER}) - 1) % 5 AS INTEGER) AS fold FROM lineitem""",
+        CAST(((row_number() OVER (PARTITION BY l_returnflag ORDER BY {LINE_ORDER}) - 1) * 5)
+          // count(*) OVER (PARTITION BY l_returnflag) AS INTEGER) AS fold FROM lineitem""",
 )
 def stratified_kfold(spark, folder):
     return split.stratified_kfold(_lines(spark, folder), "l_returnflag", LINE_KEY)

@@ -117,26 +117,26 @@ def histogram(df: DataFrame, name: str, bins: int = HISTOGRAM_BINS) -> DataFrame
     )
 
 
-def _density(weighted: DataFrame, params: DataFrame, points: int, cut: float) -> DataFrame:
-    """Kernel sums of weighted values (group, x, w) on each group's grid.
+def _grid(points: int, cut: float) -> tuple[Column, Column]:
+    """Start and step of the evaluation grid from the columns lo, hi and bw."""
+    start = F.col("lo") - F.lit(cut) * F.col("bw")
+    step = (F.col("hi") - F.col("lo") + F.lit(2 * cut) * F.col("bw")) / F.lit(points - 1)
+    return start.alias("start"), step.alias("step")
+
+
+def _density(weighted: DataFrame, points: int) -> DataFrame:
+    """Kernel sums of weighted values (group, x, w, n, bw, start, step) on each group's grid.
 
     Every value meets only the grid points its kernel reaches, and sums are combined before the shuffle, which
     therefore carries at most points x groups rows per task.
     """
-    grid = params.select(
-        F.col("group").alias("_group"),
-        "n",
-        "bw",
-        (F.col("lo") - F.lit(cut) * F.col("bw")).alias("start"),
-        ((F.col("hi") - F.col("lo") + F.lit(2 * cut) * F.col("bw")) / F.lit(points - 1)).alias("step"),
+    at = (F.col("x") - F.col("start")) / F.col("step")
+    reach = F.lit(KERNEL_REACH) * F.col("bw") / F.col("step")
+    first = F.ceil(F.least(F.greatest(at - reach, F.lit(0.0)), F.lit(float(points)))).cast("int")
+    last = F.floor(F.greatest(F.least(at + reach, F.lit(points - 1.0)), F.lit(0.0))).cast("int")
+    spread = weighted.select(
+        "group", "n", "bw", "start", "step", "x", "w", F.explode(F.sequence(first, last, F.lit(1))).alias("point")
     )
-    placed = weighted.join(grid, F.col("group").eqNullSafe(F.col("_group"))).select(
-        "group", "n", "bw", "start", "step", "x", "w", ((F.col("x") - F.col("start")) / F.col("step")).alias("at"),
-        (F.lit(KERNEL_REACH) * F.col("bw") / F.col("step")).alias("reach"),
-    )
-    first = F.greatest(F.lit(0), F.ceil(F.greatest(F.col("at") - F.col("reach"), F.lit(0.0)))).cast("int")
-    last = F.least(F.lit(points - 1), F.floor(F.least(F.col("at") + F.col("reach"), F.lit(float(points))))).cast("int")
-    spread = placed.select("group", "n", "bw", "start", "step", "x", "w", F.explode(F.sequence(first, last)).alias("point"))
     z = (F.col("start") + F.col("point") * F.col("step") - F.col("x")) / F.col("bw")
     sums = spread.groupBy("group", "n", "bw", "start", "step", "point").agg(
         F.sum(F.col("w") * F.exp(F.lit(-0.5) * z * z)).alias("kernel")
@@ -157,7 +157,9 @@ def grouped_kde(rows: DataFrame, points: int, cut: float) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.stddev_samp("x").alias("sd")
     )
     params = params.filter("sd > 0").withColumn("bw", F.col("sd") * F.pow(F.col("n"), F.lit(-0.2)))
-    return _density(weighted, params, points, cut)
+    params = params.select(F.col("group").alias("_group"), "n", "bw", *_grid(points, cut))
+    placed = weighted.join(params, F.col("group").eqNullSafe(F.col("_group"))).drop("_group")
+    return _density(placed, points)
 
 
 def kde(df: DataFrame, name: str, points: int = KDE_POINTS, cut: float = KDE_CUT) -> DataFrame:
@@ -170,15 +172,17 @@ def kde(df: DataFrame, name: str, points: int = KDE_POINTS, cut: float = KDE_CUT
         F.stddev_samp("x").alias("sd"),
         F.approx_count_distinct("x").alias("distinct"),
     ).first()
-    schema = "group int, n bigint, lo double, hi double, bw double"
-    usable = [(0, fit["n"], fit["lo"], fit["hi"], fit["sd"] * fit["n"] ** -0.2)] if fit["sd"] else []
-    params = df.sparkSession.createDataFrame(usable, schema)
+    if not fit["sd"]:
+        return df.sparkSession.createDataFrame([], "point int, x double, density double")
     # Counting equal values first pays only where values repeat.
     if fit["distinct"] * 4 < fit["n"]:
-        weighted = rows.groupBy("group", "x").agg(F.count(F.lit(1)).cast("double").alias("w"))
+        rows = rows.groupBy("group", "x").agg(F.count(F.lit(1)).cast("double").alias("w"))
     else:
-        weighted = rows.withColumn("w", F.lit(1.0))
-    return _density(weighted, params, points, cut).drop("group")
+        rows = rows.withColumn("w", F.lit(1.0))
+    bandwidth = fit["sd"] * fit["n"] ** -0.2
+    fitted = {"n": fit["n"], "lo": fit["lo"], "hi": fit["hi"], "bw": bandwidth}
+    known = rows.withColumns({k: F.lit(v) for k, v in fitted.items()})
+    return _density(known.select("group", "x", "w", "n", "bw", *_grid(points, cut)), points).drop("group")
 
 
 def _boxes(df: DataFrame, values: Mapping[object, Column], label: str, label_type: str) -> DataFrame:

@@ -44,13 +44,6 @@ class Dictionary:
         return df.join(table, col(self.column).eqNullSafe(F.col("_category")), "left").drop("_category")
 
 
-def _measured(column: str, table: DataFrame) -> Dictionary:
-    size = table.agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(F.col("category").cast("string")) + 48), F.lit(0)).alias("bytes")
-    ).first()
-    return Dictionary(column, table, size["rows"], int(size["bytes"]))
-
-
 def _categories(df: DataFrame, columns: Sequence[str], order_by: str | None) -> DataFrame:
     """(column, category, first, n) of all columns from one pass; a missing value is a category of its own."""
     at = col(order_by) if order_by else F.lit(0)
@@ -94,9 +87,18 @@ def _fit_dictionaries(df: DataFrame, columns: Sequence[str], order_by: str | Non
 
 def fit_sorted(df: DataFrame, column: str) -> Dictionary:
     """Codes 0..k-1 in sorted order of the distinct values."""
-    measured = _measured(column, value_counts(df, column).select(F.col("value").alias("category")))
-    numbered = number_rows(measured.table, [F.asc("category")], measured.rows)
-    return Dictionary(column, numbered.withColumn("code", F.col("code") - 1), measured.rows, measured.bytes)
+    found = value_counts(df, column).select(F.col("value").alias("category")).persist()
+    size = found.agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(F.col("category").cast("string")) + 48), F.lit(0)).alias("bytes")
+    ).first()
+    code = (F.col("code") - 1).alias("code")
+    numbered = number_rows(found, [F.asc("category")], size["rows"]).select("category", code)
+    if size["rows"] <= DICTIONARY_ROWS and size["bytes"] <= BROADCAST_BYTES:
+        table = df.sparkSession.createDataFrame(numbered.collect(), numbered.schema)
+    else:
+        table = durable(numbered)
+    found.unpersist()
+    return Dictionary(column, table, size["rows"], int(size["bytes"]))
 
 
 def _codes(dictionary: Dictionary, df: DataFrame, out: str) -> DataFrame:

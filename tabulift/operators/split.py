@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tabulift.functions.columns import HASH_SPACE, hash_number
 from tabulift.functions.schema import col, require_columns
-from tabulift.operators.profile import class_counts, smallest_class
+from tabulift.operators.profile import smallest_class
 from tabulift.operators.target import is_classification
-from tabulift.plans.ranks import hash_ranks
+from tabulift.plans.ranks import passed_cutoffs
 
 SEED = 42
 TEST_SIZE = 0.2
@@ -48,15 +48,12 @@ def plain_split(df: DataFrame, key, test_size: float = TEST_SIZE, seed: int = SE
 
 
 def stratified_split(df: DataFrame, target: str, key, test_size: float = TEST_SIZE, seed: int = SEED) -> DataFrame:
-    """Add ``part`` so that round(test_size * rows) of every class are test rows."""
+    """Add ``part`` so that round(test_size * rows) of every class are test rows: those with the smallest hashes."""
     _check_size(test_size)
-    sizes = class_counts(df, target).select(
-        F.col("class").alias("_class"), F.floor(F.col("count") * F.lit(test_size) + F.lit(0.5)).alias("_quota")
-    )
-    ranked = hash_ranks(df, key, seed, by=[target])
-    joined = ranked.join(sizes, col(target) == F.col("_class"), "left")
-    part = F.when(F.col("_rank") <= F.col("_quota"), TEST).otherwise(TRAIN)
-    return joined.select(*[col(c) for c in df.columns], part.alias("part"))
+    quota = F.array(F.floor(F.col("n") * F.lit(test_size) + F.lit(0.5)))
+    placed = passed_cutoffs(df, key, seed, target, F.filter(quota, lambda q: q > 0), "_beyond")
+    part = F.when(F.col("_beyond") == 0, TEST).otherwise(TRAIN)
+    return placed.select(*[col(c) for c in df.columns], part.alias("part"))
 
 
 def train_test_split(
@@ -91,5 +88,5 @@ def stratified_kfold(df: DataFrame, target: str, key, folds: int = FOLDS, seed:
     """Add ``fold`` so that the folds of a class differ by at most one row; plain folds if a class is too small."""
     if smallest_class(df, target) < folds:
         return kfold(df, key, folds, seed)
-    ranked = hash_ranks(df, key, seed, by=[target])
-    return ranked.withColumn("fold", ((F.col("_rank") - 1) % F.lit(folds)).cast("int")).drop("_rank")
+    last_of_fold = F.transform(F.sequence(F.lit(1), F.lit(folds - 1)), lambda j: F.ceil(j * F.col("n") / F.lit(folds)))
+    return passed_cutoffs(df, key, seed, target, last_of_fold, "fold")

@@ -8,7 +8,7 @@ after an executor is lost puts every row in the same range.
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -72,16 +72,38 @@ def running_totals(df: DataFrame, order: str, sums: dict[str, str], by=(), then=
     )
 
 
-def hash_ranks(df: DataFrame, keys, seed: int, by=(), name: str = "_rank") -> DataFrame:
-    """1-based position of each row in hash order within its group, however large the group is."""
-    by = list(by)
-    ranged = df.withColumn("_hash", row_hash(keys, seed)).withColumn("_range", F.substring("_hash", 1, HASH_PREFIX))
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    inside = Window.partitionBy(*by, "_range").orderBy("_hash", *keys)
-    rows = ranged.select("*", F.row_number().over(inside).alias("_own"))
-    offsets = _with_offsets(ranged.select(*by, "_range", F.lit(1).alias("_one")), by, {"_one": "_rank"})
-    joined = _join_offsets(rows, offsets, by)
-    return joined.select(*[col(c) for c in df.columns], (F.col("_own") + F.col("_offset__rank")).alias(name))
+def hash_cutoffs(df: DataFrame, keys, seed: int, by: str, ranks: Column) -> DataFrame:
+    """(class, cutoffs): for each class of ``by`` the row hashes at the wanted ranks in hash order.
+
+    ``ranks`` is an array over the column ``n``, the rows of the class. Rows are counted per class and hash prefix, which
+    is combined before the shuffle; only the rows that share the prefix of a wanted rank (about one in 4,096) are sorted.
+    The whole rows of the table are never moved.
+    """
+    hashed = df.select(col(by).alias("class"), row_hash(keys, seed).alias("hash"))
+    hashed = hashed.withColumn("prefix", F.substring("hash", 1, HASH_PREFIX))
+    of_class = Window.partitionBy("class")
+    earlier = of_class.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
+    counted = hashed.groupBy("class", "prefix").agg(F.count(F.lit(1)).alias("here"))
+    counted = counted.select(
+        "class", "prefix", "here", F.coalesce(F.sum("here").over(earlier), F.lit(0)).alias("before"), F.sum("here").over(of_class).alias("n")
+    )
+    wanted = counted.select("class", "prefix", "here", "before", F.posexplode(ranks).alias("place", "rank"))
+    wanted = wanted.filter((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("here")))
+    wanted = wanted.select(
+        F.col("class").alias("_class"), F.col("prefix").alias("_prefix"), "place", (F.col("rank") - F.col("before")).alias("at")
+    )
+    near = hashed.join(wanted, F.col("class").eqNullSafe(F.col("_class")) & (F.col("prefix") == F.col("_prefix")))
+    inside = F.row_number().over(Window.partitionBy("class", "place").orderBy("hash"))
+    found = near.withColumn("row", inside).filter(F.col("row") == F.col("at"))
+    return found.groupBy("class").agg(F.sort_array(F.collect_list("hash")).alias("cutoffs"))  # one hash per wanted rank
+
+
+def passed_cutoffs(df: DataFrame, keys, seed: int, by: str, ranks: Column, name: str) -> DataFrame:
+    """Add how many cutoffs of its class the hash of the row lies beyond; null for a class without cutoffs."""
+    cutoffs = hash_cutoffs(df, keys, seed, by, ranks).withColumnRenamed("class", "_class")
+    joined = df.withColumn("_hash", row_hash(keys, seed)).join(cutoffs, col(by).eqNullSafe(F.col("_class")), "left")
+    beyond = F.when(F.col("cutoffs").isNotNull(), F.size(F.filter("cutoffs", lambda c: c < F.col("_hash"))))
+    return joined.select(*[col(c) for c in df.columns], beyond.cast("int").alias(name))
 
 
 def number_rows(df: DataFrame, order, rows: int, name: str = "code") -> DataFrame:

@@ -75,12 +75,16 @@ def test_running_totals(spark):
             total += n
 
 
-def test_hash_ranks_are_a_permutation_and_ignore_partitioning(spark):
-    df = spark.range(3000).select("id", F.when(F.col("id") < 2000, "big").otherwise("small").alias("c"))
-    once = {tuple(r) for r in ranks.hash_ranks(df, "id", 42, by=["c"]).collect()}
-    again = {tuple(r) for r in ranks.hash_ranks(df.repartition(7), "id", 42, by=["c"]).collect()}
-    assert once == again
-    assert sorted(r for _, c, r in once if c == "big") == list(range(1, 2001))
+@pytest.mark.parametrize("prefix", [1, 3])
+def test_hash_cutoffs_cut_at_the_wanted_ranks(spark, monkeypatch, prefix):
+    monkeypatch.setattr(ranks, "HASH_PREFIX", prefix)
+    df = spark.range(3001).select("id", F.when(F.col("id") < 2000, "big").when(F.col("id") < 3000, "small").alias("c"))
+    wanted = F.array(F.lit(1), F.floor(F.col("n") / 2), F.col("n"))
+    placed = ranks.passed_cutoffs(df, "id", 42, "c", wanted, "beyond")
+    sizes = {(r["c"], r["beyond"]): r["count"] for r in placed.groupBy("c", "beyond").count().collect()}
+    assert sizes == {("big", 0): 1, ("big", 1): 999, ("big", 2): 1000, ("small", 0): 1, ("small", 1): 499, ("small", 2): 500, (None, 0): 1}
+    again = ranks.passed_cutoffs(df.repartition(7), "id", 42, "c", wanted, "beyond")
+    assert placed.exceptAll(again).isEmpty()
 
 
 def test_large_dictionaries_are_numbered_in_order(spark, monkeypatch):
