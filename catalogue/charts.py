@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from catalogue.fixtures import LINE_KEY, MESSY_LINEITEM, messy_lineitem
 from catalogue.registry import query, rounded, table
 from tabulift.operators import chartdata
+from tabulift.plans.scratch import held, spread
 
 HASH = "md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, '42'))"
 LINE_ORDER = f"{HASH}, l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -93,7 +94,8 @@ _BOX_ROUNDED = "round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS
         SELECT "column", count, {_BOX_ROUNDED}, outliers FROM b""",
 )
 def box_stats(spark, folder):
-    return rounded(chartdata.box_stats(table(spark, folder, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]))
+    with held(spread(table(spark, folder, "lineitem").select("l_quantity", "l_extendedprice", "l_discount"))) as numbers:
+        return rounded(chartdata.box_stats(numbers))
 
 
 @query(

@@ -6,6 +6,7 @@ from catalogue.fixtures import MESSY_CUSTOMER, SCALING, messy_customer, scaling
 from catalogue.profiling import SCALING_COLUMNS, outliers_sql
 from catalogue.registry import query, rounded, table
 from tabulift.operators import encode, scale
+from tabulift.plans.scratch import held, spread
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -124,7 +125,8 @@ _PLAN = "CASE WHEN hi = lo OR vs < 1e-9 THEN 'skip' WHEN outliers > 0 THEN 'robu
     ),
 )
 def scale_plan(spark, folder):
-    return scale.scale(scaling(spark, folder), "auto")[1]
+    with held(spread(scaling(spark, folder))) as kept:
+        return scale.scale(kept, "auto")[1]
 
 
 def _auto(c, s):
@@ -142,7 +144,10 @@ def _auto(c, s):
     + ", ".join(f"s{i}" for i in range(len(SCALING_COLUMNS))),
 )
 def scale_auto(spark, folder):
-    return rounded(scale.scale(scaling(spark, folder), "auto")[0])
+    df = scaling(spark, folder)
+    with held(spread(df)) as kept:
+        fitted = scale.fit_auto(kept)
+    return rounded(fitted.transform(df))
 
 
 _MANUAL = {

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogue.registry import table
+from tabulift.plans.scratch import spread
 
 # The supplied tables hold no missing values, so these rules put some in and repeat some rows. No row is left out.
 MESSY_CUSTOMER = """messy AS (
@@ -121,7 +122,7 @@ MODEL_NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "o_tota
 
 
 def model_table(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem").drop("l_shipdate")
+    lines = spread(table(spark, folder, "lineitem").drop("l_shipdate"))
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     customers = table(spark, folder, "customer").select("c_custkey", "c_acctbal")
     joined = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])

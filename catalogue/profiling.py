@@ -4,6 +4,7 @@ from catalogue.fixtures import MESSY_CUSTOMER, MESSY_LINEITEM, SCALING, messy_cu
 from catalogue.registry import query, rounded, table
 from tabulift.functions import schema
 from tabulift.operators import profile
+from tabulift.plans.scratch import held, spread
 
 
 @query("select_numeric", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
@@ -112,7 +113,8 @@ def describe_numeric(spark, folder):
     ),
 )
 def describe_numeric_lineitem(spark, folder):
-    return rounded(profile.describe_numeric(table(spark, folder, "lineitem")), 4)
+    with held(spread(schema.select_numeric(table(spark, folder, "lineitem")))) as numbers:
+        return rounded(profile.describe_numeric(numbers), 4)
 
 
 def _describe_text(source, columns):

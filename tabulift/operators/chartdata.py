@@ -32,7 +32,7 @@ HUE_LEVELS = 15
 MAX_SAMPLE = 50_000
 
 KERNEL_REACH = 38.7  # a Gaussian kernel is exactly zero in double precision beyond this many bandwidths
-PAIRWISE_COLUMNS = 24
+PAIRWISE_COLUMNS = 8  # beyond it the matrix comes from one Gramian instead of one aggregate per pair
 
 
 # --- samples and top lists -------------------------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from tabulift.functions.schema import col, double_value, numeric_columns, requir
 from tabulift.operators import information
 from tabulift.operators.profile import is_missing
 from tabulift.operators.target import REGRESSION, infer_problem_type, is_classification
-from tabulift.plans.quantiles import exact_quantiles, place_in_cuts
+from tabulift.plans.quantiles import exact_quantiles, place_in_cuts, unpivoted
 from tabulift.plans.ranks import number_rows
 from tabulift.plans.scratch import held
 
@@ -25,50 +25,47 @@ def _features(df: DataFrame, target: str, features: Sequence[str] | None) -> lis
     return list(features) if features is not None else [c for c in numeric_columns(df) if c != target]
 
 
-def _class_sums(df: DataFrame, target: str, names: list[str]) -> DataFrame:
-    """One row of sums over the classes, enough for the F score and for the correlation with the class code.
+def _class_scores(df: DataFrame, target: str, names: list[str]) -> DataFrame:
+    """(feature, f_score, pearson) from sums over the classes.
 
-    The rows are grouped by class once; means are taken as distances to the overall mean, which keeps them precise. The
-    covariance with a class code needs the class means only, so the codes are not joined to the rows.
+    The rows are grouped by class and feature once; means are taken as distances to the overall mean, which keeps them
+    precise. The covariance with a class code needs the class means only, so the codes are not joined to the rows.
     """
-    means = df.agg(
-        F.approx_count_distinct(col(target)).alias("classes"), *[F.avg(double_value(df, n)).alias(f"a{i}") for i, n in enumerate(names)]
-    ).first()
-    shifted = [double_value(df, n) - F.lit(means[f"a{i}"]) for i, n in enumerate(names)]
-    classes = df.groupBy(col(target).alias("class")).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[f(v).alias(f"{k}{i}") for i, v in enumerate(shifted) for k, f in (("d", F.avg), ("w", F.var_pop))],
+    values = [double_value(df, n) for n in names]
+    whole = df.agg(F.approx_count_distinct(col(target)).alias("k"), *[F.avg(v).alias(f"a{i}") for i, v in enumerate(values)]).first()
+    shifted = [v - F.lit(whole[f"a{i}"]) for i, v in enumerate(values)]
+    per_class = (
+        unpivoted(df, shifted, col(target).alias("class"))
+        .groupBy("class", "item")
+        .agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("d"), F.var_pop("x").alias("w"))
     )
-    coded = number_rows(classes, [F.asc("class")], means["classes"])  # the count only chooses the way of numbering
-    n, code = F.col("n"), F.col("code").cast("double")
-    every = range(len(names))
-    return coded.agg(
+    classes = df.select(col(target).alias("class")).distinct()
+    # The approximate class count only chooses the way of numbering.
+    codes = number_rows(classes, [F.asc("class")], whole["k"]).select(F.col("class").alias("_class"), F.col("code").cast("double"))
+    coded = per_class.join(codes, F.col("class").eqNullSafe(F.col("_class")))
+    n, d, code = F.col("n"), F.col("d"), F.col("code")
+    sums = coded.groupBy("item").agg(
         F.sum(n).alias("n"),
         F.count(F.lit(1)).alias("k"),
         F.sum(n * code).alias("code1"),
         F.sum(n * code * code).alias("code2"),
-        *[F.sum(n * F.col(f"d{i}") * F.col(f"d{i}")).alias(f"between{i}") for i in every],
-        *[F.sum(n * F.col(f"w{i}")).alias(f"within{i}") for i in every],
-        *[F.sum(n * code * F.col(f"d{i}")).alias(f"covariance{i}") for i in every],
+        F.sum(n * d * d).alias("between"),
+        F.sum(n * F.col("w")).alias("within"),
+        F.sum(n * code * d).alias("covariance"),
     )
-
-
-def _anova(i: int) -> Column:
-    between = F.try_divide(F.col(f"between{i}"), F.col("k") - 1)
-    within = F.try_divide(F.col(f"within{i}"), F.col("n") - F.col("k"))
-    return F.try_divide(between, within)
-
-
-def _code_correlation(i: int) -> Column:
-    code_spread = F.col("code2") - F.col("code1") * F.col("code1") / F.col("n")
-    spread = code_spread * (F.col(f"between{i}") + F.col(f"within{i}"))
-    return F.abs(F.try_divide(F.col(f"covariance{i}"), F.sqrt(spread)))
+    f_score = F.try_divide(
+        F.try_divide(F.col("between"), F.col("k") - 1), F.try_divide(F.col("within"), F.col("n") - F.col("k"))
+    )
+    spread = (F.col("code2") - F.col("code1") * F.col("code1") / F.col("n")) * (F.col("between") + F.col("within"))
+    pearson = F.abs(F.try_divide(F.col("covariance"), F.sqrt(spread)))
+    feature = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("item") + 1)
+    return sums.select(feature.alias("feature"), f_score.alias("f_score"), pearson.alias("pearson"))
 
 
 def f_score_classification(df: DataFrame, target: str, features: Sequence[str] | None = None) -> DataFrame:
     """One-way analysis of variance F per numeric feature."""
     names = _features(df, target, features)
-    return long_rows(_class_sums(df, target, names), "feature", {n: {"f_score": _anova(i)} for i, n in enumerate(names)})
+    return _class_scores(df, target, names).select("feature", "f_score")
 
 
 def f_score_regression(df: DataFrame, target: str, features: Sequence[str] | None = None) -> DataFrame:
@@ -92,15 +89,14 @@ def pearson_abs(df: DataFrame, target: str, features: Sequence[str] | None = Non
     names = _features(df, target, features)
     if not classes:
         return long_rows(_correlations(df, target, names), "feature", {n: {"pearson": F.abs(f"r{i}")} for i, n in enumerate(names)})
-    return long_rows(_class_sums(df, target, names), "feature", {m: {"pearson": _code_correlation(i)} for i, m in enumerate(names)})
+    return _class_scores(df, target, names).select("feature", "pearson")
 
 
 def linear_scores(df: DataFrame, target: str, features: Sequence[str], classes: bool) -> DataFrame:
     """(feature, f_score, pearson) from one pass over the classes, or one pass over the rows for a numeric target."""
     names = list(features)
     if classes:
-        sums = _class_sums(df, target, names)
-        return long_rows(sums, "feature", {n: {"f_score": _anova(i), "pearson": _code_correlation(i)} for i, n in enumerate(names)})
+        return _class_scores(df, target, names)
     stats = _correlations(df, target, names)
     return long_rows(stats, "feature", {n: {"f_score": _regression_f(i), "pearson": F.abs(f"r{i}")} for i, n in enumerate(names)})
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tabulift.functions.columns import long_rows
 from tabulift.functions.schema import FLOAT_TYPES, col, double_value, numeric_columns, string_columns
 from tabulift.plans.frequencies import distinct_counts, long_value_counts, stack, value_counts
-from tabulift.plans.quantiles import Distribution, exact_quantiles
+from tabulift.plans.quantiles import Distribution, exact_quantiles, unpivoted
 
 QUARTILES = (0.25, 0.5, 0.75)
 FENCE = 1.5  # interquartile ranges beyond the quartiles
@@ -112,20 +112,22 @@ def numeric_summaries(df: DataFrame, names=None) -> dict[str, NumericSummary]:
         return {}
     values = {n: double_value(df, n) for n in names}
     quantiles = exact_quantiles(df, values, QUARTILES)
-    moments = df.agg(
-        *[
-            f(values[n]).alias(f"{k}{i}")
-            for i, n in enumerate(names)
-            for k, f in (("avg", F.avg), ("sd", F.stddev_samp), ("sp", F.stddev_pop), ("var", F.var_samp), ("bin", _only_binary))
-        ]
-    ).first()
+    x = F.col("x")
+    moments = unpivoted(df, list(values.values())).groupBy("item").agg(
+        F.avg(x).alias("mean"),
+        F.stddev_samp(x).alias("std"),
+        F.stddev_pop(x).alias("std_population"),
+        F.var_samp(x).alias("variance"),
+        _only_binary(x).alias("binary"),
+    )
+    found = {r["item"]: r for r in moments.collect()}  # one row per column
     out = {}
     for i, n in enumerate(names):
         d: Distribution = quantiles[n]
-        q1, median, q3 = (d.at[p] for p in QUARTILES)
+        m = found[i].asDict() if i in found else {}
         out[n] = NumericSummary(
-            d.count, moments[f"avg{i}"], moments[f"sd{i}"], moments[f"sp{i}"], moments[f"var{i}"], d.low, d.high, q1, median, q3,
-            bool(moments[f"bin{i}"]),
+            d.count, m.get("mean"), m.get("std"), m.get("std_population"), m.get("variance"), d.low, d.high,
+            *(d.at[p] for p in QUARTILES), bool(m.get("binary")),
         )
     return out
 

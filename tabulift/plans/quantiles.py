@@ -35,39 +35,38 @@ class Distribution:
     at: dict[float, float | None] = field(default_factory=dict)
 
 
+def unpivoted(df: DataFrame, values: Sequence[Column], *more: Column) -> DataFrame:
+    """(item, x) for every value that is not missing; the plan of what follows does not grow with the columns."""
+    items = [F.struct(F.lit(i).alias("item"), v.alias("x")) for i, v in enumerate(values)]
+    return df.select(*more, F.inline(F.array(*items))).filter(F.col("x").isNotNull())
+
+
 def _sketch(df: DataFrame, values: Sequence[Column], probes: Sequence[Sequence[float]]):
-    """Count, min, max and sketch quantiles of each value expression, as one small row."""
-    n = len(values)
+    """Count, min, max and sketch quantiles of each value expression, one small row per expression."""
+    every = sorted({float(p) for ps in probes for p in ps})
     partial = (
-        df.select(
-            *[v.alias(f"v{i}") for i, v in enumerate(values)],
-            (F.spark_partition_id() % SKETCH_GROUPS).alias("part"),
-        )
-        .groupBy("part")
+        unpivoted(df, values, (F.spark_partition_id() % SKETCH_GROUPS).alias("part"))
+        .groupBy("item", "part")
         .agg(
-            *[F.count(f"v{i}").alias(f"n{i}") for i in range(n)],
-            *[F.min(f"v{i}").alias(f"lo{i}") for i in range(n)],
-            *[F.max(f"v{i}").alias(f"hi{i}") for i in range(n)],
-            *[F.kll_sketch_agg_double(f"v{i}", SKETCH_K).alias(f"s{i}") for i in range(n)],
+            F.count(F.lit(1)).alias("n"),
+            F.min("x").alias("lo"),
+            F.max("x").alias("hi"),
+            F.kll_sketch_agg_double("x", SKETCH_K).alias("sketch"),
         )
     )
-    merged = partial.agg(
-        *[F.sum(f"n{i}").alias(f"n{i}") for i in range(n)],
-        *[F.min(f"lo{i}").alias(f"lo{i}") for i in range(n)],
-        *[F.max(f"hi{i}").alias(f"hi{i}") for i in range(n)],
-        *[F.kll_merge_agg_double(F.when(F.col(f"n{i}") > 0, F.col(f"s{i}")), SKETCH_K).alias(f"s{i}") for i in range(n)],
+    merged = partial.groupBy("item").agg(
+        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.kll_merge_agg_double("sketch", SKETCH_K).alias("sketch")
     )
-    row = merged.select(
-        *[F.col(f"{k}{i}") for i in range(n) for k in ("n", "lo", "hi")],
-        *[
-            F.when(
-                F.col(f"n{i}") > 0,
-                F.kll_sketch_get_quantile_double(f"s{i}", F.array(*[F.lit(float(p)) for p in probes[i]])),
-            ).alias(f"q{i}")
-            for i in range(n)
-        ],
-    ).first()
-    return [(row[f"n{i}"] or 0, row[f"lo{i}"], row[f"hi{i}"], row[f"q{i}"]) for i in range(n)]
+    found = F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(p) for p in every]))
+    rows = {r["item"]: r for r in merged.select("item", "n", "lo", "hi", found.alias("q")).collect()}
+    out = []
+    for i in range(len(values)):
+        if i in rows:
+            r = rows[i]
+            out.append((r["n"], r["lo"], r["hi"], [r["q"][every.index(float(p))] for p in probes[i]]))
+        else:
+            out.append((0, None, None, None))
+    return out
 
 
 def sketch_splits(df: DataFrame, value: Column, buckets: int) -> list[float]:

@@ -36,18 +36,22 @@ def durable(df: DataFrame) -> DataFrame:
 
 @contextmanager
 def held(df: DataFrame, wanted: bool = True):
-    """Keep a table in executor memory and disk inside the block, if wanted.
-
-    A table in fewer parts than there are cores is spread first, so that the repeated passes use them all.
-    """
+    """Keep a table in executor memory and disk inside the block, if wanted: for tables that are read several times."""
     if not wanted:
         yield df
         return
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield kept
     finally:
         kept.unpersist()
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer splits than there are cores, spread over them; larger scans stay as they are.
+
+    Meant for plain scans (the number of splits of a shuffled table is not known before it runs) of small files that
+    several passes will read.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
