@@ -112,7 +112,8 @@ def number_rows(df: DataFrame, order, rows: int, name: str = "code") -> DataFram
     A small dictionary is numbered by one window. A large one is sorted by range, written, and numbered per part.
     """
     if rows <= DICTIONARY_ROWS:
-        return df.select("*", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).alias(name))
+        place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
+        return df.select("*", place.cast("bigint").alias(name))
     stored = durable(df.orderBy(*order)).select("*", F.monotonically_increasing_id().alias("_id"))
     stored = stored.withColumn("_range", F.shiftright("_id", 33)).withColumn("_one", F.lit(1))
     offsets = _with_offsets(stored, [], {"_one": "_before"})
