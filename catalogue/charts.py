@@ -75,7 +75,7 @@ def histogram(spark, folder):
        FROM grid, orders GROUP BY point, x, n, bw""",
 )
 def kde(spark, folder):
-    return rounded(rounded(chartdata.kde(table(spark, folder, "orders"), "o_totalprice"), 4, "x"), 12, "density")
+    return rounded(rounded(chartdata.kde(spread(table(spark, folder, "orders").select("o_totalprice")), "o_totalprice"), 4, "x"), 12, "density")
 
 
 _BOX = """count(x) AS count, any_value(q1) AS q1, any_value(med) AS median, any_value(q3) AS q3,
