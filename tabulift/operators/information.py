@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tabulift.functions.schema import col, double_value
 from tabulift.operators.neighbours import CHEBYSHEV, nearest
 from tabulift.plans.ranks import running_totals
+from tabulift.plans.scratch import durable
 
 # Fixed values of the estimators.
 NEIGHBOURS = 3
@@ -106,6 +107,7 @@ def _counts_within(points: DataFrame) -> DataFrame:
     Points and interval ends are sorted together; the difference of the running counts at both ends is the answer.
     The ends are drawn in by two units of the last place, so that the neighbour that defines the radius is left out.
     """
+    points = durable(points)  # costly, and read once for the ranges and once for the counts
     margin = (F.abs("x") + F.col("radius")) * TWO_ULPS
     low, high = F.col("x") - F.col("radius") + margin, F.col("x") + F.col("radius") - margin
     entries = F.array(

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulift.functions.schema import col, double_value
+from tabulift.plans.scratch import durable
 
 BOX_ROWS = 20_000
 MAX_BOXES = 1 << 14
@@ -187,8 +188,11 @@ def nearest(
 
     trains = trains.withColumn("box", own_box("point"))
     tests = _points(test, features, test_key, "test_key").withColumn("box", own_box("point"))
+    if boxes > 1:  # both rounds read these
+        trains, tests = durable(trains), durable(tests)
     first = _visit(tests, trains, k, metric, schema)
     if boxes > 1:
+        first = durable(first)
         reach = first.groupBy("test_key").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far"))
         reach = reach.select(F.col("test_key").alias("_key"), F.when(F.col("n") >= k, F.col("far")).alias("radius"))
         further = tests.join(reach, F.col("test_key") == F.col("_key"), "left").select(

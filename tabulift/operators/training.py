@@ -24,6 +24,7 @@ from tabulift.operators.estimators import (
 from tabulift.operators.profile import smallest_class
 from tabulift.operators.split import FOLDS, SEED, kfold, stratified_kfold
 from tabulift.operators.target import BINARY, REGRESSION, is_classification
+from tabulift.plans.scratch import held
 
 
 @dataclass(frozen=True)
@@ -86,17 +87,24 @@ def fit_model(name: str, train: DataFrame, features: Sequence[str], target: str,
 
 
 def evaluate(scored: Scored, kind: str) -> dict[str, float | None]:
-    """Metric values of one scored table."""
-    if not is_classification(kind):
-        return metrics.regression_metrics(scored.table, scored.label, scored.prediction).first().asDict()
-    values = metrics.classification_metrics(scored.table, scored.label, scored.prediction).first().asDict()
-    if kind == BINARY and len(scored.scores) == 2:
-        positive = max(scored.scores)
-        table = scored.table.select(col(scored.label).alias("label"), scored.scores[positive].alias("score"))
-        values["roc_auc"] = metrics.roc_auc(table, "label", "score", positive).first()[0]
-    elif scored.scores:
-        values["roc_auc_ovr"] = metrics.roc_auc_ovr(scored.table, scored.label, scored.scores).first()[0]
-    return values
+    """Metric values of one scored table. The model is applied once; the metrics read its kept scores."""
+    scores = {c: f"score{i}" for i, c in enumerate(scored.scores)}
+    used = scored.table.select(
+        col(scored.label).alias("label"),
+        col(scored.prediction).alias("prediction"),
+        *[scored.scores[c].alias(name) for c, name in scores.items()],
+    )
+    with held(used) as rows:
+        if not is_classification(kind):
+            return metrics.regression_metrics(rows).first().asDict()
+        values = metrics.classification_metrics(rows).first().asDict()
+        if kind == BINARY and len(scores) == 2:
+            positive = max(scores)
+            values["roc_auc"] = metrics.roc_auc(rows, "label", scores[positive], positive).first()[0]
+        elif scores:
+            by_class = {c: F.col(name) for c, name in scores.items()}
+            values["roc_auc_ovr"] = metrics.roc_auc_ovr(rows, "label", by_class).first()[0]
+        return values
 
 
 @dataclass(frozen=True)
