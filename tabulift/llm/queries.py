@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType
 
-from tabulift.llm import ann, bpe, chat, fingerprints, line_dedup, packing, simhash
+from tabulift.llm import ann, bpe, chat, fingerprints, line_dedup, packing, simhash, substring_dedup
 from tabulift.llm.common import as_schema
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,25 @@ def _read_part(state: list, start: int, delta: str, loss_start: int | None, loss
 
 def _told(conv: int, state: list) -> tuple:
     return conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]
+
+
+@F.arrow_udf(StringType())
+def _words_digest(texts: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256(b" ".join(substring_dedup.words_of(t.as_py()))).hexdigest() for t in texts], pa.string())
+
+
+@query(
+    "op8_substring_dedup",
+    r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
+          p AS (SELECT doc_id, i, hash(array_to_string(ws[i:i + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+          m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) < doc_id AS later FROM p),
+          x AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+          g AS (SELECT x.doc_id, x.i, word, coalesce(bool_or(later) OVER (PARTITION BY x.doc_id ORDER BY x.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone
+            FROM x LEFT JOIN m ON x.doc_id = m.doc_id AND x.i = m.i)
+        SELECT d.doc_id, count(word) AS n_words, count(word) FILTER (WHERE gone) AS n_removed,
+          sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id GROUP BY d.doc_id""",
+)
+def op8(spark, folder):
+    left = substring_dedup.dedup_substrings(table(spark, folder, "documents").select("doc_id", "text"), window=50)
+    return left.select("doc_id", "n_words", "n_removed", _words_digest("text").alias("kept_sha256"))
