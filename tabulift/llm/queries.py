@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType
 
-from tabulift.llm import ann, bpe, chat, fingerprints, line_dedup, packing, simhash, substring_dedup
+from tabulift.llm import ann, bpe, chat, fingerprints, language_id, line_dedup, packing, simhash, substring_dedup
 from tabulift.llm.common import as_schema
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,8 @@ def _words_digest(texts: pa.Array) -> pa.Array:
 def op8(spark, folder):
     left = substring_dedup.dedup_substrings(table(spark, folder, "documents").select("doc_id", "text"), window=50)
     return left.select("doc_id", "n_words", "n_removed", _words_digest("text").alias("kept_sha256"))
+
+
+@query("op10_language_id")
+def op10(spark, folder):
+    return language_id.identify(table(spark, folder, "documents"))
