@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tabulift.llm.common import Remembered, by_rows, quoted, stored
 
 #: Words, and chunks between spaces, that a Python worker remembers with their ids.
-REMEMBERED = 120_000
+REMEMBERED = 400_000
 #: Longer words and chunks are not remembered, which bounds the memory.
 SHORT = 64
 #: New words that are encoded in one call.
@@ -39,6 +39,18 @@ class Tokenizer:
         self.library = Library.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words, self.chunks = Remembered(REMEMBERED), Remembered(REMEMBERED)
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a match of the splitting pattern
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith(_END)]] = True
+
+    def _encode_letters(self, words: list[str]) -> dict[str, bytes]:
+        """One call for all words, each one match of the splitting pattern: an id with the end mark ends each."""
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) != len(words):
+            return self._encode(words)
+        raw = ids.tobytes()
+        return {w: raw[a:b] for w, a, b in zip(words, [0, *cuts], cuts)}
 
     def _encode(self, words: list[str]) -> dict[str, bytes]:
         """One call for all words, which hold no space: the place of each id tells its word."""
@@ -48,45 +60,50 @@ class Tokenizer:
         cuts = np.searchsorted([o[0] for o in coded.offsets], starts).tolist()
         return {w: ids[a:b].tobytes() for w, a, b in zip(words, cuts, cuts[1:])}
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        parts, known, new = {}, {}, {}
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks that are not remembered, each as its word and the signs behind it."""
+        parts, known, letters, others = [], {}, {}, {}
+        young, recall = self.words.young, self.words.get
         for chunk in chunks:
             word = chunk.rstrip(_SIGNS)
             signs = chunk[len(word) :]
-            if not _only_letters(word):
+            if not word.isalpha():
                 word, signs = chunk, ""
             elif word.isascii():
                 word = word.lower()
-            parts[chunk] = (word, signs)
-            for x in (word, signs):
-                if x not in known and x not in new:
-                    value = self.words.get(x)
+            elif not unicodedata.normalize("NFC", word).lower().isalpha():
+                # normalised, it holds marks, which go with the signs behind them
+                word, signs = chunk, ""
+            parts.append((word, signs))
+            for x in (word, signs) if signs else (word,):
+                if x not in known:
+                    known[x] = value = young.get(x) or recall(x)
                     if value is None:
-                        new[x] = None
-                    else:
-                        known[x] = value
-        listed = list(new)
-        for i in range(0, len(listed), TOGETHER):
-            known.update(self._encode(listed[i : i + TOGETHER]))
-        for x in listed:
-            if len(x) <= SHORT:
-                self.words.put(x, known[x])
-        return {c: known[word] + known[signs] for c, (word, signs) in parts.items()}
+                        (letters if x.isascii() and x.isalpha() else others)[x] = None
+        for how, new in ((self._encode_letters, list(letters)), (self._encode, list(others))):
+            for i in range(0, len(new), TOGETHER):
+                found = how(new[i : i + TOGETHER])
+                known.update(found)
+                for x, value in found.items():
+                    if len(x) <= SHORT:
+                        self.words.put(x, value)
+        return [known[word] + known[signs] if signs else known[word] for word, signs in parts]
 
     def __call__(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").split(" ")
-        coded = list(map(self.chunks.young.get, chunks))
-        missing = [c for c, x in zip(chunks, coded) if x is None]
-        if missing:
-            found, new = {}, {}
-            for c in missing:
-                if c not in found and c not in new:
-                    value = self.chunks.get(c)
-                    if value is None:
-                        new[c] = None
-                    else:
-                        found[c] = value
-            for c, value in self._learn(list(new)).items():
+        young, recall = self.chunks.young, self.chunks.get
+        coded = list(map(young.get, chunks))
+        if None in coded:
+            found = {}
+            for i, x in enumerate(coded):
+                if x is None:
+                    found[chunks[i]] = None
+            new = []
+            for c in found:
+                found[c] = value = recall(c)
+                if value is None:
+                    new.append(c)
+            for c, value in zip(new, self._learn(new)):
                 found[c] = value
                 if len(c) <= SHORT:
                     self.chunks.put(c, value)
@@ -94,11 +111,8 @@ class Tokenizer:
         return b"".join(coded)
 
 
-def _only_letters(word: str) -> bool:
-    """Whether the word still holds letters only once the vocabulary has normalised it, which may split off marks."""
-    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
-
-
+#: How the vocabulary marks the end of a match.
+_END = "</w>"
 #: Signs that often follow a word; any run of them is one match of the splitting pattern.
 _SIGNS = ".,;:!?|"
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType
 
-from tabulift.llm import ann, bpe, chat, fingerprints, language_id, line_dedup, packing, simhash, substring_dedup
+from tabulift.llm import ann, bpe, chat, fingerprints, language_id, line_dedup, packing, simhash, substring_dedup, suffix_dedup
 from tabulift.llm.common import as_schema
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,6 +179,25 @@ def op8(spark, folder):
     return left.select("doc_id", "n_words", "n_removed", _words_digest("text").alias("kept_sha256"))
 
 
+@query(
+    "op9_suffix_dedup",
+    """WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+          p AS (SELECT doc_id, i, md5(x[2 * i + 1:2 * i + 400]) AS h FROM (SELECT doc_id, x, unnest(range(0, CAST(len(x) // 2 - 199 AS BIGINT))) AS i FROM b)),
+          m AS (SELECT doc_id, i, count(*) OVER (PARTITION BY h) > 1 AS again FROM p),
+          y AS (SELECT doc_id, unnest(range(0, CAST(len(x) // 2 AS BIGINT))) AS i FROM b),
+          g AS (SELECT y.doc_id, y.i, coalesce(bool_or(again) OVER (PARTITION BY y.doc_id ORDER BY y.i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW), false) AS gone
+            FROM y LEFT JOIN m ON y.doc_id = m.doc_id AND y.i = m.i),
+          e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS edge FROM g),
+          k AS (SELECT e.doc_id, count(*) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE edge) AS n_spans,
+            coalesce(string_agg(x[2 * i + 1:2 * i + 2], '' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM e JOIN b ON e.doc_id = b.doc_id GROUP BY e.doc_id)
+        SELECT b.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+          sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM b LEFT JOIN k ON b.doc_id = k.doc_id""",
+)
+def op9(spark, folder):
+    left = suffix_dedup.dedup_bytes(table(spark, folder, "documents").select("doc_id", "text"), window=200)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op10_language_id")
 def op10(spark, folder):
     return language_id.identify(table(spark, folder, "documents"))
