@@ -102,8 +102,8 @@ def _joined(data: np.ndarray, places: np.ndarray, step: int, stop: int) -> np.nd
     return out
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of symbols (0 to 511) in order of their first ``depth`` symbols or more, by Larsson-Sadakane refinement.
+def suffix_array(data: np.ndarray) -> np.ndarray:
+    """Suffixes of symbols (0 to 511) in order, by Larsson-Sadakane refinement.
 
     Suffixes start sorted by their first seven symbols. Each round doubles the sorted length: a suffix is placed within its
     group by the rank of the suffix that many symbols on. Only groups of several suffixes are sorted again; a
@@ -115,11 +115,11 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     rank = np.empty(n, np.int64)  # the place of the last of its group, which only falls when the group is split
     _rank_groups(order, np.arange(n), np.diff(key[order].view(np.int64)) != 0, rank)
     length = AT_ONCE
-    while length < depth:
+    while True:
         size = np.bincount(rank, minlength=n)
         open_ = np.flatnonzero(size[rank[order]] > 1)  # places in the order that belong to groups of several
         if not len(open_):
-            break
+            return order
         suffixes = order[open_]
         group = rank[suffixes]
         on = np.where(suffixes + length < n, rank[np.minimum(suffixes + length, n - 1)], -1)
@@ -128,7 +128,6 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         order[open_] = suffixes
         _rank_groups(suffixes, open_, (group[1:] != group[:-1]) | (on[1:] != on[:-1]), rank)
         length *= 2
-    return order
 
 
 def _rank_groups(suffixes: np.ndarray, places: np.ndarray, differs: np.ndarray, rank: np.ndarray) -> None:
@@ -180,7 +179,7 @@ class Shard:
         data = np.frombuffer(b"\x00".join(texts) + b"\x00", np.uint8).astype(np.int16) + 1
         data[self.starts + sizes - 1] = 0
         self.data = data
-        order = suffix_array(data, window)
+        order = suffix_array(data)
         prefixes = common_prefixes(data, order, window)
         own = np.zeros(len(data) + 1, np.int64)  # windows that belong to their context's anchor; others are owned elsewhere
         np.add.at(own, self.starts, 1)
