@@ -164,9 +164,9 @@ def line_series(spark, folder):
 
 @query(
     "joint_stats",
-    f"""WITH {SAMPLED} SELECT 'points' AS part, l_quantity AS a, l_extendedprice AS b FROM sampled
-        UNION ALL SELECT part, "left", CAST(count AS DOUBLE) FROM ({histogram_sql('sampled', 'l_quantity', "'x' AS part, ")})
-        UNION ALL SELECT part, "left", CAST(count AS DOUBLE) FROM ({histogram_sql('sampled', 'l_extendedprice', "'y' AS part, ")})""",
+    f"""SELECT 'points' AS part, l_quantity AS a, l_extendedprice AS b FROM lineitem
+        UNION ALL SELECT part, "left", CAST(count AS DOUBLE) FROM ({histogram_sql('lineitem', 'l_quantity', "'x' AS part, ")})
+        UNION ALL SELECT part, "left", CAST(count AS DOUBLE) FROM ({histogram_sql('lineitem', 'l_extendedprice', "'y' AS part, ")})""",
 )
 def joint_stats(spark, folder):
     df = _lines(spark, folder, "l_quantity", "l_extendedprice")
@@ -183,9 +183,8 @@ _PAIR_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount")
 
 @query(
     "pairplot_data",
-    f"WITH {SAMPLED} "
-    + " UNION ALL ".join(
-        f"SELECT '{a}' AS x_name, '{b}' AS y_name, {a} AS x, {b} AS y, l_returnflag AS hue FROM sampled"
+    " UNION ALL ".join(
+        f"SELECT '{a}' AS x_name, '{b}' AS y_name, {a} AS x, {b} AS y, l_returnflag AS hue FROM lineitem"
         for i, b in enumerate(_PAIR_COLUMNS)
         for a in _PAIR_COLUMNS[:i]
     ),
@@ -196,8 +195,8 @@ def pairplot_pairs(spark, folder):
 
 @query(
     "pairplot_diagonal",
-    f"WITH {SAMPLED}, long AS ("
-    + " UNION ALL ".join(f"SELECT '{c}' AS name, l_returnflag AS hue, {c} AS v FROM sampled" for c in _PAIR_COLUMNS)
+    "WITH long AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS name, l_returnflag AS hue, {c} AS v FROM lineitem" for c in _PAIR_COLUMNS)
     + """), s AS (SELECT name, hue, count(*) AS n, min(v) AS lo, max(v) AS hi, stddev_samp(v) * pow(count(*), -0.2) AS bw FROM long GROUP BY 1, 2),
         weights AS (SELECT name, hue, v, count(*) AS w FROM long GROUP BY 1, 2, 3),
         grid AS (SELECT name, hue, i AS point, lo - 3 * bw + i * ((hi - lo + 6 * bw) / 199) AS x, n, bw FROM s, range(200) t(i))
@@ -259,3 +258,22 @@ def correlation_lower(spark, folder):
 )
 def correlation_sorted(spark, folder):
     return rounded(chartdata.correlation_sorted(_correlated(spark, folder), "l_extendedprice"), 8)
+
+
+# Ten columns with a constant one and an empty one among them: as with any other number, r is null for these two.
+_EDGE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "same", "empty")
+_EDGE_CELLS = " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, round(covar_pop({a}, {b}) / nullif(sqrt(var_pop({a}) * var_pop({b})), 0), 8) AS r FROM edge"
+    for a in _EDGE
+    for b in _EDGE
+)
+
+
+def _edge(spark, folder):
+    lines = table(spark, folder, "lineitem")
+    return lines.withColumns({"same": F.lit(7.5), "empty": F.lit(None).cast("double")}).select(*_EDGE)
+
+
+@query("correlation_matrix_edge", f"WITH edge AS (SELECT *, 7.5::DOUBLE AS same, NULL::DOUBLE AS empty FROM lineitem) {_EDGE_CELLS}")
+def correlation_matrix_edge(spark, folder):
+    return rounded(chartdata.correlation_matrix(_edge(spark, folder)), 8)

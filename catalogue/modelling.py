@@ -97,14 +97,14 @@ def knn_regressor(spark, folder):
 _REGRESSION = ["l_quantity", "l_discount", "l_tax"]
 
 
-def _regressed(name, features=_REGRESSION):
+def _regressed(name, features=_REGRESSION, digits=4, **settings):
     """Coefficients and intercept of a linear model of the price, on all line items."""
 
     def run(spark, folder):
         df = table(spark, folder, "lineitem").select(*features, "l_extendedprice")
-        fitted = fit_regressor(name, df, features, "l_extendedprice").model.stages[-1]
+        fitted = fit_regressor(name, df, features, "l_extendedprice", **settings).model.stages[-1]
         rows = [*zip(features, map(float, fitted.coefficients)), ("intercept", float(fitted.intercept))]
-        return rounded(spark.createDataFrame(rows, "term string, value double"), 4)
+        return rounded(spark.createDataFrame(rows, "term string, value double"), digits)
 
     return run
 
@@ -121,8 +121,33 @@ query(
          avg(l_extendedprice) AS my, avg(l_quantity) AS mx FROM lineitem)
        SELECT 'l_quantity' AS term, round(slope, 4) AS value FROM s UNION ALL SELECT 'intercept', round(my - slope * mx, 4) FROM s""",
 )(_regressed("Ridge Regression", _ONE))
-query("linear_regression_many")(_regressed("Linear Regression"))
-query("ridge_regression_many")(_regressed("Ridge Regression"))
+
+
+def _normal_equations(penalty):
+    """Slopes of three features from their covariances by determinants, with a squared penalty."""
+    f, y = _REGRESSION, "l_extendedprice"
+    cells = [f"covar_pop({f[i]}, {f[j]}) * count(*) + {penalty if i == j else 0} AS c{i}{j}" for i in range(3) for j in range(i, 3)]
+    cells += [f"covar_pop({x}, {y}) * count(*) AS y{i}, avg({x}) AS m{i}" for i, x in enumerate(f)]
+    def m(i, j, k):  # entry with column k replaced by the right side
+        return f"y{i}" if j == k else f"c{min(i, j)}{max(i, j)}"
+    def det(k):
+        return " + ".join(
+            f"{m(0, a, k)} * ({m(1, b, k)} * {m(2, c, k)} - {m(1, c, k)} * {m(2, b, k)})" for a, b, c in ((0, 1, 2), (1, 2, 0), (2, 0, 1))
+        )
+    slopes = ", ".join(f"({det(k)}) / ({det(9)}) AS b{k}" for k in range(3))
+    terms = " UNION ALL ".join(f"SELECT '{x}' AS term, round(b{k}, 4) AS value FROM b" for k, x in enumerate(f))
+    return f"""WITH s AS (SELECT {', '.join(cells)}, avg({y}) AS my FROM lineitem), b AS (SELECT *, {slopes} FROM s)
+        {terms} UNION ALL SELECT 'intercept', round(my - b0 * m0 - b1 * m1 - b2 * m2, 4) FROM b"""
+
+
+query("linear_regression_many", _normal_equations(0))(_regressed("Linear Regression"))
+query("ridge_regression_many", _normal_equations(1))(_regressed("Ridge Regression"))
+query(
+    "lasso_regression_one",
+    """WITH s AS (SELECT covar_pop(l_extendedprice, l_quantity) AS c, var_pop(l_quantity) AS v, avg(l_extendedprice) AS my, avg(l_quantity) AS mx FROM lineitem),
+       b AS (SELECT *, sign(c) * greatest(abs(c) - 1.0, 0) / v AS slope FROM s)
+       SELECT 'l_quantity' AS term, round(slope, 2) AS value FROM b UNION ALL SELECT 'intercept', round(my - slope * mx, 2) FROM b""",
+)(_regressed("Lasso Regression", _ONE, 2, tol=1e-12))
 query("lasso_regression")(_regressed("Lasso Regression"))
 
 
@@ -167,12 +192,101 @@ def cross_validate(spark, folder):
     return training.cross_validate(["Gaussian Naive Bayes"], df, features, "quality", BINARY, "doc_id").summary
 
 
-@query("save_model")
+@query("save_model", "SELECT doc_id, true AS same FROM labels WHERE quality IS NOT NULL")
 def saved_model(spark, folder):
+    """Whether the model that was read back predicts what the one that was written predicted."""
     df, features = _documents(spark, folder)
     model = fit_classifier("Logistic Regression", df, features, "quality")
     path = save_model(model.model, "Logistic Regression", scratch_path(spark, "models"))
-    return load_model(path).transform(df).select("doc_id", "predicted")
+    both = load_model(path).transform(model.transform(df).select("doc_id", F.col("predicted").alias("before"), *features))
+    return both.select("doc_id", (F.col("predicted") == F.col("before")).alias("same"))
+
+
+# One feature of few values: a tree of one split, chosen among the places between neighbouring values.
+_SIDES = "sides AS (SELECT t, l_linenumber <= t AS low, {of} FROM lineitem, (SELECT DISTINCT l_linenumber AS t FROM lineitem) GROUP BY ALL)"
+_STUMP_CLASS = f"""WITH {_SIDES.format(of="l_returnflag AS c, count(*) AS n")},
+  gini AS (SELECT t, sum(rows_ - squares / rows_) AS impurity, count(*) AS parts
+    FROM (SELECT t, low, sum(n) AS rows_, sum(n * n) AS squares FROM sides GROUP BY t, low) GROUP BY t),
+  best AS (SELECT t FROM gini WHERE parts = 2 ORDER BY impurity, t LIMIT 1),
+  leaf AS (SELECT low, arg_max(c, n) AS predicted FROM sides JOIN best USING (t) GROUP BY low)
+  SELECT DISTINCT l_linenumber, predicted FROM lineitem, best JOIN leaf ON (l_linenumber <= t) = low"""
+
+
+def _stump_mean(y, value):
+    return f"""WITH {_SIDES.format(of=f"count(*) AS n, sum({y}) AS s, sum({y} * {y}) AS q")},
+      loss AS (SELECT t, sum(q - s * s / n) AS impurity, count(*) AS parts FROM sides GROUP BY t),
+      best AS (SELECT t FROM loss WHERE parts = 2 ORDER BY impurity, t LIMIT 1),
+      leaf AS (SELECT low, s / n AS mean FROM sides JOIN best USING (t))
+      SELECT DISTINCT l_linenumber, {value} FROM lineitem, best JOIN leaf ON (l_linenumber <= t) = low"""
+
+
+_ONE_TREE = {"maxDepth": 1, "numTrees": 1, "bootstrap": False}
+
+
+def _stump_classifier(name, target, **settings):
+    def run(spark, folder):
+        df = table(spark, folder, "lineitem").withColumn("late", (F.col("l_returnflag") == "N").cast("int"))
+        model = fit_classifier(name, df.select("l_linenumber", target), ["l_linenumber"], target, **settings)
+        return model.transform(df.select("l_linenumber").distinct()).select("l_linenumber", "predicted")
+
+    return run
+
+
+def _stump_regressor(name, **settings):
+    def run(spark, folder):
+        df = table(spark, folder, "lineitem").select("l_linenumber", "l_extendedprice")
+        model = fit_regressor(name, df, ["l_linenumber"], "l_extendedprice", **settings)
+        return rounded(model.transform(df.select("l_linenumber").distinct()).select("l_linenumber", "prediction"), 4)
+
+    return run
+
+
+query("decision_tree_classifier_stump", _STUMP_CLASS)(_stump_classifier("Decision Tree Classifier", "l_returnflag", maxDepth=1))
+query("random_forest_classifier_stump", _STUMP_CLASS)(_stump_classifier("Random Forest Classifier", "l_returnflag", **_ONE_TREE))
+query("gbt_classifier_stump", _stump_mean("CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE -1.0 END", "CASE WHEN mean > 0 THEN '1' ELSE '0' END AS predicted"))(
+    _stump_classifier("Gradient Boosting Classifier", "late", maxDepth=1, maxIter=1)
+)
+_STUMP_PRICE = _stump_mean("l_extendedprice", "round(mean, 4) AS prediction")
+query("decision_tree_regressor_stump", _STUMP_PRICE)(_stump_regressor("Decision Tree Regressor", maxDepth=1))
+query("random_forest_regressor_stump", _STUMP_PRICE)(_stump_regressor("Random Forest Regressor", **_ONE_TREE))
+query("gbt_regressor_stump", _STUMP_PRICE)(_stump_regressor("Gradient Boosting Regressor", maxDepth=1, maxIter=1))
+
+
+@query(
+    "logistic_regression_one",
+    """WITH g AS (SELECT toxic, avg(CAST(quality AS DOUBLE)) AS p FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY toxic),
+         w AS (SELECT max(ln(p / (1 - p))) FILTER (WHERE toxic = 0) AS a, max(ln(p / (1 - p))) FILTER (WHERE toxic = 1) AS b FROM g)
+       SELECT 'toxic' AS term, round(b - a, 3) AS value FROM w UNION ALL SELECT 'intercept', round(a, 3) FROM w""",
+)
+def logistic_regression_one(spark, folder):
+    """Without penalty and with one 0/1 feature, the log odds of the two groups are the answer."""
+    df = table(spark, folder, "labels").where("quality is not null and toxic is not null")
+    fitted = fit_classifier("Logistic Regression", df, ["toxic"], "quality", regParam=0.0, tol=1e-12, maxIter=500).model.stages[1]
+    rows = [("toxic", float(fitted.coefficients[0])), ("intercept", float(fitted.intercept))]
+    return rounded(spark.createDataFrame(rows, "term string, value double"), 3)
+
+
+# Two clouds far apart, made from the keys of a whole table: the side follows from the key.
+def _clouds(spark, folder):
+    key = F.col("p_partkey")
+    side = key % 2
+    return table(spark, folder, "part").select(
+        key, (side * 8.0 + (key % 7) * 0.1).alias("a"), (side * -8.0 + (key % 5) * 0.1).alias("b"), (side * 10.0 - 5.0).alias("y"),
+        F.when(side == 1, "odd").otherwise("even").alias("side"),
+    )
+
+
+@query("svm_classifier_clouds", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN 'odd' ELSE 'even' END AS predicted FROM part")
+def svm_classifier_clouds(spark, folder):
+    df = _clouds(spark, folder)
+    return fit_classifier("Support Vector Classifier", df, ["a", "b"], "side").transform(df).select("p_partkey", "predicted")
+
+
+@query("svr_clouds", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN 5.0::DOUBLE ELSE -5.0::DOUBLE END AS prediction FROM part")
+def svr_clouds(spark, folder):
+    df = _clouds(spark, folder)
+    fitted = fit_regressor("Support Vector Regressor (SVR)", df, ["a", "b"], "y").transform(df)
+    return fitted.select("p_partkey", F.round("prediction").alias("prediction"))
 
 
 # Fold scores by arithmetic, so that their summary can be checked without training.

@@ -1,5 +1,7 @@
 """Problem types and feature importance."""
 
+from pyspark.sql import functions as F
+
 from catalogue.fixtures import MODEL_NUMBERS, MODEL_TABLE, REAL_LABELS, TYPING, model_table, real_labels, typing
 from catalogue.registry import query, rounded, table
 from tabulift.functions.schema import choose_target
@@ -72,6 +74,28 @@ def f_score_regression(spark, folder):
     return rounded(importance.f_score_regression(df, "l_extendedprice"), 4)
 
 
+_CONSTANT = ("l_quantity", "l_discount", "same")
+_CONSTANT_R = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count(*) AS n, covar_pop({c}, l_extendedprice) / nullif(sqrt(var_pop({c}) * var_pop(l_extendedprice)), 0) AS r FROM t"
+    for c in _CONSTANT
+)
+_CONSTANT_TABLE = f"WITH t AS (SELECT *, 3.0::DOUBLE AS same FROM lineitem), r AS ({_CONSTANT_R})"
+
+
+def _with_constant(spark, folder):
+    lines = table(spark, folder, "lineitem")
+    return lines.withColumn("same", F.lit(3.0)).select(*_CONSTANT, "l_extendedprice")
+
+
+@query("f_score_regression_constant", f"{_CONSTANT_TABLE} SELECT feature, round(r * r / (1 - r * r) * (n - 2), 4) AS f_score FROM r")
+def f_score_regression_constant(spark, folder):
+    return rounded(importance.f_score_regression(_with_constant(spark, folder), "l_extendedprice", _CONSTANT), 4)
+
+
+@query("pearson_abs_constant", f"{_CONSTANT_TABLE} SELECT feature, round(abs(r), 8) AS pearson FROM r")
+def pearson_abs_constant(spark, folder):
+    return rounded(importance.pearson_abs(_with_constant(spark, folder), "l_extendedprice", _CONSTANT), 8)
+
 
 _DECILES = "[0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]"
 

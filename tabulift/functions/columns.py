@@ -11,9 +11,24 @@ HASH_SPACE = 1 << 32
 
 
 def row_hash(keys, seed: int) -> Column:
-    """Hex digest of the row key and a seed: a reproducible shuffle order that any engine can repeat."""
+    """Hex digest of the row key and a seed: a reproducible shuffle order that any engine can repeat.
+
+    The parts are joined by ``|``; a backslash or ``|`` inside a part gets a backslash before it and a null is ``\\N``, so
+    that different keys never give the same text.
+    """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    return F.md5(F.concat_ws("|", *[col(k).cast("string") for k in keys], F.lit(str(seed))))
+    return F.md5(F.concat_ws("|", *[_part(col(k).cast("string")) for k in keys], F.lit(str(seed))))
+
+
+def _part(text: Column) -> Column:
+    return F.coalesce(F.regexp_replace(text, r"([\\|])", r"\\$1"), F.lit("\\N"))
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation of two double expressions over the rows that have both, as an aggregate; null if either is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y)))
 
 
 def hash_number(keys, seed: int) -> Column:

@@ -5,18 +5,17 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulift.functions.columns import HASH_SPACE, hash_number, row_hash
+from tabulift.functions.columns import correlation, row_hash
 from tabulift.functions.schema import col, double_value, nan_to_null, numeric_columns
 from tabulift.operators.clean import fit_median
 from tabulift.operators.profile import FENCE, QUARTILES
 from tabulift.plans.frequencies import top_value_list, top_values, value_counts
 from tabulift.plans.quantiles import exact_quantiles
+from tabulift.plans.ranks import hash_cutoffs
 
 # Sizes of the charts.
 TOP_VALUES = 20
@@ -32,29 +31,21 @@ HUE_LEVELS = 15
 MAX_SAMPLE = 50_000
 
 KERNEL_REACH = 38.7  # a Gaussian kernel is exactly zero in double precision beyond this many bandwidths
-PAIRWISE_COLUMNS = 8  # beyond it the matrix comes from one Gramian instead of one aggregate per pair
+PAIRS_AT_ONCE = 36  # correlations in one aggregate
 
 
 # --- samples and top lists -------------------------------------------------------------------------------------------
 
 
 def sample_rows(df: DataFrame, key, n: int, seed: int = 42) -> DataFrame:
-    """Exactly n rows (all rows if there are fewer): those with the smallest key hash.
+    """Exactly n rows (all rows if there are fewer): those with the smallest key hash; rows whose whole key is equal are one choice.
 
-    A hash threshold lets only slightly more than n rows reach the final sort, whatever the table size.
+    The hash at rank n is found from counts per hash prefix; the rows up to it are a filter, so no task sees all n rows.
     """
-    total = df.count()
-    if total <= n:
-        return df
-    share = n / total
-    for slack in (1.0 + 8.0 / math.sqrt(n), 2.0, 8.0):
-        limit = min(HASH_SPACE, math.ceil(share * slack * HASH_SPACE) + 1)
-        candidates = df.filter(hash_number(key, seed) < F.lit(limit))
-        if limit == HASH_SPACE or candidates.count() >= n:
-            break
-    else:
-        candidates = df
-    return candidates.orderBy(row_hash(key, seed), *[col(k) for k in _keys(key)]).limit(n)
+    if n <= 0:
+        return df.limit(0)
+    cutoffs = hash_cutoffs(df.withColumn("_all", F.lit(0)), key, seed, "_all", F.array(F.least(F.col("n"), F.lit(n)))).first()
+    return df if cutoffs is None else df.filter(row_hash(key, seed) <= F.lit(cutoffs["cutoffs"][0]))
 
 
 def _keys(key) -> list[str]:
@@ -75,18 +66,21 @@ def count_bars(df: DataFrame, name: str) -> DataFrame:
 
 
 def top_k_other(df: DataFrame, name: str, k: int = TOP_VALUES) -> DataFrame:
-    """The k most frequent values and one row "Other" with the sum of the rest, if there is a rest."""
+    """The k most frequent values and one row for the rest, if there is a rest: "Other", or with as many stars behind it as tell it from a value."""
     kept = top_value_list(df, name, k)
+    rest = "Other"
+    while rest in map(str, kept):
+        rest += "*"
     value = F.when(F.col("value").isin(kept), F.col("value").cast("string"))
     counted = value_counts(df, name).withColumn("label", value).groupBy("label").agg(F.sum("count").alias("count"))
-    return counted.select(F.coalesce("label", F.lit("Other")).alias("value"), "count")
+    return counted.select(F.coalesce("label", F.lit(rest)).alias("value"), "count")
 
 
 def pie_shares(df: DataFrame, name: str, k: int = TOP_VALUES) -> DataFrame:
     """Slices of a pie with their percentage."""
-    slices = top_k_other(df, name, k)
-    total = df.filter(col(name).isNotNull()).count()
-    return slices.select("value", "count", (F.col("count") * F.lit(100.0) / F.lit(max(total, 1))).alias("percentage"))
+    slices = top_k_other(df, name, k)  # at most k + 1 rows
+    total = F.sum("count").over(Window.partitionBy(F.lit(0)))
+    return slices.select("value", "count", (F.col("count") * F.lit(100.0) / total).alias("percentage"))
 
 
 def sort_by_x(df: DataFrame, x: str) -> DataFrame:
@@ -291,14 +285,12 @@ def line_series(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.groupBy(double_value(df, x).alias("x")).agg(F.avg(double_value(df, y)).alias("y")).orderBy("x")
 
 
-def joint_stats(df: DataFrame, key, x: str, y: str, n: int = MAX_SAMPLE, seed: int = 42) -> dict[str, DataFrame]:
-    """Points of a joint chart and the histograms on its margins, all of the same sample."""
-    sample = sample_rows(df.select(*_unique([*_keys(key), x, y])), key, n, seed).persist()  # at most n rows
-    return {
-        "points": sample.select(double_value(df, x).alias("x"), double_value(df, y).alias("y")),
-        "x": histogram(sample, x),
-        "y": histogram(sample, y),
-    }
+def joint_stats(df: DataFrame, key, x: str, y: str, n: int | None = None, seed: int = 42) -> dict[str, DataFrame]:
+    """Points of a joint chart and the histograms on its margins: of all rows, or of n sampled rows if n is given."""
+    rows = df.select(*_unique([*_keys(key), x, y]))
+    rows = rows if n is None else sample_rows(rows, key, n, seed)
+    points = rows.select(double_value(df, x).alias("x"), double_value(df, y).alias("y"))
+    return {"points": points, "x": histogram(rows, x), "y": histogram(rows, y)}
 
 
 # --- many numbers ----------------------------------------------------------------------------------------------------
@@ -316,15 +308,15 @@ def hue_column(df: DataFrame, target: str | None) -> str | None:
 
 
 def pairplot_data(
-    df: DataFrame, key, columns: Sequence[str] | None = None, target: str | None = None, n: int = MAX_SAMPLE, seed: int = 42
+    df: DataFrame, key, columns: Sequence[str] | None = None, target: str | None = None, n: int | None = None, seed: int = 42
 ) -> dict[str, DataFrame]:
-    """Lower-triangle point pairs and diagonal densities of a sample, split by hue where the target allows it."""
+    """Lower-triangle point pairs and diagonal densities, split by hue where the target allows it: of all rows, or of n sampled rows if n is given."""
     names = list(columns or numeric_columns(df)[:PAIRPLOT_COLUMNS])
     if len(names) < 2:
         raise ValueError("a pair plot needs two numeric columns")
     needed = _unique([*_keys(key), *names, *([target] if target in df.columns else [])])
-    sample = sample_rows(df.select(*needed), key, n, seed).persist()  # at most n rows
-    hue = hue_column(sample, target)
+    rows = df.select(*needed) if n is None else sample_rows(df.select(*needed), key, n, seed)
+    hue = hue_column(rows, target)
     level = col(hue).cast("string") if hue else F.lit(None).cast("string")
     pairs = [
         F.struct(
@@ -337,39 +329,31 @@ def pairplot_data(
         for j in range(i)
     ]
     diagonal = [F.struct(F.lit(c).alias("name"), level.alias("hue"), double_value(df, c).alias("x")) for c in names]
-    values = sample.select(F.inline(F.array(*diagonal)))
+    values = rows.select(F.inline(F.array(*diagonal)))
     density = grouped_kde(values.select(F.struct("name", "hue").alias("group"), "x"), KDE_POINTS, KDE_CUT)
     return {
-        "pairs": sample.select(level.alias("hue"), F.inline(F.array(*pairs))),
+        "pairs": rows.select(level.alias("hue"), F.inline(F.array(*pairs))),
         "diagonal": density.select("group.name", "group.hue", "point", "x", "density"),
     }
 
 
 def correlation_matrix(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """(a, b, r) of every pair of numeric columns after median imputation."""
+    """(a, b, r) of every pair of numeric columns after median imputation; r is null if a column is constant or empty.
+
+    Pairs are aggregated in blocks of ``PAIRS_AT_ONCE``, each in one scan of the columns it needs, whatever their number.
+    """
     names = list(names if names is not None else numeric_columns(df))
     table = nan_to_null(df.select(*[col(n) for n in names]))
     table = fit_median(table).transform(table)
-    if len(names) <= PAIRWISE_COLUMNS:
-        pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-        stats = table.agg(*[F.corr(double_value(table, names[i]), double_value(table, names[j])).alias(f"r{i}_{j}") for i, j in pairs])
-        cells = [
-            F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.col(f"r{min(i, j)}_{max(i, j)}").alias("r"))
-            for i in range(len(names))
-            for j in range(len(names))
-        ]
-        return stats.select(F.inline(F.array(*cells)))
-    return _wide_correlation(table, names)
-
-
-def _wide_correlation(table: DataFrame, names: list[str]) -> DataFrame:
-    """Pearson matrix of many columns by the Gramian of standardised vectors."""
-
-
-    vectors = VectorAssembler(inputCols=names, outputCol="v", handleInvalid="skip").transform(table)
-    matrix = Correlation.corr(vectors.select("v"), "v").first()[0].toArray()  # columns x columns
-    rows = [(a, b, float(matrix[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)]
-    return table.sparkSession.createDataFrame(rows, "a string, b string, r double")
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    found = {}
+    for at in range(0, len(pairs), PAIRS_AT_ONCE):
+        block = pairs[at : at + PAIRS_AT_ONCE]
+        sums = [correlation(double_value(table, names[i]), double_value(table, names[j])).alias(f"r{i}_{j}") for i, j in block]
+        row = table.agg(*sums).first()
+        found.update({(i, j): row[f"r{i}_{j}"] for i, j in block})
+    cells = [(a, b, found[min(i, j), max(i, j)]) for i, a in enumerate(names) for j, b in enumerate(names)]
+    return df.sparkSession.createDataFrame(cells, "a string, b string, r double")
 
 
 def correlation_lower(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:

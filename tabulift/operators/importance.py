@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulift.functions.columns import long_rows
+from tabulift.functions.columns import correlation, long_rows
 from tabulift.functions.schema import col, double_value, numeric_columns, require_columns
 from tabulift.operators import information
 from tabulift.operators.profile import is_missing
@@ -69,14 +69,14 @@ def f_score_classification(df: DataFrame, target: str, features: Sequence[str] |
 
 
 def f_score_regression(df: DataFrame, target: str, features: Sequence[str] | None = None) -> DataFrame:
-    """F of the one-feature linear regression: r^2 / (1 - r^2) * (n - 2)."""
+    """F of the one-feature linear regression: r^2 / (1 - r^2) * (n - 2); null for a constant feature or target."""
     names = _features(df, target, features)
     return long_rows(_correlations(df, target, names), "feature", {n: {"f_score": _regression_f(i)} for i, n in enumerate(names)})
 
 
 def _correlations(df: DataFrame, target: str, names: list[str]) -> DataFrame:
     y = double_value(df, target)
-    return df.agg(F.count(F.lit(1)).alias("n"), *[F.corr(double_value(df, n), y).alias(f"r{i}") for i, n in enumerate(names)])
+    return df.agg(F.count(F.lit(1)).alias("n"), *[correlation(double_value(df, n), y).alias(f"r{i}") for i, n in enumerate(names)])
 
 
 def _regression_f(i: int) -> Column:

@@ -18,6 +18,8 @@ from tabulift.plans.quantiles import sketch_splits
 from tabulift.plans.scratch import durable
 
 HASH_PREFIX = 3  # hex digits: 4,096 ranges of equal width in hash space
+NEAR_ROWS = 100_000  # rows of one class that share a hash prefix, about, at most
+BROADCAST_CLASSES = 20_000
 DICTIONARY_ROWS = 100_000
 
 
@@ -76,11 +78,15 @@ def hash_cutoffs(df: DataFrame, keys, seed: int, by: str, ranks: Column) -> Data
     """(class, cutoffs): for each class of ``by`` the row hashes at the wanted ranks in hash order.
 
     ``ranks`` is an array over the column ``n``, the rows of the class. Rows are counted per class and hash prefix, which
-    is combined before the shuffle; only the rows that share the prefix of a wanted rank (about one in 4,096) are sorted.
-    The whole rows of the table are never moved.
+    is combined before the shuffle; only the rows that share the prefix of a wanted rank are sorted. The prefix gets one more
+    digit for every factor of 16 that the table has beyond ``NEAR_ROWS`` rows per prefix, so such a window stays small.
     """
+    digits = HASH_PREFIX
+    rows = df.count()
+    while rows > NEAR_ROWS * 16**digits:
+        digits += 1
     hashed = df.select(col(by).alias("class"), row_hash(keys, seed).alias("hash"))
-    hashed = hashed.withColumn("prefix", F.substring("hash", 1, HASH_PREFIX))
+    hashed = hashed.withColumn("prefix", F.substring("hash", 1, digits))
     of_class = Window.partitionBy("class")
     earlier = of_class.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
     counted = hashed.groupBy("class", "prefix").agg(F.count(F.lit(1)).alias("here"))
@@ -99,13 +105,22 @@ def hash_cutoffs(df: DataFrame, keys, seed: int, by: str, ranks: Column) -> Data
 
 
 def passed_cutoffs(df: DataFrame, keys, seed: int, by: str, ranks: Column, name: str) -> DataFrame:
-    """Add how many cutoffs of its class the hash of the row lies beyond; null for a class without cutoffs."""
-    cutoffs = hash_cutoffs(df, keys, seed, by, ranks).withColumnRenamed("class", "_class")
+    """Add how many cutoffs of its class the hash of the row lies beyond; null for a class without cutoffs.
+
+    The cutoffs (one row per class) are written and counted; up to ``BROADCAST_CLASSES`` classes they are broadcast and the table
+    is not moved. For more classes the join shuffles the table by class.
+    """
+    cutoffs = _bounded(hash_cutoffs(df, keys, seed, by, ranks).withColumnRenamed("class", "_class"))
     joined = df.withColumn("_hash", row_hash(keys, seed)).join(cutoffs, col(by).eqNullSafe(F.col("_class")), "left")
     beyond = F.when(F.col("cutoffs").isNotNull(), F.size(F.filter("cutoffs", lambda c: c < F.col("_hash"))))
     return joined.select(*[col(c) for c in df.columns], beyond.cast("int").alias(name))
 
 
+def _bounded(cutoffs: DataFrame) -> DataFrame:
+    kept = durable(cutoffs)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_CLASSES else kept
+
+
 def number_rows(df: DataFrame, order, rows: int, name: str = "code") -> DataFrame:
     """1-based position in the order of a dictionary table that has ``rows`` rows.
 
