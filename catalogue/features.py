@@ -208,3 +208,21 @@ def select_features(spark, folder):
     from tabulift.functions.schema import select_features as choose
 
     return choose(table(spark, folder, "lineitem"), "l_returnflag", ["l_quantity", "l_tax"])
+
+
+@query("encode_one_hot_long", "SELECT c_custkey, 'c_name' AS \"column\", c_name AS category FROM customer UNION ALL SELECT c_custkey, 'c_mktsegment', c_mktsegment FROM customer")
+def encode_one_hot_long(spark, folder):
+    return encode.one_hot_long(table(spark, folder, "customer"), "c_custkey", ["c_name", "c_mktsegment"])
+
+
+@query(
+    "encode_one_hot_nan",
+    """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS v_nan, CASE WHEN c_custkey % 3 = 1 THEN 1 ELSE 0 END AS v_nan_2,
+         CASE WHEN c_custkey % 3 = 2 THEN 1 ELSE 0 END AS v_x FROM customer""",
+)
+def encode_one_hot_nan(spark, folder):
+    """A category 'nan' beside missing values."""
+    value = F.when(F.col("c_custkey") % 3 == 1, "nan").when(F.col("c_custkey") % 3 == 2, "x")
+    df = table(spark, folder, "customer").select("c_custkey", value.alias("v"))
+    made = encode.OneHotEncoder.fit(df.withColumn("at", F.col("c_custkey") % 3), ["v"], order_by="at").transform(df)
+    return made.select("c_custkey", "v_nan", "v_nan_2", "v_x")

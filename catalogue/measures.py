@@ -41,6 +41,15 @@ def confusion_matrix(spark, folder):
     return metrics.confusion_matrix(predictions(spark, folder))
 
 
+@query(
+    "confusion_cells",
+    f"""WITH {PREDICTIONS}, cells AS (SELECT label AS actual, prediction AS predicted, count(*) AS n FROM predictions GROUP BY 1, 2)
+        SELECT *, CAST(sum(n) OVER (PARTITION BY actual) AS BIGINT) AS of_actual, CAST(sum(n) OVER (PARTITION BY predicted) AS BIGINT) AS of_predicted FROM cells""",
+)
+def confusion_cells(spark, folder):
+    return metrics.confusion_cells(predictions(spark, folder))
+
+
 @query(
     "classification_report",
     f"""WITH {CLASSES} SELECT CAST(class AS VARCHAR) AS class, round(CAST(precision AS DOUBLE), 8) AS precision, round(CAST(recall AS DOUBLE), 8) AS recall,

@@ -6,7 +6,7 @@ from catalogue.fixtures import LINE_KEY, PREDICTIONS, predictions, real_labels
 from catalogue.registry import query, rounded, table
 from tabulift.operators import encode, neighbours, split, training
 from tabulift.operators.estimators import fit_classifier, fit_regressor
-from tabulift.operators.target import BINARY, REGRESSION
+from tabulift.operators.target import BINARY, MULTICLASS, REGRESSION
 from tabulift.plans.scratch import scratch_path
 from tabulift.sources.models import load_model, save_model
 
@@ -178,6 +178,41 @@ def train_models(spark, folder):
     return training.train_models(names, parts.train, parts.test, features, "quality", BINARY, "doc_id").metrics
 
 
+_LINE_HELD = "CAST('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, '42')), 1, 8) AS BIGINT) < floor(0.2 * 4294967296)"
+_NB_TRAINED = f"""cut AS (SELECT *, {_LINE_HELD} AS held FROM lineitem), trained AS (SELECT * FROM cut WHERE NOT held),
+  classes AS (SELECT l_returnflag AS class, ln(count(*) / (SELECT count(*) FROM trained)) AS prior, {_NB_STATS},
+    {_NB_FLOOR.replace("lineitem", "trained")} AS floor_ FROM trained GROUP BY l_returnflag),
+  said AS (SELECT l_returnflag AS actual, (SELECT arg_max(class, prior + {_NB_SCORE}) FROM classes) AS predicted FROM cut WHERE held),
+  cells AS (SELECT actual, predicted, count(*) AS n FROM said GROUP BY actual, predicted)"""
+
+
+def _trained(spark, folder):
+    df = table(spark, folder, "lineitem").select(*LINE_KEY, *_NB_FEATURES, "l_returnflag")
+    parts = split.train_test_split(df, "l_returnflag", list(LINE_KEY))
+    return training.train_models(["Gaussian Naive Bayes"], parts.train, parts.test, _NB_FEATURES, "l_returnflag", MULTICLASS)
+
+
+@query(
+    "train_models_confusion",
+    f"""WITH {_NB_TRAINED} SELECT 'Gaussian Naive Bayes' AS model, actual, predicted, n,
+      CAST(sum(n) OVER (PARTITION BY actual) AS BIGINT) AS of_actual, CAST(sum(n) OVER (PARTITION BY predicted) AS BIGINT) AS of_predicted FROM cells""",
+)
+def train_models_confusion(spark, folder):
+    return _trained(spark, folder).confusion
+
+
+@query(
+    "train_models_report",
+    f"""WITH {_NB_TRAINED}, per AS (SELECT c AS class, sum(n) FILTER (WHERE actual = c AND predicted = c) AS hits, sum(n) FILTER (WHERE actual = c) AS support,
+          sum(n) FILTER (WHERE predicted = c) AS said FROM cells, (SELECT DISTINCT actual AS c FROM cells) GROUP BY c)
+        SELECT 'Gaussian Naive Bayes' AS model, class, round(coalesce(hits / nullif(said, 0), 0), 6) AS precision, round(coalesce(hits / support, 0), 6) AS recall,
+          CAST(support AS BIGINT) AS support FROM per""",
+)
+def train_models_report(spark, folder):
+    report = rounded(_trained(spark, folder).report)
+    return report.where(~F.col("class").isin("accuracy", "macro avg", "weighted avg")).select("model", "class", "precision", "recall", "support")
+
+
 @query("train_models_regression")
 def train_models_regression(spark, folder):
     df = table(spark, folder, "part").select("p_partkey", "p_size", "p_retailprice")
@@ -324,3 +359,13 @@ def cross_validate_summary(spark, folder):
 def overfit_gap(spark, folder):
     summary = _fold_scores(spark, folder).groupBy("metric").agg(F.avg("test").alias("mean"), F.avg("train").alias("train_mean"))
     return rounded(training.overfit_gap(summary).select("metric", "overfit"), 8)
+
+
+@query("save_model_neighbours", f"WITH cut AS (SELECT p_partkey, {_PART_HASH} < floor(0.2 * 4294967296) AS held FROM part) SELECT p_partkey AS key, true AS same FROM cut WHERE held")
+def saved_neighbours(spark, folder):
+    """Whether neighbour models that were read back predict what the ones that were written predicted."""
+    parts = _parts(spark, folder)
+    model = training.fit_model("K-Nearest Neighbors Classifier", parts.train, ["p_size", "p_retailprice"], "p_type", MULTICLASS, "p_partkey")
+    again = training.load_trained(spark, training.save_trained(model, "K-Nearest Neighbors Classifier", scratch_path(spark, "models")))
+    found = [neighbours.knn_classifier(m.train, parts.test, m.features, m.key, m.key, m.target).select("key", "prediction") for m in (model, again)]
+    return found[0].join(found[1].withColumnRenamed("prediction", "again"), "key").select("key", (F.col("prediction") == F.col("again")).alias("same"))

@@ -15,6 +15,15 @@ def load_csv(spark, folder):
     return load_table(spark, path).withColumn("c_nationkey", F.col("c_nationkey").cast("int"))
 
 
+@query("load_csv_text", "SELECT doc_id, text, lang FROM documents")
+def load_csv_text(spark, folder):
+    """Texts with line breaks, quotes and commas, written and read back."""
+    path = scratch_path(spark, "documents") + ".csv"
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    docs.write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return load_table(spark, path)
+
+
 @query(
     "load_guard",
     """SELECT 'customer' AS name, CASE WHEN count(*) = 0 THEN 'empty' ELSE 'loaded' END AS status FROM customer

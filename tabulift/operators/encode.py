@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,16 +22,20 @@ MAX_ONE_HOT = 1000
 
 @dataclass(frozen=True)
 class Dictionary:
-    """Category table (category, code or frequency) of one column with its measured size."""
+    """Category table (category, code or frequency) of one column with its measured size.
+
+    ``beside`` counts the bytes of the smaller dictionaries of the same encoder: together at most BROADCAST_BYTES are broadcast.
+    """
 
     column: str
     table: DataFrame
     rows: int
     bytes: int
+    beside: int = 0
 
     @property
     def small(self) -> bool:
-        return self.bytes <= BROADCAST_BYTES
+        return self.bytes + self.beside <= BROADCAST_BYTES
 
     def join(self, df: DataFrame, value: str, out: str) -> DataFrame:
         """Add the dictionary value of each row; rows without an entry get null.
@@ -66,7 +71,10 @@ def _fit_dictionaries(df: DataFrame, columns: Sequence[str], order_by: str | Non
     )
     sizes = {r["column"]: r for r in measured.collect()}  # one row per column
     order = [F.asc("first"), F.asc_nulls_last("category")]
-    small = [c for c in columns if c in sizes and sizes[c]["rows"] <= DICTIONARY_ROWS and sizes[c]["bytes"] <= BROADCAST_BYTES]
+    beside, before = {}, 0
+    for c in sorted(sizes, key=lambda c: sizes[c]["bytes"]):
+        beside[c], before = before, before + int(sizes[c]["bytes"])
+    small = [c for c in columns if c in sizes and sizes[c]["rows"] <= DICTIONARY_ROWS and sizes[c]["bytes"] + beside[c] <= BROADCAST_BYTES]
     place = F.row_number().over(Window.partitionBy("column").orderBy(*order))
     local: dict[str, list] = {c: [] for c in columns}
     for r in found.filter(F.col("column").isin(small)).select("column", "category", place.alias("code"), "n").collect():
@@ -80,7 +88,7 @@ def _fit_dictionaries(df: DataFrame, columns: Sequence[str], order_by: str | Non
             own = found.filter(F.col("column") == c)
             share = F.col("n") / F.lit(sizes[c]["total"])
             table = durable(number_rows(own, order, rows).select("category", "code", share.alias("frequency")))
-        out.append(Dictionary(c, table, rows, size))
+        out.append(Dictionary(c, table, rows, size, beside.get(c, 0)))
     found.unpersist()
     return tuple(out)
 
@@ -171,7 +179,11 @@ class FrequencyEncoder:
 
 @dataclass(frozen=True)
 class OneHotEncoder:
-    """One 0/1 column per category, named ``name_category``; a missing value seen when fitting gets ``name_nan``."""
+    """One 0/1 column per category, named ``name_category``; a missing value seen when fitting gets ``name_nan``.
+
+    A name that another column has, in any letter case, gets the first free number behind it. As every category is a
+    column of the plan, there are at most ``max_categories``; ``one_hot_long`` has no such bound.
+    """
 
     categories: dict[str, tuple]
 
@@ -189,20 +201,30 @@ class OneHotEncoder:
             found[r["column"]].append(r["category"])
         for n, values in found.items():
             if len(values) > max_categories:
-                raise ValueError(f"column {n} has more than {max_categories} categories; use another encoding")
+                raise ValueError(f"column {n} has more than {max_categories} categories; use one_hot_long or another encoding")
         return cls({n: tuple(values) for n, values in found.items()})
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = []
+        taken = {c.lower() for c in df.columns if c not in self.categories}
         for c in df.columns:
             if c not in self.categories:
                 out.append(col(c))
             for value in self.categories.get(c, ()):
-                name = f"{c}_nan" if value is None else f"{c}_{value}"
+                wanted = f"{c}_nan" if value is None else f"{c}_{value}"
+                name = next(n for i in count(1) if (n := wanted if i == 1 else f"{wanted}_{i}").lower() not in taken)
+                taken.add(name.lower())
                 out.append(F.when(col(c).eqNullSafe(F.lit(value)), 1).otherwise(0).alias(name))
         return df.select(*out)
 
 
+def one_hot_long(df: DataFrame, key: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """(key, column, category) of every 1 of a one-hot encoding with any number of categories; a missing value is a null category."""
+    names = list(columns if columns is not None else string_columns(df))
+    cells = [F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("category")) for c in names]
+    return df.select(col(key).alias(key), F.inline(F.array(*cells)))
+
+
 def encode(df: DataFrame, method: str | None, order_by: str | None = None) -> DataFrame:
     """Encode every string column: "one-hot", "ordinal", "binary", "frequency", or None for no change."""
     if method is None or not string_columns(df):

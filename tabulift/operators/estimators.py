@@ -40,6 +40,7 @@ PENALTY = 1.0
 # How trees are grown: fine bins, and node ids kept between levels so that deep trees do not replay their splits.
 GROWING = {"maxBins": 256, "cacheNodeIds": True, "maxMemoryInMB": 1024, "seed": SEED}
 
+# Names of the models.
 CLASSIFIERS = (
     "Logistic Regression",
     "Random Forest Classifier",

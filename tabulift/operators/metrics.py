@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulift.functions.schema import col
 from tabulift.plans.ranks import running_totals
 
+MAX_GRID = 300  # classes of a confusion matrix that is written out with its zeros
+
 
 def _share(part: Column, whole: Column) -> Column:
     """part / whole, and 0 where whole is 0."""
@@ -68,17 +70,28 @@ def classification_metrics(df: DataFrame, label: str = "label", prediction: str
     )
 
 
-def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction", max_classes: int = 10_000) -> DataFrame:
-    """(actual, predicted, n) for every pair of the classes that occur, zeros included."""
+def confusion_cells(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """(actual, predicted, n, of_actual, of_predicted) of the pairs that occur, with the totals of their row and column; any number of classes."""
+    n = df.groupBy(col(label).alias("actual"), col(prediction).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    return n.select(
+        "*", F.sum("n").over(Window.partitionBy("actual")).alias("of_actual"), F.sum("n").over(Window.partitionBy("predicted")).alias("of_predicted")
+    )
+
+
+def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction", max_classes: int = MAX_GRID) -> DataFrame:
+    """(actual, predicted, n) for every pair of the classes that occur, zeros included.
+
+    The grid has classes x classes rows, so it is for at most ``max_classes``; ``confusion_cells`` holds the same counts without zeros.
+    """
     counts = df.groupBy(col(label).alias("actual"), col(prediction).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
     seen = counts.select(F.explode(F.array("actual", "predicted")).alias("class")).distinct()
     classes = [r["class"] for r in seen.limit(max_classes + 1).collect()]
     if len(classes) > max_classes:
-        raise ValueError(f"more than {max_classes} classes; use class_scores")
+        raise ValueError(f"more than {max_classes} classes; use confusion_cells")
     kind = seen.schema["class"].dataType.simpleString()
-    frame = df.sparkSession.createDataFrame([(c,) for c in classes], f"actual {kind}")
-    grid = frame.select("actual", F.explode(F.array(*[F.lit(c).cast(kind) for c in classes])).alias("predicted"))
-    return grid.join(counts, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
+    frame = df.sparkSession.createDataFrame([(a, b) for a in classes for b in classes], f"actual {kind}, predicted {kind}")
+    grid = F.broadcast(frame)
+    return counts.join(grid, ["actual", "predicted"], "right").select("actual", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def classification_report(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tabulift.functions.schema import FLOAT_TYPES, INTEGER_TYPES, NUMERIC_TYPES, choose_target, col
 from tabulift.operators.profile import is_missing
 
+# Names of the problem types.
 BINARY, MULTICLASS, REGRESSION = "Binary Classification", "Multiclass Classification", "Regression"
 CONSTANT = "Constant Target"
 NO_DATA, HAS_MISSING, NOT_FOUND, UNKNOWN_TYPE = (

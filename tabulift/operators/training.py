@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulift.functions.schema import col
@@ -18,6 +21,8 @@ from tabulift.operators.estimators import (
     CLASSIFIERS,
     REGRESSOR_NEIGHBOURS,
     REGRESSORS,
+    FittedClassifier,
+    FittedRegressor,
     fit_classifier,
     fit_regressor,
 )
@@ -25,6 +30,7 @@ from tabulift.operators.profile import smallest_class
 from tabulift.operators.split import FOLDS, SEED, kfold, stratified_kfold
 from tabulift.operators.target import BINARY, REGRESSION, is_classification
 from tabulift.plans.scratch import held
+from tabulift.sources.models import model_file_name
 
 
 @dataclass(frozen=True)
@@ -86,6 +92,33 @@ def fit_model(name: str, train: DataFrame, features: Sequence[str], target: str,
     return _Pipeline(fit(name, train, features, target, **overrides), target, classes)
 
 
+def save_trained(model, name: str, folder: str) -> str:
+    """Write any model that ``fit_model`` gave, neighbours too, below ``folder`` and return its path."""
+    path = f"{folder.rstrip('/')}/{model_file_name(name)}"
+    about = {"target": model.target, "classes": model.classes}
+    if isinstance(model, _Neighbours):
+        spark = model.train.sparkSession
+        model.train.select(*[col(c) for c in dict.fromkeys([model.key, *model.features, model.target])]).write.mode("overwrite").parquet(f"{path}/train")
+        about |= {"key": model.key, "features": model.features}
+    else:
+        model.fitted.model.write().overwrite().save(f"{path}/pipeline")
+        spark = SparkSession.active()
+        if model.classes:
+            about |= {"labels": list(model.fitted.classes), "score_column": model.fitted.score_column}
+    spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+    return path
+
+
+def load_trained(spark: SparkSession, path: str):
+    """The model that ``save_trained`` wrote, with its classes and scores."""
+    about = json.loads("".join(r[0] for r in spark.read.text(f"{path}/about").collect()))
+    if "key" in about:
+        return _Neighbours(spark.read.parquet(f"{path}/train"), about["features"], about["target"], about["key"], about["classes"])
+    fitted = PipelineModel.load(f"{path}/pipeline")
+    made = FittedClassifier(fitted, tuple(about["labels"]), about["score_column"]) if about["classes"] else FittedRegressor(fitted)
+    return _Pipeline(made, about["target"], about["classes"])
+
+
 def evaluate(scored: Scored, kind: str) -> dict[str, float | None]:
     """Metric values of one scored table. The model is applied once; the metrics read its kept scores."""
     scores = {c: f"score{i}" for i, c in enumerate(scored.scores)}
@@ -109,12 +142,27 @@ def evaluate(scored: Scored, kind: str) -> dict[str, float | None]:
 
 @dataclass(frozen=True)
 class Training:
-    """Fitted models, (model, metric, value) rows, (model, error) rows and a summary."""
+    """Fitted models, (model, metric, value) rows, (model, error) rows and a summary.
+
+    For classes there are also (model, actual, predicted, n, of_actual, of_predicted) and (model, class, precision, recall, f1, support)
+    rows. ``scored`` holds each model's test table with its score columns, for curves and for actual against predicted values.
+    """
 
     models: dict[str, object]
     metrics: DataFrame
     errors: DataFrame
     message: str
+    confusion: DataFrame | None = None
+    report: DataFrame | None = None
+    scored: dict[str, Scored] = field(default_factory=dict)
+
+
+def _of_every_model(scored: dict[str, Scored], rows) -> DataFrame | None:
+    parts = []
+    for name, s in scored.items():
+        pairs = s.table.select(col(s.label).cast("string").alias("label"), col(s.prediction).cast("string").alias("prediction"))
+        parts.append(rows(pairs).select(F.lit(name).alias("model"), "*"))
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def train_models(
@@ -123,7 +171,8 @@ def train_models(
     """Fit and evaluate the named models; a model that fails is reported and does not stop the others."""
     spark = train.sparkSession
     train, test = train.persist(StorageLevel.MEMORY_AND_DISK), test.persist(StorageLevel.MEMORY_AND_DISK)
-    fitted, rows, errors = {}, [], []
+    fitted, rows, errors, scored = {}, [], [], {}
+    whole = test
     for name in names:
         try:
             model = fit_model(name, train, features, target, kind, key)
@@ -132,6 +181,7 @@ def train_models(
             errors.append((name, f"{type(problem).__name__}: {problem}"))
             continue
         fitted[name] = model
+        scored[name] = model.score(whole)
         rows += [(name, m, None if v is None else float(v)) for m, v in values.items()]
     train.unpersist()
     test.unpersist()
@@ -141,6 +191,9 @@ def train_models(
         spark.createDataFrame(rows, "model string, metric string, value double"),
         spark.createDataFrame(errors, "model string, error string"),
         message,
+        _of_every_model(scored, metrics.confusion_cells) if is_classification(kind) else None,
+        _of_every_model(scored, metrics.classification_report) if is_classification(kind) else None,
+        scored,
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 
 
 def model_file_name(name: str) -> str:
+    """Fixed value: the name of a saved model's file."""
     return f"{name.replace(' ', '_').lower()}_trained_model"
 
 

@@ -32,23 +32,40 @@ def extension(path: str) -> str:
     return path.rstrip("/").rsplit(".", 1)[-1].lower()
 
 
-def load_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+def load_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
     """Read a CSV or Parquet table, chosen by the extension whatever its case."""
     kind = extension(path)
     if kind == "csv":
-        return load_csv(spark, path, schema)
+        return load_csv(spark, path, schema, multi_line)
     if kind == "parquet":
         reader = spark.read if schema is None else spark.read.schema(schema)
         return nan_to_null(reader.parquet(path))
     raise UnsupportedFile(f"unsupported file type: {kind}")
 
 
-def load_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header. Without a schema the types are found in one extra scan; give one for large files."""
-    if schema is not None:
-        return nan_to_null(spark.read.csv(path, header=True, schema=schema, quote='"', escape='"'))
-    raw = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=False)
-    text = raw.select(*[F.when(~col(c).isin(*MISSING_TOKENS), col(c)).alias(c) for c in raw.columns])
+def load_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
+    """CSV with a header. Without a schema the types are found in one extra scan; give one for large files.
+
+    With ``multi_line`` quoted cells may hold line breaks; each file is then read by one task, so keep large inputs in many files.
+    Turn it off only if no cell holds a line break: files are then split. Missing-value tokens count as null with and without a
+    schema; a cell that does not fit its type in the schema is null. A row with fewer cells than the header gets nulls, one
+    with more fails when it is read.
+    """
+    options = {"quote": '"', "escape": '"', "multiLine": multi_line}
+    if schema is None:
+        names, kinds = spark.read.csv(path, header=True, inferSchema=False, **options).columns, {}
+    else:
+        given = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        names, kinds = given.names, {f.name: f.dataType for f in given}
+    surplus = "_surplus"
+    while surplus in names:
+        surplus += "_"
+    texts = T.StructType([T.StructField(n, T.StringType()) for n in [*names, surplus]])
+    raw = spark.read.csv(path, header=True, schema=texts, **options)
+    checked = F.when(col(surplus).isNotNull(), F.raise_error(F.lit("a row has more cells than the header")))
+    text = raw.select(*[F.coalesce(checked, F.when(~col(c).isin(*MISSING_TOKENS), col(c))).alias(c) for c in names])
+    if kinds:
+        return nan_to_null(text.select(*[col(c).try_cast(kinds[c]).alias(c) for c in names]))
     return text.select(*[_typed(c, kind).alias(c) for c, kind in _infer(text).items()])
 
 
