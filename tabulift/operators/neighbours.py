@@ -3,7 +3,8 @@
 The space is cut into boxes that hold about equally many train points. Every test row first looks in its own box, which
 bounds the distance of its k-th neighbour; then it visits only the boxes that reach into that distance. This is the
 two-round scheme of partition-based kNN joins. Equal train points are reduced to k rows beforehand (more can never be
-among the k nearest), so no box is filled by copies of one point; boxes with many test rows are split by a salt.
+among the k nearest), so no box is filled by copies of one point. A box with many test rows is handled in parts and one
+with many train rows in chunks, every part with every chunk, so no task holds more than BOX_ROWS of either.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from tabulift.functions.schema import col, double_value
 from tabulift.plans.scratch import durable
 
 BOX_ROWS = 20_000
-MAX_BOXES = 1 << 14
+FEWEST_ROWS = 128  # of a box, about, when there are more cores than full boxes
+MAX_BOXES = 1 << 14  # of the tree, which every task holds; beyond it boxes get larger and are read in chunks
 SAMPLE_PER_BOX = 64
 CHUNK_CELLS = 4_000_000
 NEIGHBOURS = 5
@@ -47,9 +49,10 @@ class Boxes:
             node = 2 * node + 1 + (points[rows, self.axis[node]] >= self.cut[node])
         return node - (len(self.low) - 1)
 
-    def distance(self, point: np.ndarray, metric: str) -> np.ndarray:
-        """Smallest distance (squared if Euclidean) from the point to any place in each box."""
-        gaps = (np.maximum(np.maximum(self.low[:, j] - point[j], point[j] - self.high[:, j]), 0.0) for j in range(len(point)))
+    def distance(self, points: np.ndarray, metric: str) -> np.ndarray:
+        """Smallest distance (squared if Euclidean) from each point (row) to any place in each box (column)."""
+        axes = range(points.shape[1])
+        gaps = (np.maximum(np.maximum(self.low[:, j] - points[:, j : j + 1], points[:, j : j + 1] - self.high[:, j]), 0.0) for j in axes)
         return _combine(gaps, metric)
 
 
@@ -134,16 +137,22 @@ def _points(df: DataFrame, features: Sequence[str], key: str, name: str, *more)
 
 
 def _visit(tests: DataFrame, trains: DataFrame, k: int, metric: str, schema: str) -> DataFrame:
-    """Join test and train rows box by box; a box with many test rows is handled in several parts."""
-    sizes = tests.groupBy("box").count()
-    salts = {r["box"]: math.ceil(r["count"] / BOX_ROWS) for r in sizes.filter(F.col("count") > BOX_ROWS).collect()}
-    if salts:  # at most one entry per box
-        parts = F.coalesce(F.create_map(*[F.lit(v) for pair in salts.items() for v in pair])[F.col("box")], F.lit(1))
-        tests = tests.withColumn("part", F.pmod(F.xxhash64("test_key"), parts).cast("int"))
-        trains = trains.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    else:
-        tests, trains = tests.withColumn("part", F.lit(0)), trains.withColumn("part", F.lit(0))
-    return tests.groupBy("box", "part").cogroup(trains.groupBy("box", "part")).applyInPandas(_nearest_in_box(k, metric), schema)
+    """Join test and train rows box by box, every part of a box's test rows with every chunk of its train rows."""
+    shares = [F.greatest(F.ceil(F.col(n) / F.lit(BOX_ROWS)), F.lit(1)).cast("int").alias(m) for n, m in (("tests", "parts"), ("trains", "chunks"))]
+    counts = tests.groupBy("box").agg(F.count(F.lit(1)).alias("tests")).join(trains.groupBy("box").agg(F.count(F.lit(1)).alias("trains")), "box")
+    layout = F.broadcast(counts.select("box", *shares))  # one row per box, so at most MAX_BOXES
+    tests = tests.join(layout, "box").withColumn("part", F.pmod(F.xxhash64("test_key"), "parts").cast("int"))
+    tests = tests.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("parts", "chunks")
+    trains = trains.join(layout, "box").withColumn("chunk", F.pmod(F.xxhash64("train_key"), "chunks").cast("int"))
+    trains = trains.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "chunks")
+    at = ("box", "part", "chunk")
+    return tests.groupBy(*at).cogroup(trains.groupBy(*at)).applyInPandas(_nearest_in_box(k, metric), schema)
+
+
+def _box_count(rows: int, cores: int) -> int:
+    """A power of two: boxes of at most BOX_ROWS, and one for every core where that leaves FEWEST_ROWS in each."""
+    wanted = max(rows / BOX_ROWS, min(cores, rows / FEWEST_ROWS), 1)
+    return min(MAX_BOXES, 1 << math.ceil(math.log2(wanted)))
 
 
 def nearest(
@@ -168,10 +177,10 @@ def nearest(
     same = Window.partitionBy("point").orderBy("train_key")
     trains = trains.withColumn("copy", F.row_number().over(same)).filter(F.col("copy") <= k).drop("copy")
     rows = trains.count()
-    boxes = min(MAX_BOXES, 1 << max(0, math.ceil(math.log2(max(1, rows) / BOX_ROWS))))
+    boxes = _box_count(rows, train.sparkSession.sparkContext.defaultParallelism)
     share = min(1.0, 2.0 * boxes * SAMPLE_PER_BOX / max(1, rows))
     # The sample only places the cuts between boxes; no neighbour is chosen from it.
-    places = trains.select("point").sample(share, seed=42).limit(4 * boxes * SAMPLE_PER_BOX).collect() if boxes > 1 else []
+    places = trains.select("point").sample(share, seed=42).collect() if boxes > 1 else []
     tree = cut_boxes(np.array([r["point"] for r in places]).reshape(len(places), len(features)), boxes, len(features))
 
     @F.pandas_udf("int")
@@ -180,10 +189,13 @@ def nearest(
 
     @F.pandas_udf("array<int>")
     def other_boxes(points: pd.Series, own: pd.Series, radius: pd.Series) -> pd.Series:
-        found = []
-        for p, mine, r in zip(points, own, radius):
-            near = np.nonzero(tree.distance(p, metric) <= (np.inf if np.isnan(r) else r))[0]
-            found.append(near[near != mine].astype("int32"))
+        at, reach = np.stack(points.to_numpy()), np.where(radius.isna(), np.inf, radius)
+        step, found = max(1, CHUNK_CELLS // boxes), []
+        for i in range(0, len(at), step):
+            near = tree.distance(at[i : i + step], metric) <= reach[i : i + step, None]
+            near[np.arange(len(near)), own[i : i + step]] = False
+            row, box = np.nonzero(near)
+            found += np.split(box.astype("int32"), np.searchsorted(row, np.arange(1, len(near))))
         return pd.Series(found)
 
     trains = trains.withColumn("box", own_box("point"))

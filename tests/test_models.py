@@ -71,6 +71,20 @@ def test_one_failing_model_does_not_stop_the_others(points):
     assert {r["metric"] for r in done.metrics.collect()} == {"r2", "mae", "mse", "rmse"}
 
 
+@pytest.mark.parametrize("name", ["Gaussian Naive Bayes", "K-Nearest Neighbors Classifier"])
+def test_saved_classifiers_score_as_before(spark, points, tmp_path, name):
+    model = training.fit_model(name, points.train, FEATURES, "two", BINARY, "k")
+    again = training.load_trained(spark, training.save_trained(model, name, str(tmp_path)))
+    assert training.evaluate(again.score(points.test), BINARY) == training.evaluate(model.score(points.test), BINARY)
+
+
+def test_trained_models_have_cells_and_reports(points):
+    done = training.train_models(["Gaussian Naive Bayes"], points.train, points.test, FEATURES, "two", BINARY, "k")
+    assert sum(r["n"] for r in done.confusion.collect()) == points.test.count()
+    assert {r["class"] for r in done.report.collect()} >= {"0", "1", "accuracy"}
+    assert set(done.scored) == {"Gaussian Naive Bayes"}
+
+
 def test_cross_validation(points):
     done = training.cross_validate(["Linear Regression"], points.table, FEATURES, "z", REGRESSION, "k", folds=3)
     rows = {r["metric"]: r for r in done.summary.collect()}

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulift.functions import schema
+from tabulift.functions.columns import row_hash
 from tabulift.operators import chartdata, clean, encode, importance, metrics, profile, scale, split, target
 from tabulift.sources import tables
 
@@ -210,12 +211,64 @@ def test_density_integrates_to_one(spark):
     assert chartdata.kde(df.withColumn("x", F.lit(1.0)), "x").count() == 0
 
 
-def test_wide_correlation_agrees_with_pairs(spark, monkeypatch):
-    df = spark.range(500).select(F.col("id").alias("a"), (F.col("id") * 31 % 97).alias("b"), F.sqrt("id").alias("c"))
-    pairs = {(r["a"], r["b"]): r["r"] for r in chartdata.correlation_matrix(df).collect()}
-    monkeypatch.setattr(chartdata, "PAIRWISE_COLUMNS", 1)
-    wide = {(r["a"], r["b"]): r["r"] for r in chartdata.correlation_matrix(df).collect()}
-    assert wide == pytest.approx(pairs)
+@pytest.mark.parametrize("width", [8, 9, 12])
+def test_correlation_is_the_same_at_every_width(spark, monkeypatch, width):
+    """Also with nulls, a constant column and an empty one; blocks of pairs change nothing."""
+    monkeypatch.setattr(chartdata, "PAIRS_AT_ONCE", 5)
+    more = {f"x{i}": (F.col("id") * (7 + i) % 101).cast("double") for i in range(width - 5)}
+    df = spark.range(300).select(
+        F.col("id").alias("a"), F.when(F.col("id") % 3 > 0, F.col("id") * 31 % 97).alias("b"), F.sqrt("id").alias("c"),
+        F.lit(2.5).alias("same"), F.lit(None).cast("double").alias("empty"), *[v.alias(n) for n, v in more.items()],
+    )
+    found = {(r["a"], r["b"]): r["r"] for r in chartdata.correlation_matrix(df).collect()}
+    assert len(found) == width * width
+    few = {(r["a"], r["b"]): r["r"] for r in chartdata.correlation_matrix(df.select("a", "b", "c")).collect()}
+    assert {k: found[k] for k in few} == pytest.approx(few)
+    assert all((v is None) == bool({"same", "empty"} & {*k}) for k, v in found.items())
+    assert found["a", "a"] == pytest.approx(1.0)
+
+
+def test_constant_features_have_no_score(spark):
+    df = spark.range(50).select(F.col("id").cast("double").alias("y"), (F.col("id") % 7).alias("x"), F.lit(1).alias("same"))
+    for f, name in ((importance.f_score_regression, "f_score"), (importance.pearson_abs, "pearson")):
+        scores = {r["feature"]: r[name] for r in f(df, "y").collect()}
+        assert scores["same"] is None and scores["x"] is not None
+    assert importance.feature_importance(df, "y").count() == 2
+
+
+def test_keys_do_not_share_a_hash(spark):
+    rows = [(None, "1"), ("1", None), ("a|b", "c"), ("a", "b|c"), ("\\N", "1"), ("a\\", "|c"), (None, None)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert df.select(row_hash(["a", "b"], 1).alias("h")).distinct().count() == len(rows)
+
+
+def test_rest_is_told_from_a_value_other(spark):
+    df = spark.createDataFrame([("Other",)] * 3 + [("a",)] * 2 + [("b",), ("c",)], "v string")
+    assert {tuple(r) for r in chartdata.top_k_other(df, "v", 2).collect()} == {("Other", 3), ("a", 2), ("Other*", 2)}
+
+
+def test_stratified_parts_leave_the_table_in_place(spark):
+    df = spark.range(5000).select("id", (F.col("id") % 3).alias("class"), F.lit("wide").alias("w"))
+    plan = split.stratified_kfold(df, "class", "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_csv_loses_nothing(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('id,text,note\n1,"two\nlines",NA\n2,"say ""so"", then",x\n3,short\n')
+    rows = [(1, "two\nlines", None), (2, 'say "so", then', "x"), (3, "short", None)]
+    assert [tuple(r) for r in tables.load_csv(spark, str(path)).orderBy("id").collect()] == rows
+    assert [tuple(r) for r in tables.load_csv(spark, str(path), "id bigint, text string, note string").orderBy("id").collect()] == rows
+    path.write_text("id,text\n1,a\n2,b,surplus\n")
+    with pytest.raises(Exception, match="more cells"):
+        tables.load_csv(spark, str(path)).collect()
+
+
+def test_one_hot_names_do_not_clash(spark):
+    df = spark.createDataFrame([(1, "nan", 5), (2, None, 6), (3, "X", 7), (4, "x", 8)], "id int, v string, v_x int")
+    made = encode.OneHotEncoder.fit(df, ["v"], order_by="id").transform(df)
+    assert len({c.lower() for c in made.columns}) == len(made.columns) == 6
+    assert all(sum(r[c] for c in made.columns if c not in ("id", "v_x")) == 1 for r in made.collect())
 
 
 def test_importance_guards(spark, messy):
