@@ -16,8 +16,8 @@ from tabulift.llm.common import components, quoted, stored
 SEED = 42
 BITS = 64
 POSITIONS = 8
-#: Posting lists of at most so many fingerprints are compared pair by pair, longer ones through masks.
-SHORT_LIST = 64
+#: Posting lists of at most so many fingerprints are compared pair by pair, longer ones through masks: where both cost about the same.
+SHORT_LIST = 512
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 15
 
