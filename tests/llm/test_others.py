@@ -212,5 +212,6 @@ def test_stages_take_odd_rows(spark, labelled):
 
 def test_same_digest_of_whole_conversations():
     state = [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-    queries._read_part(state, 0, f"{chat.START}user\nhi{chat.END}{chat.START}assistant\nyes{chat.END}", 47, 50)
+    text = f"{chat.START}user\nhi{chat.END}{chat.START}assistant\nyes{chat.END}"
+    queries._read_part(state, 0, text, text.index("yes"), text.index("yes") + 3)
     assert state[0] == 2 and state[2] == 3 and state[3].hexdigest() == hashlib.sha256(b"yes").hexdigest()
