@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +32,8 @@ PAIRPLOT_COLUMNS = 5
 HUE_LEVELS = 15
 MAX_SAMPLE = 50_000
 
-KERNEL_REACH = 38.7  # a Gaussian kernel is exactly zero in double precision beyond this many bandwidths
+KERNEL_ROWS = 2_000  # values whose kernels are evaluated together
+KERNEL_GROUPS = 10_000  # groups whose sums a task holds
 PAIRS_AT_ONCE = 36  # correlations in one aggregate
 
 
@@ -118,24 +121,16 @@ def _grid(points: int, cut: float) -> tuple[Column, Column]:
     return start.alias("start"), step.alias("step")
 
 
-def _density(weighted: DataFrame, points: int) -> DataFrame:
-    """Kernel sums of weighted values (group, x, w, n, bw, start, step) on each group's grid.
+def _density(weighted: DataFrame, groups: DataFrame, points: int) -> DataFrame:
+    """Kernel sums of weighted values (group, x, w, bw, start, step) on the grids of the groups (group, n, bw, start, step).
 
-    Every value meets only the grid points its kernel reaches, and sums are combined before the shuffle, which
-    therefore carries at most points x groups rows per task.
+    Each task adds the kernels of its values up, batch by batch, into one array per group; rows are not expanded over the grid, and
+    the shuffle carries one array per task and group.
     """
-    at = (F.col("x") - F.col("start")) / F.col("step")
-    reach = F.lit(KERNEL_REACH) * F.col("bw") / F.col("step")
-    first = F.ceil(F.least(F.greatest(at - reach, F.lit(0.0)), F.lit(float(points)))).cast("int")
-    last = F.floor(F.greatest(F.least(at + reach, F.lit(points - 1.0)), F.lit(0.0))).cast("int")
-    spread = weighted.select(
-        "group", "n", "bw", "start", "step", "x", "w", F.explode(F.sequence(first, last, F.lit(1))).alias("point")
-    )
-    z = (F.col("start") + F.col("point") * F.col("step") - F.col("x")) / F.col("bw")
-    sums = spread.groupBy("group", "n", "bw", "start", "step", "point").agg(
-        F.sum(F.col("w") * F.exp(F.lit(-0.5) * z * z)).alias("kernel")
-    )
-    return sums.select(
+    keyed = weighted.withColumn("g", F.xxhash64("group"))
+    sums = keyed.select("g", "x", "w", "bw", "start", "step").mapInPandas(_kernel_sums(points), "g bigint, kernels array<double>")
+    kernel = sums.select("g", F.posexplode("kernels").alias("point", "kernel")).groupBy("g", "point").agg(F.sum("kernel").alias("kernel"))
+    return kernel.join(groups.withColumn("g", F.xxhash64("group")), "g").select(
         "group",
         "point",
         (F.col("start") + F.col("point") * F.col("step")).alias("x"),
@@ -143,6 +138,26 @@ def _density(weighted: DataFrame, points: int) -> DataFrame:
     )
 
 
+def _kernel_sums(points: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for g, rows in batch.groupby("g", sort=False):
+                grid = rows["start"].iloc[0] + np.arange(points) * rows["step"].iloc[0]
+                total = totals.setdefault(g, np.zeros(points))
+                x, w, bw = rows["x"].to_numpy(), rows["w"].to_numpy(), rows["bw"].iloc[0]
+                for at in range(0, len(x), KERNEL_ROWS):
+                    z = (grid - x[at : at + KERNEL_ROWS, None]) / bw
+                    total += w[at : at + KERNEL_ROWS] @ np.exp(-0.5 * z * z)
+            if len(totals) > KERNEL_GROUPS:
+                yield pd.DataFrame({"g": list(totals), "kernels": list(totals.values())})
+                totals = {}
+        if totals:
+            yield pd.DataFrame({"g": list(totals), "kernels": list(totals.values())})
+
+    return run
+
+
 def grouped_kde(rows: DataFrame, points: int, cut: float) -> DataFrame:
     """Gaussian density per group from rows (group, x), bandwidth by Scott's rule; groups without spread are left out."""
     rows = rows.filter(F.col("x").isNotNull())
@@ -151,9 +166,10 @@ def grouped_kde(rows: DataFrame, points: int, cut: float) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.stddev_samp("x").alias("sd")
     )
     params = params.filter("sd > 0").withColumn("bw", F.col("sd") * F.pow(F.col("n"), F.lit(-0.2)))
-    params = params.select(F.col("group").alias("_group"), "n", "bw", *_grid(points, cut))
-    placed = weighted.join(params, F.col("group").eqNullSafe(F.col("_group"))).drop("_group")
-    return _density(placed, points)
+    groups = params.select("group", "n", "bw", *_grid(points, cut))
+    of = groups.select(F.col("group").alias("_group"), "bw", "start", "step")
+    placed = weighted.join(of, F.col("group").eqNullSafe(F.col("_group"))).drop("_group")
+    return _density(placed, groups, points)
 
 
 def kde(df: DataFrame, name: str, points: int = KDE_POINTS, cut: float = KDE_CUT) -> DataFrame:
@@ -174,9 +190,10 @@ def kde(df: DataFrame, name: str, points: int = KDE_POINTS, cut: float = KDE_CUT
     else:
         rows = rows.withColumn("w", F.lit(1.0))
     bandwidth = fit["sd"] * fit["n"] ** -0.2
-    fitted = {"n": fit["n"], "lo": fit["lo"], "hi": fit["hi"], "bw": bandwidth}
-    known = rows.withColumns({k: F.lit(v) for k, v in fitted.items()})
-    return _density(known.select("group", "x", "w", "n", "bw", *_grid(points, cut)), points).drop("group")
+    fitted = {k: F.lit(v) for k, v in {"n": fit["n"], "lo": fit["lo"], "hi": fit["hi"], "bw": bandwidth}.items()}
+    known = rows.withColumns(fitted).select("group", "x", "w", "bw", *_grid(points, cut))
+    one = df.sparkSession.range(1).select(F.lit(0).alias("group")).withColumns(fitted).select("group", "n", "bw", *_grid(points, cut))
+    return _density(known, one, points).drop("group")
 
 
 def _boxes(df: DataFrame, values: Mapping[object, Column], label: str, label_type: str) -> DataFrame:
