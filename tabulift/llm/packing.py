@@ -20,8 +20,8 @@ REMEMBERED = 400_000
 SHORT = 64
 #: New words that are encoded in one call.
 TOGETHER = 1_000
-#: Rows of one length that one task ranks.
-RANKED = 50_000
+#: Rows of one length that are ranked together, about.
+RANKED = 1_000
 PIECE = "key {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
@@ -210,16 +210,16 @@ def pack(pieces: DataFrame, size: int, order: tuple[str, ...] = ("key", "start")
     """
     spark = pieces.sparkSession
     histogram = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}
-    most = max(histogram.values(), default=0)
-    shares = 1 + most // RANKED
-    dealt = pieces.withColumn("share", F.pmod(F.xxhash64(*order), F.lit(shares)).cast("int"))
-    sizes = dealt.groupBy(F.col(length), F.col("share")).count()
+    shares = [(n, 1 + count // RANKED) for n, count in histogram.items()]
+    dealt = pieces.join(F.broadcast(spark.createDataFrame(shares, f"{length} bigint, shares bigint")), length)
+    dealt = dealt.withColumn("share", F.pmod(F.xxhash64(*order), "shares"))
+    sizes = dealt.groupBy(length, "share").count()
     before = Window.partitionBy(length).orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sizes.select(length, "share", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy(length, "share").orderBy(*order)
     ranked = (
         dealt.withColumn("rank", F.row_number().over(within) - 1)
-        .join(firsts if shares > 1 else F.broadcast(firsts), [length, "share"])
+        .join(firsts, [length, "share"])
         .withColumn("rank", F.col("rank") + F.col("before"))
     )
     places = spark.createDataFrame(
