@@ -187,27 +187,30 @@ def _settle(later: bool):
     return run
 
 
-def _round(docs: DataFrame, look: Callable, later: bool) -> DataFrame:
+def _round(rows: DataFrame, at: tuple[int, int, int | None], look: Callable, later: bool) -> DataFrame:
     """(doc, places): all places, as lists of packed integers, at which ``look(words, found)`` gives a hash that counts.
 
-    Without ``later``: a hash that at least two documents have. With it: one that a smaller document has.
+    ``at`` tells the columns of key, text and places found so far. Without ``later`` a hash counts that at least two documents
+    have, with it one that a smaller document has.
     """
+    key, text, places = at
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meeting = Meeting(later)
         for batch in batches:
-            found = batch.column(2) if batch.num_columns > 2 else None
-            for i, (doc, text) in enumerate(zip(batch.column(0), batch.column(1))):
-                doc, text = doc.as_py(), text.as_py()
-                lists = found[i].as_py() if found is not None else None
-                if doc is None or not text or (found is not None and not lists):
+            found = batch.column(places) if places is not None else None
+            for i, (doc, t) in enumerate(zip(batch.column(key), batch.column(text))):
+                if found is not None and not found[i].is_valid:
                     continue
-                meeting.add(doc, *look(Rolling(words_of(text)), unpacked(lists)))
+                doc, t = doc.as_py(), t.as_py()
+                if doc is None or not t:
+                    continue
+                meeting.add(doc, *look(Rolling(words_of(t)), unpacked(found[i].as_py() if found is not None else None)))
                 if meeting.size >= BUFFER:
                     yield from meeting.flush()
         yield from meeting.flush()
 
-    sent = docs.mapInArrow(meet, from_arrow_schema(MET))
+    sent = rows.mapInArrow(meet, from_arrow_schema(MET))
     route = F.coalesce(F.col("h"), F.xxhash64("doc"))  # known rows go anywhere, evenly
     settled = (
         sent.repartition(route)
@@ -217,25 +220,41 @@ def _round(docs: DataFrame, look: Callable, later: bool) -> DataFrame:
     return settled.groupBy("doc").agg(F.collect_list("places").alias("places"))
 
 
+def _copies(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc,) of documents whose whole text a smaller one has; found by hash, the texts are not shuffled."""
+    t = quoted(text)
+    hashed = df.where(quoted(key).isNotNull() & t.isNotNull()).select(
+        quoted(key).cast(LongType()).alias("doc"), F.xxhash64(t).alias("h"), F.xxhash64(F.lit(1), t).alias("h2"), F.length(t).alias("n")
+    )
+    firsts = hashed.groupBy("h", "h2", "n").agg(F.min("doc").alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    return hashed.join(firsts, ["h", "h2", "n"]).where("doc > first").select("doc").distinct()
+
+
+def _with(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """The rows and, behind their columns, the places found for their key."""
+    at, places, copy = (free_name(df, n) for n in ("at", "places", "copy"))
+    return df.join(found.select("doc", "places", "copy").toDF(at, places, copy), quoted(key).cast(LongType()) == quoted(at), "left").drop(at)
+
+
 def repeated_windows(df: DataFrame, window: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, places): of every document, the starts of windows of ``window`` words that also start in a smaller document.
+    """(doc, places, copy): of every document, the starts of windows of ``window`` words that also start in a smaller document.
 
     Two rounds. The first hashes short windows at cover positions only (6 of 31) and finds those that two documents have; any two
     equal windows share one. The second extends them: it hashes all whole windows around them, with two 64-bit
-    hashes, and finds those that a smaller document has. Documents are compared by hash, never pair by pair.
+    hashes, and finds those that a smaller document has. Documents are compared by hash, never pair by pair. A document whose
+    whole text a smaller one has needs no second round: ``copy`` says that all its windows count, and its places are empty.
     """
     if window < PERIOD + 1:
         raise ValueError(f"a window has at least {PERIOD + 1} words")
-    docs = _documents(df, key, text)
-    found = _round(docs, lambda rolling, _: anchors(rolling, window), later=False)
-    around = docs.join(found.withColumnRenamed("doc", "at"), F.col("doc") == F.col("at"), "left").select("doc", "text", "places")
-    return _round(around, lambda rolling, found: extended(rolling, found, window), later=True)
-
-
-def _documents(df: DataFrame, key: str, text: str) -> DataFrame:
     if df.schema[key].dataType.typeName() not in ("long", "integer", "short", "byte"):
         raise ValueError(f"{key} must be an integer column")
-    return df.select(quoted(key).cast(LongType()).alias("doc"), quoted(text).alias("text"))
+    at = (df.columns.index(key), df.columns.index(text))
+    found = _round(df, (*at, None), lambda rolling, _: anchors(rolling, window), later=False)
+    copies = _copies(df, key, text)
+    open_ = found.join(copies, "doc", "left_anti").withColumn("copy", F.lit(False))
+    starts = _round(_with(df, open_, key), (*at, len(df.columns)), lambda rolling, places: extended(rolling, places, window), later=True)
+    whole = copies.select("doc", F.array().cast("array<binary>").alias("places"), F.lit(True).alias("copy"))
+    return starts.withColumn("copy", F.lit(False)).unionByName(whole)
 
 
 def dedup_substrings(df: DataFrame, window: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -246,9 +265,7 @@ def dedup_substrings(df: DataFrame, window: int = 50, key: str = "doc_id", text:
     null, with no words. Rows with a null key take no part and stay. Rows of one key are one document, whose windows do not
     count against each other. Other columns stay; the counts get underscores if a column has their name.
     """
-    starts = repeated_windows(df, window, key, text)
-    at, places = free_name(df, "at"), free_name(df, "places")
-    joined = df.join(starts.toDF(at, places), quoted(key).cast(LongType()) == quoted(at), "left").drop(at)
+    joined = _with(df, repeated_windows(df, window, key, text), key)
     names = (free_name(df, "n_words"), free_name(df, "n_removed"))
     schema = StructType(df.schema.fields + [StructField(n, LongType()) for n in names])
     return joined.mapInArrow(_without(window, df.columns.index(text), len(df.columns), to_arrow_schema(schema)), schema)
@@ -276,9 +293,15 @@ def _without(window: int, at: int, columns: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, words, removed = [], [], []
-            for text, lists in zip(batch.column(at), batch.column(columns)):
+            for text, lists, copy in zip(*(batch.column(i) for i in (at, columns, columns + 1))):
                 text = text.as_py()
-                left, n, gone = (None, 0, 0) if text is None else without_words(text, np.unique(unpacked(lists.as_py())), window)
+                if text is None:
+                    left, n, gone = None, 0, 0
+                else:
+                    starts = np.unique(unpacked(lists.as_py()))
+                    if copy.as_py():
+                        starts = np.arange(max(0, len(words_of(text)) - window + 1))
+                    left, n, gone = without_words(text, starts, window)
                 texts.append(left)
                 words.append(n)
                 removed.append(gone)
