@@ -369,3 +369,41 @@ def saved_neighbours(spark, folder):
     again = training.load_trained(spark, training.save_trained(model, "K-Nearest Neighbors Classifier", scratch_path(spark, "models")))
     found = [neighbours.knn_classifier(m.train, parts.test, m.features, m.key, m.key, m.target).select("key", "prediction") for m in (model, again)]
     return found[0].join(found[1].withColumnRenamed("prediction", "again"), "key").select("key", (F.col("prediction") == F.col("again")).alias("same"))
+
+
+_ERRORS = """round(1 - sum(e * e) / (count(*) * var_pop(y)), 6) AS r2, round(avg(abs(e)), 6) AS mae, round(avg(e * e), 4) AS mse, round(sqrt(avg(e * e)), 6) AS rmse"""
+_LONG = " UNION ALL ".join(f"SELECT {{keys}}, '{m}' AS metric, {m} AS value FROM {{of}}" for m in ("r2", "mae", "mse", "rmse"))
+
+
+@query(
+    "train_models_regression_one",
+    f"""WITH cut AS (SELECT CAST(p_size AS DOUBLE) AS x, p_retailprice AS y, {_PART_HASH} < floor(0.2 * 4294967296) AS held FROM part),
+         fit AS (SELECT 'Linear Regression' AS model, regr_slope(y, x) AS b, avg(y) AS my, avg(x) AS mx FROM cut WHERE NOT held
+           UNION ALL SELECT 'Ridge Regression', covar_pop(y, x) * count(*) / (var_pop(x) * count(*) + 1), avg(y), avg(x) FROM cut WHERE NOT held),
+         errors AS (SELECT model, y, y - (my + b * (x - mx)) AS e FROM cut, fit WHERE held),
+         wide AS (SELECT model, {_ERRORS} FROM errors GROUP BY model) {_LONG.format(keys="model", of="wide")}""",
+)
+def train_models_regression_one(spark, folder):
+    df = table(spark, folder, "part").select("p_partkey", "p_size", "p_retailprice")
+    parts = split.train_test_split(df, "p_retailprice", "p_partkey")
+    done = training.train_models(["Linear Regression", "Ridge Regression"], parts.train, parts.test, ["p_size"], "p_retailprice", REGRESSION)
+    value = F.when(F.col("metric") == "mse", F.round("value", 4)).otherwise(F.round("value", 6))
+    return done.metrics.select("model", "metric", value.alias("value"))
+
+
+@query(
+    "cross_validate_linear",
+    f"""WITH f AS (SELECT CAST(p_size AS DOUBLE) AS x, p_retailprice AS y, {_PART_HASH} % 5 AS fold FROM part),
+         folds AS (SELECT DISTINCT fold AS k FROM f),
+         fit AS (SELECT k, regr_slope(y, x) AS b, avg(y) AS my, avg(x) AS mx FROM f, folds WHERE fold <> k GROUP BY k),
+         errors AS (SELECT k, fold = k AS test, y, y - (my + b * (x - mx)) AS e FROM f, fit),
+         wide AS (SELECT k, test, {_ERRORS.replace("round(", "(").replace(", 6)", ")").replace(", 4)", ")")} FROM errors GROUP BY k, test),
+         long AS ({_LONG.format(keys="k, test", of="wide")})
+       SELECT 'Linear Regression' AS model, metric, round(avg(value) FILTER (WHERE test), 5) AS mean, round(stddev_pop(value) FILTER (WHERE test), 5) AS std,
+         round(avg(value) FILTER (WHERE NOT test), 5) AS train_mean, round(avg(value) FILTER (WHERE NOT test) - avg(value) FILTER (WHERE test), 5) AS overfit
+       FROM long GROUP BY metric""",
+)
+def cross_validate_linear(spark, folder):
+    df = table(spark, folder, "part").select("p_partkey", "p_size", "p_retailprice")
+    done = training.cross_validate(["Linear Regression"], df, ["p_size"], "p_retailprice", REGRESSION, "p_partkey")
+    return rounded(done.summary.where(~F.col("metric").isin("fit_time", "score_time")), 5)
