@@ -9,7 +9,7 @@ from tabulift.llm.common import free_name, quoted, small, stored
 
 #: Edit distance up to which two lines are copies.
 EDITS = 1
-#: Blocks that a line is cut into before single characters are deleted, and again while they are longer than LONGEST.
+#: Blocks that a line is cut into before single characters are deleted, and again while those of a key can be longer than LONGEST.
 BLOCKS = 4
 LONGEST = 64
 
@@ -19,18 +19,23 @@ def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.where("line <> ''")
 
 
+def _step(n: Column) -> Column:
+    return F.greatest(F.lit(1), F.pow(F.lit(2), F.floor(F.log2(n)) - 4).cast("int"))
+
+
 def _grid(n: Column) -> Column:
     """A length of at most n: n itself for short lines, else at most a sixteenth shorter, so that nearly all lines of similar length share it."""
-    step = F.greatest(F.lit(1), F.pow(F.lit(2), F.floor(F.log2(n)) - 4).cast("int"))
-    return n - F.pmod(n, step)
+    return n - F.pmod(n, _step(n))
 
 
 def _block_variants(line: Column, key: Column | None = None) -> Column:
-    """Array of (key, block, base, window): the variants that delete one block, as hashed keys.
+    """Array of (key, head, size, long): the variants that delete one block, as hashed keys, and where the window stands.
 
     For two strings one edit apart, base is the grid length of the shorter one; each string emits the bases of its own
     length and, where it differs, of one character less. Block j of a base g leaves the first floor(j g / 4) characters
     and the last g - floor((j + 1) g / 4), so the string around some block is equal in both. The window is what was deleted.
+    It is long if a window of this base and block can exceed LONGEST: all windows of a key are long or none, so both
+    strings of a pair go the same way.
     """
     n = F.char_length(line)
     bases = F.array_distinct(F.array(_grid(n), F.when(n > 1, _grid(n - 1)).otherwise(_grid(n))))
@@ -40,7 +45,10 @@ def _block_variants(line: Column, key: Column | None = None) -> Column:
         tail = base - F.floor(base * (j + 1) / BLOCKS).cast("int")
         around = [base, F.lit(j), F.substr(line, F.lit(1), head), F.substr(line, n - tail + 1, tail)]
         return F.struct(
-            F.xxhash64(*([key] if key is not None else []), *around).alias("key"), head.alias("head"), (n - head - tail).alias("size")
+            F.xxhash64(*([key] if key is not None else []), *around).alias("key"),
+            head.alias("head"),
+            (n - head - tail).alias("size"),
+            (base - head - tail + _step(base) > LONGEST).alias("long"),
         )
 
     return F.flatten(F.transform(bases, lambda base: F.array(*[of(base, j) for j in range(BLOCKS)])))
@@ -72,14 +80,13 @@ def copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Data
     spread = firsts.select("doc", "line_no", F.inline("variants"))
     places = stored(_shared(spread), "places")
     windows = stored(
-        lines.join(small(places), ["doc", "line_no"]).select("doc", "line_no", "key", F.substr("line", F.col("head") + 1, F.col("size")).alias("w")),
+        lines.join(small(places), ["doc", "line_no"]).select("doc", "line_no", "key", "long", F.substr("line", F.col("head") + 1, F.col("size")).alias("w")),
         "windows",
     )
-    while (windows.agg(F.max(F.char_length("w"))).first()[0] or 0) > LONGEST:
-        long = windows.where(F.char_length("w") > LONGEST)
-        parts = long.select("doc", "line_no", "w", F.inline(_block_variants(F.col("w"), F.col("key"))))
-        cut = parts.select("doc", "line_no", "key", F.substr("w", F.col("head") + 1, F.col("size")).alias("w"))
-        windows = stored(windows.where(F.char_length("w") <= LONGEST).unionByName(_shared(stored(cut, "parts"))), "windows")
+    while not windows.where("long").isEmpty():
+        parts = windows.where("long").select("doc", "line_no", "w", F.inline(_block_variants(F.col("w"), F.col("key"))))
+        cut = parts.select("doc", "line_no", "key", "long", F.substr("w", F.col("head") + 1, F.col("size")).alias("w"))
+        windows = stored(windows.where("not long").unionByName(_shared(stored(cut, "parts"))), "windows")
     return firsts, stored(_near(windows), "near")
 
 

@@ -197,6 +197,17 @@ def test_line_dedup(spark, monkeypatch, longest):
     assert set(odd(spark).columns) <= set(out[0].asDict())
 
 
+def test_one_inserted_character_at_every_length(spark):
+    r = random.Random(13)
+    texts = []
+    for n in range(200, 1101):
+        line = "".join(r.choice("abcdefgh ") for _ in range(n))
+        i = r.randint(0, n)
+        texts.append("\n".join(r.sample([line, f"{line[:i]}z{line[i:]}"], 2)))
+    out = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(odd(spark, texts)).collect()}
+    assert [200 + d for d in range(len(texts)) if out[d] != 1] == []
+
+
 def test_simhash_query(spark, folder, docs):
     values = {d: brute.simhash(t) for d, t in docs}
     groups = brute.components(values)
