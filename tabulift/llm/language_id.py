@@ -15,7 +15,7 @@ from tabulift.llm.common import as_schema, quoted
 
 #: Label of texts without a letter.
 UNKNOWN = "und"
-#: Labelled lines that the model is fitted on, at most, over all languages, and the characters of such a line, at most.
+#: Labelled lines that the model is fitted on, at most, over all languages, and the characters of such a line, at most; longer ones are split.
 FIT_LINES = 8_000
 LINE_CHARS = 600
 #: Rows of the hashed weight tables of n-grams and of words.
@@ -238,11 +238,18 @@ def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 5 == 0
 
 
+def _chunks(line: Column) -> Column:
+    """The line in parts of at most ``LINE_CHARS`` characters that end where no word is cut, if there is such a place."""
+    letter = r"[\p{L}\p{Nl}\p{No}]"
+    part = f"(?s).{{1,{LINE_CHARS}}}(?!(?<={letter}){letter})|.{{1,{LINE_CHARS}}}"
+    return F.when(F.length(line) <= LINE_CHARS, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(part), F.lit(0)))
+
+
 def learn(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
     """A model from the labelled rows that are not held out; none if there are no such rows.
 
-    At most ``FIT_LINES`` lines of at most ``LINE_CHARS`` characters reach the driver, equally many per language where they last, the
-    smallest by a hash of their place. Rows with a null key, text or language take no part.
+    At most ``FIT_LINES`` lines reach the driver, equally many per language where they last, the smallest by a hash of their
+    place. A line of more than ``LINE_CHARS`` characters is split into several. Rows with a null key, text or language take no part.
     """
     rows = df.select(quoted(key).alias("key"), quoted(text).alias("text"), quoted(lang).alias("lang"))
     rows = rows.where("key is not null and text is not null and lang is not null").where(~held_out(F.col("key")))
@@ -257,9 +264,10 @@ def learn(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     lines = (
         rows.where(place <= limit)
         .select("key", "lang", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-        .where((F.length("line") > 0) & (F.length("line") <= LINE_CHARS))
+        .where(F.length("line") > 0)
+        .select("key", "lang", "i", F.posexplode(_chunks(F.col("line"))).alias("part", "line"))
     )
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("key", "i"), "key", "i")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("key", "i", "part"), "key", "i", "part")
     chosen = lines.withColumn("n", F.row_number().over(order)).where(F.col("n") <= wanted).select("lang", "line")
     found = sorted(map(tuple, chosen.collect()))
     return fit(found) if found else None

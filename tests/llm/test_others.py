@@ -171,6 +171,28 @@ def test_language_of_odd_rows(spark, folder):
     assert language_id.identify(df.limit(0)).count() == 0
 
 
+def test_languages_of_long_lines(spark, folder):
+    held = language_id.held_out(F.col("doc_id"))
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where(~held & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    first, second = [r["lang"] for r in docs.groupBy("lang").count().orderBy("lang").limit(2).collect()]
+    one = docs.where(F.col("lang") == second).withColumn("text", F.translate("text", "\n", " ")).where(F.length("text") > 1300).orderBy("doc_id").limit(1)
+    both = docs.where(F.col("lang") == first).unionByName(one)
+    assert language_id.learn(both).languages == [first, second]
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(both).collect()}
+    assert found[one.first()["doc_id"]] == second
+    alone = language_id.identify(one).first()
+    assert alone["lang_pred"] == second and alone["score"] == 1
+
+
+def test_long_lines_are_split_between_words(spark):
+    r = random.Random(7)
+    lines = [" ".join("".join(r.choice("aé日👍") for _ in range(r.randint(1, 12))) for _ in range(n)) for n in (3, 400, 1500)] + ["x" * 1500, "日" * 601, "a\r\u2028b " * 300]
+    for row in spark.createDataFrame([(t,) for t in lines], "line string").select("line", language_id._chunks(F.col("line")).alias("parts")).collect():
+        assert "".join(row["parts"]) == row["line"] and all(len(p) <= language_id.LINE_CHARS for p in row["parts"])
+        if " " in row["line"]:
+            assert [w for p in row["parts"] for w in language_id.words_of(p)] == language_id.words_of(row["line"])
+
+
 # ---- pipeline ----
 
 
