@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,9 @@ PRIME = (1 << 31) - 1
 BASES = (911_382_323, 972_663_749)
 #: Prefix and suffix lengths whose hashes a fingerprint holds: about so many per doubling.
 PER_DOUBLING = 4
+#: Spans of a fingerprint end behind places that their last code points choose, one in MEAN; a span has at most MOST code points.
+MEAN = 64
+MOST = 16 * MEAN
 
 
 @functools.lru_cache(maxsize=4)
@@ -109,10 +113,25 @@ def grid(n: int) -> np.ndarray:
     return lengths[: np.searchsorted(lengths, n, "right")]
 
 
+def span_ends(points: np.ndarray) -> np.ndarray:
+    """Where the spans of a text end: behind every eight code points whose hash is one of a few, every MOST without such a place, and the end."""
+    h = points.astype(np.uint64)
+    for step, factor in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (4, 0x165667B19E3779F9)):
+        h = h[:-step] * np.uint64(factor) + h[step:] if len(h) > step else h[:0]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    ends = np.flatnonzero(h >> np.uint64(58) == 0) + 8  # six bits: one place in MEAN
+    ends = np.unique(np.concatenate([ends, [len(points)]])) if len(points) else ends
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    inner = [np.arange(a + MOST, b, MOST) for a, b in zip(starts.tolist(), ends.tolist()) if b - a > MOST]
+    return np.unique(np.concatenate([ends, *inner])).astype(np.int64)
+
+
 def fingerprint(text: str | None) -> str:
-    """``n:hash:prefixes:suffixes`` in hexadecimal: of all code points, and 32-bit hashes of the prefixes and suffixes of grid lengths.
+    """``n:hash:prefixes:suffixes:spans:sizes`` in hexadecimal.
 
-    Its size grows with the logarithm of the text's. A null text is empty.
+    The hash is that of all code points; then come 32-bit hashes of the prefixes and suffixes of grid lengths, of all
+    spans (``span_ends``) in order, and the lengths of these. Spans are chosen by what stands in them, so an edit changes
+    those it touches and no others. Its size is about a fifth of the text's code points, as no shared span may be missed. A null text is empty.
     """
     points = code_points(text)
     sums = Prefixes(points)
@@ -120,7 +139,10 @@ def fingerprint(text: str | None) -> str:
     whole = int(sums.own(np.zeros(1, np.int64), np.full(1, n, np.int64))[0])
     heads = sums.own(np.zeros(len(lengths), np.int64), lengths)
     tails = sums.own(n - lengths, lengths)
-    return f"{n:x}:{whole:016x}:{_short(heads)}:{_short(tails)}"
+    ends = span_ends(points)
+    sizes = np.diff(ends, prepend=0)
+    spans = sums.own(ends - sizes, sizes)
+    return f"{n:x}:{whole:016x}:{_short(heads)}:{_short(tails)}:{_short(spans)}:{sizes.astype('>u2').tobytes().hex()}"
 
 
 def _short(hashes: np.ndarray) -> str:
@@ -137,19 +159,35 @@ def _common(a: str, b: str, lengths: np.ndarray) -> int:
     return int(lengths[low - 1]) if low else 0
 
 
+def _spans(hashes: str, sizes: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names, starts, ends) of a fingerprint's spans; a name is a span's hash and length in one number."""
+    lengths = np.frombuffer(bytes.fromhex(sizes), ">u2").astype(np.int64)
+    ends = np.cumsum(lengths)
+    return np.frombuffer(bytes.fromhex(hashes), ">u4").astype(np.int64) << 16 | lengths, ends - lengths, ends
+
+
+def _in_both(a: np.ndarray, b: np.ndarray) -> int:
+    """Code points of the spans that both hold, each as often as in the one that has it less often."""
+    return sum((name & 0xFFFF) * n for name, n in (Counter(a.tolist()) & Counter(b.tolist())).items())
+
+
 def likeness(a: str, b: str) -> float:
-    """From 0 to 1: the share of the longer text that common prefix and suffix cover, found from the fingerprints alone.
+    """From 0 to 1: the share of the longer text that both have in common, found from the fingerprints alone.
 
-    Equal texts have 1, texts that begin and end differently 0. The lengths are rounded down to the grid.
+    In common are the prefix and suffix, rounded down to the grid, and the whole spans between them; or all whole spans, if these
+    are more. An edit hides the spans that it touches, some ``2 * MEAN`` code points; a moved span counts. Equal texts have 1.
     """
-    (n, whole, heads, tails), (m, other, heads_, tails_) = a.split(":"), b.split(":")
+    (n, whole, heads, tails, *spans), (m, other, heads_, tails_, *spans_) = a.split(":"), b.split(":")
     if (n, whole) == (m, other):
         return 1.0
     n, m = int(n, 16), int(m, 16)
     if not n or not m:
         return 0.0
     lengths = grid(min(n, m))
-    shared = min(_common(heads, heads_, lengths) + _common(tails, tails_, lengths), min(n, m))
+    head, tail = _common(heads, heads_, lengths), _common(tails, tails_, lengths)
+    (own, start, end), (own_, start_, end_) = _spans(*spans), _spans(*spans_)
+    between = _in_both(own[(start >= head) & (end <= n - tail)], own_[(start_ >= head) & (end_ <= m - tail)])
+    shared = min(max(head + tail + between, _in_both(own, own_)), min(n, m))
     return shared / max(n, m)
 
 

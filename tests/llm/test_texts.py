@@ -158,6 +158,25 @@ def test_likeness():
     assert fingerprints.likeness(f(a), f(a[:1500] + "x" + a[1500:])) > 0.8
 
 
+def test_likeness_of_scattered_edits(spark):
+    r, f = random.Random(2), fingerprints.fingerprint
+    a = "".join(r.choice("abcdefgh 日é") for _ in range(6000))
+    edits = {
+        "around": f"x{a}y",
+        "near the ends": f"{a[:100]}x{a[101:-100]}y{a[-99:]}",
+        "scattered": "".join(f"{a[i : i + 1000]}{'' if i % 2000 else 'z'}" for i in range(0, 6000, 1000))[1:],
+    }
+    for name, b in edits.items():
+        for x, y in ((a, b), (b, a)):
+            assert 0.85 < fingerprints.likeness(f(x), f(y)) < 1, name
+    rows = fingerprints.edit_likeness(odd(spark, [edits["near the ends"], a]))
+    assert all(row["near_next"] > 0.9 for row in rows.collect())
+    for t in ("x" * 200_000, "ab" * 70_000, a, "", "short"):
+        ends = fingerprints.span_ends(fingerprints.code_points(t)).tolist()
+        sizes = [j - i for i, j in zip([0, *ends], ends)]
+        assert sum(sizes) == len(t) and all(0 < n <= fingerprints.MOST for n in sizes)
+
+
 def test_edits(spark):
     texts = odd_texts()
     rows = {r["doc_id"]: r for r in fingerprints.edit_likeness(odd(spark)).collect()}
