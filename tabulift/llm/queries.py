@@ -117,7 +117,7 @@ def op7(spark, folder):
 
 
 def _read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of what stands in the formatted examples, read as a stream of each conversation's parts in order."""
+    """Digests of what stands in the formatted examples, read as a stream of each conversation's turns in order."""
     schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
 
     out = to_arrow_schema(as_schema(schema))
@@ -137,8 +137,8 @@ def _read_back(formatted: DataFrame) -> DataFrame:
         if state:
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(_told(now, state), out)], schema=out)
 
-    columns = formatted.select("conv_id", "context_chars", "delta", "loss_start", "loss_end", "example")
-    return columns.repartition("conv_id").sortWithinPartitions("conv_id", "example").drop("example").mapInArrow(run, as_schema(schema))
+    columns = formatted.select("conv_id", "context_chars", "delta", "loss_start", "loss_end", "n")
+    return columns.repartition("conv_id").sortWithinPartitions("conv_id", "n").drop("n").mapInArrow(run, as_schema(schema))
 
 
 def _read_part(state: list, start: int, delta: str, loss_start: int | None, loss_end: int | None) -> None:

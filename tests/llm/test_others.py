@@ -107,6 +107,24 @@ def test_chat_examples(spark):
     assert chat.examples(df.limit(0)).count() == 0
 
 
+def test_a_conversation_is_not_collected(spark):
+    rows = [(None, t, "user", f"said {t}") for t in range(3000)] + [(None, 3000, "assistant", "yes"), (1, 0, "user", "hi")]
+    parts = chat.examples(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(8)).collect()
+    assert max(len(r["delta"]) for r in parts) < 60
+    mine = sorted((r for r in parts if r["conv_id"] is None), key=lambda r: r["n"])
+    assert [r["n"] for r in mine] == list(range(1, 3002))
+    text = "".join(r["delta"] for r in mine)
+    assert all(text[r["context_chars"] :].startswith(r["delta"]) for r in mine)
+    assert text[mine[-1]["loss_start"] : mine[-1]["loss_end"]] == "yes" and {r["loss_end"] for r in mine[:-1]} == {None}
+
+
+def test_odd_turns(spark):
+    for kind, turns in (("double", [None, float("-inf"), -1.0, 2.0, float("inf"), float("nan")]), ("string", [None, "10", "9", "b"])):
+        df = spark.createDataFrame([(1, t, "user", str(i)) for i, t in enumerate(turns)], f"conv_id bigint, turn {kind}, role string, text string")
+        found = chat.examples(df.repartition(3)).orderBy("n").collect()
+        assert "".join(chat.unescaped(r["delta"]).partition("\n")[2][0] for r in found) == "".join(str(i) for i in range(len(turns)))
+
+
 # ---- language ----
 
 
