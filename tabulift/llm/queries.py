@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType
 
-from tabulift.llm import ann, bpe, chat, fingerprints, language_id, line_dedup, packing, simhash, substring_dedup, suffix_dedup
+from tabulift.llm import ann, bpe, chat, fingerprints, language_id, line_dedup, merkle, packing, simhash, substring_dedup, suffix_dedup
 from tabulift.llm.common import as_schema
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,3 +201,23 @@ def op9(spark, folder):
 @query("op10_language_id")
 def op10(spark, folder):
     return language_id.identify(table(spark, folder, "documents"))
+
+
+@query("op12_merkle")
+def op12(spark, folder):
+    docs = table(spark, folder, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    text = F.col("text")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)
+    rows = docs.select("doc_id", "source", merkle.leaf_digest(*fields, text).alias("original"), merkle.leaf_digest(*fields, tampered).alias("tampered"))
+    proven = merkle.prove(rows, F.col("original"), "source", "doc_id", ("tampered",))
+    folded = proven.withColumn("folded_root", merkle.as_hex(merkle.folded("tampered", "siblings", "steps")))
+    return folded.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.as_hex(F.col("siblings")), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
