@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType
 
-from tabulift.llm import ann, bpe, chat, fingerprints, language_id, line_dedup, merkle, packing, simhash, substring_dedup, suffix_dedup
+from tabulift.llm import ann, bpe, chat, fingerprints, language_id, line_dedup, merkle, packing, simhash, spelling, substring_dedup, suffix_dedup
 from tabulift.llm.common import as_schema
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -203,6 +203,11 @@ def op10(spark, folder):
     return language_id.identify(table(spark, folder, "documents"))
 
 
+@query("op11_spelling")
+def op11(spark, folder):
+    return spelling.spelling_variants(table(spark, folder, "documents"), slip_every=97)
+
+
 @query("op12_merkle")
 def op12(spark, folder):
     docs = table(spark, folder, "documents")
