@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType
 
-from tabulift.llm import ann, bpe, chat, fingerprints, language_id, line_dedup, merkle, packing, simhash, spelling, substring_dedup, suffix_dedup
+from tabulift.llm import ann, bpe, chat, fingerprints, language_id, line_dedup, merkle, ngram_join, packing, simhash, spelling, substring_dedup, suffix_dedup
 from tabulift.llm.common import as_schema
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,3 +226,8 @@ def op12(spark, folder):
         "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+@query("op13_ngram_join")
+def op13(spark, folder):
+    return ngram_join.similar_documents(table(spark, folder, "documents"), ngram_join.Rule(width=4, part=85, of=100))
