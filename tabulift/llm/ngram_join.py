@@ -8,12 +8,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import BooleanType
 
-from tabulift.llm.common import Remembered, components, quoted, stored
+from tabulift.llm.common import Remembered, components, quoted, small, stored
 
 #: Counters of n-grams, by the first bits of their hash, and the rows in which a task sends them.
 COUNTER_BITS, COUNTER_ROWS = 20, 64
@@ -23,12 +23,14 @@ COLLECTED = 1 << 19
 RANGES = 64
 #: Sets whose prefixes a task remembers to have sent.
 SENT_SETS = 1 << 17
+#: Lists of n-grams whose counter is so large (and far above most counters) are cut into parts before they are shuffled.
+HOT_COUNT, HOT_PARTS = 1 << 17, 64
 #: Rounds in which a list is compared with one of its sets only, before what is still apart is compared.
 STARS = 2
 BASE = np.uint64(0x9E3779B97F4A7C13)
 
 MARKED = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("counter", pa.int32()), ("counts", pa.binary())])
-PREFIX = pa.schema([("token", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int64()), ("pos", pa.int64())])
+PREFIX = pa.schema([("token", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("part", pa.int16())])
 SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("ranges", pa.binary()), ("tokens", pa.binary())])
 
 
@@ -133,7 +135,8 @@ def _commonness(marked: DataFrame) -> np.ndarray:
 
 
 def _prefixes(rule: Rule, common) -> Callable:
-    """The rare-first prefix of every set: (token, digest, n, place). A task sends a set once, as long as it remembers it."""
+    """The rare-first prefix of every set: (token, digest, n, place, part). A task sends a set once, as long as it remembers it."""
+    hot = min(255, max(int(8 * np.log2(HOT_COUNT)), int(np.median(common.value)) + 32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = Remembered(SENT_SETS)
@@ -146,8 +149,9 @@ def _prefixes(rule: Rule, common) -> Callable:
                     continue
                 sent.put(digest, True)
                 length = n - rule.least_size(n) + 1
-                prefix = rare_first(tokens, common.value)[:length].view(np.int64)
-                parts.append((prefix, *(np.full(length, x) for x in (*digest, n)), np.arange(length)))
+                prefix = rare_first(tokens, common.value)[:length]
+                part = np.where(common.value[_counter(prefix)] >= hot, 1 + digest[0] % HOT_PARTS, 0)
+                parts.append((prefix.view(np.int64), *(np.full(length, x) for x in (*digest, n)), np.arange(length), part.astype(np.int16)))
             if parts:
                 yield _batch([np.concatenate(c) for c in zip(*parts)], PREFIX)
 
@@ -182,15 +186,25 @@ def _fits(rule: Rule, a: str, b: str) -> Column:
 
 
 def _postings(rule: Rule, df: DataFrame, text: str, sets: DataFrame, common) -> DataFrame:
-    """(token, id, n, pos): the lists of prefix n-grams that several sets have and that can pair, stored.
+    """(token, id, n, pos): the rows of prefix lists that can pair with another row of their list, stored.
 
-    The smaller set of a pair has a common n-gram in the first ``n - overlap(2 n) + 1`` places; a list without such a place makes no pair.
+    With ``free = (of + part) (n - pos) - part n`` two rows pass the positional filter if the ``free`` of each is at least ``part`` times the
+    other's n. So a row whose free is too small for the smallest other n, or whose n is too large for the largest other free, pairs with
+    none. Most lists hold chance meetings of rare n-grams and go here, before anything is written. Lists that were cut into parts keep all rows.
     """
     sent = df.select(quoted(text)).mapInArrow(_prefixes(rule, common), from_arrow_schema(PREFIX))
-    rows = stored(sent.repartition("token").distinct(), "prefixes")
-    in_front = (rule.of + rule.part) * (F.col("n") - F.col("pos")) >= 2 * rule.part * F.col("n")
-    lists = rows.groupBy("token").agg(F.count("*").alias("rows"), F.max(in_front).alias("front")).where("rows > 1 and front")
-    kept = rows.join(lists.select("token"), "token")
+    rows = sent.repartition("token", "part").distinct()
+    list_ = Window.partitionBy("token", "part")
+    free, me = rule.of * F.col("n") - (rule.of + rule.part) * F.col("pos"), F.struct("d1", "d2")
+    most, least = F.max(F.struct(F.col("free"), F.col("me"))).over(list_), F.min(F.struct(F.col("n"), F.col("me"))).over(list_)
+    ends = rows.withColumn("free", free).withColumn("me", me).withColumn("most", most).withColumn("least", least)
+    second = ends.withColumn("next_free", F.max(F.when(F.col("me") != F.col("most.me"), F.col("free"))).over(list_)).withColumn(
+        "next_n", F.min(F.when(F.col("me") != F.col("least.me"), F.col("n"))).over(list_)
+    )
+    other_free = F.when(F.col("me") == F.col("most.me"), F.col("next_free")).otherwise(F.col("most.free"))
+    other_n = F.when(F.col("me") == F.col("least.me"), F.col("next_n")).otherwise(F.col("least.n"))
+    can = (F.col("free") >= rule.part * other_n) & (other_free >= rule.part * F.col("n"))
+    kept = second.where((F.col("part") > 0) | can).select("token", "d1", "d2", "n", "pos")
     return stored(kept.join(sets.select("id", "d1", "d2", "n"), ["d1", "d2", "n"]).select("token", "id", "n", "pos"), "postings")
 
 
@@ -226,6 +240,21 @@ def _other_pairs(rule: Rule, lists: DataFrame) -> DataFrame:
 # ---- verification ----
 
 
+def _fetched(rule: Rule, df: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """(id, n, ranges, tokens) of the wanted sets (id, row, d1, d2), each taken from one row that has it; stored."""
+    asked = small(wanted.withColumnRenamed("row", "row_"))
+
+    def of(rows: DataFrame) -> DataFrame:
+        return rows.select("id", "d1", "d2", quoted(text)).mapInArrow(_fetching(rule), from_arrow_schema(SETS))
+
+    rows = df.join(asked, "row_")
+    again = stored(rows.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id"), "again")
+    if again.limit(1).count() == 0:
+        return stored(of(rows), "sets")
+    alone, several = of(rows.join(again, "id", "left_anti")), of(rows.join(again, "id", "left_semi").dropDuplicates(["id", text]))
+    return stored(alone.unionByName(several.dropDuplicates(["id"])), "sets")
+
+
 def may_link(rule: Rule, a: np.ndarray, b: np.ndarray) -> bool:
     """Suffix filter: what differs inside single ranges of hashes cannot be common."""
     total = int(a.sum() + b.sum())
@@ -269,9 +298,8 @@ def similar_sets(df: DataFrame, text: str, sets: DataFrame, first_rows: DataFram
     components is lost, though a group of copies does not list all its pairs.
     """
     lists = _postings(rule, df, text, sets, common)
-    wanted = lists.select("id").distinct().join(first_rows, "id")
-    rows = wanted.join(df.select(F.col("row_"), quoted(text).alias("text")), F.col("row") == F.col("row_")).select("id", "d1", "d2", "text")
-    fetched = stored(rows.mapInArrow(_fetching(rule), from_arrow_schema(SETS)).dropDuplicates(["id"]), "sets")
+    wanted = stored(lists.select("id").distinct().join(first_rows, "id"), "wanted")
+    fetched = _fetched(rule, df, text, wanted)
     links, tested = known, None
     for number in range(STARS + 1):
         lists = _labelled(lists.select("token", "id", "n", "pos"), links)

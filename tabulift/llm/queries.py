@@ -203,12 +203,76 @@ def op10(spark, folder):
     return language_id.identify(table(spark, folder, "documents"))
 
 
-@query("op11_spelling")
+def _crc_table() -> list[int]:
+    """What crc32 does to each half byte."""
+    table = list(range(16))
+    for _ in range(4):
+        table = [x >> 1 ^ 0xEDB88320 * (x & 1) for x in table]
+    return table
+
+
+_HEX = "hex(encode({0}))"
+#: Checksum (crc32) of a text, half byte by half byte, the lower half of each byte first.
+_CRC = (
+    f"xor(list_reduce(list_transform(range(1, len({_HEX}) + 1), lambda i: CAST(strpos('0123456789ABCDEF', {_HEX}[xor(i - 1, 1) + 1]) - 1 AS BIGINT)), "
+    f"lambda c, v: xor(c >> 4, {_crc_table()}[xor(c, v) % 16 + 1]), 4294967295), 4294967295)"
+)
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op11_spelling",
+    f"""WITH RECURSIVE o AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+          c AS (SELECT doc_id, run, count(*) AS k FROM o GROUP BY ALL),
+          h AS (SELECT run, k, {_CRC.format("(CAST(doc_id AS VARCHAR) || ':' || run)")} AS h FROM c),
+          s AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h),
+          v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM s WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+          cut AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+          near AS (SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT cut.word, v.word FROM cut JOIN v ON cut.rest = v.word UNION SELECT v.word, cut.word FROM cut JOIN v ON cut.rest = v.word),
+          best AS (SELECT near.word, other, v.n, count(*) OVER (PARTITION BY near.word) AS n_near,
+            row_number() OVER (PARTITION BY near.word ORDER BY v.n DESC, other) AS place FROM near JOIN v ON near.other = v.word),
+          f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 2 * v.n THEN other END AS form, CASE WHEN best.n >= 2 * v.n THEN best.n END AS form_n
+            FROM v LEFT JOIN best ON v.word = best.word AND place = 1),
+          r AS (SELECT word, word AS onto FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON r.onto = f.word WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, r.onto AS root, f.n, f.n_near, f.form_n FROM f JOIN r ON f.word = r.word JOIN f e ON r.onto = e.word AND e.form IS NULL""",
+)
 def op11(spark, folder):
     return spelling.spelling_variants(table(spark, folder, "documents"), slip_every=97)
 
 
-@query("op12_merkle")
+def _part(column: str) -> str:
+    return f"coalesce(strlen(CAST({column} AS VARCHAR)) || ':' || {column}, '-')"
+
+
+_LEAF = f"sha256({' || '.join(map(_part, ('doc_id', 'source', 'lang', 'n_chars')))} || {{}})"
+
+
+@query(
+    "op12_merkle",
+    f"""WITH RECURSIVE c AS (SELECT *, CASE WHEN {_CRC.format("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS cut FROM documents),
+          d AS (SELECT doc_id, source, {_LEAF.format(_part("text"))} AS leaf, {_LEAF.format(_part("cut"))} AS tampered FROM c),
+          l AS (SELECT *, row_number() OVER () AS u, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, tampered) - 1 AS i FROM d),
+          t AS (SELECT source, 0 AS level, i, leaf AS h FROM l
+            UNION ALL SELECT source, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i))
+            FROM (SELECT *, count(*) OVER (PARTITION BY source) AS k FROM t) WHERE k > 1 GROUP BY source, level, i // 3),
+          sub AS (SELECT source, max(level) AS height, arg_max(h, level) AS subroot FROM t GROUP BY source),
+          g AS (SELECT *, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS j FROM sub),
+          o AS (SELECT 0 AS level, j AS i, subroot AS h FROM g
+            UNION ALL SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS k FROM o) WHERE k > 1 GROUP BY level, i // 3),
+          w AS (SELECT max(level) AS height, arg_max(h, level) AS root FROM o),
+          nodes AS (SELECT u, t.level AS step, t.i AS i, l.i // CAST(3 ** t.level AS BIGINT) AS mine, h FROM l JOIN g ON l.source IS NOT DISTINCT FROM g.source
+              JOIN t ON t.source IS NOT DISTINCT FROM g.source AND t.level < g.height AND t.i // 3 = l.i // CAST(3 ** (t.level + 1) AS BIGINT)
+            UNION ALL SELECT u, g.height + o.level, o.i, j // CAST(3 ** o.level AS BIGINT), h FROM l JOIN g ON l.source IS NOT DISTINCT FROM g.source
+              JOIN w ON true JOIN o ON o.level < w.height AND o.i // 3 = j // CAST(3 ** (o.level + 1) AS BIGINT)),
+          p AS (SELECT u, step, coalesce(string_agg(h, '' ORDER BY i) FILTER (WHERE i < mine), '') AS before,
+            coalesce(string_agg(h, '' ORDER BY i) FILTER (WHERE i > mine), '') AS behind FROM nodes GROUP BY u, step),
+          f AS (SELECT u, 0 AS step, tampered AS node FROM l UNION ALL SELECT f.u, f.step + 1, sha256(before || node || behind) FROM f JOIN p ON f.u = p.u AND f.step = p.step),
+          e AS (SELECT u, arg_max(node, step) AS folded_root FROM f GROUP BY u),
+          q AS (SELECT u, sha256(string_agg(before || behind, '' ORDER BY step)) AS proof FROM p GROUP BY u)
+        SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM l JOIN g ON l.source IS NOT DISTINCT FROM g.source JOIN w ON true JOIN e ON l.u = e.u LEFT JOIN q ON l.u = q.u""",
+)
 def op12(spark, folder):
     docs = table(spark, folder, "documents")
     fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
@@ -228,6 +292,17 @@ def op12(spark, folder):
     )
 
 
-@query("op13_ngram_join")
+@query(
+    "op13_ngram_join",
+    rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_LOWER.format("text")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+          s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS shingle
+            FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
+          n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+          k AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+          e AS (SELECT a, b FROM k JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= 85 * (x.n + y.n - k)),
+          ab AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+          r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, b FROM r JOIN ab ON r.other = a)
+        SELECT r.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id FROM r LEFT JOIN n ON r.doc_id = n.doc_id GROUP BY r.doc_id""",
+)
 def op13(spark, folder):
     return ngram_join.similar_documents(table(spark, folder, "documents"), ngram_join.Rule(width=4, part=85, of=100))
