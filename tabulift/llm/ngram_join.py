@@ -11,9 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
-from pyspark.sql.types import BooleanType
 
-from tabulift.llm.common import Remembered, components, quoted, small, stored
+from tabulift.llm.common import Remembered, by_rows, components, quoted, small, stored
 
 #: Counters of n-grams, by the first bits of their hash, and the rows in which a task sends them.
 COUNTER_BITS, COUNTER_ROWS = 20, 64
@@ -22,7 +21,9 @@ COLLECTED = 1 << 19
 #: Ranges of hashes whose n-grams the suffix filter counts.
 RANGES = 64
 #: Sets whose prefixes a task remembers to have sent.
-SENT_SETS = 1 << 17
+SENT_SETS = 1 << 14
+#: Rows of prefixes that a task sends at once.
+SENT_ROWS = 1 << 17
 #: Lists of n-grams whose counter is so large (and far above most counters) are cut into parts before they are shuffled.
 HOT_COUNT, HOT_PARTS = 1 << 17, 64
 #: Rounds in which a list is compared with one of its sets only, before what is still apart is compared.
@@ -31,7 +32,7 @@ BASE = np.uint64(0x9E3779B97F4A7C13)
 
 MARKED = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("counter", pa.int32()), ("counts", pa.binary())])
 PREFIX = pa.schema([("token", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("part", pa.int16())])
-SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("ranges", pa.binary()), ("tokens", pa.binary())])
+SETS = "id bigint, n bigint, ranges array<int>, tokens array<bigint>"
 
 
 @dataclass(frozen=True)
@@ -139,9 +140,8 @@ def _prefixes(rule: Rule, common) -> Callable:
     hot = min(255, max(int(8 * np.log2(HOT_COUNT)), int(np.median(common.value)) + 32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent = Remembered(SENT_SETS)
+        sent, parts, size = Remembered(SENT_SETS), [], 0
         for batch in batches:
-            parts = []
             for text in batch.column(0):
                 tokens = ngrams(text.as_py(), rule.width)
                 digest, n = _digest(tokens), len(tokens)
@@ -152,27 +152,26 @@ def _prefixes(rule: Rule, common) -> Callable:
                 prefix = rare_first(tokens, common.value)[:length]
                 part = np.where(common.value[_counter(prefix)] >= hot, 1 + digest[0] % HOT_PARTS, 0)
                 parts.append((prefix.view(np.int64), *(np.full(length, x) for x in (*digest, n)), np.arange(length), part.astype(np.int16)))
-            if parts:
-                yield _batch([np.concatenate(c) for c in zip(*parts)], PREFIX)
+                size += length
+                if size >= SENT_ROWS:
+                    yield _batch([np.concatenate(c) for c in zip(*parts)], PREFIX)
+                    parts, size = [], 0
+        if parts:
+            yield _batch([np.concatenate(c) for c in zip(*parts)], PREFIX)
 
     return run
 
 
 def _fetching(rule: Rule) -> Callable:
-    """(id, n, ranges, tokens) of rows (id, digest, text) whose text has that digest."""
+    """(id, n, ranges, tokens) of a row (id, digest, text) whose text has that digest."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for id_, d1, d2, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                tokens = ngrams(text, rule.width)
-                if _digest(tokens) == (d1, d2):
-                    ranges = np.bincount((tokens & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES)
-                    out.append((id_, len(tokens), ranges.astype("<u4").tobytes(), tokens.tobytes()))
-            if out:
-                yield _batch(list(zip(*out)), SETS)
+    def fetch(id_: int, d1: int, d2: int, text: str | None) -> Iterator[tuple[int, tuple]]:
+        tokens = ngrams(text, rule.width)
+        if _digest(tokens) == (d1, d2):
+            ranges = np.bincount((tokens & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES)
+            yield 8 * len(tokens) + 300, (id_, len(tokens), ranges.tolist(), tokens.view(np.int64))
 
-    return run
+    return fetch
 
 
 # ---- candidates ----
@@ -190,11 +189,12 @@ def _postings(rule: Rule, df: DataFrame, text: str, sets: DataFrame, common) ->
 
     With ``free = (of + part) (n - pos) - part n`` two rows pass the positional filter if the ``free`` of each is at least ``part`` times the
     other's n. So a row whose free is too small for the smallest other n, or whose n is too large for the largest other free, pairs with
-    none. Most lists hold chance meetings of rare n-grams and go here, before anything is written. Lists that were cut into parts keep all rows.
+    none. Most n-grams stand in one set, and most lists hold chance meetings: these go here, before anything is written. Lists that were cut into parts keep all rows.
     """
     sent = df.select(quoted(text)).mapInArrow(_prefixes(rule, common), from_arrow_schema(PREFIX))
-    rows = sent.repartition("token", "part").distinct()
     list_ = Window.partitionBy("token", "part")
+    met = sent.repartition("token", "part").withColumn("rows", F.count("*").over(list_)).where("part > 0 or rows > 1")
+    rows = met.drop("rows").distinct()  # what several tasks sent
     free, me = rule.of * F.col("n") - (rule.of + rule.part) * F.col("pos"), F.struct("d1", "d2")
     most, least = F.max(F.struct(F.col("free"), F.col("me"))).over(list_), F.min(F.struct(F.col("n"), F.col("me"))).over(list_)
     ends = rows.withColumn("free", free).withColumn("me", me).withColumn("most", most).withColumn("least", least)
@@ -245,7 +245,7 @@ def _fetched(rule: Rule, df: DataFrame, text: str, wanted: DataFrame) -> DataFra
     asked = small(wanted.withColumnRenamed("row", "row_"))
 
     def of(rows: DataFrame) -> DataFrame:
-        return rows.select("id", "d1", "d2", quoted(text)).mapInArrow(_fetching(rule), from_arrow_schema(SETS))
+        return by_rows(rows.select("id", "d1", "d2", quoted(text).alias("text")), SETS, ("id", "d1", "d2", "text"), _fetching(rule))
 
     rows = df.join(asked, "row_")
     again = stored(rows.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id"), "again")
@@ -255,36 +255,27 @@ def _fetched(rule: Rule, df: DataFrame, text: str, wanted: DataFrame) -> DataFra
     return stored(alone.unionByName(several.dropDuplicates(["id"])), "sets")
 
 
-def may_link(rule: Rule, a: np.ndarray, b: np.ndarray) -> bool:
-    """Suffix filter: what differs inside single ranges of hashes cannot be common."""
-    total = int(a.sum() + b.sum())
-    return int(np.abs(a.astype(np.int64) - b).sum()) <= total - 2 * rule.overlap(total)
-
-
-def linked(rule: Rule, a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return rule.of * both >= rule.part * (len(a) + len(b) - both)
-
+def _may_link(rule: Rule, a: Column, b: Column, n: Column) -> Column:
+    """Suffix filter, for two sets' counts by range and their sizes together: what differs inside single ranges of hashes cannot be common."""
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
+    return (rule.of + rule.part) * (n - apart) >= 2 * rule.part * n
 
-def _judged(rule: Rule, judge: Callable, dtype: str):
-    @F.arrow_udf(BooleanType())
-    def judged(a: pa.Array, b: pa.Array) -> pa.Array:
-        pairs = zip(a.to_pylist(), b.to_pylist())
-        return pa.array([judge(rule, np.frombuffer(x, dtype), np.frombuffer(y, dtype)) for x, y in pairs], pa.bool_())
 
-    return judged
+def _linked(rule: Rule, a: Column, b: Column, n: Column) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return (rule.of + rule.part) * both >= rule.part * n
 
 
 def _verified(rule: Rule, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link: first by the counts of ranges, then by the sets themselves, which only survivors fetch."""
 
-    def looked_up(rows: DataFrame, column: str, judge: Callable, dtype: str) -> DataFrame:
-        each = sets.select("id", column)
-        both = rows.join(each.toDF("a", "x"), "a").join(each.toDF("b", "y"), "b")
-        return both.where(_judged(rule, judge, dtype)("x", "y")).select("a", "b")
+    def looked_up(rows: DataFrame, column: str, judge: Callable) -> DataFrame:
+        each = sets.select("id", "n", column)
+        both = rows.join(each.toDF("a", "n_a", "x"), "a").join(each.toDF("b", "n_b", "y"), "b")
+        return both.where(judge(rule, F.col("x"), F.col("y"), F.col("n_a") + F.col("n_b"))).select("a", "b")
 
-    possible = stored(looked_up(pairs, "ranges", may_link, "<u4"), "possible")
-    return stored(looked_up(possible, "tokens", linked, "<u8"), "links")
+    possible = stored(looked_up(pairs, "ranges", _may_link), "possible")
+    return stored(looked_up(possible, "tokens", _linked), "links")
 
 
 # ---- the join ----

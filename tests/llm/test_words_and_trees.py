@@ -215,18 +215,25 @@ def test_no_rows_to_join(spark):
     assert ngram_join.similar_documents(texts_of(spark, [(1, "x")]).limit(0)).count() == 0
 
 
-def test_filters_lose_no_pair():
-    r, rule = random.Random(10), ngram_join.Rule()
+def test_filters_lose_no_pair(spark):
+    r, rule, pairs = random.Random(10), ngram_join.Rule(), []
     common = np.zeros(1 << ngram_join.COUNTER_BITS, np.uint8)
-    for _ in range(200):
+    for _ in range(300):
         a = {r.getrandbits(64) for _ in range(r.randint(1, 120))}
         b = set(r.sample(sorted(a), r.randint(len(a) * 8 // 10, len(a)))) | {r.getrandbits(64) for _ in range(r.randint(0, 12))}
         a, b = (np.array(sorted(x), np.uint64) for x in (a, b))
-        if not ngram_join.linked(rule, a, b):
-            continue
-        ranges = [np.bincount((x % np.uint64(64)).astype(int), minlength=64).astype("<u4") for x in (a, b)]
-        assert ngram_join.may_link(rule, *ranges)
-        fronts = [ngram_join.rare_first(x, common)[: len(x) - rule.least_size(len(x)) + 1].tolist() for x in (a, b)]
-        first = min(fronts[0].index(t) * 1000 + fronts[1].index(t) for t in set(fronts[0]) & set(fronts[1]))
-        left = min(len(a) - first // 1000, len(b) - first % 1000)
-        assert left >= rule.overlap(len(a) + len(b))
+        both = len(np.intersect1d(a, b))
+        linked = 100 * both >= 85 * (len(a) + len(b) - both)
+        ranges = [np.bincount((x % np.uint64(64)).astype(int), minlength=64).tolist() for x in (a, b)]
+        pairs.append((*ranges, a.view(np.int64).tolist(), b.view(np.int64).tolist(), len(a) + len(b), linked))
+        if linked:
+            fronts = [ngram_join.rare_first(x, common)[: len(x) - rule.least_size(len(x)) + 1].tolist() for x in (a, b)]
+            first = min(fronts[0].index(t) * 1000 + fronts[1].index(t) for t in set(fronts[0]) & set(fronts[1]))
+            left = min(len(a) - first // 1000, len(b) - first % 1000)
+            assert left >= rule.overlap(len(a) + len(b))
+    df = spark.createDataFrame(pairs, "x array<int>, y array<int>, a array<bigint>, b array<bigint>, n int, linked boolean")
+    may = ngram_join._may_link(rule, F.col("x"), F.col("y"), F.col("n"))
+    does = ngram_join._linked(rule, F.col("a"), F.col("b"), F.col("n"))
+    assert 50 < sum(p[-1] for p in pairs) < 280
+    assert all(m or not linked for m, linked in df.select(may, "linked").collect())
+    assert all(d == linked for d, linked in df.select(does, "linked").collect())
