@@ -103,64 +103,74 @@ def _joined(data: np.ndarray, places: np.ndarray, step: int, stop: int) -> np.nd
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Suffixes of symbols (0 to 511) in order, by Larsson-Sadakane refinement.
+    """Suffixes of symbols (0 to 511) in order. Behind the end every symbol is 0."""
+    return refined(data, len(data))[0]
 
-    Suffixes start sorted by their first seven symbols. Each round doubles the sorted length: a suffix is placed within its
-    group by the rank of the suffix that many symbols on. Only groups of several suffixes are sorted again; a
-    suffix alone in its group keeps its place. Behind the end every symbol is 0.
+
+def refined(data: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, rank): suffixes ordered by their first ``most`` symbols, by Larsson-Sadakane refinement; those of one rank have these in common.
+
+    Suffixes start sorted by their first seven symbols. Each round doubles the sorted length, the last one up to ``most``: a suffix is
+    placed within its group by the rank of the suffix that many symbols on. Only groups of several suffixes are sorted again; a
+    suffix alone in its group keeps its place. The rank is the place of the last of a group, which only falls when the group is split.
     """
-    n = len(data)
-    key = _joined(data, np.arange(n), 0, AT_ONCE)
-    order = np.argsort(key, kind="stable")
-    rank = np.empty(n, np.int64)  # the place of the last of its group, which only falls when the group is split
-    _rank_groups(order, np.arange(n), np.diff(key[order].view(np.int64)) != 0, rank)
-    length = AT_ONCE
+    n, length = len(data), min(AT_ONCE, max(most, 1))
+    padded = np.r_[data, np.zeros(length, data.dtype)].astype(np.int64)
+    key = np.zeros(n, np.int64)
+    for j in range(length):
+        key = key << 9 | padded[j : j + n]
+    order = np.argsort(key)
+    rank = np.empty(n, np.int64)
+    suffixes, places, differs = order, np.arange(n), np.diff(key[order]) != 0
     while True:
-        size = np.bincount(rank, minlength=n)
-        open_ = np.flatnonzero(size[rank[order]] > 1)  # places in the order that belong to groups of several
-        if not len(open_):
-            return order
-        suffixes = order[open_]
-        group = rank[suffixes]
-        on = np.where(suffixes + length < n, rank[np.minimum(suffixes + length, n - 1)], -1)
-        inner = np.lexsort((on, group))
-        suffixes, group, on = suffixes[inner], group[inner], on[inner]
-        order[open_] = suffixes
-        _rank_groups(suffixes, open_, (group[1:] != group[:-1]) | (on[1:] != on[:-1]), rank)
-        length *= 2
-
-
-def _rank_groups(suffixes: np.ndarray, places: np.ndarray, differs: np.ndarray, rank: np.ndarray) -> None:
-    """Give each suffix the place of the last of its group; ``differs`` tells where a group ends."""
-    if not len(suffixes):
-        return
-    ends = np.flatnonzero(np.r_[differs, True])
-    rank[suffixes] = places[np.repeat(ends, np.diff(np.r_[-1, ends]))]
-
-
-def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+        ends = np.flatnonzero(np.r_[differs, True])
+        sizes = np.diff(np.r_[-1, ends])
+        rank[suffixes] = places[np.repeat(ends, sizes)]
+        several = np.repeat(sizes > 1, sizes)
+        suffixes, places = suffixes[several], places[several]
+        if not len(suffixes) or length >= most:
+            return order, rank
+        step = min(length, most - length)
+        on = suffixes + step
+        key = rank[suffixes] * (n + 1) + np.where(on < n, rank[np.minimum(on, n - 1)] + 1, 0)
+        inner = np.argsort(key)
+        suffixes, key = suffixes[inner], key[inner]
+        order[places] = suffixes
+        differs = np.diff(key) != 0
+        length += step
+
+
+def common_prefixes(data: np.ndarray, order: np.ndarray, most: int, rank: np.ndarray | None = None) -> np.ndarray:
     """Length of the common prefix of each suffix (by its start) with the one before it in the order, up to ``most``: Kasai's rule.
 
     Going through the text, the common prefix is at most one shorter than at the place before, so comparing goes on where it stopped.
-    The text is cut into lanes that are followed side by side; each begins from nothing.
+    The text is cut into lanes that are followed side by side; each begins from nothing. With the ``rank`` of an order by the first
+    ``most`` symbols only, suffixes of one rank have these in common; behind such a place the carry holds only if the suffix before it,
+    moved on by one, still stands before in the order. Else comparing starts anew.
     """
     n = len(data)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    tied = np.zeros(n, bool) if rank is None else (before >= 0) & (rank == rank[before])
     result = np.zeros(n, np.int64)
     stride = max(256, -(-n // LANES))
     at = np.arange(0, n, stride)
     stop = np.minimum(at + stride, n)
-    have = np.zeros(len(at), np.int64)
+    have = np.where(tied[at], most, 0)
     while len(at):
         other = before[at]
         can = (other >= 0) & (have < most) & (at + have < n) & (other + have < n)
         same = can.copy()
         same[can] = data[at[can] + have[can]] == data[other[can] + have[can]]
         have[same] += 1
-        done = ~same
-        result[at[done]] = have[done]
-        have[done] = np.maximum(have[done] - 1, 0)
+        done = np.flatnonzero(~same)
+        now, follower = at[done], other[done] + 1
+        result[now] = have[done]
+        next_ = np.minimum(now + 1, n - 1)
+        holds = ~tied[now] | (follower >= n) | (place[np.minimum(follower, n - 1)] < place[next_])
+        have[done] = np.where(tied[next_], most, np.where(holds, np.maximum(have[done] - 1, 0), 0))
         at[done] += 1
         if (at >= stop).any():
             left = at < stop
@@ -179,8 +189,8 @@ class Shard:
         data = np.frombuffer(b"\x00".join(texts) + b"\x00", np.uint8).astype(np.int16) + 1
         data[self.starts + sizes - 1] = 0
         self.data = data
-        order = suffix_array(data)
-        prefixes = common_prefixes(data, order, window)
+        order, rank = refined(data, window)
+        prefixes = common_prefixes(data, order, window, rank)
         own = np.zeros(len(data) + 1, np.int64)  # windows that belong to their context's anchor; others are owned elsewhere
         np.add.at(own, self.starts, 1)
         np.add.at(own, self.starts + self.counts, -1)
