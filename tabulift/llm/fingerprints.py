@@ -150,11 +150,11 @@ def _ends(marks: np.ndarray, n: int, bits: int) -> np.ndarray:
 
 
 def levels(n: int) -> tuple[int, int]:
-    """The two levels (bits of ``span_ends``) at which a text of n code points has spans: between 32 and 64 of them, and half as many.
+    """The two levels (bits of ``span_ends``) at which a text of n code points has spans: between 64 and 128 of them, and half as many.
 
     Texts whose lengths differ by less than a factor of two share a level.
     """
-    bits = min(max(n.bit_length() - 6, FINEST), COARSEST)
+    bits = min(max(n.bit_length() - 7, FINEST), COARSEST)
     return bits, bits + 1
 
 
@@ -164,7 +164,7 @@ def fingerprint(text: str | None) -> str:
     The hash is that of all code points; then come 32-bit hashes of the prefixes and suffixes of grid lengths, and, for both
     ``levels`` of the length, those of all spans (``span_ends``) in order and their sizes. Spans are chosen by what stands in them, so an edit changes
     those it touches and no others. Their size follows the text, so that a fingerprint has some thousand digits at any length up to
-    64 * 2**COARSEST code points, and grows slowly beyond. A null text is empty.
+    128 * 2**COARSEST code points, and grows slowly beyond. A null text is empty.
     """
     points = code_points(text)
     return _fingerprint(points, Prefixes(points))
@@ -215,7 +215,7 @@ def likeness(a: str, b: str) -> float:
 
     In common are the prefix and suffix, rounded down to the grid, and the whole spans between them; or all whole spans, if these
     are more. Spans are compared at the finest level that both have; texts without one differ by more than a factor of two in
-    length. An edit hides the spans that it touches, about a thirtieth of the text and ten code points; a moved span counts. Equal texts have 1.
+    length. An edit hides the spans that it touches, about a fiftieth of the text and ten code points; a moved span counts. Equal texts have 1.
     """
     (n, whole, heads, tails, level, *spans), (m, other, heads_, tails_, level_, *spans_) = a.split(":"), b.split(":")
     if (n, whole) == (m, other):
