@@ -94,6 +94,21 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
+def with_variant(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
+    """Add ``name``: 0, or, for rows of a key that has several different texts, a hash of the row's text.
+
+    Key and variant together tell texts apart, so that places found in one text never go to another one of its key.
+    """
+    hashed = df.where(quoted(key).isNotNull() & quoted(text).isNotNull()).select(quoted(key).alias("of"), F.xxhash64(quoted(text)).alias("h"))
+    ends = hashed.groupBy("of").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    several = stored(ends.where("low < high").select("of"), "several")
+    if several.limit(1).count() == 0:
+        return df.withColumn(name, F.lit(0).cast("bigint"))
+    at = free_name(df, "of")
+    joined = df.join(small(several.withColumnRenamed("of", at)), quoted(key) == quoted(at), "left")
+    return joined.withColumn(name, F.when(quoted(at).isNotNull(), F.xxhash64(quoted(text))).otherwise(0).cast("bigint")).select(*map(quoted, df.columns), quoted(name))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b): component is the smallest node that can be reached.
 
