@@ -13,19 +13,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from tabulift.llm.common import free_name, quoted, stored
+from tabulift.llm.common import free_name, quoted, stored, with_variant
 
 #: Bytes of the strings whose hashes choose anchors.
 GRAM = 32
 #: Bytes of one shard, about. A shard's suffix array takes some tens of bytes for each.
 SHARD_BYTES = 2 << 20
-#: Contexts of one anchor, at most, that go through suffix arrays; for more, whole windows are grouped by digest.
-HOT = 50_000
+#: Contexts of one anchor in one part, about; more are searched part against part.
+PART = 20_000
 #: Lanes in which common prefixes are computed side by side.
 LANES = 2_048
 BASE = 0x9E3779B97F4A7C13
 
-ANCHORS = pa.schema([("f", pa.int64()), ("context", pa.int64()), ("doc", pa.int64()), ("first", pa.int32()), ("n", pa.int32())])
+ANCHORS = pa.schema([("f", pa.int64()), ("context", pa.int64()), ("doc", pa.int64()), ("variant", pa.int64()), ("first", pa.int32()), ("n", pa.int32())])
 SPANS = pa.schema([("f", pa.int64()), ("context", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
 
 
@@ -253,22 +253,20 @@ def repeated_in(contexts_of: list[tuple[list[bytes], list[int]]], window: int) -
 # ---- as Spark jobs ----
 
 
-def _documents(df: DataFrame, key: str, text: str) -> DataFrame:
-    if df.schema[key].dataType.typeName() not in ("long", "integer", "short", "byte"):
-        raise ValueError(f"{key} must be an integer column")
-    return df.select(quoted(key).cast(LongType()).alias("doc"), quoted(text).cast(BinaryType()).alias("raw"))
+def _documents(df: DataFrame, key: str, text: str, variant: str) -> DataFrame:
+    return df.select(quoted(key).cast(LongType()).alias("doc"), quoted(text).cast(BinaryType()).alias("raw"), quoted(variant).alias("variant"))
 
 
 def _anchored(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches:
-            for doc, raw in zip(batch.column(0), batch.column(1)):
+            for doc, raw, variant in zip(*(batch.column(i) for i in range(3))):
                 doc, raw = doc.as_py(), raw.as_py()
                 if doc is None or raw is None or len(raw) < window:
                     continue
                 f, context, first, n = contexts(raw, window)
-                parts.append((f, context, np.full(len(f), doc), first, n))
+                parts.append((f, context, np.full(len(f), doc), np.full(len(f), variant.as_py()), first, n))
                 size += len(f)
                 if size >= 1 << 17:
                     yield _columns(parts, ANCHORS)
@@ -287,73 +285,77 @@ def _sharded(window: int):
     """Reads contexts in order of their anchor, fills shards and searches them; a group that goes on in the next shard is merged across."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0  # rows (f, context, raw, n)
+        held, size = [], 0  # rows (f, i, j, context, raw, n)
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[0] != held[-1][0] and size >= SHARD_BYTES:
+                if held and row[:3] != held[-1][:3] and (size >= SHARD_BYTES or row[0] == held[-1][0]):
                     yield from search(held)
                     held, size = [], 0
+                if held and row[:4] == held[-1][:4]:
+                    continue  # the same context from an equal row of its key
                 held.append(row)
-                size += len(row[2])
+                size += len(row[4])
         if held:
             yield from search(held)
 
     def search(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         shards, size = [([], [])], 0
-        for _, _, raw, n in rows:
+        for *_, raw, n in rows:
             if size >= SHARD_BYTES:
                 shards.append(([], []))
                 size = 0
             shards[-1][0].append(raw)
             shards[-1][1].append(n)
             size += len(raw)
-        found = [(f, c, a, b) for (f, c, _, _), spans in zip(rows, repeated_in(shards, window)) for a, b in spans]
+        found = [(f, c, a, b) for (f, _, _, c, _, _), spans in zip(rows, repeated_in(shards, window)) for a, b in spans]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*found), SPANS)], schema=SPANS)
 
     return run
 
 
-def repeated_strings(df: DataFrame, window: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, spans): of every document, runs (first, last + 1) of places at which a string of ``window`` bytes starts that also starts elsewhere.
+def repeated_strings(df: DataFrame, variant: str, window: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, variant, spans): of every text, runs (first, last + 1) of places at which a string of ``window`` bytes starts that also starts elsewhere.
 
+    ``variant`` names the column of ``with_variant``.
     1. Each window belongs to an anchor chosen by its own bytes, about one place in 85; rows hold only hashes and places.
     2. Contexts that two places share are known to be repeated as a whole; copies are summed up before the shuffle. Anchors
        that one place has cannot hold a repeated window and are dropped.
     3. What is left are anchors with several different contexts. One copy of each is fetched, dealt to shards by anchor, and each
        shard's suffix array and common prefixes give the windows that two contexts share. Equal windows have equal anchors, so
        they meet in one group; a group larger than a shard is searched shard by shard and merged by binary search.
-    4. Anchors with more than HOT contexts are not held in one task: their windows are grouped by 128-bit digest instead.
+    4. The contexts of an anchor that has more than PART of them are cut into parts, and each two parts are searched on their own, so
+       that no task holds more than two.
     """
-    docs = _documents(df, key, text)
+    docs = _documents(df, key, text, variant)
     anchors = stored(docs.mapInArrow(_anchored(window), from_arrow_schema(ANCHORS)), "anchors")
-    several = anchors.groupBy("f").agg(F.count("*").alias("all")).where(F.col("all") > 1).select("f")
+    # written before they are joined, so that a common anchor can be split
+    several = stored(anchors.groupBy("f").agg(F.count("*").alias("all")).where(F.col("all") > 1).select("f"), "several")
     shared = stored(anchors.join(several, "f", "left_semi"), "shared")
-    grouped = shared.groupBy("f", "context").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "first", "n")).alias("at"))
-    kinds = grouped.groupBy("f").agg(F.count("*").alias("kinds"))
-    known = stored(grouped.join(kinds, "f").select("f", "context", "copies", "kinds", "at.doc", "at.first", "at.n"), "contexts")
-    wanted = known.where("kinds > 1").groupBy("doc").agg(F.collect_list(F.struct("f", "context", "first", "n", "kinds")).alias("wanted"))
-    fetched = docs.join(wanted.withColumnRenamed("doc", "at"), F.col("doc") == F.col("at"), "left").where("wanted is not null")
+    grouped = shared.groupBy("f", "context").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "variant", "first", "n")).alias("at"))
+    grouped = stored(grouped.select("f", "context", "copies", "at.*"), "contexts")
+    kinds = stored(grouped.groupBy("f").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
+    known = grouped.join(kinds, "f")
+    wanted = known.groupBy("doc", "variant").agg(F.collect_list(F.struct("f", "context", "first", "n", "kinds")).alias("wanted"))
+    wanted = wanted.withColumnRenamed("doc", "at").withColumnRenamed("variant", "of")
+    fetched = docs.join(wanted, (F.col("doc") == F.col("at")) & (F.col("variant") == F.col("of")))
     piece = F.substring(F.col("raw"), F.col("w.first") + 1, F.col("w.n") + (window - 1)).alias("raw")
-    pieces = fetched.select("raw", F.explode("wanted").alias("w")).select("w.f", "w.context", piece, "w.n", (F.col("w.kinds") > HOT).alias("hot"))
-    texts = stored(pieces, "texts")
-    cold = texts.where("not hot").select("f", "context", "raw", "n")
-    searched = cold.repartition("f").sortWithinPartitions("f", "context").mapInArrow(_sharded(window), from_arrow_schema(SPANS))
-    spans = searched.unionByName(_by_digest(texts.where("hot"), window))
-    whole = known.where("copies > 1").select("f", "context", F.lit(0).alias("a"), F.col("n").alias("b"))
-    found = spans.unionByName(whole)
-    placed = shared.join(found, ["f", "context"]).select("doc", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
-    return placed.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-
-
-def _by_digest(texts: DataFrame, window: int) -> DataFrame:
-    place = F.col("i")
-    window_bytes = F.substring(F.col("raw"), place + 1, F.lit(window))
-    each = texts.select("f", "context", "raw", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select(
-        "f", "context", "i", F.md5(window_bytes).alias("digest")
-    )
-    several = each.groupBy("f", "digest").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    return each.join(several, ["f", "digest"], "left_semi").select("f", "context", place.alias("a"), (place + 1).alias("b"))
+    pieces = fetched.select("raw", F.explode("wanted").alias("w")).select("w.f", "w.context", piece, "w.n", "w.kinds")
+    met = _in_parts(pieces).select("f", "i", "j", "context", "raw", "n")
+    order = ["f", "i", "j"]
+    spans = met.repartition(*order).sortWithinPartitions(*order, "context").mapInArrow(_sharded(window), from_arrow_schema(SPANS))
+    whole = grouped.where("copies > 1").select("f", "context", F.lit(0).alias("a"), F.col("n").alias("b"))
+    found = stored(spans.unionByName(whole), "spans")
+    placed = shared.join(found, ["f", "context"]).select("doc", "variant", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
+    return placed.groupBy("doc", "variant").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+
+
+def _in_parts(pieces: DataFrame) -> DataFrame:
+    """The contexts with the block (i, j) of parts in which they meet; anchors with up to PART contexts have one part."""
+    parts = F.ceil(F.col("kinds") / PART).cast("int")
+    mine = F.pmod(F.col("context"), parts).cast("int")
+    met = pieces.withColumn("mine", mine).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return met.withColumn("i", F.least("mine", "with")).withColumn("j", F.greatest("mine", "with"))
 
 
 def dedup_bytes(df: DataFrame, window: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -361,13 +363,18 @@ def dedup_bytes(df: DataFrame, window: int = 200, key: str = "doc_id", text: str
 
     Texts are UTF-8 bytes; a string counts as repeated if it also starts anywhere else, in the same document or another, also where
     the two overlap; strings do not cross documents and are judged on the input. ``kept`` is binary, as cuts may fall
-    inside a character. A null text is empty. Rows with a null key take no part and keep all. Rows of one key are
-    different texts to each other and repeat each other; they must be equal, else places mix. Other columns stay; new ones get underscores
-    if a column has their name.
+    inside a character. A null text is empty. Rows with a null key take no part and keep all. Rows of one key are different
+    documents to each other and repeat each other, whether their texts are equal or not. Other columns stay; new ones get underscores
+    if a column has their name. An empty table gives no row. A key that is no integer raises ValueError.
     """
-    spans = repeated_strings(df, window, key, text)
-    at, runs = free_name(df, "at"), free_name(df, "spans")
-    joined = df.join(spans.toDF(at, runs), quoted(key).cast(LongType()) == quoted(at), "left").drop(at)
+    if df.schema[key].dataType.typeName() not in ("long", "integer", "short", "byte"):
+        raise ValueError(f"{key} must be an integer column")
+    variant = free_name(df, "variant")
+    marked = with_variant(df, key, text, variant)
+    at, of, runs = (free_name(marked, name) for name in ("at", "of", "spans"))
+    spans = repeated_strings(marked, variant, window, key, text).toDF(at, of, runs)
+    same = (quoted(key).cast(LongType()) == quoted(at)) & (quoted(variant) == quoted(of))
+    joined = marked.join(spans, same, "left").select(*map(quoted, df.columns), quoted(runs))
     added = [("n_bytes", LongType()), ("n_removed", LongType()), ("n_spans", LongType()), ("kept", BinaryType())]
     schema = StructType(df.schema.fields + [StructField(free_name(df, name), kind) for name, kind in added])
     return joined.mapInArrow(_without(window, df.columns.index(text), len(df.columns), to_arrow_schema(schema)), schema)

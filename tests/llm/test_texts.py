@@ -6,6 +6,7 @@ import random
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from harness import compare, duckdb_connection
@@ -309,10 +310,10 @@ def test_suffix_sql(spark, folder, duck):
     assert compare(queries.op9(spark, folder), duck, queries.SQL["op9_suffix_dedup"]) is None
 
 
-@pytest.mark.parametrize("shard,hot", [(1 << 21, 50_000), (600, 50_000), (1 << 21, 2)])
-def test_bytes(spark, monkeypatch, shard, hot):
+@pytest.mark.parametrize("shard,part", [(1 << 21, 20_000), (600, 20_000), (1 << 21, 2)])
+def test_bytes(spark, monkeypatch, shard, part):
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "PART", part)
     r = random.Random(10)
     shared = "".join(r.choice("abcdé ") for _ in range(900))
     texts = odd_texts() + ["no" * 90] + [
@@ -323,6 +324,67 @@ def test_bytes(spark, monkeypatch, shard, hot):
         assert (out[d]["n_bytes"], out[d]["n_removed"], out[d]["n_spans"], bytes(out[d]["kept"])) == expected, d
 
 
+def shared_keys():
+    """Rows of which some have one key and different texts."""
+    r = random.Random(14)
+    words = [f"w{r.randrange(400)}" for _ in range(200)]
+    long_ = " ".join(words)
+    texts = [(1, long_), (5, f"two more {long_}"), (5, "short text"), (5, long_), (7, f"{long_[300:]} end"), (7, None), (7, "x" * 450), (7, "x" * 450)]
+    return texts + [(8, f"start {long_}"), (8, f"another start {long_}"), (9, "y " * 300), (9, "y " * 300)]
+
+
+def test_words_of_shared_keys(spark):
+    rows = shared_keys()
+    windows = [[tuple(w[i : i + 50]) for i in range(len(w) - 49)] for w in ((t or "").split() for _, t in rows)]
+    expected = []
+    for n, (d, t) in enumerate(rows):
+        earlier = {x for (e, _), ws in zip(rows, windows) if e < d for x in ws}
+        gone = {i + k for i, x in enumerate(windows[n]) if x in earlier for k in range(50)}
+        words = (t or "").split()
+        expected.append((d, len(words), len(gone), " ".join(w for i, w in enumerate(words) if i not in gone)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    out = substring_dedup.dedup_substrings(df).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], " ".join((r["text"] or "").split())) for r in out) == sorted(expected)
+
+
+def test_bytes_of_shared_keys(spark):
+    rows = shared_keys()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    out = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.dedup_bytes(df).collect()]
+    assert sorted(out) == sorted((d, *x) for (d, _), x in zip(rows, brute.dedup_bytes([t for _, t in rows])))
+
+
+@pytest.mark.parametrize("later", [False, True])
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_hashes_over_several_batches(later, size):
+    r = random.Random(15)
+    rows = sorted((r.randrange(4), 0, r.randrange(6), r.randrange(2), r.choice([b"", b"abcd", b"efgh"])) for _ in range(60))
+    batches = [pa.RecordBatch.from_pylist([dict(zip(substring_dedup.MET.names, x)) for x in rows[i : i + size]], substring_dedup.MET) for i in range(0, 60, size)]
+    found = sorted(x for b in substring_dedup._settle(later)(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns)))
+    expected = []
+    for h, _, doc, variant, places in rows:
+        group = [x for x in rows if x[0] == h]
+        docs = {x[2] for x in group}
+        counts = doc > min(docs) if later else len(docs) > 1 or any(not x[4] for x in group)
+        if counts and places:
+            expected.append((doc, variant, places))
+    assert found == sorted(expected)
+
+
+def test_short_near_copies_are_alike():
+    r, f = random.Random(16), fingerprints.fingerprint
+    for n, edits, least in ((60, 1, 0.5), (150, 2, 0.6), (300, 4, 0.6), (300, 8, 0.3), (600, 4, 0.75), (1000, 4, 0.8), (4000, 8, 0.7), (50_000, 8, 0.7)):
+        for _ in range(5):
+            a = "".join(r.choice("abcdefghijklmno ") for _ in range(n))
+            b = list(a)
+            for i in r.sample(range(n), edits):
+                b[i] = "#"
+            b = "".join(b)
+            found = fingerprints.likeness(f(a), f(b))
+            assert least < found <= 1 - edits / n + 1e-9, (n, edits, found)
+            assert len(f(a)) < 4000
+
+
 def test_suffix_array_and_prefixes():
     r = random.Random(11)
     for _ in range(40):
