@@ -27,7 +27,7 @@ SENT_ROWS = 1 << 17
 #: Lists of n-grams whose counter is so large (and far above most counters) are cut into parts before they are shuffled.
 HOT_COUNT, HOT_PARTS = 1 << 17, 64
 #: Rounds in which a list is compared with one of its sets only, before what is still apart is compared.
-STARS = 2
+STARS = 1
 BASE = np.uint64(0x9E3779B97F4A7C13)
 
 MARKED = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("counter", pa.int32()), ("counts", pa.binary())])
@@ -210,6 +210,8 @@ def _postings(rule: Rule, df: DataFrame, text: str, sets: DataFrame, common) ->
 
 def _labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
     """The lists in which several components meet, with the component of each row as ``label``; stored."""
+    if links.limit(1).count() == 0:
+        return stored(lists.withColumn("label", F.col("id")), "lists")
     found = components(links)
     rows = lists.join(found.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("label"))
     rows = stored(rows, "labelled")
@@ -270,7 +272,8 @@ def _verified(rule: Rule, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link: first by the counts of ranges, then by the sets themselves, which only survivors fetch."""
 
     def looked_up(rows: DataFrame, column: str, judge: Callable) -> DataFrame:
-        each = sets.select("id", "n", column)
+        asked = stored(rows.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
+        each = sets.select("id", "n", column).join(small(asked), "id", "left_semi")  # others are not moved
         both = rows.join(each.toDF("a", "n_a", "x"), "a").join(each.toDF("b", "n_b", "y"), "b")
         return both.where(judge(rule, F.col("x"), F.col("y"), F.col("n_a") + F.col("n_b"))).select("a", "b")
 
@@ -284,7 +287,7 @@ def _verified(rule: Rule, pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def similar_sets(df: DataFrame, text: str, sets: DataFrame, first_rows: DataFrame, common, rule: Rule, known: DataFrame) -> DataFrame:
     """(a, b): links between sets (id, d1, d2, n) that connect all pairs which meet the rule, and the links ``known`` before.
 
-    Every prefix list is compared with one of its sets at first, twice; lists whose rows are in one component by then are done. In the
+    Every prefix list is compared with one of its sets at first; lists whose rows are in one component by then are done. In the
     others all pairs of different components are compared that the filters leave. No pair is verified twice, and no link between
     components is lost, though a group of copies does not list all its pairs.
     """
