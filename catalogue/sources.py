@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 from catalogue.registry import query, table
 from tabulift.functions.schema import normalize_names
 from tabulift.plans.scratch import scratch_path
-from tabulift.sources.tables import load_status, load_table, narrow_types, preview
+from tabulift.sources.tables import load_csv, load_status, load_table, narrow_types, preview
 
 
 @query("load_csv", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
-def load_csv(spark, folder):
+def load_customer(spark, folder):
     path = scratch_path(spark, "customer") + ".CSV"
     table(spark, folder, "customer").write.csv(path, header=True)
     return load_table(spark, path).withColumn("c_nationkey", F.col("c_nationkey").cast("int"))
@@ -24,6 +24,15 @@ def load_csv_text(spark, folder):
     return load_table(spark, path)
 
 
+@query("load_csv_split", "SELECT doc_id, text, lang, n_chars FROM documents")
+def load_csv_split(spark, folder):
+    """Texts with line breaks in one file, read by ranges and cut at record ends."""
+    path = scratch_path(spark, "documents") + ".csv"
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "n_chars").coalesce(1)
+    docs.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return load_csv(spark, path, split=True)
+
+
 @query(
     "load_guard",
     """SELECT 'customer' AS name, CASE WHEN count(*) = 0 THEN 'empty' ELSE 'loaded' END AS status FROM customer

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulift.functions.schema import col, integer_columns, nan_to_null
+from tabulift.sources.records import read_records
 
 # Texts that a CSV cell may hold for a missing value.
 MISSING_TOKENS = (
@@ -43,11 +46,26 @@ def load_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     raise UnsupportedFile(f"unsupported file type: {kind}")
 
 
-def load_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
+def byte_size(text: str) -> int:
+    """A setting like ``128m``, ``64KB`` or ``134217728b`` in bytes."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)i?b?\s*", text.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
+def _has_large_file(spark: SparkSession, path: str) -> bool:
+    """Whether a file is larger than what one task reads; only the sizes are looked at."""
+    most = byte_size(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return spark.read.format("binaryFile").load(path).where(F.col("length") > most).limit(1).count() > 0
+
+
+def load_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True, split: bool | None = None
+) -> DataFrame:
     """CSV with a header. Without a schema the types are found in one extra scan; give one for large files.
 
-    With ``multi_line`` quoted cells may hold line breaks; each file is then read by one task, so keep large inputs in many files.
-    Turn it off only if no cell holds a line break: files are then split. Missing-value tokens count as null with and without a
+    With ``multi_line`` quoted cells may hold line breaks. Files are then cut into ranges by ``read_records``, which costs one more pass,
+    if one is larger than what a task reads, else each is read by one task; ``split`` says otherwise. Without ``multi_line``, which is
+    right only if no cell holds a line break, every line end is a place to cut. Missing-value tokens count as null with and without a
     schema; a cell that does not fit its type in the schema is null. A row with fewer cells than the header gets nulls, one
     with more fails when it is read.
     """
@@ -61,7 +79,12 @@ def load_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     while surplus in names:
         surplus += "_"
     texts = T.StructType([T.StructField(n, T.StringType()) for n in [*names, surplus]])
-    raw = spark.read.csv(path, header=True, schema=texts, **options)
+    if multi_line and (_has_large_file(spark, path) if split is None else split):
+        cells = ", ".join(f"c{i} string" for i in range(len(texts)))
+        parsed = F.from_csv("text", cells, {"quote": '"', "escape": '"'})
+        raw = read_records(spark, path).select(parsed.alias("cells")).select("cells.*").toDF(*texts.names)
+    else:
+        raw = spark.read.csv(path, header=True, schema=texts, **options)
     checked = F.when(col(surplus).isNotNull(), F.raise_error(F.lit("a row has more cells than the header")))
     text = raw.select(*[F.coalesce(checked, F.when(~col(c).isin(*MISSING_TOKENS), col(c))).alias(c) for c in names])
     if kinds:
