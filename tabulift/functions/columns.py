@@ -21,7 +21,8 @@ def row_hash(keys, seed: int) -> Column:
 
 
 def _part(text: Column) -> Column:
-    return F.coalesce(F.regexp_replace(text, r"([\\|])", r"\\$1"), F.lit("\\N"))
+    escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    return F.coalesce(escaped, F.lit("\\N"))
 
 
 def correlation(x: Column, y: Column) -> Column:

@@ -18,6 +18,14 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free_name(columns, wanted: str) -> str:
+    """The wanted name, with underscores behind it until none of the columns has it in any letter case."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def _columns_of(df: DataFrame, kinds) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]
 

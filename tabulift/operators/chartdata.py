@@ -7,17 +7,18 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulift.functions.columns import correlation, row_hash
+from tabulift.functions.columns import row_hash
 from tabulift.functions.schema import col, double_value, nan_to_null, numeric_columns
 from tabulift.operators.clean import fit_median
 from tabulift.operators.profile import FENCE, QUARTILES
 from tabulift.plans.frequencies import top_value_list, top_values, value_counts
 from tabulift.plans.quantiles import exact_quantiles
-from tabulift.plans.ranks import hash_cutoffs
+from tabulift.plans.ranks import hash_counts, hash_cutoffs
 
 # Sizes of the charts.
 TOP_VALUES = 20
@@ -34,7 +35,6 @@ MAX_SAMPLE = 50_000
 
 KERNEL_ROWS = 2_000  # values whose kernels are evaluated together
 KERNEL_GROUPS = 10_000  # groups whose sums a task holds
-PAIRS_AT_ONCE = 36  # correlations in one aggregate
 
 
 # --- samples and top lists -------------------------------------------------------------------------------------------
@@ -47,7 +47,7 @@ def sample_rows(df: DataFrame, key, n: int, seed: int = 42) -> DataFrame:
     """
     if n <= 0:
         return df.limit(0)
-    cutoffs = hash_cutoffs(df.withColumn("_all", F.lit(0)), key, seed, "_all", F.array(F.least(F.col("n"), F.lit(n)))).first()
+    cutoffs = hash_cutoffs(hash_counts(df, key, seed, F.lit(0)), F.array(F.least(F.col("n"), F.lit(n)))).first()
     return df if cutoffs is None else df.filter(row_hash(key, seed) <= F.lit(cutoffs["cutoffs"][0]))
 
 
@@ -357,22 +357,53 @@ def pairplot_data(
 def correlation_matrix(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """(a, b, r) of every pair of numeric columns after median imputation; r is null if a column is constant or empty.
 
-    Pairs are aggregated in blocks of ``PAIRS_AT_ONCE``, each in one scan of the columns it needs, whatever their number.
+    One scan finds which columns have missing values and the means, a second one all products of distances from the means: each task adds
+    up one matrix for its rows, and matrices are added before the shuffle. That is two jobs at any width, and those of the medians if any value is missing.
     """
     names = list(names if names is not None else numeric_columns(df))
+    if not names:
+        return df.sparkSession.createDataFrame([], "a string, b string, r double")
     table = nan_to_null(df.select(*[col(n) for n in names]))
-    table = fit_median(table).transform(table)
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    found = {}
-    for at in range(0, len(pairs), PAIRS_AT_ONCE):
-        block = pairs[at : at + PAIRS_AT_ONCE]
-        sums = [correlation(double_value(table, names[i]), double_value(table, names[j])).alias(f"r{i}_{j}") for i, j in block]
-        row = table.agg(*sums).first()
-        found.update({(i, j): row[f"r{i}_{j}"] for i, j in block})
-    cells = [(a, b, found[min(i, j), max(i, j)]) for i, a in enumerate(names) for j, b in enumerate(names)]
+    flat, moments = comoments(fit_median(table).transform(table), names)
+    spread = np.sqrt(np.maximum(np.diag(moments), 0))
+    flat |= spread == 0
+    r = moments / np.where(flat, 1.0, spread)[:, None] / np.where(flat, 1.0, spread)
+    cells = [(a, b, None if flat[i] or flat[j] else float(r[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)]
     return df.sparkSession.createDataFrame(cells, "a string, b string, r double")
 
 
+def comoments(table: DataFrame, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Which columns are constant or empty, and the sums over all rows of the products of two columns' distances from their means.
+
+    A missing value stands for the mean. What rounding left of the means is taken off in the end.
+    """
+    values, k = [double_value(table, n) for n in names], len(names)
+    row = table.agg(*[f(v) for v in values for f in (F.avg, F.min, F.max)]).first()
+    means, low, high = row[::3], row[1::3], row[2::3]
+    flat = np.array([a == b for a, b in zip(low, high)])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums, products = 0, np.zeros(k), np.zeros((k, k))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) if batch.num_rows else np.zeros((0, k))
+            n += len(x)
+            sums += x.sum(axis=0)
+            products += x.T @ x
+        if n:
+            rows = [pa.array(range(k), pa.int32()), pa.array([n] * k, pa.int64()), pa.array(sums), pa.array(products.tolist(), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(rows, names=["i", "n", "s", "p"])
+
+    centred = table.select(*[F.coalesce(v - F.lit(m or 0.0), F.lit(0.0)).alias(f"x{i}") for i, (v, m) in enumerate(zip(values, means))])
+    rows = centred.mapInArrow(added, "i int, n bigint, s double, p array<double>")
+    cells = rows.select("i", "n", "s", F.posexplode("p").alias("j", "p")).where("j >= i")
+    found = cells.groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("p").alias("p")).collect()  # one row for each pair of columns
+    products, left, n = np.zeros((k, k)), np.zeros(k), 0
+    for i, j, n, s, p in found:
+        products[i, j] = products[j, i] = p
+        left[i] = s
+    return flat, products - np.outer(left, left) / max(n, 1)
+
+
 def correlation_lower(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """The part of the matrix below its diagonal."""
     names = list(names if names is not None else numeric_columns(df))

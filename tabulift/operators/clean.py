@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulift.functions.schema import col, double_value, nan_to_null, numeric_columns, string_columns
+from tabulift.functions.schema import col, double_value, free_name, nan_to_null, numeric_columns, string_columns
 from tabulift.operators.profile import is_missing
 from tabulift.plans.frequencies import long_value_counts
 from tabulift.plans.quantiles import exact_quantiles
@@ -112,9 +112,11 @@ def _table_state(df: DataFrame) -> TableState:
     """Rows, missing cells, empty strings and duplicate rows, from one shuffle of the table."""
     cells = sum((is_missing(df, c).cast("bigint") for c in df.columns), F.lit(0))
     empty = sum((F.coalesce(col(c) == "", F.lit(False)).cast("bigint") for c in string_columns(df)), F.lit(0))
-    groups = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    row = groups.select("_n", cells.alias("_missing"), empty.alias("_empty")).agg(
-        F.sum("_n"), F.sum(F.col("_n") * F.col("_missing")), F.sum(F.col("_n") * F.col("_empty")), F.sum(F.col("_n") - 1), F.sum("_missing")
+    count = free_name(df.columns, "n_")
+    groups = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias(count))
+    n, missing = F.col("n"), F.col("missing")
+    row = groups.select(F.col(count).alias("n"), cells.alias("missing"), empty.alias("empty")).agg(
+        F.sum(n), F.sum(n * missing), F.sum(n * F.col("empty")), F.sum(n - 1), F.sum(missing)
     )
     return TableState(*(int(v or 0) for v in row.first()))
 

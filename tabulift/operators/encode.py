@@ -9,7 +9,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulift.functions.schema import col, string_columns
+from tabulift.functions.schema import col, free_name, string_columns
 from tabulift.plans.frequencies import value_counts
 from tabulift.plans.ranks import DICTIONARY_ROWS, number_rows
 from tabulift.plans.scratch import durable
@@ -43,10 +43,11 @@ class Dictionary:
         The dictionary is sent to every task only if its measured size allows it. Otherwise it is a shuffle join,
         which adaptive execution splits where one category holds many rows.
         """
-        table = self.table.select(F.col("category").alias("_category"), F.col(value).alias(out))
+        of = free_name([*df.columns, out], "category_")
+        table = self.table.select(F.col("category").alias(of), F.col(value).alias(out))
         if self.small:
             table = F.broadcast(table)
-        return df.join(table, col(self.column).eqNullSafe(F.col("_category")), "left").drop("_category")
+        return df.join(table, col(self.column).eqNullSafe(F.col(of)), "left").drop(of)
 
 
 def _categories(df: DataFrame, columns: Sequence[str], order_by: str | None) -> DataFrame:
@@ -112,7 +113,7 @@ def fit_sorted(df: DataFrame, column: str) -> Dictionary:
 def _codes(dictionary: Dictionary, df: DataFrame, out: str) -> DataFrame:
     coded = dictionary.join(df, "code", out)
     unseen = F.when(col(dictionary.column).isNull(), F.lit(UNSEEN_MISSING_CODE)).otherwise(F.lit(UNKNOWN_CODE))
-    return coded.withColumn(out, F.coalesce(F.col(out), unseen).cast("bigint"))
+    return coded.withColumn(out, F.coalesce(col(out), unseen).cast("bigint"))
 
 
 @dataclass(frozen=True)
@@ -126,8 +127,9 @@ class OrdinalEncoder:
 
     def transform(self, df: DataFrame) -> DataFrame:
         order = df.columns
+        code = free_name(order, "code_")
         for d in self.dictionaries:
-            df = _codes(d, df, "_code").drop(d.column).withColumnRenamed("_code", d.column)
+            df = _codes(d, df, code).select(*[col(code).alias(c) if c == d.column else col(c) for c in order])
         return df.select(*[col(c) for c in order])
 
 
@@ -144,17 +146,17 @@ class BinaryEncoder:
     def transform(self, df: DataFrame) -> DataFrame:
         out: list[Column] = []
         by_name = {d.column: d for d in self.dictionaries}
-        coded = df
+        coded, codes = df, {}
         for i, d in enumerate(self.dictionaries):
-            coded = _codes(d, coded, f"_code{i}").withColumn(f"_code{i}", F.greatest(F.col(f"_code{i}"), F.lit(0)))
-        position = {d.column: i for i, d in enumerate(self.dictionaries)}
+            codes[d.column] = code = free_name(coded.columns, f"code_{i}")
+            coded = _codes(d, coded, code).withColumn(code, F.greatest(col(code), F.lit(0)))
         for c in df.columns:
             if c not in by_name:
                 out.append(col(c))
                 continue
             digits = max(1, by_name[c].rows.bit_length())
             out += [
-                F.shiftright(f"_code{position[c]}", digits - 1 - j).bitwiseAND(F.lit(1)).cast("int").alias(f"{c}_{j}")
+                F.shiftright(col(codes[c]), digits - 1 - j).bitwiseAND(F.lit(1)).cast("int").alias(f"{c}_{j}")
                 for j in range(digits)
             ]
         return coded.select(*out)
@@ -171,9 +173,10 @@ class FrequencyEncoder:
 
     def transform(self, df: DataFrame) -> DataFrame:
         order = df.columns
+        share = free_name(order, "share_")
         for d in self.dictionaries:
-            df = d.join(df, "frequency", "_share").withColumn("_share", F.coalesce("_share", F.lit(0.0)))
-            df = df.drop(d.column).withColumnRenamed("_share", d.column)
+            df = d.join(df, "frequency", share)
+            df = df.select(*[F.coalesce(col(share), F.lit(0.0)).alias(c) if c == d.column else col(c) for c in order])
         return df.select(*[col(c) for c in order])
 
 

@@ -80,25 +80,30 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParam
 
 
 def fit_support_vector_regressor(
-    df: DataFrame, features: Sequence[str], target: str, rounds: int = ROUNDS, dimensions: int = DIMENSIONS, seed: int = 42
+    df: DataFrame, features: Sequence[str], target: str, names, rounds: int = ROUNDS, dimensions: int = DIMENSIONS, seed: int = 42
 ) -> PipelineModel:
     """Support vector regression on random Fourier features by iteratively reweighted least squares (Perez-Cruz, 2000).
 
     A residual beyond epsilon gets the weight C / |residual|, one within it none, and each round is a weighted ridge
-    regression that Spark sums up over the tasks. The round with the smallest objective is kept.
+    regression that Spark sums up over the tasks. The round with the smallest objective is kept. ``names`` tells the columns
+    that the pipeline adds.
     """
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
-    lift = RandomFourierFeatures(gamma=scale_gamma(df, features), dimensions=dimensions, inputs=len(features), seed=seed)
+    assembler = VectorAssembler(inputCols=list(features), outputCol=names.features, handleInvalid="error")
+    lift = RandomFourierFeatures(
+        inputCol=names.features, outputCol=names.lifted, gamma=scale_gamma(df, features), dimensions=dimensions, inputs=len(features), seed=seed
+    )
     y = double_value(df, target)
-    table = df.select(*[col(f) for f in features if f != target], y.alias("label"))
-    rows = PipelineModel([assembler, lift]).transform(table).select(lift.getOutputCol(), "label").persist()
-    middle = exact_quantiles(table, {"y": F.col("label")}, [0.5])["y"].at[0.5]
+    table = df.select(*[col(f) for f in dict.fromkeys(features)], y.alias(names.label))
+    label, prediction = col(names.label), col(names.prediction)
+    rows = PipelineModel([assembler, lift]).transform(table).select(names.lifted, names.label).persist()
+    middle = exact_quantiles(table, {"y": label}, [0.5])["y"].at[0.5]
+    made = {"featuresCol": names.lifted, "labelCol": names.label, "predictionCol": names.prediction}
 
-    best, best_objective, model, predicted = None, float("inf"), None, rows.withColumn("prediction", F.lit(middle))
+    best, best_objective, model, predicted = None, float("inf"), None, rows.withColumn(names.prediction, F.lit(middle))
     for turn in range(rounds + 1):
-        beyond = F.abs(F.col("label") - F.col("prediction"))
+        beyond = F.abs(label - prediction)
         weighted = predicted.withColumn("weight", F.when(beyond > EPSILON, F.lit(PENALTY) / beyond).otherwise(0.0))
-        shifted = F.col("label") - F.lit(middle)
+        shifted = label - F.lit(middle)
         row = weighted.agg(
             F.sum("weight").alias("w"),
             F.sum(F.col("weight") * shifted).alias("wy"),
@@ -115,12 +120,12 @@ def fit_support_vector_regressor(
         spread = math.sqrt(max(0.0, row["wyy"] / row["w"] - (row["wy"] / row["w"]) ** 2))
         # Spark divides the squared penalty by the spread of the label, so the strength is multiplied by it.
         ridge = LinearRegression(
-            featuresCol=lift.getOutputCol(), labelCol="label", weightCol="weight", regParam=spread / row["w"],
+            **made, weightCol="weight", regParam=spread / row["w"],
             elasticNetParam=0.0, standardization=False, solver="normal",
         )
-        model = ridge.fit(weighted.drop("prediction"))
+        model = ridge.fit(weighted.drop(names.prediction))
         predicted = model.transform(rows)
     rows.unpersist()
     if best is None:  # every label lies within epsilon of the median
-        best = LinearRegression(featuresCol=lift.getOutputCol(), labelCol="label", regParam=1.0, solver="normal").fit(rows)
+        best = LinearRegression(**made, regParam=1.0, solver="normal").fit(rows)
     return PipelineModel([assembler, lift, best])

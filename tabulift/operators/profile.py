@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulift.functions.columns import long_rows
-from tabulift.functions.schema import FLOAT_TYPES, col, double_value, numeric_columns, string_columns
+from tabulift.functions.schema import FLOAT_TYPES, col, double_value, free_name, numeric_columns, string_columns
 from tabulift.plans.frequencies import distinct_counts, long_value_counts, stack, value_counts
 from tabulift.plans.quantiles import Distribution, exact_quantiles, unpivoted
 
@@ -59,8 +59,9 @@ def missing_total(df: DataFrame) -> DataFrame:
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each set of equal rows; missing values are equal to each other."""
-    groups = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicates"))
+    n = free_name(df.columns, "n_")
+    groups = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias(n))
+    return groups.agg(F.coalesce(F.sum(F.col(n) - 1), F.lit(0)).cast("bigint").alias("duplicates"))
 
 
 def unique_counts(df: DataFrame, approximate: bool = False) -> DataFrame:

@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulift.functions.columns import HASH_SPACE, hash_number
-from tabulift.functions.schema import col, require_columns
-from tabulift.operators.profile import smallest_class
+from tabulift.functions.schema import col, free_name, require_columns
 from tabulift.operators.target import is_classification
-from tabulift.plans.ranks import passed_cutoffs
+from tabulift.plans.ranks import HashCounts, hash_counts, passed_cutoffs
 
 SEED = 42
 TEST_SIZE = 0.2
@@ -21,18 +20,19 @@ TRAIN, TEST = "train", "test"
 
 @dataclass(frozen=True)
 class Split:
-    """The table with a column ``part`` ("train" or "test") and a note on how it was made."""
+    """The table with a column ``part`` ("train" or "test") and a note on how it was made. ``column`` tells its name, see ``plain_split``."""
 
     table: DataFrame
     message: str
+    column: str = "part"
 
     @property
     def train(self) -> DataFrame:
-        return self.table.filter(F.col("part") == TRAIN).drop("part")
+        return self.table.filter(F.col(self.column) == TRAIN).drop(self.column)
 
     @property
     def test(self) -> DataFrame:
-        return self.table.filter(F.col("part") == TEST).drop("part")
+        return self.table.filter(F.col(self.column) == TEST).drop(self.column)
 
 
 def _check_size(test_size: float) -> None:
@@ -41,19 +41,21 @@ def _check_size(test_size: float) -> None:
 
 
 def plain_split(df: DataFrame, key, test_size: float = TEST_SIZE, seed: int = SEED) -> DataFrame:
-    """Add ``part`` by a hash threshold: no shuffle, and a row keeps its part when the table grows."""
+    """Add ``part`` by a hash threshold: no shuffle, and a row keeps its part when the table grows. A table that has a column ``part`` gets ``part_``."""
     _check_size(test_size)
     limit = int(test_size * HASH_SPACE)
-    return df.withColumn("part", F.when(hash_number(key, seed) < F.lit(limit), TEST).otherwise(TRAIN))
+    return df.withColumn(free_name(df.columns, "part"), F.when(hash_number(key, seed) < F.lit(limit), TEST).otherwise(TRAIN))
 
 
-def stratified_split(df: DataFrame, target: str, key, test_size: float = TEST_SIZE, seed: int = SEED) -> DataFrame:
-    """Add ``part`` so that round(test_size * rows) of every class are test rows: those with the smallest hashes."""
+def stratified_split(
+    df: DataFrame, target: str, key, test_size: float = TEST_SIZE, seed: int = SEED, counts: HashCounts | None = None
+) -> DataFrame:
+    """Add ``part`` (named as in ``plain_split``) so that round(test_size * rows) of every class are test rows: those with the smallest hashes."""
     _check_size(test_size)
     quota = F.array(F.floor(F.col("n") * F.lit(test_size) + F.lit(0.5)))
-    placed = passed_cutoffs(df, key, seed, target, F.filter(quota, lambda q: q > 0), "_beyond")
-    part = F.when(F.col("_beyond") == 0, TEST).otherwise(TRAIN)
-    return placed.select(*[col(c) for c in df.columns], part.alias("part"))
+    name = free_name(df.columns, "part")
+    placed = passed_cutoffs(df, key, seed, target, F.filter(quota, lambda q: q > 0), name, counts)
+    return placed.withColumn(name, F.when(F.col(name) == 0, TEST).otherwise(TRAIN))
 
 
 def train_test_split(
@@ -67,26 +69,29 @@ def train_test_split(
 ) -> Split:
     """Split into train and test rows; stratified on request if the problem and the class sizes allow it."""
     require_columns(df, [target])
+    name = free_name(df.columns, "part")
     if stratify and is_classification(problem_type):
-        fewest = smallest_class(df, target)
+        counts = hash_counts(df, key, seed, col(target))
+        fewest = counts.smallest()
         if fewest >= 2:
-            return Split(stratified_split(df, target, key, test_size, seed), "stratified split")
+            return Split(stratified_split(df, target, key, test_size, seed, counts), "stratified split", name)
         note = f"plain split: the smallest class has {fewest} row(s)"
     elif stratify:
         note = "plain split: not a classification problem"
     else:
         note = "plain split"
-    return Split(plain_split(df, key, test_size, seed), note)
+    return Split(plain_split(df, key, test_size, seed), note, name)
 
 
 def kfold(df: DataFrame, key, folds: int = FOLDS, seed: int = SEED) -> DataFrame:
-    """Add ``fold`` in 0..folds-1 from the key hash, without a shuffle."""
-    return df.withColumn("fold", (hash_number(key, seed) % F.lit(folds)).cast("int"))
+    """Add ``fold`` in 0..folds-1 from the key hash, without a shuffle. A table that has a column ``fold`` gets ``fold_``."""
+    return df.withColumn(free_name(df.columns, "fold"), (hash_number(key, seed) % F.lit(folds)).cast("int"))
 
 
 def stratified_kfold(df: DataFrame, target: str, key, folds: int = FOLDS, seed: int = SEED) -> DataFrame:
-    """Add ``fold`` so that the folds of a class differ by at most one row; plain folds if a class is too small."""
-    if smallest_class(df, target) < folds:
+    """Add ``fold`` (named as in ``kfold``) so that the folds of a class differ by at most one row; plain folds if a class is too small."""
+    counts = hash_counts(df, key, seed, col(target))
+    if counts.smallest() < folds:
         return kfold(df, key, folds, seed)
     last_of_fold = F.transform(F.sequence(F.lit(1), F.lit(folds - 1)), lambda j: F.ceil(j * F.col("n") / F.lit(folds)))
-    return passed_cutoffs(df, key, seed, target, last_of_fold, "fold")
+    return passed_cutoffs(df, key, seed, target, last_of_fold, free_name(df.columns, "fold"), counts)

@@ -14,7 +14,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulift.functions.schema import col
+from tabulift.functions.schema import col, free_name
 from tabulift.operators import metrics, neighbours
 from tabulift.operators.estimators import (
     CLASSIFIER_NEIGHBOURS,
@@ -73,10 +73,11 @@ class _Pipeline:
         self.fitted, self.target, self.classes = fitted, target, classes
 
     def score(self, test: DataFrame) -> Scored:
-        made = self.fitted.transform(test)
+        made, predicted = self.fitted.transform(test), self.fitted.predicted(test)
         if not self.classes:
-            return Scored(made, self.target, "prediction")
-        return Scored(made.withColumn("class_text", col(self.target).cast("string")), "class_text", "predicted", self.fitted.scores())
+            return Scored(made, self.target, predicted)
+        label = free_name(made.columns, "class_text")
+        return Scored(made.withColumn(label, col(self.target).cast("string")), label, predicted, self.fitted.scores(test))
 
 
 def fit_model(name: str, train: DataFrame, features: Sequence[str], target: str, kind: str, key: str | None = None, **overrides):
@@ -103,6 +104,7 @@ def save_trained(model, name: str, folder: str) -> str:
     else:
         model.fitted.model.write().overwrite().save(f"{path}/pipeline")
         spark = SparkSession.active()
+        about |= {"features": list(model.fitted.features)}
         if model.classes:
             about |= {"labels": list(model.fitted.classes), "score_column": model.fitted.score_column}
     spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
@@ -115,7 +117,8 @@ def load_trained(spark: SparkSession, path: str):
     if "key" in about:
         return _Neighbours(spark.read.parquet(f"{path}/train"), about["features"], about["target"], about["key"], about["classes"])
     fitted = PipelineModel.load(f"{path}/pipeline")
-    made = FittedClassifier(fitted, tuple(about["labels"]), about["score_column"]) if about["classes"] else FittedRegressor(fitted)
+    features = tuple(about["features"])
+    made = FittedClassifier(fitted, tuple(about["labels"]), about["score_column"], features) if about["classes"] else FittedRegressor(fitted, features)
     return _Pipeline(made, about["target"], about["classes"])
 
 
@@ -201,12 +204,20 @@ FOLD_SCHEMA = "model string, fold int, metric string, test double, train double"
 
 
 def fold_scores(
-    name: str, folded: DataFrame, features: Sequence[str], target: str, kind: str, key: str | None, folds: int, parallelism: int = 2
+    name: str,
+    folded: DataFrame,
+    features: Sequence[str],
+    target: str,
+    kind: str,
+    key: str | None,
+    folds: int,
+    parallelism: int = 2,
+    column: str = "fold",
 ) -> list[tuple]:
-    """(model, fold, metric, test, train) rows of one model, fit and score times among the metrics."""
+    """(model, fold, metric, test, train) rows of one model, fit and score times among the metrics. ``column`` holds the folds."""
 
     def one(fold: int) -> list[tuple]:
-        train, test = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
+        train, test = folded.filter(col(column) != fold), folded.filter(col(column) == fold)
         start = time.perf_counter()
         model = fit_model(name, train, features, target, kind, key)
         fit_time = time.perf_counter() - start
@@ -268,7 +279,7 @@ def cross_validate(
     rows, errors = [], []
     for name in names:
         try:
-            rows += fold_scores(name, folded, features, target, kind, key, folds, parallelism)
+            rows += fold_scores(name, folded, features, target, kind, key, folds, parallelism, free_name(df.columns, "fold"))
         except Exception as problem:  # noqa: BLE001 - one bad model must not lose the others
             errors.append((name, f"{type(problem).__name__}: {problem}"))
     folded.unpersist()

@@ -7,13 +7,15 @@ after an executor is lost puts every row in the same range.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tabulift.functions.columns import row_hash
-from tabulift.functions.schema import col
+from tabulift.functions.schema import col, free_name
 from tabulift.plans.quantiles import sketch_splits
 from tabulift.plans.scratch import durable
 
@@ -74,45 +76,72 @@ def running_totals(df: DataFrame, order: str, sums: dict[str, str], by=(), then=
     )
 
 
-def hash_cutoffs(df: DataFrame, keys, seed: int, by: str, ranks: Column) -> DataFrame:
-    """(class, cutoffs): for each class of ``by`` the row hashes at the wanted ranks in hash order.
+@dataclass(frozen=True)
+class HashCounts:
+    """Rows per class and hash prefix of a table, kept in shared storage: all that ranks of row hashes need to know of most rows."""
+
+    hashed: DataFrame  # (class, hash) of every row, not kept
+    counted: DataFrame  # (class, prefix, here)
+    digits: int
+
+    def smallest(self) -> int:
+        """Rows of the smallest class; a null class is no class. 0 for an empty table."""
+        sizes = self.counted.where("class is not null").groupBy("class").agg(F.sum("here").alias("n"))
+        return sizes.agg(F.coalesce(F.min("n"), F.lit(0))).first()[0]
 
-    ``ranks`` is an array over the column ``n``, the rows of the class. Rows are counted per class and hash prefix, which
-    is combined before the shuffle; only the rows that share the prefix of a wanted rank are sorted. The prefix gets one more
-    digit for every factor of 16 that the table has beyond ``NEAR_ROWS`` rows per prefix, so such a window stays small.
+
+def hash_counts(df: DataFrame, keys, seed: int, by: Column) -> HashCounts:
+    """Count the rows per class and hash prefix in one pass, combined before the shuffle.
+
+    The prefix gets one more digit for every factor of 16 that the table has beyond ``NEAR_ROWS`` rows per prefix; then it is counted once more.
     """
-    digits = HASH_PREFIX
-    rows = df.count()
+    hashed = df.select(by.alias("class"), row_hash(keys, seed).alias("hash"))
+
+    def counted(digits: int) -> DataFrame:
+        return durable(hashed.groupBy("class", F.substring("hash", 1, digits).alias("prefix")).agg(F.count(F.lit(1)).alias("here")))
+
+    digits, found = HASH_PREFIX, counted(HASH_PREFIX)
+    rows = found.agg(F.coalesce(F.sum("here"), F.lit(0))).first()[0]
     while rows > NEAR_ROWS * 16**digits:
         digits += 1
-    hashed = df.select(col(by).alias("class"), row_hash(keys, seed).alias("hash"))
-    hashed = hashed.withColumn("prefix", F.substring("hash", 1, digits))
+    return HashCounts(hashed, found if digits == HASH_PREFIX else counted(digits), digits)
+
+
+def hash_cutoffs(counts: HashCounts, ranks: Column) -> DataFrame:
+    """(class, cutoffs): for each class the row hashes at the wanted ranks in hash order.
+
+    ``ranks`` is an array over the column ``n``, the rows of the class. Only the rows that share the prefix of a wanted rank are sorted, so
+    such a window stays small.
+    """
     of_class = Window.partitionBy("class")
     earlier = of_class.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
-    counted = hashed.groupBy("class", "prefix").agg(F.count(F.lit(1)).alias("here"))
-    counted = counted.select(
+    placed = counts.counted.select(
         "class", "prefix", "here", F.coalesce(F.sum("here").over(earlier), F.lit(0)).alias("before"), F.sum("here").over(of_class).alias("n")
     )
-    wanted = counted.select("class", "prefix", "here", "before", F.posexplode(ranks).alias("place", "rank"))
+    wanted = placed.select("class", "prefix", "here", "before", F.posexplode(ranks).alias("place", "rank"))
     wanted = wanted.filter((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("here")))
     wanted = wanted.select(
         F.col("class").alias("_class"), F.col("prefix").alias("_prefix"), "place", (F.col("rank") - F.col("before")).alias("at")
     )
+    hashed = counts.hashed.withColumn("prefix", F.substring("hash", 1, counts.digits))
     near = hashed.join(wanted, F.col("class").eqNullSafe(F.col("_class")) & (F.col("prefix") == F.col("_prefix")))
     inside = F.row_number().over(Window.partitionBy("class", "place").orderBy("hash"))
     found = near.withColumn("row", inside).filter(F.col("row") == F.col("at"))
     return found.groupBy("class").agg(F.sort_array(F.collect_list("hash")).alias("cutoffs"))  # one hash per wanted rank
 
 
-def passed_cutoffs(df: DataFrame, keys, seed: int, by: str, ranks: Column, name: str) -> DataFrame:
+def passed_cutoffs(
+    df: DataFrame, keys, seed: int, by: str, ranks: Column, name: str, counts: HashCounts | None = None
+) -> DataFrame:
     """Add how many cutoffs of its class the hash of the row lies beyond; null for a class without cutoffs.
 
     The cutoffs (one row per class) are written and counted; up to ``BROADCAST_CLASSES`` classes they are broadcast and the table
-    is not moved. For more classes the join shuffles the table by class.
+    is not moved. For more classes the join shuffles the table by class. ``name`` must be free; any other column may have any name.
     """
-    cutoffs = _bounded(hash_cutoffs(df, keys, seed, by, ranks).withColumnRenamed("class", "_class"))
-    joined = df.withColumn("_hash", row_hash(keys, seed)).join(cutoffs, col(by).eqNullSafe(F.col("_class")), "left")
-    beyond = F.when(F.col("cutoffs").isNotNull(), F.size(F.filter("cutoffs", lambda c: c < F.col("_hash"))))
+    of, cuts = (free_name([*df.columns, name], c) for c in ("class_", "cutoffs"))
+    cutoffs = _bounded(hash_cutoffs(counts or hash_counts(df, keys, seed, col(by)), ranks).toDF(of, cuts))
+    joined = df.join(cutoffs, col(by).eqNullSafe(F.col(of)), "left")
+    beyond = F.when(F.col(cuts).isNotNull(), F.size(F.filter(cuts, lambda c: c < row_hash(keys, seed))))
     return joined.select(*[col(c) for c in df.columns], beyond.cast("int").alias(name))
 
 

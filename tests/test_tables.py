@@ -212,9 +212,8 @@ def test_density_integrates_to_one(spark):
 
 
 @pytest.mark.parametrize("width", [8, 9, 12])
-def test_correlation_is_the_same_at_every_width(spark, monkeypatch, width):
+def test_correlation_is_the_same_at_every_width(spark, width):
     """Also with nulls, a constant column and an empty one; blocks of pairs change nothing."""
-    monkeypatch.setattr(chartdata, "PAIRS_AT_ONCE", 5)
     more = {f"x{i}": (F.col("id") * (7 + i) % 101).cast("double") for i in range(width - 5)}
     df = spark.range(300).select(
         F.col("id").alias("a"), F.when(F.col("id") % 3 > 0, F.col("id") * 31 % 97).alias("b"), F.sqrt("id").alias("c"),
