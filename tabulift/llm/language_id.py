@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,12 +32,16 @@ BLOCK = 128
 TOGETHER = 200_000
 REMEMBERED = 200_000
 
-_WORD = re.compile(r"[^\W\d_]+")
+@functools.cache
+def _word() -> re.Pattern:
+    """Runs of letters. What ``re`` takes for a word character although it is no letter (superscript and circled numbers, fractions) is left out."""
+    signs = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
+    return re.compile(rf"[^\W_{signs}]+")
 
 
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, lower case."""
-    return _WORD.findall(text.lower()) if text else []
+    return _word().findall(text.lower()) if text else []
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -240,7 +246,7 @@ def held_out(key: Column) -> Column:
 
 def _chunks(line: Column) -> Column:
     """The line in parts of at most ``LINE_CHARS`` characters that end where no word is cut, if there is such a place."""
-    letter = r"[\p{L}\p{Nl}\p{No}]"
+    letter = r"\p{L}"
     part = f"(?s).{{1,{LINE_CHARS}}}(?!(?<={letter}){letter})|.{{1,{LINE_CHARS}}}"
     return F.when(F.length(line) <= LINE_CHARS, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(part), F.lit(0)))
 

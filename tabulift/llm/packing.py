@@ -28,6 +28,7 @@ PIECE = "key {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens b
 class Tokenizer:
     """Ids of whole texts; chunks between single spaces, and the words in them, are encoded once while they are remembered.
 
+    Strings of special tokens that stand in a text become their ids, as the library does without further settings.
     Right for vocabularies that lower the case, drop white space and split letters from other signs, as no match then
     crosses a space or the place between a word and the signs behind it.
     """
@@ -37,7 +38,6 @@ class Tokenizer:
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words, self.chunks = Remembered(REMEMBERED), Remembered(REMEMBERED)
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a match of the splitting pattern

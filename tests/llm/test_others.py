@@ -189,6 +189,15 @@ def test_language_of_odd_rows(spark, folder):
     assert language_id.identify(df.limit(0)).count() == 0
 
 
+def test_number_signs_are_no_letters(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    texts = ["²", "½ ¾ ①", "٣ 12 _", "Ⅳ", "a²", "ª"]
+    more = spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(texts)], docs.schema)
+    out = {r["doc_id"] - 10**6: r["lang_pred"] for r in language_id.identify(docs.unionByName(more)).where("doc_id >= 1000000").collect()}
+    assert [out[i] == "und" for i in range(6)] == [not any(c.isalpha() for c in t) for t in texts]
+    assert language_id.words_of("x²y ½ Ⅳ été") == ["x", "y", "été"]
+
+
 def test_languages_of_long_lines(spark, folder):
     held = language_id.held_out(F.col("doc_id"))
     docs = spark.read.parquet(f"{folder}/documents.parquet").where(~held & F.col("lang").isNotNull()).select("doc_id", "text", "lang")

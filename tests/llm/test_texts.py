@@ -102,7 +102,6 @@ def _library_ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -113,6 +112,10 @@ def test_tokenizer_of_random_texts():
         assert mine(text) == np.array(library(text), "<u4").tobytes(), ascii(text)
 
 
+def test_special_strings_are_the_librarys():
+    assert np.frombuffer(packing.Tokenizer(WORDS)("hello <|endoftext|> there"), "<u4").tolist() == [3306, 49407, 997]
+
+
 def test_packing(spark, folder, docs, monkeypatch):
     brute.check_packing(queries.op3(spark, folder).collect(), dict(docs), _library_ids())
     monkeypatch.setattr(packing, "RANKED", 3)
