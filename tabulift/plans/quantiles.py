@@ -2,26 +2,29 @@
 
 The built-in exact percentile keeps every distinct value of a column in one aggregation buffer. Here a KLL sketch
 (merged in two levels so that no single task receives a sketch per input split) proposes a narrow bracket around each
-wanted rank. One counting pass over the zones between the bracket ends proves where the rank lies, and the value is
-taken from the few rows strictly inside that zone. A value that occurs very often becomes a bracket end and is only
-counted. A zone that holds too many rows is sketched again, so the answer never depends on the sketch being right.
+wanted rank: the first scan. The second one counts the rows outside the brackets and writes the values inside them with their counts, about a
+hundredth of the rows for each rank: the survivors, from which all else is found. A value that occurs very often is one row there.
+Only if a sketch misses a rank is the table scanned again, with the bracket in the zone that holds the rank.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulift.plans.scratch import durable
+
 SKETCH_K = 2000
 SKETCH_MARGIN = 0.004  # about twice the rank error of a KLL sketch with k = 2000
 SKETCH_GROUPS = 128
-PICK_ROWS = 1 << 20  # rows that may sit inside a bracket when its values are picked
-MAX_PASSES = 60
+PICK_ROWS = 1 << 20  # distinct values that one task sorts when a rank is picked
+SPLITS = 16  # parts that a bracket with more values is cut into, again and again
 MAX_ZONES = 1 << 16
 
 
@@ -105,13 +108,13 @@ def exact_quantiles(
             for rank in {math.floor(position), math.ceil(position)}:
                 bracket.setdefault((name, rank), ends)
 
+    # A rank that a bracket missed gets a new one inside its zone. All ends stay fences, so its zone loses at least the rows on an end each time.
     known: dict[tuple[str, int], float] = {}
-    for _ in range(MAX_PASSES):
-        if not bracket:
-            break
-        _resolve(df, values, bracket, known)
-    if bracket:
-        raise RuntimeError("quantile search did not settle")
+    fences: dict[str, set[float]] = {}
+    while bracket:
+        for (name, _), pair in bracket.items():
+            fences.setdefault(name, set()).update(pair)
+        _resolve(df, values, bracket, {n: fences[n] for n, _ in bracket}, known)
 
     out = {}
     for name in names:
@@ -154,59 +157,97 @@ def _zoned(df: DataFrame, values: Mapping[str, Column], cuts: Mapping[str, list[
     return place_in_cuts(df, values, cuts).select(F.inline(F.array(*items))).filter(F.col("zone").isNotNull())
 
 
-def _resolve(df, values, bracket, known) -> None:
-    """Count the rows in every zone between bracket ends; settle ranks that fall on an end or in a small zone."""
-    ends: dict[str, set[float]] = {}
-    for (name, _), pair in bracket.items():
-        ends.setdefault(name, set()).update(pair)
-    cuts = {n: _cuts(e) for n, e in ends.items()}
+@dataclass(frozen=True)
+class _Wanted:
+    """The value at place ``at`` (from 0) among the survivors of a zone with ``low <= x < high``."""
+
+    name: str
+    rank: int
+    item: int
+    zone: int
+    low: float
+    high: float
+    at: int
+
+    def rows(self) -> Column:
+        here = (F.col("item") == self.item) & (F.col("zone") == self.zone) & (F.col("x") >= F.lit(self.low))
+        return here if math.isinf(self.high) else here & (F.col("x") < F.lit(self.high))
+
+
+def _resolve(df, values, bracket, fences, known) -> None:
+    """Write the survivors of the brackets; settle ranks that fall on a fence or inside a bracket, and set new brackets for the others."""
+    cuts = {n: _cuts(e) for n, e in fences.items()}
     names = list(cuts)
-    zoned = _zoned(df, values, cuts)
+    inside = {
+        names.index(name) * MAX_ZONES + zone
+        for (name, _), (low, high) in bracket.items()
+        for zone in range(bisect_left(cuts[name], low) + 1, bisect_left(cuts[name], high))
+        if not _single_value(cuts[name], zone)
+    }
+    value = F.when((F.col("item") * MAX_ZONES + F.col("zone")).isin(list(inside)), F.col("x")) if inside else F.lit(None).cast("double")
+    kept = durable(_zoned(df, values, cuts).groupBy("item", "zone", value.alias("x")).agg(F.count(F.lit(1)).alias("n")))
     # At most columns x zones rows, whatever the table holds.
-    counted = {(r["item"], r["zone"]): r["n"] for r in zoned.groupBy("item", "zone").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = {(r["item"], r["zone"]): r["n"] for r in kept.groupBy("item", "zone").agg(F.sum("n").alias("n")).collect()}
 
-    picks: dict[tuple[str, int], list[tuple[int, int]]] = {}
-    narrow = []
+    wanted, missed = [], []
     for name, rank in list(bracket):
         item, before = names.index(name), 0
         for zone in range(len(cuts[name]) - 1):
-            inside = counted.get((item, zone), 0)
-            if rank < before + inside:
+            here = counted.get((item, zone), 0)
+            if rank < before + here:
                 break
-            before += inside
+            before += here
+        low, high = cuts[name][zone], cuts[name][zone + 1]
         if _single_value(cuts[name], zone):
-            known[name, rank] = cuts[name][zone]
-        elif inside <= PICK_ROWS:
-            picks.setdefault((name, zone), []).append((rank, rank - before))
+            known[name, rank] = low
+        elif item * MAX_ZONES + zone in inside:
+            wanted.append(_Wanted(name, rank, item, zone, low, high, rank - before))
         else:
-            low, high = cuts[name][zone], cuts[name][zone + 1]
             condition = (values[name] >= F.lit(low)) & ((values[name] < F.lit(high)) | F.lit(math.isinf(high)))
-            narrow.append(((name, rank), condition, before, inside))
-    if picks:
-        _pick(df, values, cuts, picks, known)
+            missed.append(((name, rank), condition, before, here))
+    while wanted:
+        wanted = _pick(kept, wanted, known)
     for key in known:
         bracket.pop(key, None)
-    if narrow:
-        _narrow(df, values, bracket, narrow)
-
-
-def _pick(df, values, cuts, picks, known) -> None:
-    """Sort the few rows of each wanted zone and take the values at the wanted places."""
-    names = list(dict.fromkeys(name for name, _ in picks))
-    wanted = {names.index(name) * MAX_ZONES + zone: (name, places) for (name, zone), places in picks.items()}
-    rows = _zoned(df, values, {n: cuts[n] for n in names}).select((F.col("item") * MAX_ZONES + F.col("zone")).alias("key"), "x")
-    lists = (
-        rows.filter(F.col("key").isin(list(wanted)))
-        .groupBy("key")
-        .agg(F.array_sort(F.collect_list("x")).alias("xs"))  # at most PICK_ROWS values per zone
-    )
-    places_of = F.create_map(
-        *[c for k, (_, places) in wanted.items() for c in (F.lit(k), F.array(*[F.lit(at) for _, at in places]))]
-    )
-    for row in lists.select("key", F.transform(places_of[F.col("key")], lambda at: F.get("xs", at)).alias("picked")).collect():
-        name, places = wanted[row["key"]]
-        for (rank, _), value in zip(places, row["picked"]):
-            known[name, rank] = value
+    if missed:
+        _narrow(df, values, bracket, missed)
+
+
+def _pick(kept: DataFrame, wanted: list[_Wanted], known) -> list[_Wanted]:
+    """Take the values at the wanted places where one task can sort the survivors; return the others with tighter bounds."""
+    rows = kept.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.when(w.rows(), F.col("x")).alias("x"), F.col("n")) for i, w in enumerate(wanted)])))
+    rows = rows.where("x is not null")
+    sizes = {r["i"]: r["k"] for r in rows.groupBy("i").agg(F.count(F.lit(1)).alias("k")).collect()}
+    small = [i for i in range(len(wanted)) if sizes.get(i, 0) <= PICK_ROWS]
+    if small:
+        at = F.create_map(*[c for i in small for c in (F.lit(i), F.lit(wanted[i].at))])[F.col("i")]
+        upto = F.sum("n").over(Window.partitionBy("i").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+        placed = rows.where(F.col("i").isin(small)).withColumn("upto", upto).withColumn("at", at)
+        for r in placed.where("upto > at and upto - n <= at").select("i", "x").collect():
+            known[wanted[r["i"]].name, wanted[r["i"]].rank] = r["x"]
+    large = [w for i, w in enumerate(wanted) if i not in small]
+    return _tightened(kept, large) if large else []
+
+
+def _tightened(kept: DataFrame, wanted: list[_Wanted]) -> list[_Wanted]:
+    """Cut the values of each into SPLITS parts of about equally many values and keep the part that holds the place."""
+    probes = [i / SPLITS for i in range(1, SPLITS)]
+    found = [sorted(set(q)) for *_, q in _sketch(kept, [F.when(w.rows(), F.col("x")) for w in wanted], [probes] * len(wanted))]
+    parts = [
+        F.struct(F.lit(i).alias("i"), F.when(w.rows(), F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("x")))).alias("part"), F.col("n"))
+        for i, (w, cuts) in enumerate(zip(wanted, found))
+    ]
+    rows = kept.select(F.inline(F.array(*parts))).where("part is not null")
+    counted = {(r["i"], r["part"]): r["n"] for r in rows.groupBy("i", "part").agg(F.sum("n").alias("n")).collect()}
+    out = []
+    for i, (w, cuts) in enumerate(zip(wanted, found)):
+        part, before = 0, 0
+        while w.at >= before + counted.get((i, part), 0):
+            before += counted.get((i, part), 0)
+            part += 1
+        low, high = ([w.low, *cuts][part], [*cuts, w.high][part])
+        out.append(replace(w, low=low, high=high, at=w.at - before))
+    return out
 
 
 def _narrow(df, values, bracket, narrow) -> None:
