@@ -278,13 +278,58 @@ def _stump_regressor(name, **settings):
 
 query("decision_tree_classifier_stump", _STUMP_CLASS)(_stump_classifier("Decision Tree Classifier", "l_returnflag", maxDepth=1))
 query("random_forest_classifier_stump", _STUMP_CLASS)(_stump_classifier("Random Forest Classifier", "l_returnflag", **_ONE_TREE))
-query("gbt_classifier_stump", _stump_mean("CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE -1.0 END", "CASE WHEN mean > 0 THEN '1' ELSE '0' END AS predicted"))(
+_LATE = "CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0.0 END"
+_ALL = f"(SELECT avg({_LATE}) FROM lineitem)"
+_LATE_SCORE = f"ln({_ALL} / (1 - {_ALL})) + 0.1 * (mean - {_ALL}) / ({_ALL} * (1 - {_ALL}))"  # the prior, and a tenth of a Newton step
+query("gbt_classifier_stump", _stump_mean(_LATE, f"CASE WHEN {_LATE_SCORE} > 0 THEN '1' ELSE '0' END AS predicted"))(
     _stump_classifier("Gradient Boosting Classifier", "late", maxDepth=1, maxIter=1)
 )
 _STUMP_PRICE = _stump_mean("l_extendedprice", "round(mean, 4) AS prediction")
 query("decision_tree_regressor_stump", _STUMP_PRICE)(_stump_regressor("Decision Tree Regressor", maxDepth=1))
 query("random_forest_regressor_stump", _STUMP_PRICE)(_stump_regressor("Random Forest Regressor", **_ONE_TREE))
-query("gbt_regressor_stump", _STUMP_PRICE)(_stump_regressor("Gradient Boosting Regressor", maxDepth=1, maxIter=1))
+_PRICE = "(SELECT avg(l_extendedprice) FROM lineitem)"
+query("gbt_regressor_stump", _stump_mean("l_extendedprice", f"round({_PRICE} + 0.1 * (mean - {_PRICE}), 4) AS prediction"))(
+    _stump_regressor("Gradient Boosting Regressor", maxDepth=1, maxIter=1)
+)
+
+
+def _softmax_rounds(rounds):
+    """Boosting of three classes over one feature: what each round adds to the scores of every value and class."""
+    parts = [
+        "base AS (SELECT l_linenumber AS x, l_returnflag AS c, count(*) AS n FROM lineitem GROUP BY ALL)",
+        "xs AS (SELECT x, sum(n) AS n FROM base GROUP BY x)",
+        "prior AS (SELECT c AS k, ln(sum(n) / (SELECT sum(n) FROM base)) AS f FROM base GROUP BY c)",
+        "s0 AS (SELECT x, k, f FROM xs, prior)",
+    ]
+    for i in range(rounds):
+        parts += [
+            f"p{i} AS (SELECT x, k, exp(f) / sum(exp(f)) OVER (PARTITION BY x) AS p FROM s{i})",
+            f"""r{i} AS (SELECT p{i}.x, k, xs.n AS n, coalesce(base.n, 0) - xs.n * p AS g, xs.n * p * (1 - p) AS h
+                FROM p{i} JOIN xs USING (x) LEFT JOIN base ON base.x = p{i}.x AND base.c = k)""",
+            f"side{i} AS (SELECT k, t, x <= t AS low, sum(n) AS n, sum(g) AS g, sum(h) AS h FROM r{i}, (SELECT x AS t FROM xs) GROUP BY ALL)",
+            f"""gain{i} AS (SELECT k, t, pow(max(g / n) FILTER (WHERE low) - max(g / n) FILTER (WHERE NOT low), 2)
+                * max(n) FILTER (WHERE low) * max(n) FILTER (WHERE NOT low) / sum(n) AS gain FROM side{i} GROUP BY k, t HAVING count(*) = 2)""",
+            f"best{i} AS (SELECT k, t FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY gain DESC, t) AS place FROM gain{i}) WHERE place = 1)",
+            f"leaf{i} AS (SELECT k, t, low, 2.0 / 3.0 * g / h AS v FROM side{i} JOIN best{i} USING (k, t))",
+            f"s{i + 1} AS (SELECT x, s{i}.k, f + 0.1 * v AS f FROM s{i} JOIN leaf{i} ON s{i}.k = leaf{i}.k AND (x <= t) = low)",
+        ]
+    last = f"SELECT x AS l_linenumber, k AS class, round(exp(f) / sum(exp(f)) OVER (PARTITION BY x), 8) AS probability FROM s{rounds}"
+    return f"WITH {', '.join(parts)} {last}"
+
+
+def _boosted(rounds):
+    def run(spark, folder):
+        df = table(spark, folder, "lineitem").select("l_linenumber", "l_returnflag")
+        model = fit_classifier("Gradient Boosting Classifier", df, ["l_linenumber"], "l_returnflag", maxDepth=1, maxIter=rounds)
+        made = model.transform(df.select("l_linenumber").distinct())
+        shares = [F.struct(F.lit(c).alias("class"), F.round(p, 8).alias("probability")) for c, p in model.scores().items()]
+        return made.select("l_linenumber", F.inline(F.array(*shares)))
+
+    return run
+
+
+query("gbt_classifier_softmax", _softmax_rounds(2))(_boosted(2))
+query("gbt_classifier_softmax_many", _softmax_rounds(12))(_boosted(12))
 
 
 @query(

@@ -11,7 +11,6 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     NaiveBayes,
@@ -20,20 +19,19 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulift.functions.schema import col, double_value, free_name
+from tabulift.operators.boosting import BoostedTrees
 from tabulift.operators.kernel import RandomFourierFeatures, fit_support_vector_regressor, scale_gamma
 
 # Settings of the models.
 SEED = 42
 LOGISTIC_ITERATIONS = 2000
 TREES = 100
-BOOSTING_ROUNDS = 100
-BOOSTING_DEPTH = 3
-BOOSTING_RATE = 0.1
+BOOSTING = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1}
 DEEPEST_TREE = 30  # the deepest that Spark grows; stands for unbounded
 PENALTY = 1.0
 
@@ -151,10 +149,7 @@ def _classifier_stages(name: str, df: DataFrame, features: Sequence[str], classe
     if name == "Gaussian Naive Bayes":
         return [NaiveBayes(**with_({"modelType": "gaussian", **probable}))], names.probability
     if name == "Gradient Boosting Classifier":
-        boosted = GBTClassifier(
-            **with_({"maxIter": BOOSTING_ROUNDS, "maxDepth": BOOSTING_DEPTH, "stepSize": BOOSTING_RATE, **GROWING, **probable})
-        )
-        return ([boosted], names.probability) if classes <= 2 else ([OneVsRest(classifier=boosted, **common)], names.raw)
+        return [BoostedTrees(**with_({**BOOSTING, **probable, "inputs": len(features), "classes": classes}))], names.probability
     if name == "Support Vector Classifier":
         lift = RandomFourierFeatures(
             inputCol=names.features, outputCol=names.lifted, gamma=scale_gamma(df, features), inputs=len(features), seed=SEED
@@ -185,7 +180,7 @@ def fit_classifier(name: str, df: DataFrame, features: Sequence[str], target: st
     return FittedClassifier(fitted, classes, score, features)
 
 
-def _regressor(name: str, df: DataFrame, target: str, names: Names, overrides: dict):
+def _regressor(name: str, df: DataFrame, target: str, names: Names, inputs: int, overrides: dict):
     common = names.of_regressor()
 
     def with_(defaults: dict) -> dict:
@@ -207,9 +202,7 @@ def _regressor(name: str, df: DataFrame, target: str, names: Names, overrides: d
     if name == "Decision Tree Regressor":
         return DecisionTreeRegressor(**with_({"maxDepth": DEEPEST_TREE, **GROWING}))
     if name == "Gradient Boosting Regressor":
-        return GBTRegressor(
-            **with_({"maxIter": BOOSTING_ROUNDS, "maxDepth": BOOSTING_DEPTH, "stepSize": BOOSTING_RATE, **GROWING})
-        )
+        return BoostedTrees(**with_({**BOOSTING, "inputs": inputs}))
     raise ValueError(f"unknown regressor: {name}")
 
 
@@ -220,4 +213,4 @@ def fit_regressor(name: str, df: DataFrame, features: Sequence[str], target: str
         return FittedRegressor(fit_support_vector_regressor(df, features, target, seed=SEED, names=names, **overrides), features)
     assembler = VectorAssembler(inputCols=list(features), outputCol=names.features, handleInvalid="error")
     train = df.select(*[col(f) for f in dict.fromkeys(features)], double_value(df, target).alias(names.label))
-    return FittedRegressor(Pipeline(stages=[assembler, _regressor(name, df, target, names, overrides)]).fit(train), features)
+    return FittedRegressor(Pipeline(stages=[assembler, _regressor(name, df, target, names, len(features), overrides)]).fit(train), features)

@@ -84,6 +84,17 @@ def sketch_splits(df: DataFrame, value: Column, buckets: int) -> list[float]:
     return sorted({q for q in found if q > low})
 
 
+def split_points(df: DataFrame, values: Sequence[Column], parts: int) -> list[list[float]]:
+    """For each value expression at most ``parts`` - 1 ascending points between its values: between all of them if a sketch saw no more."""
+    probes = [i / parts for i in range(parts + 1)]
+    out = []
+    for _, low, high, found in _sketch(df, values, [probes] * len(values)):
+        seen = sorted({low, high, *found}) if found else []
+        between = [a + (b - a) / 2 for a, b in zip(seen, seen[1:])]
+        out.append(between[: parts - 1] if len(between) < parts else between[1:parts])
+    return out
+
+
 def exact_quantiles(
     df: DataFrame, values: Mapping[str, Column], probabilities: Sequence[float]
 ) -> dict[str, Distribution]:
