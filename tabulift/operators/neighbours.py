@@ -22,7 +22,7 @@ from tabulift.functions.schema import col, double_value
 from tabulift.plans.scratch import durable
 
 BOX_ROWS = 20_000
-FEWEST_ROWS = 128  # of a box, about, when there are more cores than full boxes
+FEWEST_ROWS = 128  # test rows of a part, about, when there are more cores than full parts
 MAX_BOXES = 1 << 14  # of the tree, which every task holds; beyond it boxes get larger and are read in chunks
 SAMPLE_PER_BOX = 64
 CHUNK_CELLS = 4_000_000
@@ -136,11 +136,16 @@ def _points(df: DataFrame, features: Sequence[str], key: str, name: str, *more)
     return df.select(col(key).alias(name), F.array(*[double_value(df, f) for f in features]).alias("point"), *more)
 
 
-def _visit(tests: DataFrame, trains: DataFrame, k: int, metric: str, schema: str) -> DataFrame:
-    """Join test and train rows box by box, every part of a box's test rows with every chunk of its train rows."""
-    shares = [F.greatest(F.ceil(F.col(n) / F.lit(BOX_ROWS)), F.lit(1)).cast("int").alias(m) for n, m in (("tests", "parts"), ("trains", "chunks"))]
+def _visit(tests: DataFrame, trains: DataFrame, k: int, metric: str, schema: str, spread: int) -> DataFrame:
+    """Join test and train rows box by box, every part of a box's test rows with every chunk of its train rows.
+
+    A box has at least ``spread`` parts, where that leaves FEWEST_ROWS in each, so that few boxes keep all cores busy.
+    """
+    least = F.least(F.lit(spread), F.ceil(F.col("tests") / F.lit(FEWEST_ROWS)))
+    parts = F.greatest(F.ceil(F.col("tests") / F.lit(BOX_ROWS)), least, F.lit(1)).cast("int").alias("parts")
+    shares = [parts, F.greatest(F.ceil(F.col("trains") / F.lit(BOX_ROWS)), F.lit(1)).cast("int").alias("chunks")]
     counts = tests.groupBy("box").agg(F.count(F.lit(1)).alias("tests")).join(trains.groupBy("box").agg(F.count(F.lit(1)).alias("trains")), "box")
-    layout = F.broadcast(counts.select("box", *shares))  # one row per box, so at most MAX_BOXES
+    layout = F.broadcast(counts.select("box", *shares))  # one row per box, so at most MAX_BOXES rows
     tests = tests.join(layout, "box").withColumn("part", F.pmod(F.xxhash64("test_key"), "parts").cast("int"))
     tests = tests.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("parts", "chunks")
     trains = trains.join(layout, "box").withColumn("chunk", F.pmod(F.xxhash64("train_key"), "chunks").cast("int"))
@@ -149,10 +154,9 @@ def _visit(tests: DataFrame, trains: DataFrame, k: int, metric: str, schema: str
     return tests.groupBy(*at).cogroup(trains.groupBy(*at)).applyInPandas(_nearest_in_box(k, metric), schema)
 
 
-def _box_count(rows: int, cores: int) -> int:
-    """A power of two: boxes of at most BOX_ROWS, and one for every core where that leaves FEWEST_ROWS in each."""
-    wanted = max(rows / BOX_ROWS, min(cores, rows / FEWEST_ROWS), 1)
-    return min(MAX_BOXES, 1 << math.ceil(math.log2(wanted)))
+def _box_count(rows: int) -> int:
+    """A power of two: boxes of at most BOX_ROWS."""
+    return min(MAX_BOXES, 1 << math.ceil(math.log2(max(rows / BOX_ROWS, 1))))
 
 
 def nearest(
@@ -177,7 +181,8 @@ def nearest(
     same = Window.partitionBy("point").orderBy("train_key")
     trains = trains.withColumn("copy", F.row_number().over(same)).filter(F.col("copy") <= k).drop("copy")
     rows = trains.count()
-    boxes = _box_count(rows, train.sparkSession.sparkContext.defaultParallelism)
+    boxes = _box_count(rows)
+    spread = -(-train.sparkSession.sparkContext.defaultParallelism // boxes)
     share = min(1.0, 2.0 * boxes * SAMPLE_PER_BOX / max(1, rows))
     # The sample only places the cuts between boxes; no neighbour is chosen from it.
     places = trains.select("point").sample(share, seed=42).collect() if boxes > 1 else []
@@ -198,11 +203,12 @@ def nearest(
             found += np.split(box.astype("int32"), np.searchsorted(row, np.arange(1, len(near))))
         return pd.Series(found)
 
-    trains = trains.withColumn("box", own_box("point"))
-    tests = _points(test, features, test_key, "test_key").withColumn("box", own_box("point"))
+    mine = own_box("point") if boxes > 1 else F.lit(0)
+    trains = trains.withColumn("box", mine)
+    tests = _points(test, features, test_key, "test_key").withColumn("box", mine)
     if boxes > 1:  # both rounds read these
         trains, tests = durable(trains), durable(tests)
-    first = _visit(tests, trains, k, metric, schema)
+    first = _visit(tests, trains, k, metric, schema, spread)
     if boxes > 1:
         first = durable(first)
         reach = first.groupBy("test_key").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far"))
@@ -210,7 +216,7 @@ def nearest(
         further = tests.join(reach, F.col("test_key") == F.col("_key"), "left").select(
             "test_key", "point", F.explode(other_boxes("point", "box", F.col("radius").cast("double"))).alias("box")
         )
-        first = first.unionByName(_visit(further, trains, k, metric, schema))
+        first = first.unionByName(_visit(further, trains, k, metric, schema, spread))
     place = F.row_number().over(Window.partitionBy("test_key").orderBy("distance", "train_key"))
     best = first.withColumn("place", place).filter(F.col("place") <= k)
     distance = F.sqrt("distance") if metric == EUCLIDEAN else F.col("distance")
