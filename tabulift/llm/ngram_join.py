@@ -28,6 +28,8 @@ SENT_ROWS = 1 << 17
 HOT_COUNT, HOT_PARTS = 1 << 17, 64
 #: Rounds in which a list is compared with one of its sets only, before what is still apart is compared.
 STARS = 1
+#: Links that a label reaches over: those of a star, and of stars that share a set.
+HOPS = 3
 BASE = np.uint64(0x9E3779B97F4A7C13)
 
 MARKED = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("counter", pa.int32()), ("counts", pa.binary())])
@@ -208,12 +210,21 @@ def _postings(rule: Rule, df: DataFrame, text: str, sets: DataFrame, common) ->
     return stored(kept.join(sets.select("id", "d1", "d2", "n"), ["d1", "d2", "n"]).select("token", "id", "n", "pos"), "postings")
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """(id, label): the smallest set within ``HOPS`` links. Sets of one label are connected; connected ones may have different labels."""
+    both = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
+    ends = both.unionByName(both.select("a", F.col("a").alias("b")))
+    found = ends.groupBy("a").agg(F.min("b").alias("label"))
+    for _ in range(HOPS - 1):
+        found = ends.join(found.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("label"))
+    return found.withColumnRenamed("a", "id")
+
+
 def _labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """The lists in which several components meet, with the component of each row as ``label``; stored."""
+    """The lists in which several labels meet, with the label of each row; stored. What is connected need not be compared."""
     if links.limit(1).count() == 0:
         return stored(lists.withColumn("label", F.col("id")), "lists")
-    found = components(links)
-    rows = lists.join(found.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("label"))
+    rows = lists.join(_labels(links), "id", "left").select("token", "id", "n", "pos", F.coalesce("label", "id").alias("label"))
     rows = stored(rows, "labelled")
     apart = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
     return stored(rows.join(apart, "token"), "lists")
