@@ -26,10 +26,10 @@ SENT_SETS = 1 << 14
 SENT_ROWS = 1 << 17
 #: Lists of n-grams whose counter is so large (and far above most counters) are cut into parts before they are shuffled.
 HOT_COUNT, HOT_PARTS = 1 << 17, 64
+#: Common n-grams that prefixes are long enough to show of every linked pair (all, if they must have fewer).
+SHOWN = 3
 #: Rounds in which a list is compared with one of its sets only, before what is still apart is compared.
 STARS = 1
-#: Links that a label reaches over: those of a star, and of stars that share a set.
-HOPS = 3
 BASE = np.uint64(0x9E3779B97F4A7C13)
 
 MARKED = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("counter", pa.int32()), ("counts", pa.binary())])
@@ -138,7 +138,7 @@ def _commonness(marked: DataFrame) -> np.ndarray:
 
 
 def _prefixes(rule: Rule, common) -> Callable:
-    """The rare-first prefix of every set: (token, digest, n, place, part). A task sends a set once, as long as it remembers it."""
+    """The rare-first prefix of every set, which shares SHOWN n-grams with that of every linked one: (token, digest, n, place, part). A task sends a set once, as long as it remembers it."""
     hot = min(255, max(int(8 * np.log2(HOT_COUNT)), int(np.median(common.value)) + 32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +150,7 @@ def _prefixes(rule: Rule, common) -> Callable:
                 if not n or sent.get(digest):
                     continue
                 sent.put(digest, True)
-                length = n - rule.least_size(n) + 1
+                length = min(n, n - rule.least_size(n) + SHOWN)
                 prefix = rare_first(tokens, common.value)[:length]
                 part = np.where(common.value[_counter(prefix)] >= hot, 1 + digest[0] % HOT_PARTS, 0)
                 parts.append((prefix.view(np.int64), *(np.full(length, x) for x in (*digest, n)), np.arange(length), part.astype(np.int16)))
@@ -179,25 +179,35 @@ def _fetching(rule: Rule) -> Callable:
 # ---- candidates ----
 
 
+def _long_enough(rule: Rule, a: str, b: str) -> Column:
+    """Length filter of two rows of a list."""
+    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return rule.of * F.least(n_a, n_b) >= rule.part * F.greatest(n_a, n_b)
+
+
 def _fits(rule: Rule, a: str, b: str) -> Column:
-    """Length and positional filter of two rows of a list: what may still be common from their places on is enough for their sizes."""
+    """Length and positional filter of two rows of a list: what may still be common from their places on is enough for their sizes.
+
+    Right for the first common n-gram of two sets; in the lists of others it may refuse a pair that this one lets pass.
+    """
     n_a, n_b, at_a, at_b = (F.col(f"{side}.{c}") for c in ("n", "pos") for side in (a, b))
-    long_enough = rule.of * F.least(n_a, n_b) >= rule.part * F.greatest(n_a, n_b)
-    return long_enough & ((rule.of + rule.part) * F.least(n_a - at_a, n_b - at_b) >= rule.part * (n_a + n_b))
+    return _long_enough(rule, a, b) & ((rule.of + rule.part) * F.least(n_a - at_a, n_b - at_b) >= rule.part * (n_a + n_b))
 
 
 def _postings(rule: Rule, df: DataFrame, text: str, sets: DataFrame, common) -> DataFrame:
     """(token, id, n, pos): the rows of prefix lists that can pair with another row of their list, stored.
 
-    With ``free = (of + part) (n - pos) - part n`` two rows pass the positional filter if the ``free`` of each is at least ``part`` times the
+    If the i-th common n-gram of two sets stands at ``pos``, at most ``n - pos + i - 1`` are common. With i = SHOWN and
+    ``free = (of + part) (n - pos + i - 1) - part n`` two rows pass this positional filter if the ``free`` of each is at least ``part`` times the
     other's n. So a row whose free is too small for the smallest other n, or whose n is too large for the largest other free, pairs with
-    none. Most n-grams stand in one set, and most lists hold chance meetings: these go here, before anything is written. Lists that were cut into parts keep all rows.
+    none. Most n-grams stand in one set, and most lists hold chance meetings: these go here, before anything is written. Lists that were cut into parts keep all rows. A linked set keeps SHOWN rows at least (or as many
+    as its least overlap); sets with fewer go.
     """
     sent = df.select(quoted(text)).mapInArrow(_prefixes(rule, common), from_arrow_schema(PREFIX))
     list_ = Window.partitionBy("token", "part")
     met = sent.repartition("token", "part").withColumn("rows", F.count("*").over(list_)).where("part > 0 or rows > 1")
     rows = met.drop("rows").distinct()  # what several tasks sent
-    free, me = rule.of * F.col("n") - (rule.of + rule.part) * F.col("pos"), F.struct("d1", "d2")
+    free, me = rule.of * F.col("n") - (rule.of + rule.part) * (F.col("pos") - (SHOWN - 1)), F.struct("d1", "d2")
     most, least = F.max(F.struct(F.col("free"), F.col("me"))).over(list_), F.min(F.struct(F.col("n"), F.col("me"))).over(list_)
     ends = rows.withColumn("free", free).withColumn("me", me).withColumn("most", most).withColumn("least", least)
     second = ends.withColumn("next_free", F.max(F.when(F.col("me") != F.col("most.me"), F.col("free"))).over(list_)).withColumn(
@@ -207,35 +217,32 @@ def _postings(rule: Rule, df: DataFrame, text: str, sets: DataFrame, common) ->
     other_n = F.when(F.col("me") == F.col("least.me"), F.col("next_n")).otherwise(F.col("least.n"))
     can = (F.col("free") >= rule.part * other_n) & (other_free >= rule.part * F.col("n"))
     kept = second.where((F.col("part") > 0) | can).select("token", "d1", "d2", "n", "pos")
-    return stored(kept.join(sets.select("id", "d1", "d2", "n"), ["d1", "d2", "n"]).select("token", "id", "n", "pos"), "postings")
-
-
-def _labels(links: DataFrame) -> DataFrame:
-    """(id, label): the smallest set within ``HOPS`` links. Sets of one label are connected; connected ones may have different labels."""
-    both = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
-    ends = both.unionByName(both.select("a", F.col("a").alias("b")))
-    found = ends.groupBy("a").agg(F.min("b").alias("label"))
-    for _ in range(HOPS - 1):
-        found = ends.join(found.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("label"))
-    return found.withColumnRenamed("a", "id")
+    named = kept.join(sets.select("id", "d1", "d2", "n"), ["d1", "d2", "n"]).select("token", "id", "n", "pos")
+    shown = named.withColumn("rows", F.count("*").over(Window.partitionBy("id")))
+    enough = F.least(F.lit(SHOWN), F.ceil(F.lit(rule.part) * F.col("n") / rule.of))
+    return stored(shown.where(F.col("rows") >= enough).drop("rows"), "postings")
 
 
 def _labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """The lists in which several labels meet, with the label of each row; stored. What is connected need not be compared."""
+    """The lists in which several components meet, with the component of each row as ``label``; stored."""
     if links.limit(1).count() == 0:
         return stored(lists.withColumn("label", F.col("id")), "lists")
-    rows = lists.join(_labels(links), "id", "left").select("token", "id", "n", "pos", F.coalesce("label", "id").alias("label"))
+    found = components(links)
+    rows = lists.join(found.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("label"))
     rows = stored(rows, "labelled")
     apart = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
     return stored(rows.join(apart, "token"), "lists")
 
 
 def _star_pairs(rule: Rule, lists: DataFrame, number: int) -> DataFrame:
-    """(a, b): every row of a list with one of its rows, in each round another one."""
-    first = F.col("id") if number == 0 else F.xxhash64("id", F.lit(number))
+    """(a, b): every row of a list with one of its rows, in each round another one. A pair may meet in one list only, so places are no filter.
+
+    The first one has the fewest rarer n-grams before the list's: of near copies of one text the one that was changed least, to which most link.
+    """
+    first = F.col("pos").cast("bigint") if number == 0 else F.xxhash64("id", F.lit(number))
     chosen = lists.groupBy("token").agg(F.min(F.struct(first.alias("by"), "id", "n", "pos", "label")).alias("x")).select("token", "x.*")
     l, r = chosen.alias("l"), lists.alias("r")
-    met = l.join(r, F.col("l.token") == F.col("r.token")).where((F.col("l.label") != F.col("r.label")) & _fits(rule, "l", "r"))
+    met = l.join(r, F.col("l.token") == F.col("r.token")).where((F.col("l.label") != F.col("r.label")) & _long_enough(rule, "l", "r"))
     return met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
 
 
