@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import functools
 import re
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,16 +30,15 @@ BLOCK = 128
 TOGETHER = 200_000
 REMEMBERED = 200_000
 
-@functools.cache
-def _word() -> re.Pattern:
-    """Runs of letters. What ``re`` takes for a word character although it is no letter (superscript and circled numbers, fractions) is left out."""
-    signs = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
-    return re.compile(rf"[^\W_{signs}]+")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower case."""
-    return _word().findall(text.lower()) if text else []
+    """Runs of letters, lower case. Superscript and circled numbers or fractions, word characters to ``re``, are no letters."""
+    found = _WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
