@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tabulift.functions.schema import col, double_value, free_name
 from tabulift.operators.boosting import BoostedTrees
+from tabulift.operators.forest import BINS, RegressionForest
 from tabulift.operators.kernel import RandomFourierFeatures, fit_support_vector_regressor, scale_gamma
 
 # Settings of the models.
@@ -34,6 +35,7 @@ TREES = 100
 BOOSTING = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1}
 DEEPEST_TREE = 30  # the deepest that Spark grows; stands for unbounded
 PENALTY = 1.0
+FOREST_SETTINGS = {"numTrees", "maxDepth", "maxBins", "bootstrap", "seed"}  # others are those of Spark's own forest
 
 # How trees are grown: fine bins, and node ids kept between levels so that deep trees do not replay their splits.
 GROWING = {"maxBins": 256, "cacheNodeIds": True, "maxMemoryInMB": 1024, "seed": SEED}
@@ -196,6 +198,8 @@ def _regressor(name: str, df: DataFrame, target: str, names: Names, inputs: int,
     if name == "Lasso Regression":
         return LinearRegression(**with_({"regParam": PENALTY, "elasticNetParam": 1.0, "standardization": False, "maxIter": 1000}))
     if name == "Random Forest Regressor":
+        if set(overrides) <= FOREST_SETTINGS and overrides.get("maxBins", 0) <= BINS:
+            return RegressionForest(**with_({"numTrees": TREES, "maxDepth": DEEPEST_TREE, "seed": SEED, "inputs": inputs}))
         return RandomForestRegressor(
             **with_({"numTrees": TREES, "maxDepth": DEEPEST_TREE, "featureSubsetStrategy": "all", **GROWING})
         )

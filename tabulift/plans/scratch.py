@@ -55,3 +55,8 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def dealt(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """A table of so many rows spread over all cores, and over so many tasks that none gets more than about ``most`` rows."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // most)))
