@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tabulift.functions.schema import col, double_value, free_name
 from tabulift.operators.boosting import BoostedTrees
 from tabulift.operators.forest import BINS, RegressionForest
-from tabulift.operators.kernel import RandomFourierFeatures, fit_support_vector_regressor, scale_gamma
+from tabulift.operators.kernel import RandomFourierFeatures, dealt_for_kernel, fit_support_vector_regressor, scale_gamma
 
 # Settings of the models.
 SEED = 42
@@ -178,7 +178,10 @@ def fit_classifier(name: str, df: DataFrame, features: Sequence[str], target: st
     assembler = VectorAssembler(inputCols=list(features), outputCol=names.features, handleInvalid="error")
     stages, score = _classifier_stages(name, train, features, len(classes), overrides)
     back = IndexToString(inputCol=names.prediction, outputCol=names.predicted, labels=list(classes))
-    fitted = Pipeline(stages=[assembler, *stages, back]).fit(indexer.transform(train))
+    indexed = indexer.transform(train)
+    if name == "Support Vector Classifier":
+        indexed = dealt_for_kernel(indexed, indexed.count())
+    fitted = Pipeline(stages=[assembler, *stages, back]).fit(indexed)
     return FittedClassifier(fitted, classes, score, features)
 
 

@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 
 from tabulift.functions.schema import col, double_value
 from tabulift.plans.quantiles import exact_quantiles
+from tabulift.plans.scratch import dealt
 
 DIMENSIONS = 128
+#: Numbers that the random features of one task's rows hold, about: 64 MB.
+TASK_NUMBERS = 1 << 23
 # Fixed values of the support vector regressor.
 EPSILON = 0.1
 PENALTY = 1.0
@@ -44,6 +47,11 @@ def scale_gamma(df: DataFrame, features: Sequence[str]) -> float:
     return float(1.0 / (len(features) * overall)) if overall > 0 else 1.0
 
 
+def dealt_for_kernel(df: DataFrame, rows: int, dimensions: int = DIMENSIONS) -> DataFrame:
+    """The table in so many parts that the random features of each stay small: they are many times as wide as the rows, and read in every round."""
+    return dealt(df, rows, max(1, TASK_NUMBERS // dimensions))
+
+
 def projection(inputs: int, gamma: float, dimensions: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Random directions and phases of the Gaussian kernel exp(-gamma |x - y|^2)."""
     random = np.random.default_rng(seed)
@@ -95,7 +103,8 @@ def fit_support_vector_regressor(
     y = double_value(df, target)
     table = df.select(*[col(f) for f in dict.fromkeys(features)], y.alias(names.label))
     label, prediction = col(names.label), col(names.prediction)
-    rows = PipelineModel([assembler, lift]).transform(table).select(names.lifted, names.label).persist()
+    spread_out = dealt_for_kernel(table, table.count(), dimensions)
+    rows = PipelineModel([assembler, lift]).transform(spread_out).select(names.lifted, names.label).persist()
     middle = exact_quantiles(table, {"y": label}, [0.5])["y"].at[0.5]
     made = {"featuresCol": names.lifted, "labelCol": names.label, "predictionCol": names.prediction}
 

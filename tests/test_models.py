@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabulift.operators import metrics, neighbours, split, training
+from tabulift.operators import kernel, metrics, neighbours, split, training
 from tabulift.operators.estimators import CLASSIFIERS, REGRESSORS, fit_classifier, fit_regressor
 from tabulift.operators.target import BINARY, MULTICLASS, REGRESSION
 from tabulift.sources.models import load_model, model_file_name, save_model
@@ -56,6 +56,17 @@ def test_save_and_load(spark, points, tmp_path):
     assert sorted(first) == sorted(again)
 
 
+@pytest.mark.parametrize("name,target", [("Support Vector Classifier", "two"), ("Support Vector Regressor (SVR)", "z")])
+def test_kernel_features_are_in_small_parts(points, monkeypatch, name, target):
+    """Also of a table that one task would read, as a small file is."""
+    monkeypatch.setattr(kernel, "TASK_NUMBERS", 20 * kernel.DIMENSIONS)
+    parts, mapped = [], kernel.RandomFourierFeatures._transform
+    monkeypatch.setattr(kernel.RandomFourierFeatures, "_transform", lambda self, df: parts.append(df.rdd.getNumPartitions()) or mapped(self, df))
+    train = points.train.coalesce(1)
+    fit_classifier(name, train, FEATURES, target, maxIter=2) if target == "two" else fit_regressor(name, train, FEATURES, target, rounds=2)
+    assert parts[0] >= train.count() / 20
+
+
 def test_ridge_equals_the_closed_form(points):
     data = np.array([(r["a"], r["b"], r["z"]) for r in points.train.collect()])
     x, y = data[:, :2] - data[:, :2].mean(axis=0), data[:, 2] - data[:, 2].mean()
