@@ -7,6 +7,9 @@ from tabulift.functions.schema import normalize_names
 from tabulift.plans.scratch import scratch_path
 from tabulift.sources.tables import load_csv, load_status, load_table, narrow_types, preview
 
+#: Splits of a table that make one file: its text, larger than the splits, is cut into several ranges.
+SPLITS_A_FILE = 2
+
 
 @query("load_csv", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def load_customer(spark, folder):
@@ -26,9 +29,10 @@ def load_csv_text(spark, folder):
 
 @query("load_csv_split", "SELECT doc_id, text, lang, n_chars FROM documents")
 def load_csv_split(spark, folder):
-    """Texts with line breaks in one file, read by ranges and cut at record ends."""
+    """Texts with line breaks in files of several ranges each, read by ranges and cut at record ends."""
     path = scratch_path(spark, "documents") + ".csv"
-    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "n_chars").coalesce(1)
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "n_chars")
+    docs = docs.coalesce(max(1, docs.rdd.getNumPartitions() // SPLITS_A_FILE))  # one task writes a file, so files do not grow with the table
     docs.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return load_csv(spark, path, split=True)
 

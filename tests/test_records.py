@@ -116,3 +116,26 @@ def test_documents_in_many_ranges(spark, folder, small_ranges):
 
 def test_sizes():
     assert [byte_size(t) for t in ("134217728b", "128MB", "64k", "1g", "7")] == [1 << 27, 1 << 27, 1 << 16, 1 << 30, 7]
+
+
+def test_files_do_not_grow_with_the_table(spark, tmp_path):
+    """One task writes a file, so a table of more splits makes more files, and each is still cut into ranges."""
+    import glob
+
+    import catalogue
+    from tabulift.sources import tables
+
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat(repeat('a line, \"quoted\"\\n', 20), id) AS text", "'en' AS lang", "id AS n_chars")
+    docs.repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    seen, read = [], tables.read_records
+    tables.read_records = lambda s, path: seen.append(path) or read(s, path)
+    try:
+        made = catalogue.QUERIES["load_csv_split"](spark, str(tmp_path))
+        assert sorted(made.collect()) == sorted(docs.select("doc_id", "text", "lang", "n_chars").collect())
+    finally:
+        tables.read_records = read
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(glob.glob(f"{seen[0]}/*.csv")) > 1
