@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tabulift.functions.schema import col, double_value
 from tabulift.operators.neighbours import CHEBYSHEV, nearest
-from tabulift.plans.ranks import running_totals
+from tabulift.plans.ranks import MOST_RANGES, RANGE_ROWS, running_totals
 from tabulift.plans.scratch import durable
 
 # Fixed values of the estimators.
@@ -74,16 +74,23 @@ def _long(df: DataFrame, values: dict[str, Column], key: str, *more: Column) ->
     return df.select(col(key).alias("id"), *more, F.inline(F.array(*items)))
 
 
-def _class_radius(points: DataFrame, k: int) -> DataFrame:
+def _parts(df: DataFrame, rows: int) -> int:
+    """Tasks for so many rows: as many as the session shuffles into, and more where they would get over ``RANGE_ROWS`` rows."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, 2 * -(-rows // RANGE_ROWS)))
+
+
+def _class_radius(points: DataFrame, k: int, rows: int | None = None) -> DataFrame:
     """Distance of every point (id, feature, class, n, x) to its k-th neighbour of the same class and feature.
 
     Points are numbered within their class; blocks of that order are overlapped by k points on either side.
     """
-    ranked = running_totals(points.withColumn("one", F.lit(1)), "x", {"one": "rank"}, by=["feature", "class"], then=["id"])
+    ranked = running_totals(points.withColumn("one", F.lit(1)), "x", {"one": "rank"}, by=["feature", "class"], then=["id"], rows=rows)
     size = F.lit(BLOCK_ROWS)
     own = F.floor(F.col("rank") / size)
     first, last = F.floor(F.greatest(F.col("rank") - k, F.lit(0)) / size), F.floor((F.col("rank") + k) / size)
     blocks = ranked.withColumn("own", own).withColumn("block", F.explode(F.sequence(first, last)))
+    if rows:
+        blocks = blocks.repartition(_parts(points, rows), "feature", "class", "block")
     order = Window.partitionBy("feature", "class", "block").orderBy("rank")
     gap = F.lit(float("inf"))
     left = [F.lit(0.0), *[F.coalesce(F.col("x") - F.lag("x", i).over(order), gap) for i in range(1, k + 1)]]
@@ -101,7 +108,7 @@ def _class_radius(points: DataFrame, k: int) -> DataFrame:
     return spaced.select("id", "feature", "x", choice.alias("radius"))
 
 
-def _counts_within(points: DataFrame) -> DataFrame:
+def _counts_within(points: DataFrame, rows: int | None = None) -> DataFrame:
     """(feature, id, m): points of the feature closer than the radius, from rows (id, feature, x, radius); itself counts.
 
     Points and interval ends are sorted together; the difference of the running counts at both ends is the answer.
@@ -116,9 +123,11 @@ def _counts_within(points: DataFrame) -> DataFrame:
         F.struct(high.alias("at"), F.lit(2).alias("kind"), F.lit(0).alias("one")),
     )
     events = points.select("id", "feature", F.inline(entries))
-    counted = running_totals(events, "at", {"one": "before"}, by=["feature"], then=["kind", "id"])
+    counted = running_totals(events, "at", {"one": "before"}, by=["feature"], then=["kind", "id"], rows=3 * rows if rows else None)
     sign = F.when(F.col("kind") == 2, F.col("before")).otherwise(-F.col("before"))
     ends = counted.filter(F.col("kind") != 1)
+    if rows:
+        ends = ends.repartition(_parts(ends, 2 * rows), "feature", "id")
     return ends.groupBy("feature", "id").agg(F.sum(sign).alias("m"))
 
 
@@ -133,7 +142,8 @@ def neighbour_classification(df: DataFrame, target: str, key: str, features: Seq
     if not whole["rows"]:
         return df.sparkSession.createDataFrame([(f, 0.0) for f in names], "feature string, mutual_information double")
     points = _long(df, _prepared(df, names, key), key, col(target).alias("class")).join(classes, "class")
-    found = _counts_within(_class_radius(points, k)).groupBy("feature").agg(F.avg(digamma(F.col("m").cast("double"))).alias("psi"))
+    cells = whole["rows"] * len(names)
+    found = _counts_within(_class_radius(points, k, cells), cells).groupBy("feature").agg(F.avg(digamma(F.col("m").cast("double"))).alias("psi"))
     known = digamma_number(whole["rows"]) + (whole["k"] - whole["classes"]) / whole["rows"]
     return found.select("feature", F.greatest(F.lit(known) - F.col("psi"), F.lit(0.0)).alias("mutual_information"))
 
@@ -151,7 +161,7 @@ def neighbour_regression(df: DataFrame, target: str, key: str, features: Sequenc
         both = plane.join(reach, "id").select(
             "id", "radius", F.inline(F.array(F.struct(F.lit("x").alias("feature"), F.col("x")), F.struct(F.lit("y").alias("feature"), F.col("y").alias("x"))))
         )
-        psi = _counts_within(both).agg((F.sum(digamma(F.col("m").cast("double"))) / F.lit(float(rows))).alias("psi"))
+        psi = _counts_within(both, 2 * rows).agg((F.sum(digamma(F.col("m").cast("double"))) / F.lit(float(rows))).alias("psi"))
         known = digamma_number(rows) + digamma_number(k)
         parts.append(psi.select(F.lit(name).alias("feature"), F.greatest(F.lit(known) - F.col("psi"), F.lit(0.0)).alias("mutual_information")))
     return reduce(DataFrame.unionByName, parts)

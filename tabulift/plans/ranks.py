@@ -23,15 +23,19 @@ HASH_PREFIX = 3  # hex digits: 4,096 ranges of equal width in hash space
 NEAR_ROWS = 100_000  # rows of one class that share a hash prefix, about, at most
 BROADCAST_CLASSES = 20_000
 DICTIONARY_ROWS = 100_000
+RANGE_ROWS = 500_000  # rows of a range, about, and of the task that sorts it
+MOST_RANGES = 1 << 14
 
 
-def _range_count(df: DataFrame) -> int:
-    return max(8, min(4096, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+def _range_count(df: DataFrame, rows: int) -> int:
+    """As many ranges as the session shuffles into, and more where they would hold over ``RANGE_ROWS`` rows."""
+    least = max(8, min(4096, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return max(least, min(MOST_RANGES, -(-rows // RANGE_ROWS)))
 
 
-def with_range(df: DataFrame, order: str, name: str = "_range") -> DataFrame:
+def with_range(df: DataFrame, order: str, name: str = "_range", rows: int | None = None) -> DataFrame:
     """Add the number of the value range that the (double) column ``order`` falls in."""
-    splits = sketch_splits(df, col(order), _range_count(df))
+    splits = sketch_splits(df, col(order), _range_count(df, rows or 0))
     if not splits:
         return df.withColumn(name, F.lit(0.0))
     cutter = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol=order, outputCol=name)
@@ -59,17 +63,23 @@ def _join_offsets(rows: DataFrame, offsets: DataFrame, by: list[str]) -> DataFra
     return rows.join(renamed, condition).drop(*[f"_k_{k}" for k in keys])
 
 
-def running_totals(df: DataFrame, order: str, sums: dict[str, str], by=(), then=()) -> DataFrame:
+def running_totals(df: DataFrame, order: str, sums: dict[str, str], by=(), then=(), rows: int | None = None) -> DataFrame:
     """For each ``source: output`` pair add the sum of ``source`` over the rows ordered before this one.
 
+    ``rows``, if known, lets the ranges and the tasks that sort them grow in number with the table and not in size.
+
     ``order`` must be a double column; together with the columns of ``then``, which settle equal values, it must be
     unique within each group of ``by``.
     """
     by = list(by)
-    ranged = with_range(df, order)
+    # An integer, as floating-point keys are normalised by windows and not by a repartition, which would then not serve the window.
+    ranged = with_range(df, order, rows=rows).withColumn("_range", F.col("_range").cast("int"))
+    parts, placed = -(-rows // RANGE_ROWS) if rows else 0, ranged
+    if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        placed = ranged.repartition(2 * min(MOST_RANGES, parts), *[col(c) for c in (*by, "_range")])  # twice, as hashes deal unevenly
     before = Window.partitionBy(*by, "_range").orderBy(order, *then).rowsBetween(Window.unboundedPreceding, -1)
-    rows = ranged.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_own_{o}") for c, o in sums.items()])
-    joined = _join_offsets(rows, _with_offsets(ranged, by, sums), by)
+    own = placed.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_own_{o}") for c, o in sums.items()])
+    joined = _join_offsets(own, _with_offsets(ranged, by, sums), by)
     return joined.select(
         *[col(c) for c in df.columns],
         *[(F.col(f"_own_{o}") + F.col(f"_offset_{o}")).alias(o) for o in sums.values()],

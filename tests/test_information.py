@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabulift.plans import ranks
 from tabulift.operators import importance, information
 
 
@@ -76,3 +77,16 @@ def test_number_estimate(table):
 def test_importance_with_neighbours(table):
     rows = importance.feature_importance(table.select("id", "a", "b", "c"), "c", neighbours_key="id").collect()
     assert [r["feature"] for r in rows] == ["a", "b"]
+
+
+def test_ranges_follow_the_rows(spark, monkeypatch):
+    """The tasks that sort the rows grow in number, not in size, whatever number of partitions the session shuffles into."""
+    monkeypatch.setattr(ranks, "RANGE_ROWS", 100)
+    df = spark.range(4000).select(((F.col("id") * 37) % 4001).cast("double").alias("x"), (F.col("id") % 2).alias("g"), F.lit(1).alias("one"))
+    made = ranks.running_totals(df, "x", {"one": "before"}, by=["g"], rows=4000)
+    plan = made._sc._jvm.PythonSQLUtils.explainString(made._jdf.queryExecution(), "simple")
+    shuffles = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert len(shuffles) == 1 and ", 80)" in shuffles[0] and plan.count("Exchange hashpartitioning") == 3  # and two of the totals
+    for g in (0, 1):
+        assert [r["before"] for r in made.where(f"g = {g}").orderBy("x").collect()] == list(range(2000))
+    assert ranks._range_count(df, 4000) == 40
