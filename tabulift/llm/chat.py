@@ -80,12 +80,23 @@ def examples(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str
     )
 
 
+def whole_texts(rows: DataFrame, key: str = "conv_id") -> DataFrame:
+    """(key, example, n, text, loss_start, loss_end, last): the whole text of every example, and of every conversation.
+
+    The row of a reply holds its example, all turns up to and including the reply; the row with ``last`` holds all turns of its conversation,
+    also those behind the last reply, and is both where a conversation ends with a reply.
+    """
+    in_turn = Window.partitionBy(key).orderBy("n")
+    before = in_turn.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = rows.withColumn("last", F.lead("n").over(in_turn).isNull()).withColumn("so_far", F.collect_list("delta").over(before))
+    return marked.where("last or loss_end is not null").select(
+        key, "example", "n", F.array_join("so_far", "").alias("text"), "loss_start", "loss_end", "last"
+    )
+
+
 def expand(rows: DataFrame, key: str = "conv_id") -> DataFrame:
     """(key, example, text, loss_start, loss_end): the whole text of every example that has a reply.
 
     What this writes grows with the square of a conversation's turns, as the training examples themselves do.
     """
-    before = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select(key, "example", F.array_join(F.collect_list("delta").over(before), "").alias("text"), "loss_start", "loss_end").where(
-        "loss_end is not null"
-    )
+    return whole_texts(rows, key).where("loss_end is not null").select(key, "example", "text", "loss_start", "loss_end")

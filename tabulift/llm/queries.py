@@ -117,40 +117,39 @@ def op7(spark, folder):
 
 
 def _read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of what stands in the formatted examples, read as a stream of each conversation's turns in order."""
+    """Digests of what stands in the whole examples: replies from the loss span of each, turns from the whole text of a conversation."""
     schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
 
     out = to_arrow_schema(as_schema(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, now, state = [], None, None
+        state = None
         for batch in batches:
-            for conv, start, delta, loss_start, loss_end in zip(*(c.to_pylist() for c in batch.columns)):
-                if state is None or conv != now:
-                    if state:
-                        done.append(_told(now, state))
-                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                _read_part(state, start, delta, loss_start, loss_end)
+            done = []
+            for conv, said, whole in zip(*(c.to_pylist() for c in batch.columns)):
+                state = state or [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                _read_part(state, said, whole)
+                if whole is not None:
+                    done.append(_told(conv, state))
+                    state = None
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), out)], schema=out)
-                done = []
-        if state:
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(_told(now, state), out)], schema=out)
 
-    columns = formatted.select("conv_id", "context_chars", "delta", "loss_start", "loss_end", "n")
-    return columns.repartition("conv_id").sortWithinPartitions("conv_id", "n").drop("n").mapInArrow(run, as_schema(schema))
+    span = F.substring("text", F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start"))
+    read = chat.whole_texts(formatted).select("conv_id", span.alias("said"), F.when(F.col("last"), F.col("text")).alias("whole"), "n")
+    return read.repartition("conv_id").sortWithinPartitions("conv_id", "n").drop("n").mapInArrow(run, as_schema(schema))
 
 
-def _read_part(state: list, start: int, delta: str, loss_start: int | None, loss_end: int | None) -> None:
-    for piece in delta.split(chat.END)[:-1]:
+def _read_part(state: list, said: str | None, whole: str | None) -> None:
+    if said is not None:
+        said = chat.unescaped(said)
+        state[2] += len(said)
+        state[3].update(said.encode())
+    for piece in (whole or "").split(chat.END)[:-1]:
         role, _, text = piece.removeprefix(chat.START).partition(chat.HEAD)
         state[0] += 1
         state[1].update(f"{chat.unescaped_role(role)}\n{chat.unescaped(text)}\n".encode())
-    if loss_end is not None:
-        said = chat.unescaped(delta[loss_start - start : loss_end - start])
-        state[2] += len(said)
-        state[3].update(said.encode())
-    state[4] += len(delta)
+    state[4] += len(whole or "")
 
 
 def _told(conv: int, state: list) -> tuple:

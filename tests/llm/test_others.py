@@ -107,6 +107,24 @@ def test_chat_examples(spark):
     assert chat.examples(df.limit(0)).count() == 0
 
 
+def test_read_back_from_whole_examples(spark, monkeypatch):
+    """The query reads every example's whole context, and all turns also where the last is no reply."""
+    rows = [(c, t, ["user", "assistant", "system"][t % 3], f"{c}<|im_end|>{t}") for c in (1, 2, None) for t in range(3 + (c or 5))]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(4)
+    seen, whole_texts = [], chat.whole_texts
+    monkeypatch.setattr(chat, "whole_texts", lambda x: seen.append(whole_texts(x)) or seen[-1])
+    found = {r["conv_id"]: r for r in queries._read_back(chat.examples(df)).collect()}
+    texts = seen[0].collect()
+    for conv in (1, 2, None):
+        mine = [r for r in rows if r[0] == conv]
+        replies = [r for r in mine if r[2] == "assistant"]
+        examples = sorted((r for r in texts if r["conv_id"] == conv and r["loss_end"] is not None), key=lambda r: r["n"])
+        assert [r["text"].count(chat.START) for r in examples] == [1 + r[1] for r in replies]
+        assert found[conv]["n_turns"] == len(mine) and found[conv]["loss_chars"] == sum(len(r[3]) for r in replies)
+        assert found[conv]["loss_sha256"] == hashlib.sha256("".join(r[3] for r in replies).encode()).hexdigest()
+        assert found[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in mine).encode()).hexdigest()
+
+
 def test_a_conversation_is_not_collected(spark):
     rows = [(None, t, "user", f"said {t}") for t in range(3000)] + [(None, 3000, "assistant", "yes"), (1, 0, "user", "hi")]
     parts = chat.examples(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(8)).collect()
