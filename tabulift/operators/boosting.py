@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 
 from tabulift.functions.schema import col
 from tabulift.plans.quantiles import split_points
-from tabulift.plans.scratch import durable
+from tabulift.plans.scratch import dealt, durable
 
 BINS = 256
 #: Rounds after which the scores of all rows are written.
 WRITTEN = 10
+#: Rows that one task reads in a round, about.
+TASK_ROWS = 1 << 20
 #: Gains that differ by less than this share are equal; the first feature and the smallest threshold win.
 TIE = 1e-10
 FLAT = 1e-150
@@ -148,7 +150,8 @@ class BoostedTrees(Estimator):
         inputs = [F.get("x", F.lit(i)) for i in range(self.inputs)]
         cuts = split_points(values, inputs, self.bins)
         start, scale = self._start(values)
-        binned = durable(self._binned(values, cuts, start))
+        spread_out = dealt(values, values.count(), TASK_ROWS)  # a small file is one split, which every round would read in one task
+        binned = durable(self._binned(spread_out, cuts, start))
         rounds, pending = [], []
         for _ in range(self.rounds):
             growing = _Growing(len(start), self.depth, scale)

@@ -100,3 +100,12 @@ def test_points_between_values(spark):
     few, many, none = split_points(df, [F.col(c) for c in ("few", "many", "none")], 64)
     assert few == [0.5, 1.5, 2.5, 3.5] and none == []
     assert 50 < len(many) < 64 and many == sorted(set(many))
+
+
+def test_rounds_use_all_cores(points, monkeypatch):
+    """Also for a table that one task would read; and no task gets more rows when the table grows."""
+    monkeypatch.setattr(boosting, "TASK_ROWS", 40)
+    parts, kept = [], boosting.durable
+    monkeypatch.setattr(boosting, "durable", lambda df: parts.append(df.rdd.getNumPartitions()) or kept(df))
+    fit_regressor("Gradient Boosting Regressor", points[0].coalesce(1), FEATURES, "number", maxIter=1)
+    assert parts[0] == 13
