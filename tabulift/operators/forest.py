@@ -171,7 +171,10 @@ class RegressionForest(Estimator):
         self.trees, self.depth, self.bootstrap, self.bins, self.seed = numTrees, maxDepth, bootstrap, min(maxBins, BINS), seed
 
     def _fit(self, dataset: DataFrame) -> RegressionForestModel:
-        values = dataset.select(vector_to_array(col(self.columns["featuresCol"])).alias("x"), col(self.label).cast("double").alias("y"))
+        label = col(self.label).cast("double")
+        missing = F.raise_error(F.lit("Labels MUST NOT be Null or NaN"))
+        y = F.when(label.isNull() | F.isnan(label), missing.cast("double")).otherwise(label)
+        values = dataset.select(vector_to_array(col(self.columns["featuresCol"])).alias("x"), y.alias("y"))
         cuts = split_points(values, [F.get("x", F.lit(i)) for i in range(self.inputs)], self.bins)
         blocks = durable(self._blocks(values, cuts))
         uppers = [Upper() for _ in range(self.trees)]

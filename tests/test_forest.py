@@ -68,3 +68,10 @@ def test_many_deep_trees_end(spark):
     made = fit_regressor("Random Forest Regressor", df, ["a", "b"], "y", numTrees=40).transform(df)
     assert made.where("prediction is not null and prediction between 0 and 1010").count() == 20000
     assert time.time() - start < 60
+
+
+@pytest.mark.parametrize("missing", ["null", "'NaN'"])
+def test_missing_labels_fail(spark, missing):
+    df = spark.range(10).selectExpr("double(id) AS a", f"CASE WHEN id = 3 THEN double({missing}) ELSE double(id) END AS y")
+    with pytest.raises(Exception, match="Labels MUST NOT be Null or NaN"):
+        fit_regressor("Random Forest Regressor", df, ["a"], "y", numTrees=2)
