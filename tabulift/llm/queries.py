@@ -126,30 +126,34 @@ def _read_back(formatted: DataFrame) -> DataFrame:
         state = None
         for batch in batches:
             done = []
-            for conv, said, whole in zip(*(c.to_pylist() for c in batch.columns)):
+            for conv, start, text, loss_start, loss_end, last in zip(*(c.to_pylist() for c in batch.columns)):
                 state = state or [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                _read_part(state, said, whole)
-                if whole is not None:
+                _read_part(state, start, text, loss_start, loss_end, last)
+                if last:
                     done.append(_told(conv, state))
                     state = None
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), out)], schema=out)
 
     span = F.substring("text", F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start"))
-    read = chat.whole_texts(formatted).select("conv_id", span.alias("said"), F.when(F.col("last"), F.col("text")).alias("whole"), "n")
+    start, text = F.when(F.col("last"), 0).otherwise(F.col("loss_start")), F.when(F.col("last"), F.col("text")).otherwise(span)
+    read = chat.whole_texts(formatted).select("conv_id", start.alias("start"), text.alias("text"), "loss_start", "loss_end", "last", "n")
     return read.repartition("conv_id").sortWithinPartitions("conv_id", "n").drop("n").mapInArrow(run, as_schema(schema))
 
 
-def _read_part(state: list, said: str | None, whole: str | None) -> None:
-    if said is not None:
-        said = chat.unescaped(said)
+def _read_part(state: list, start: int, text: str, loss_start: int | None, loss_end: int | None, turns: bool = True) -> None:
+    """Read the reply between the two places, and, on request, all turns of a text that begins at ``start``."""
+    if loss_end is not None:
+        said = chat.unescaped(text[loss_start - start : loss_end - start])
         state[2] += len(said)
         state[3].update(said.encode())
-    for piece in (whole or "").split(chat.END)[:-1]:
-        role, _, text = piece.removeprefix(chat.START).partition(chat.HEAD)
+    if not turns:
+        return
+    for piece in text.split(chat.END)[:-1]:
+        role, _, spoken = piece.removeprefix(chat.START).partition(chat.HEAD)
         state[0] += 1
-        state[1].update(f"{chat.unescaped_role(role)}\n{chat.unescaped(text)}\n".encode())
-    state[4] += len(whole or "")
+        state[1].update(f"{chat.unescaped_role(role)}\n{chat.unescaped(spoken)}\n".encode())
+    state[4] += len(text)
 
 
 def _told(conv: int, state: list) -> tuple:
