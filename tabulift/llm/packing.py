@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import functools
 import os
+import re
+import string
+import struct
 import unicodedata
 import zlib
 from bisect import bisect_right, insort
@@ -14,9 +17,9 @@ from pyspark.sql import functions as F
 
 from tabulift.llm.common import Remembered, by_rows, quoted, stored
 
-#: Words, and chunks between spaces, that a Python worker remembers with their ids.
-REMEMBERED = 200_000
-#: Longer words and chunks are not remembered, which bounds the memory.
+#: Words, and other strings between spaces, that a Python worker remembers with their ids.
+REMEMBERED = 300_000
+#: Longer ones are not remembered, which bounds the memory.
 SHORT = 64
 #: New words that are encoded in one call.
 TOGETHER = 1_000
@@ -25,98 +28,100 @@ RANKED = 1_000
 PIECE = "key {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
+#: Signs of which any run is one match of the splitting pattern; ' may begin another one, < a special token.
+_SIGNS = "".join(c for c in string.punctuation if c not in "'<")
+#: Letters of one code point that neither normalising nor lower case turns into anything but such a letter.
+_LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+#: Runs of these letters, runs of signs, and whatever stands between spaces from where something else follows them.
+_ATOMS = re.compile(rf"[{_LATIN}]++(?![^ \n{re.escape(_SIGNS)}])|[{re.escape(_SIGNS)}]++(?![^ \n{_LATIN}])|[^ \n]+")
+_WORD = re.compile(f"[{_LATIN}]+")
+
+
 class Tokenizer:
-    """Ids of whole texts; chunks between single spaces, and the words in them, are encoded once while they are remembered.
+    """Ids of whole texts; words, signs and other strings between spaces are encoded once while they are remembered.
 
     Strings of special tokens that stand in a text become their ids, as the library does without further settings.
-    Right for vocabularies that lower the case, drop white space and split letters from other signs, as no match then
-    crosses a space or the place between a word and the signs behind it.
+    Right for byte-level vocabularies that lower the case, drop white space and split letters from other signs, as no match
+    then crosses a space, the place between a word and the signs behind it, or that between the signs and a next word.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Library
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.library = Library.from_file(path)
-        self.words, self.chunks = Remembered(REMEMBERED), Remembered(REMEMBERED)
-        vocabulary = self.library.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a match of the splitting pattern
-        self.ends[[i for piece, i in vocabulary.items() if piece.endswith(_END)]] = True
-
-    def _encode_letters(self, words: list[str]) -> dict[str, bytes]:
-        """One call for all words, each one match of the splitting pattern: an id with the end mark ends each."""
-        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        if len(cuts) != len(words):
-            return self._encode(words)
-        raw = ids.tobytes()
-        return {w: raw[a:b] for w, a, b in zip(words, [0, *cuts], cuts)}
-
-    def _encode(self, words: list[str]) -> dict[str, bytes]:
-        """One call for all words, which hold no space: the place of each id tells its word."""
-        coded = self.library.encode(" ".join(words), add_special_tokens=False)
+        self.merged = self.library.model.tokenize
+        bytes_of = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.signs = {ord(c): bytes_of(c)[0][0] for c in map(chr, range(0x80, 0x100)) if _WORD.fullmatch(c)}
+        self.words = Remembered(REMEMBERED)
+
+    def _word(self, word: str) -> bytes:
+        """Lower-case Latin words go to the library's model as they are: nothing is left to normalise or split."""
+        ids = [t.id for t in self.merged(word if word.isascii() else word.translate(self.signs))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _encode(self, strings: list[str]) -> dict[str, bytes]:
+        """One call for all strings, which hold no space: the place of each id tells its string."""
+        coded = self.library.encode(" ".join(strings), add_special_tokens=False)
         ids = np.array(coded.ids, "<u4")
-        starts = np.cumsum([0] + [len(w) + 1 for w in words])
+        starts = np.cumsum([0] + [len(w) + 1 for w in strings])
         cuts = np.searchsorted([o[0] for o in coded.offsets], starts).tolist()
-        return {w: ids[a:b].tobytes() for w, a, b in zip(words, cuts, cuts[1:])}
-
-    def _learn(self, chunks: list[str]) -> list[bytes]:
-        """The ids of chunks that are not remembered, each as its word and the signs behind it."""
-        parts, known, letters, others = [], {}, {}, {}
-        young, recall = self.words.young, self.words.get
-        for chunk in chunks:
-            word = chunk.rstrip(_SIGNS)
-            signs = chunk[len(word) :]
-            if not word.isalpha():
-                word, signs = chunk, ""
-            elif word.isascii():
-                word = word.lower()
-            elif not unicodedata.normalize("NFC", word).lower().isalpha():
-                # normalised, it holds marks, which go with the signs behind them
-                word, signs = chunk, ""
-            parts.append((word, signs))
-            for x in (word, signs) if signs else (word,):
-                if x not in known:
-                    known[x] = value = young.get(x) or recall(x)
-                    if value is None:
-                        (letters if x.isascii() and x.isalpha() else others)[x] = None
-        for how, new in ((self._encode_letters, list(letters)), (self._encode, list(others))):
-            for i in range(0, len(new), TOGETHER):
-                found = how(new[i : i + TOGETHER])
-                known.update(found)
-                for x, value in found.items():
-                    if len(x) <= SHORT:
-                        self.words.put(x, value)
-        return [known[word] + known[signs] if signs else known[word] for word, signs in parts]
+        return {w: ids[a:b].tobytes() for w, a, b in zip(strings, cuts, cuts[1:])}
+
+    def _learn(self, atoms: dict[str, None]) -> dict[str, bytes]:
+        """The ids of atoms that were not used lately: Latin words by their lower case, others as a word and the signs behind it."""
+        known, parts, others = {}, {}, {}
+        recall = self.words.get
+        for atom in atoms:
+            value = recall(atom)
+            if value is None and _WORD.fullmatch(atom):
+                low = atom.lower()
+                if low == atom or (value := recall(low)) is None:
+                    value = self._word(low)
+                    self._keep(low, value)
+                if low != atom:
+                    self._keep(atom, value)
+            if value is not None:
+                known[atom] = value
+                continue
+            word = atom.rstrip(_SIGNS)
+            # letters that turn into marks when they are normalised go with the signs behind them
+            whole = word in ("", atom) or not word.isalpha() or not unicodedata.normalize("NFC", word).lower().isalpha()
+            parts[atom] = (atom,) if whole else (word, atom[len(word) :])
+            for x in parts[atom]:
+                if x not in known and (value := recall(x)) is not None:
+                    known[x] = value
+                elif x not in known:
+                    others[x] = None
+        new = list(others)
+        for i in range(0, len(new), TOGETHER):
+            for x, value in self._encode(new[i : i + TOGETHER]).items():
+                known[x] = value
+                self._keep(x, value)
+        for atom, strings in parts.items():
+            if atom not in known:
+                known[atom] = b"".join([known[x] for x in strings])
+                self._keep(atom, known[atom])
+        return known
+
+    def _keep(self, string: str, ids: bytes) -> None:
+        if len(string) <= SHORT:
+            self.words.put(string, ids)
 
     def __call__(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        young, recall = self.chunks.young, self.chunks.get
-        coded = list(map(young.get, chunks))
+        atoms = _ATOMS.findall(text)
+        coded = list(map(self.words.young.get, atoms))
         if None in coded:
-            found = {}
-            for i, x in enumerate(coded):
-                if x is None:
-                    found[chunks[i]] = None
-            new = []
-            for c in found:
-                found[c] = value = recall(c)
-                if value is None:
-                    new.append(c)
-            for c, value in zip(new, self._learn(new)):
-                found[c] = value
-                if len(c) <= SHORT:
-                    self.chunks.put(c, value)
-            coded = [found[c] if x is None else x for c, x in zip(chunks, coded)]
+            gaps, at = [], -1
+            for _ in range(coded.count(None)):
+                gaps.append(at := coded.index(None, at + 1))
+            found = self._learn(dict.fromkeys([atoms[i] for i in gaps]))
+            for i in gaps:
+                coded[i] = found[atoms[i]]
         return b"".join(coded)
 
 
-#: How the vocabulary marks the end of a match.
-_END = "</w>"
-#: Signs that often follow a word; any run of them is one match of the splitting pattern.
-_SIGNS = ".,;:!?|"
-
-
 @functools.cache
 def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)

@@ -112,6 +112,22 @@ def test_tokenizer_of_random_texts():
         assert mine(text) == np.array(library(text), "<u4").tobytes(), ascii(text)
 
 
+def test_tokenizer_of_words_beside_signs():
+    mine, library, r = packing.Tokenizer(WORDS), _library_ids(), random.Random(3)
+    parts = [*"abZÉßªµ 12½²'.,|-()\"<>=&_日क\u0338\u0301\u200b\xad\xa0\n\t ", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "word", "Ünder"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.choice([2, 5, 30, 200])))
+        assert mine(text) == np.array(library(text), "<u4").tobytes(), ascii(text)
+
+
+def test_a_word_is_encoded_once_beside_any_sign():
+    mine, words = packing.Tokenizer(WORDS), []
+    mine.merged = lambda word, whole=mine.merged: words.append(word) or whole(word)
+    text = 'Über, word! (WORD) "word" word-word über.\nword; Word #word*'
+    assert mine(text) == np.array(_library_ids()(text), "<u4").tobytes()
+    assert sorted(words) == ["word", "Ã¼ber"]
+
+
 def test_special_strings_are_the_librarys():
     assert np.frombuffer(packing.Tokenizer(WORDS)("hello <|endoftext|> there"), "<u4").tolist() == [3306, 49407, 997]
 
