@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -14,14 +15,12 @@ from pyspark.sql import functions as F
 
 from tabulift.llm.common import Remembered, by_rows, free_name, quoted
 
-#: Words, and chunks of text between single spaces, that a Python worker remembers with their ids.
-REMEMBERED = 120_000
-#: Longer words and chunks are not remembered, which bounds the memory.
+#: Words that a Python worker remembers with their ids.
+REMEMBERED = 200_000
+#: Longer words are not remembered, which bounds the memory.
 SHORT = 64
 #: Longer words are merged with a heap, in n log n steps.
 LONG_WORD = 48
-#: A single space between two other characters always begins a new match of the splitting pattern.
-_CHUNK = regex.compile(r"(?<=\S) (?=\S)")
 
 
 @functools.cache
@@ -32,8 +31,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @functools.cache
-def read_pieces(path: str) -> dict[int, bytes]:
-    return {rank: piece for piece, rank in read_ranks(path).items()}
+def read_pieces(path: str) -> pa.Array:
+    """The piece of each rank at its place, null where no piece has that rank."""
+    ranks = read_ranks(path)
+    pieces = [None] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    return pa.array(pieces, pa.large_binary())
 
 
 def fold_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -93,31 +97,25 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         self.ranks, self.pattern = read_ranks(path), regex.compile(pattern)
-        self.words, self.chunks = Remembered(REMEMBERED), Remembered(REMEMBERED)
+        self.words = Remembered(REMEMBERED)
 
     def _word(self, word: str) -> bytes:
         packed = self.words.get(word)
         if packed is None:
-            packed = np.array(fold_word(word.encode("utf-8", "replace"), self.ranks), "<u4").tobytes()
+            ids = fold_word(word.encode("utf-8", "replace"), self.ranks)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
             if len(word) <= SHORT:
                 self.words.put(word, packed)
         return packed
 
-    def _chunk(self, chunk: str) -> bytes:
-        packed = self.chunks.get(chunk)
-        if packed is None:
-            packed = b"".join(map(self._word, self.pattern.findall(chunk)))
-            if len(chunk) <= SHORT:
-                self.chunks.put(chunk, packed)
-        return packed
-
     def __call__(self, text: str) -> np.ndarray:
-        first, *rest = _CHUNK.split(text)
-        out = [self._chunk(first)]
-        for chunk in rest:
-            chunk = " " + chunk
-            out.append(self.chunks.young.get(chunk) or self._chunk(chunk))
-        return np.frombuffer(b"".join(out), "<u4")
+        words = self.pattern.findall(text)
+        coded = list(map(self.words.young.get, words))
+        at = -1
+        for _ in range(coded.count(None)):
+            at = coded.index(None, at + 1)
+            coded[at] = self._word(words[at])
+        return np.frombuffer(b"".join(coded), "<u4")
 
 
 @functools.cache
@@ -153,10 +151,13 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     @F.arrow_udf("binary")
     def joined(lists: pa.Array) -> pa.Array:
         pieces = read_pieces(path)
-        return pa.array([None if x is None else b"".join(map(pieces.__getitem__, x)) for x in map(_numbers, lists)], pa.binary())
+        return pa.array([_joined(pieces.take(x.values)) if x.is_valid else None for x in lists], pa.binary())
 
     return df.withColumn(name, joined(quoted(ids)))
 
 
-def _numbers(scalar):
-    return None if not scalar.is_valid else scalar.values.to_numpy(zero_copy_only=False).tolist()
+def _joined(pieces: pa.LargeBinaryArray) -> bytes:
+    """The bytes of all pieces, which lie behind each other in the array's buffer."""
+    if pieces.null_count:
+        raise KeyError("an id without a piece")
+    return pieces.buffers()[2].to_pybytes() if len(pieces) else b""

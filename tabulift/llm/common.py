@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,7 +69,15 @@ def _value(scalar):
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    return pa.RecordBatch.from_arrays([_column(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _column(values: tuple, kind: pa.DataType) -> pa.Array:
+    """Lists that all are numpy arrays become one array of their elements and the places of the cuts."""
+    if not (pa.types.is_list(kind) and all(isinstance(x, np.ndarray) for x in values)):
+        return pa.array(values, kind)
+    ends = np.cumsum([0, *map(len, values)], dtype="int64")
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)).cast(kind.value_type), type=kind)
 
 
 class Remembered:

@@ -88,6 +88,36 @@ def test_bpe_of_random_texts():
         assert mine(text).tolist() == library.encode_ordinary(text)
 
 
+def test_bpe_splits_a_text_once():
+    mine, texts = bpe.Encoder(RANKS, public_tokenizers.PATTERN), []
+
+    class Pattern:
+        def findall(self, text, whole=mine.pattern):
+            texts.append(text)
+            return whole.findall(text)
+
+    mine.pattern = Pattern()
+    mine("one two,\nthree  four")
+    assert texts == ["one two,\nthree  four"]
+
+
+def test_decode_of_null_and_unknown_ids(spark):
+    df = spark.createDataFrame([(0, [64, 65]), (1, None), (2, []), (3, [66])], "n int, ids array<int>").coalesce(1)
+    pieces = {rank: piece for piece, rank in bpe.read_ranks(RANKS).items()}
+    out = {r["n"]: r["decoded"] and bytes(r["decoded"]) for r in bpe.decode(df, RANKS).collect()}
+    assert out == {0: pieces[64] + pieces[65], 1: None, 2: b"", 3: pieces[66]}
+    for unknown in (-1, max(pieces) + 1):
+        with pytest.raises(Exception):
+            bpe.decode(spark.createDataFrame([([unknown],)], "ids array<int>"), RANKS).collect()
+
+
+def test_columns_of_arrays():
+    kind = pa.list_(pa.field("element", pa.int32()))
+    lists = tuple(np.arange(n, dtype="<u4") for n in (3, 0, 5))
+    for values in (lists, lists[1:2], (lists[0], None), ([1, 2], [])):
+        assert common._column(values, kind).equals(pa.array(values, kind))
+
+
 def test_bpe_query(spark, folder, docs):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
     rows = {r["doc_id"]: r for r in queries.op1(spark, folder).collect()}
