@@ -19,10 +19,10 @@ from tabulift.llm.common import free_name, quoted, stored, with_variant
 GRAM = 32
 #: Bytes of one shard, about. A shard's suffix array takes some tens of bytes for each.
 SHARD_BYTES = 2 << 20
+#: Bytes of texts that are hashed at once, about.
+TEXT_BYTES = 1 << 16
 #: Contexts of one anchor in one part, about; more are searched part against part.
 PART = 20_000
-#: Lanes in which common prefixes are computed side by side.
-LANES = 2_048
 BASE = 0x9E3779B97F4A7C13
 
 ANCHORS = pa.schema([("f", pa.int64()), ("context", pa.int64()), ("doc", pa.int64()), ("variant", pa.int64()), ("first", pa.int32()), ("n", pa.int32())])
@@ -65,23 +65,33 @@ def _last_smallest(values: np.ndarray, width: int) -> np.ndarray:
     return (np.uint64((1 << 40) - 1) - (best & np.uint64((1 << 40) - 1))).astype(np.int64)
 
 
-def contexts(raw: bytes, window: int) -> tuple[np.ndarray, ...]:
-    """(f, context, first, n): for each anchor its hash, the hash of its context, and where its windows start.
+def contexts(raws: list[bytes], window: int) -> tuple[np.ndarray, ...]:
+    """(f, context, of, first, n): for each anchor its hash, the hash of its context, its text and where its windows start there.
 
     Every window of ``window`` bytes belongs to the anchor with the smallest hash among the strings of GRAM bytes inside it
     (the last of equals). That depends on the window's bytes alone, so equal windows have equal anchors at equal offsets. The
-    windows of an anchor start at ``first`` and the n - 1 places behind it; its context is the bytes they cover.
+    windows of an anchor start at ``first`` and the n - 1 places behind it; its context is the bytes they cover. The texts, of
+    ``window`` bytes at least, are hashed one after the other; windows that reach over the end of one are left out.
     """
-    data = np.frombuffer(raw, np.uint8)
-    h = _gram_hashes(data)
+    joined = raws[0] if len(raws) == 1 else b"".join(raws)
+    sizes = np.array([len(raw) for raw in raws])
+    starts = np.cumsum(sizes) - sizes
+    stops = starts + sizes - window + 1
+    h = _gram_hashes(np.frombuffer(joined, np.uint8))
     places = _last_smallest(h, window - GRAM + 1)
-    first = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
-    n = np.diff(np.r_[first, len(places)])
+    edge = np.ones(len(places) + 1, bool)
+    edge[1:-1] = places[1:] != places[:-1]
+    edge[starts] = edge[stops] = True
+    edges = np.flatnonzero(edge)
+    first, n = edges[:-1], np.diff(edges)
+    of = np.searchsorted(starts, first, "right") - 1
+    inside = first < stops[of]
+    first, n, of = first[inside], n[inside], of[inside]
     at = places[first]
     size = n - 1 + window
-    view = memoryview(raw)
+    view = memoryview(joined)
     digests = [xxhash.xxh3_64_intdigest(view[a : a + s], o) for a, s, o in zip(first.tolist(), size.tolist(), (at - first).tolist())]
-    return h[at].view(np.int64), np.array(digests, np.uint64).view(np.int64), first, n
+    return h[at].view(np.int64), np.array(digests, np.uint64).view(np.int64), of, first - starts[of], n
 
 
 # ---- suffix arrays ----
@@ -102,80 +112,92 @@ def _joined(data: np.ndarray, places: np.ndarray, step: int, stop: int) -> np.nd
     return out
 
 
+def _packed(data: np.ndarray) -> np.ndarray:
+    """AT_ONCE symbols from each place as one number, 0 behind the end."""
+    one = np.zeros(len(data) + AT_ONCE - 1, np.int64)
+    one[: len(data)] = data
+    two = one[:-1] << 9 | one[1:]
+    four = two[:-2] << 18 | two[2:]
+    return four[:-3] << 27 | four[3:]  # both hold the fourth symbol, at the same bits
+
+
 def suffix_array(data: np.ndarray) -> np.ndarray:
     """Suffixes of symbols (0 to 511) in order. Behind the end every symbol is 0."""
     return refined(data, len(data))[0]
 
 
-def refined(data: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def refined(data: np.ndarray, most: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(order, rank): suffixes ordered by their first ``most`` symbols, by Larsson-Sadakane refinement; those of one rank have these in common.
 
     Suffixes start sorted by their first seven symbols. Each round doubles the sorted length, the last one up to ``most``: a suffix is
     placed within its group by the rank of the suffix that many symbols on. Only groups of several suffixes are sorted again; a
     suffix alone in its group keeps its place. The rank is the place of the last of a group, which only falls when the group is split.
+    With ``wanted`` only the marked suffixes are ordered and have such ranks: the others are left out of the last round.
     """
     n, length = len(data), min(AT_ONCE, max(most, 1))
-    padded = np.r_[data, np.zeros(length, data.dtype)].astype(np.int64)
-    key = np.zeros(n, np.int64)
-    for j in range(length):
-        key = key << 9 | padded[j : j + n]
+    key = _packed(data) >> 9 * (AT_ONCE - length)
     order = np.argsort(key)
-    rank = np.empty(n, np.int64)
+    rank = np.full(n + 1, -1, np.int32 if n < 1 << 31 else np.int64)  # the last one stands for all places behind the end
     suffixes, places, differs = order, np.arange(n), np.diff(key[order]) != 0
     while True:
         ends = np.flatnonzero(np.r_[differs, True])
         sizes = np.diff(np.r_[-1, ends])
-        rank[suffixes] = places[np.repeat(ends, sizes)]
-        several = np.repeat(sizes > 1, sizes)
-        suffixes, places = suffixes[several], places[several]
-        if not len(suffixes) or length >= most:
-            return order, rank
+        group = np.repeat(places[ends], sizes)
+        rank[suffixes] = group
+        if length >= most:
+            break
         step = min(length, most - length)
-        on = suffixes + step
-        key = rank[suffixes] * (n + 1) + np.where(on < n, rank[np.minimum(on, n - 1)] + 1, 0)
+        several = np.repeat(sizes > 1, sizes)
+        if wanted is not None and length + step >= most:
+            several &= wanted[suffixes]
+        suffixes, places, group = suffixes[several], places[several], group[several]
+        if not len(suffixes):
+            break
+        key = group * (n + 1) + rank.take(suffixes + step, mode="clip") + 1
         inner = np.argsort(key)
         suffixes, key = suffixes[inner], key[inner]
         order[places] = suffixes
         differs = np.diff(key) != 0
         length += step
+    return order if wanted is None else order[wanted[order]], rank[:n]
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, most: int, rank: np.ndarray | None = None) -> np.ndarray:
     """Length of the common prefix of each suffix (by its start) with the one before it in the order, up to ``most``: Kasai's rule.
 
-    Going through the text, the common prefix is at most one shorter than at the place before, so comparing goes on where it stopped.
-    The text is cut into lanes that are followed side by side; each begins from nothing. With the ``rank`` of an order by the first
-    ``most`` symbols only, suffixes of one rank have these in common; behind such a place the carry holds only if the suffix before it,
-    moved on by one, still stands before in the order. Else comparing starts anew.
+    Where the suffix before is the one before at the last place, moved on by one as well, the common prefix is one shorter than there.
+    Only the other places are compared, several symbols at once and side by side; the rest follow from the last of these before them.
+    With the ``rank`` of an order by the first ``most`` symbols only, suffixes of one rank have these in common and are not compared.
+    Suffixes that are not in the order have 0.
     """
     n = len(data)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
     tied = np.zeros(n, bool) if rank is None else (before >= 0) & (rank == rank[before])
-    result = np.zeros(n, np.int64)
-    stride = max(256, -(-n // LANES))
-    at = np.arange(0, n, stride)
-    stop = np.minimum(at + stride, n)
-    have = np.where(tied[at], most, 0)
-    while len(at):
-        other = before[at]
-        can = (other >= 0) & (have < most) & (at + have < n) & (other + have < n)
-        same = can.copy()
-        same[can] = data[at[can] + have[can]] == data[other[can] + have[can]]
-        have[same] += 1
-        done = np.flatnonzero(~same)
-        now, follower = at[done], other[done] + 1
-        result[now] = have[done]
-        next_ = np.minimum(now + 1, n - 1)
-        holds = ~tied[now] | (follower >= n) | (place[np.minimum(follower, n - 1)] < place[next_])
-        have[done] = np.where(tied[next_], most, np.where(holds, np.maximum(have[done] - 1, 0), 0))
-        at[done] += 1
-        if (at >= stop).any():
-            left = at < stop
-            at, stop, have = at[left], stop[left], have[left]
-    return result
+    follows = np.zeros(n, bool)
+    moved = np.flatnonzero((before[:-1] >= 0) & (before[1:] == before[:-1] + 1))
+    follows[moved + 1] = data[moved] == data[before[moved]]
+    result = np.where(tied, most, 0)
+    compared = np.flatnonzero((before >= 0) & ~follows & ~tied)
+    result[compared] = _agreeing(data, compared, before[compared])
+    last = np.maximum.accumulate(np.where(follows & ~tied, 0, np.arange(n)))
+    return np.minimum(result[last] + last - np.arange(n), most)
+
+
+def _agreeing(data: np.ndarray, places: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Number of symbols that the suffixes from these places have in common with those from the others."""
+    packed, bounds = _packed(data), 1 << 9 * np.arange(AT_ONCE)
+    room = len(data) - np.maximum(places, others)
+    have = np.zeros(len(places), np.int64)
+    open_ = np.arange(len(places))
+    while len(open_):
+        on = have[open_]
+        # the highest symbol that differs tells how many do not
+        same = AT_ONCE - np.searchsorted(bounds, packed[places[open_] + on] ^ packed[others[open_] + on], "right")
+        on += same
+        have[open_] = on
+        open_ = open_[(same == AT_ONCE) & (on < room[open_])]
+    return np.minimum(have, room)
 
 
 class Shard:
@@ -189,20 +211,15 @@ class Shard:
         data = np.frombuffer(b"\x00".join(texts) + b"\x00", np.uint8).astype(np.int16) + 1
         data[self.starts + sizes - 1] = 0
         self.data = data
-        order, rank = refined(data, window)
-        prefixes = common_prefixes(data, order, window, rank)
         own = np.zeros(len(data) + 1, np.int64)  # windows that belong to their context's anchor; others are owned elsewhere
         np.add.at(own, self.starts, 1)
         np.add.at(own, self.starts + self.counts, -1)
-        owned = np.cumsum(own[:-1]) > 0
-        # equal for a whole window: in the order, owned windows with only long common prefixes between them
-        cut = prefixes[order] < window
-        group = np.cumsum(cut)
-        mine = owned[order]
-        self.order = order[mine]
-        several = np.bincount(group[mine], minlength=group[-1] + 1) > 1
+        self.order, rank = refined(data, window, np.cumsum(own[:-1]) > 0)
+        prefixes = common_prefixes(data, self.order, window, rank)
+        # equal for a whole window: in the order, windows with only long common prefixes between them
+        group = np.cumsum(prefixes[self.order] < window)
         self.repeated = np.zeros(len(data), bool)
-        self.repeated[self.order] = several[group[mine]]
+        self.repeated[self.order] = (np.bincount(group) > 1)[group]
 
     def merge(self, other: Shard) -> None:
         """Mark the windows that both shards own, by binary search of this shard's windows in the other's order."""
@@ -259,21 +276,31 @@ def _documents(df: DataFrame, key: str, text: str, variant: str) -> DataFrame:
 
 def _anchored(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
+        parts, size, held, full = [], 0, [], 0
         for batch in batches:
             for doc, raw, variant in zip(*(batch.column(i) for i in range(3))):
                 doc, raw = doc.as_py(), raw.as_py()
                 if doc is None or raw is None or len(raw) < window:
                     continue
-                f, context, first, n = contexts(raw, window)
-                parts.append((f, context, np.full(len(f), doc), np.full(len(f), variant.as_py()), first, n))
-                size += len(f)
+                held.append((doc, raw, variant.as_py()))
+                full += len(raw)
+                if full >= TEXT_BYTES:
+                    parts.append(hashed(held))
+                    size += len(parts[-1][0])
+                    held, full = [], 0
                 if size >= 1 << 17:
                     yield _columns(parts, ANCHORS)
                     parts, size = [], 0
+        if held:
+            parts.append(hashed(held))
         if parts:
             yield _columns(parts, ANCHORS)
 
+    def hashed(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+        docs, raws, variants = zip(*rows)
+        f, context, of, first, n = contexts(raws, window)
+        return f, context, np.array(docs, np.int64)[of], np.array(variants, np.int64)[of], first, n
+
     return run
 
 
@@ -380,32 +407,38 @@ def dedup_bytes(df: DataFrame, window: int = 200, key: str = "doc_id", text: str
     return joined.mapInArrow(_without(window, df.columns.index(text), len(df.columns), to_arrow_schema(schema)), schema)
 
 
-def without_bytes(raw: bytes, spans: list[tuple[int, int]], window: int) -> tuple[int, int, bytes]:
-    """(removed, runs, kept) for runs [a, b) of places at which repeated strings start."""
-    if not spans:
-        return 0, 0, raw
-    marks = np.zeros(len(raw) + 1, np.int64)
-    starts, ends = np.array(spans).T
-    np.add.at(marks, starts, 1)
-    np.add.at(marks, ends - 1 + window, -1)
-    gone = np.cumsum(marks[:-1]) > 0
-    runs = int((np.diff(np.r_[0, gone.astype(np.int8)]) == 1).sum())
-    return int(gone.sum()), runs, np.frombuffer(raw, np.uint8)[~gone].tobytes()
+def without_bytes(raws: list[bytes], of: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int) -> tuple[list[int], list[int], list[bytes]]:
+    """(removed, runs, kept) of each text, for runs [start, end) of places in the text ``of`` at which repeated strings start."""
+    sizes = np.array([len(raw) for raw in raws], np.int64)
+    base = np.cumsum(sizes + 1) - (sizes + 1)  # one place between two texts, so that runs do not meet
+    order = np.argsort(base[of] + starts)
+    of = of[order]
+    low, high = base[of] + starts[order], np.maximum.accumulate(base[of] + ends[order] - 1 + window)
+    first = np.flatnonzero(np.r_[np.ones(min(1, len(low)), bool), low[1:] > high[:-1]])
+    last = np.r_[first[1:], len(low)][: len(first)] - 1
+    of, low, high = of[first], low[first], high[last]
+    removed, runs, kept = np.zeros(len(raws), np.int64), np.bincount(of, minlength=len(raws)), list(raws)
+    np.add.at(removed, of, high - low)
+    cuts = list(zip((low - base[of]).tolist(), (high - base[of]).tolist()))
+    stops = np.cumsum(runs)
+    for k in np.flatnonzero(runs).tolist():
+        raw, parts, at = raws[k], [], 0
+        for a, b in cuts[stops[k] - runs[k] : stops[k]]:
+            parts.append(raw[at:a])
+            at = b
+        kept[k] = b"".join([*parts, raw[at:]])
+    return removed.tolist(), runs.tolist(), kept
 
 
 def _without(window: int, at: int, columns: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, removed, runs, kept = [], [], [], []
-            for text, spans in zip(batch.column(at), batch.column(columns)):
-                text = text.as_py()
-                raw = text.encode("utf-8") if isinstance(text, str) else text or b""
-                gone, parts, left = without_bytes(raw, [(s["a"], s["b"]) for s in spans.as_py() or ()], window)
-                n.append(len(raw))
-                removed.append(gone)
-                runs.append(parts)
-                kept.append(left)
-            arrays = [batch.column(i) for i in range(columns)] + [pa.array(n), pa.array(removed), pa.array(runs), pa.array(kept, pa.binary())]
+            texts, lists = batch.column(at), batch.column(columns)
+            raws = [raw or b"" for raw in (texts.cast(pa.binary()) if pa.types.is_string(texts.type) else texts).to_pylist()]
+            of = np.repeat(np.arange(len(raws)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            starts, ends = (x.to_numpy().astype(np.int64) for x in lists.flatten().flatten())  # null lists have no place among these
+            removed, runs, kept = without_bytes(raws, of, starts, ends, window)
+            arrays = [batch.column(i) for i in range(columns)] + [pa.array(map(len, raws)), pa.array(removed), pa.array(runs), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, schema)], schema=schema)
 
     return run

@@ -449,6 +449,67 @@ def test_suffix_array_and_prefixes():
             assert prefixes[b] == n
 
 
+def agree(data, a, b):
+    n = 0
+    while max(a, b) + n < len(data) and data[a + n] == data[b + n]:
+        n += 1
+    return n
+
+
+def test_order_and_prefixes_of_wanted_suffixes():
+    r = random.Random(17)
+    for _ in range(200):
+        unit, most = [r.randint(1, 3) for _ in range(r.randint(1, 12))], r.choice([8, 14, 20, 50])
+        data = np.array([r.choice([r.randint(0, 3), *unit[i % len(unit) :][:1] * 4]) for i in range(r.randint(1, 200))] + [0], np.int16)
+        wanted = np.array([r.random() < 0.5 for _ in data])
+        order, rank = suffix_dedup.refined(data, most, wanted)
+        assert sorted(order.tolist()) == np.flatnonzero(wanted).tolist()
+        prefixes = suffix_dedup.common_prefixes(data, order, most, rank)
+        for a, b in zip(order.tolist(), order.tolist()[1:]):
+            assert data[a : a + most].tolist() <= data[b : b + most].tolist()
+            if max(a, b) + most <= len(data):
+                assert prefixes[b] == min(agree(data, a, b), most)
+                assert (rank[a] == rank[b]) == (prefixes[b] == most)
+        assert not prefixes[~wanted].any()
+
+
+def test_prefixes_that_follow_are_not_compared(monkeypatch):
+    r, compared, agreeing = random.Random(18), [], suffix_dedup._agreeing
+    monkeypatch.setattr(suffix_dedup, "_agreeing", lambda data, places, others: compared.append(len(places)) or agreeing(data, places, others))
+    copies = [bytes(r.choice(b"abcdefgh") for _ in range(2_000))] * 10
+    data = np.frombuffer(b"".join(bytes([200 + i]) + c for i, c in enumerate(copies)), np.uint8).astype(np.int16)
+    order, rank = suffix_dedup.refined(data, 200)
+    prefixes = suffix_dedup.common_prefixes(data, order, 200, rank)
+    assert sum(compared) < len(data) / 5  # most places follow from the one before them or have the rank of the suffix before
+    assert [prefixes[b] for b in order[1:]] == [min(agree(data, a, b), 200) for a, b in zip(order, order[1:])]
+
+
+def test_texts_hashed_together_and_alone():
+    r = random.Random(19)
+    raws = [b"a" * 200, b"ab" * 100, b"a" * 700, *(bytes(r.choice(b"abc") for _ in range(r.randint(200, 900))) for _ in range(20)), b"a" * 201, b"ab" * 100]
+    f, context, of, first, n = suffix_dedup.contexts(raws, 200)
+    for k, raw in enumerate(raws):
+        alone = suffix_dedup.contexts([raw], 200)
+        assert all((x[of == k] == y).all() for x, y in zip((f, context, first, n), (*alone[:2], *alone[3:])))
+        assert n[of == k].sum() == len(raw) - 199
+
+
+def test_bytes_removed_of_several_texts():
+    r = random.Random(20)
+    raws, spans = [], []
+    for _ in range(400):
+        n = r.choice([0, 3, 8, 40, 200])
+        raws.append(bytes(r.randrange(256) for _ in range(n)))
+        spans.append([(a := r.randint(0, n - 8), r.randint(a + 1, n - 7)) for _ in range(r.randint(0, 3))] if n >= 8 else [])
+    of, starts, ends = np.array([(k, a, b) for k, found in enumerate(spans) for a, b in found]).T
+    for raw, found, out in zip(raws, spans, zip(*suffix_dedup.without_bytes(raws, of, starts, ends, 8))):
+        gone = [any(a <= i < b + 7 for a, b in found) for i in range(len(raw))]
+        runs = sum(x and not y for x, y in zip(gone, [False, *gone]))
+        assert out == (sum(gone), runs, bytes(c for c, x in zip(raw, gone) if not x))
+    none = np.zeros(0, np.int64)
+    assert suffix_dedup.without_bytes([], none, none, none, 8) == ([], [], [])
+
+
 @pytest.mark.parametrize("cuts", [(12,), (5, 8, 12)])
 def test_shards_merge(cuts):
     r = random.Random(12)
